@@ -51,7 +51,7 @@ def build_features(flows: DataFrame, n: int = WIDTH, time_dtype: str = "float32"
     full = time_channel(size_and_direction(assign_client_server(one), n), n, time_dtype)
     full = full.withColumn("f_signed", A.signed_size(F.col("f_size"), F.col("f_dir")))
     return full.select(
-        "flow_id", "src_file", "emit_at", "server_ip", "server_port", "client_ip", "client_port",
+        "flow_id", "src_file", "emit_at", "srcip", "dstip", "n_pkts", "server_ip", "server_port", "client_ip", "client_port",
         "f_size", "f_dir", "f_time", "f_signed", "eff_len", *(["y"] if "y" in flows.columns else []),
     )
 
