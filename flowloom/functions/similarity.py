@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from flowloom.functions.arrays import bind, dot
 
@@ -70,7 +71,7 @@ def jaro_winkler_batch(left: pd.Series, right: pd.Series) -> np.ndarray:
     return np.where(jaro > 0.7, jaro + prefix * 0.1 * (1.0 - jaro), jaro)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def jaro_winkler(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     for left, right in pairs:
         yield pd.Series(jaro_winkler_batch(left, right))

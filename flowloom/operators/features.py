@@ -31,8 +31,9 @@ def time_channel(flows: DataFrame, n: int = WIDTH, time_dtype: str = "float32")
     """
     kind = {"float32": "float", "float64": "double"}[time_dtype]
     origin = flows.agg(F.min("pktts_start")).scalar()
-    offset = A.start_offset(F.col("pktts")[0], origin, kind)
-    return flows.withColumn("f_time", A.shift(A.gap_channel(F.col("pktts"), n, time_dtype=kind), offset))
+    placed = flows.withColumn("_offset", A.start_offset(F.col("pktts")[0], origin, kind))
+    gaps = A.gap_channel(F.col("pktts"), n, time_dtype=kind)
+    return placed.withColumn("f_time", A.shift(gaps, F.col("_offset"))).drop("_offset")
 
 
 def size_and_direction(flows: DataFrame, n: int = WIDTH, backward: float = 0.5) -> DataFrame:
