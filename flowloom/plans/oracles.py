@@ -270,14 +270,14 @@ _TRIM = "list_transform(list_filter(range(1, len({0}) + 1), lambda i: NOT ({0}[i
 
 
 def similar(source: str, a: str, b: str, name: str, keep: str, codes: bool = False) -> str:
-    """CTE ``name`` with cos, jw, ws, sim for lists a, b. ``codes``: Jaro-Winkler over value numbers."""
+    """CTE ``name`` with cos, jw, ws, sim for lists a, b. ``codes``: one character per distinct value of the pair."""
     s = similarity_parts("xa", "xb")
     if codes:
-        code = "array_to_string(list_transform({0}, lambda x: map_extract(code, x)[1]), '')"
+        code = "array_to_string(list_transform({0}, lambda x: chr(CAST(63 + list_position(seen, x) AS INT))), '')"
         s["jw"] = f"jaro_winkler_similarity({code.format('xa')}, {code.format('xb')})"
     return f"""
 {name}_t AS (SELECT {keep}, {_TRIM.format(a, b, a)} AS xa, {_TRIM.format(a, b, b)} AS xb FROM {source}),
-{name}_s AS (SELECT {keep}, {s['cos']} AS cos, {s['jw']} AS jw, {s['ws']} AS ws FROM {name}_t{', codes' if codes else ''}),
+{name}_s AS (SELECT {keep}, {s['cos']} AS cos, {s['jw']} AS jw, {s['ws']} AS ws FROM (SELECT *, list_distinct(list_concat(xa, xb)) AS seen FROM {name}_t)),
 {name} AS (SELECT *, {_FUSED} AS sim FROM (SELECT *, greatest(cos, jw, ws) AS top FROM {name}_s))"""
 
 
@@ -304,7 +304,7 @@ def unit(v: str) -> str:
 
 BASE = [PACKETS, KEYED, FLOWS, LABELLED, FEATURES]
 DEFAULTS = {k: str(v) for k, v in DEFAULT_PARAMS.items()}
-STRICT = {**DEFAULTS, "clientiplent": "60", "flowidlenmin": "9", "lenseridsetmin": "0", "winsize": "20"}
+MIXED = {**DEFAULTS, "clientiplent": "60", "flowidlenmin": "9", "lenseridsetmin": "1", "winsize": "3"}
 
 
 def sql(final: str, *ctes: str, recursive: bool = False) -> str:
@@ -402,8 +402,8 @@ GRAPH = f"""
 windowed_g AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY src_file, emit_at) - 1 AS seq FROM multi),
 gw AS MATERIALIZED (SELECT *, seq // {GRAPH_SIZE} AS graph_id FROM windowed_g),
 first_seen AS (
-  SELECT graph_id, ip, min(at) AS at FROM (SELECT graph_id, srcip AS ip, seq * 2 AS at FROM gw UNION ALL SELECT graph_id, dstip, seq * 2 + 1 FROM gw) GROUP BY ALL),
-nodes AS MATERIALIZED (SELECT graph_id, ip, row_number() OVER (PARTITION BY graph_id ORDER BY at) - 1 AS node_id FROM first_seen),
+  SELECT graph_id, ip, min(first_at) AS first_at FROM (SELECT graph_id, srcip AS ip, seq * 2 AS first_at FROM gw UNION ALL SELECT graph_id, dstip, seq * 2 + 1 FROM gw) GROUP BY ALL),
+nodes AS MATERIALIZED (SELECT graph_id, ip, row_number() OVER (PARTITION BY graph_id ORDER BY first_at) - 1 AS node_id FROM first_seen),
 edges AS MATERIALIZED (
   SELECT g.graph_id, g.flow_id, s.node_id AS src_node, d.node_id AS dst_node, g.f_size AS feat
   FROM gw g JOIN nodes s ON s.graph_id = g.graph_id AND s.ip = g.srcip JOIN nodes d ON d.graph_id = g.graph_id AND d.ip = g.dstip)"""
@@ -420,7 +420,6 @@ context AS (
 
 _FEATURE = lambda c: sql(f"SELECT flow_id, {text(c)} AS v FROM features", *BASE)
 _TRIPLET_COLS = "anchor_id, s1_id, s2_id"
-_CODES = "codes AS MATERIALIZED (SELECT map(list(v), list(chr(CAST(1000 + c AS INT)))) AS code FROM (SELECT v, row_number() OVER (ORDER BY v) AS c FROM (SELECT DISTINCT unnest(f_size) AS v FROM features)))"
 
 ORACLES: dict[str, str] = {
     "canonical_key": sql(f"SELECT {_KEY_COLS} FROM keyed", PACKETS, KEYED),
@@ -498,7 +497,11 @@ ORACLES: dict[str, str] = {
         f"SELECT server_ip, CAST(server_port AS BIGINT) AS server_port, {whole('greatest((ln(sum(c)) - sum(c * ln(c)) / sum(c)) / ln(2), 0)')} AS entropy_u"
         " FROM (SELECT server_ip, server_port, cluster_id, count(*) AS c FROM clusters GROUP BY ALL) GROUP BY server_ip, server_port"),
     "client_gates": clustered("SELECT client_ip, gate, CAST(n_flows AS BIGINT) AS n_flows, n_servers FROM gates", gates(DEFAULTS)),
-    "client_gates_strict": clustered("SELECT client_ip, gate, CAST(n_flows AS BIGINT) AS n_flows, n_servers FROM gates", gates(STRICT)),
+    "client_gates_mixed": clustered(
+        "SELECT client_ip, gate, CAST(n_flows AS BIGINT) AS n_flows, n_servers FROM gates",
+        "mixed AS (SELECT * REPLACE (substr(md5(flow_id), 1, 3) AS client_ip) FROM clusters)",
+        "mixed_profile AS (SELECT server_ip, server_port, count(*) AS n_flows, count(DISTINCT client_ip) AS n_clients, count(DISTINCT cluster_id) AS n_clusters FROM mixed GROUP BY ALL)",
+        gates(MIXED, "", "mixed_profile", "mixed")),
     "interflow_gap": clustered(f"SELECT flow_id, pos, {whole('dt')} AS dt_u FROM ordered", ordered()),
     "count_windows": clustered("SELECT flow_id, pos, pos // 4 AS win FROM ordered", ordered()),
     "verdicts": clustered(f"SELECT {_VERDICT_COLS} FROM verdicts", gates(DEFAULTS), verdict(DEFAULTS)),
@@ -580,6 +583,20 @@ ORACLES: dict[str, str] = {
 ORACLES["triplet_similarity"] = sql(
     f"SELECT anchor_id, s1_id, s2_id, {whole('q1.sim')} AS s1_u, {whole('q2.sim')} AS s2_u, CAST(q1.sim > 75e-2 AS BIGINT) AS p1, CAST(q2.sim > 75e-2 AS BIGINT) AS p2"
     " FROM q1 JOIN q2 USING (anchor_id, s1_id, s2_id)",
-    *BASE, _MULTI, ring("server_ip, server_port", "multi"), f"gathered AS MATERIALIZED ({_GATHER})", _CODES,
+    *BASE, _MULTI, ring("server_ip, server_port", "multi"), f"gathered AS MATERIALIZED ({_GATHER})",
     similar("gathered", "anchor", "s1", "q1", _TRIPLET_COLS, True), similar("gathered", "anchor", "s2", "q2", _TRIPLET_COLS, True),
 )
+
+# ---- streams: the packets renumbered in time order ----
+_TIMED = PACKETS.replace("packets AS (\n  SELECT '", "packets_c AS (\n  SELECT '") + """,
+packets AS (SELECT * REPLACE (row_number() OVER (ORDER BY ts, pkt_idx) - 1 AS pkt_idx) FROM packets_c)"""
+ORACLES["stream_flow_assembly"] = sql(
+    f"SELECT flow_id, srcip, dstip, CAST(srcport AS BIGINT) AS srcport, CAST(dstport AS BIGINT) AS dstport, CAST(proto AS BIGINT) AS proto, CAST(0 AS BIGINT) AS part, n_pkts,"
+    f" {text('pktsize', None)} AS sizes, {text('pktts')} AS times, {text('pktdirs', None)} AS dirs FROM flows", _TIMED, KEYED, FLOWS)
+ORACLES["stream_idle_sessions"] = sql(
+    f"SELECT srcip, dstip, CAST(srcport AS BIGINT) AS srcport, CAST(dstport AS BIGINT) AS dstport, CAST(proto AS BIGINT) AS proto, count(*) AS n_pkts,"
+    f" CAST(sum(size) AS BIGINT) AS bytes, {whole('min(ts)')} AS start_us, {whole('max(ts)')} AS end_us FROM s2 GROUP BY src_file, srcip, dstip, srcport, dstport, proto, no",
+    _TIMED, KEYED,
+    f"s1 AS (SELECT *, ts - lag(ts) OVER (PARTITION BY {_KEY} ORDER BY pkt_idx) AS gap FROM keyed)",
+    f"s2 AS (SELECT *, sum(CASE WHEN gap > (CASE WHEN proto = 6 THEN 300 ELSE 120 END) THEN 1 ELSE 0 END) OVER (PARTITION BY {_KEY} ORDER BY pkt_idx) AS no FROM s1)")
+ORACLES["stream_attack_label"] = ORACLES["attack_label"]

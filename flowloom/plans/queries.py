@@ -343,10 +343,10 @@ def client_gates(spark, sf):
 
 
 @query
-def client_gates_strict(spark, sf):
-    """Limits that reach the gates the default ones leave idle."""
-    c = stage(spark, sf, "clusters")
-    params = {"clientiplent": 60, "flowidlenmin": 9, "lenseridsetmin": 0, "winsize": 20}
+def client_gates_mixed(spark, sf):
+    """Flows dealt out to many pseudo-clients, with limits that reach every gate."""
+    c = stage(spark, sf, "clusters").withColumn("client_ip", F.substring(F.md5("flow_id"), 1, 3))
+    params = {"clientiplent": 60, "flowidlenmin": 9, "lenseridsetmin": 1, "winsize": 3}
     g = B.client_gates(c, B.benign_servers(B.server_profile(c), params), params)
     return g.select("client_ip", "gate", *big("n_flows", "n_servers"))
 
