@@ -1,8 +1,8 @@
 """Density clustering inside groups, exact, without listing all pairs of a group.
 
 Equal vectors collapse to one weighted point, and points collapse into cells whose diagonal is below eps, so
-that a cell is connected as it stands. What is compared is cells, by their tight bounding boxes, on a coarse
-grid over the widest-spread dimensions: boxes farther apart than eps are out, boxes whose farthest corners are
+that a cell is connected as it stands. What is compared is cells, by their tight bounding boxes, inside the
+strips and squares that ``_Grid`` describes: boxes farther apart than eps are out, boxes whose farthest corners are
 within eps are in, and only the remaining pairs are settled point by point, each side cut first to the points
 near the other box.
 """
@@ -10,64 +10,88 @@ near the other box.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowloom.functions.arrays import squared_distance
 from flowloom.operators.components import connected_components
 from flowloom.operators.ranking import ranked
-from flowloom.session import cut_lineage
+from flowloom.session import cut_lineage, settings, spread
 
 SLACK = 1e-12
+# The distance sums make long methods, which the JVM does not compile when a whole stage is fused into one. For
+# these joins expressions are compiled on their own, several times faster.
+COMPILED = {"spark__sql__codegen__wholeStage": "false"}
 
 
-def _outside(lo: Column, hi: Column) -> Column:
-    """Squared distance between boxes, from per-dimension overshoots (0 where they overlap)."""
-    gaps = F.zip_with(lo, hi, lambda x, y: F.greatest(x, y, F.lit(0.0)))
-    return F.aggregate(gaps, F.lit(0.0), lambda acc, g: acc + g * g)
-
-
-def _minus(a: Column, b: Column) -> Column:
-    return F.zip_with(a, b, lambda x, y: x.cast("double") - y.cast("double"))
-
-
-def nearest2(a_lo: Column, a_hi: Column, b_lo: Column, b_hi: Column) -> Column:
-    return _outside(_minus(b_lo, a_hi), _minus(a_lo, b_hi))
-
-
-def farthest2(a_lo: Column, a_hi: Column, b_lo: Column, b_hi: Column) -> Column:
-    reach = F.zip_with(_minus(a_hi, b_lo), _minus(b_hi, a_lo), lambda x, y: F.greatest(F.abs(x), F.abs(y)))
-    return F.aggregate(reach, F.lit(0.0), lambda acc, g: acc + g * g)
+class _Grid:
+    """Cells, separable strips and the coarse grid for one clustering run.
 
+    An axis with an empty stretch of at least eps splits into segments that no pair within eps crosses, so the
+    segment numbers of all axes are a join key that repeats nothing. Where a segment is still much longer than
+    eps, squares of a coarse grid over a few axes cut further, each box visiting the squares it can reach.
+    """
 
-class _Grid:
-    """Cells and the coarse grid for one clustering run."""
+    BINS = 64
+    FAST_DIMS = 8
 
     def __init__(self, points: DataFrame, group_cols: list[str], eps: float, dims: int, grid_dims: int):
         self.keys, self.eps, self.dims = list(group_cols), float(eps), dims
         self.side = eps * (1 - 1e-9) / math.sqrt(dims)
         self.width = 4.0 * eps
         v = F.col("vec")
-        spans = points.agg(*[(F.max(v[i]) - F.min(v[i])).cast("double").alias(f"s{i}") for i in range(dims)]).first()
-        order = sorted(range(dims), key=lambda i: (-(spans[i] or 0.0), i))
-        self.axes = [i for i in order[:grid_dims] if (spans[i] or 0.0) > self.width] or order[:1]
+        ends = points.agg(
+            *[f(v[i]).cast("double") for i in range(dims) for f in (F.min, F.max)]
+        ).first()
+        self.low = [ends[2 * i] or 0.0 for i in range(dims)]
+        spans = [(ends[2 * i + 1] or 0.0) - self.low[i] for i in range(dims)]
+        self.bin = [max(self.eps * 1.0001 / 2, s / self.BINS) for s in spans]
+        used = points.agg(*[F.collect_set(self._bin(v, i)) for i in range(dims)]).first()
+        self.segment: dict[int, list[int]] = {}
+        longest = []
+        for i, bins in enumerate(used):
+            numbers, lengths = self._segments(sorted(bins), i)
+            longest.append(max(lengths, default=0.0))
+            if len(lengths) > 1:
+                self.segment[i] = numbers
+        # Dimensions on which anything differs; sums over the others would only add zeros.
+        self.active = [i for i in range(dims) if spans[i] > 0]
+        self.fast = sorted(self.active, key=lambda i: (-spans[i], i))[: self.FAST_DIMS]
+        self.axes = [i for i in sorted(range(dims), key=lambda i: (-longest[i], i))[:grid_dims] if longest[i] > self.width]
         self.homes = [f"_g{i}" for i in self.axes]
 
+    def _bin(self, v: Column, i: int) -> Column:
+        return F.floor((v[i].cast("double") - self.low[i]) / self.bin[i]).cast("int")
+
+    def _segments(self, bins: list[int], i: int) -> tuple[list[int], list[float]]:
+        """Segment number of every bin of an axis, and the segments' lengths."""
+        numbers, lengths, begin, last = [], [], None, None
+        for b in bins:
+            if last is None or (b - last - 1) * self.bin[i] >= self.eps * 1.00001:
+                begin = b
+                lengths.append(0.0)
+            numbers += [len(lengths) - 1] * (b + 1 - len(numbers))
+            lengths[-1], last = (b + 1 - begin) * self.bin[i], b
+        return numbers, lengths
+
+    def strip(self, vec: Column) -> Column:
+        return F.array(*[F.array(*[F.lit(n) for n in numbers])[self._bin(vec, i)] for i, numbers in self.segment.items()]).cast("array<int>")
+
     def cell_key(self, vec: Column) -> Column:
         return F.transform(vec, lambda x: F.floor(x.cast("double") / self.side))
 
     def cells(self, points: DataFrame) -> DataFrame:
         """One row per occupied cell: id (smallest point id), tight box, points, rows."""
         v = F.col("vec")
-        boxed = points.groupBy(*self.keys, "cell").agg(
+        return points.groupBy(*self.keys, "cell").agg(
             F.min("pid").alias("cid"),
             F.count(F.lit(1)).alias("n_points"),
             F.sum("w").alias("n_rows"),
             F.array(*[F.min(v[i]) for i in range(self.dims)]).alias("lo"),
             F.array(*[F.max(v[i]) for i in range(self.dims)]).alias("hi"),
         )
-        return boxed
 
     def at_home(self, boxes: DataFrame) -> DataFrame:
         return boxes.withColumns(
@@ -83,23 +107,53 @@ class _Grid:
             out = out.withColumn(h, F.explode(F.sequence(low, high)))
         return out
 
-    def near(self, left: DataFrame, right: DataFrame) -> DataFrame:
-        """Pairs of boxes (left columns a_*, right columns b_*) at most eps apart, with ``sure`` if wholly within eps."""
-        a = self.reaching(left)
-        b = self.at_home(right)
-        a = a.select(*self.keys, *self.homes, *[F.col(c).alias(f"a_{c}") for c in left.columns if c not in self.keys])
-        b = b.select(*self.keys, *self.homes, *[F.col(c).alias(f"b_{c}") for c in right.columns if c not in self.keys])
-        box = (F.col("a_lo"), F.col("a_hi"), F.col("b_lo"), F.col("b_hi"))
+    def near(self, left: DataFrame, right: DataFrame, extra: Column | None = None) -> DataFrame:
+        """Pairs of boxes (left columns a_*, right columns b_*) at most eps apart, with ``sure`` if wholly within eps.
+
+        The join condition adds up the overshoot on the widest axes in plain arithmetic; only what passes it
+        is measured on all dimensions.
+        """
+        by = self.keys + ["_strip"] + self.homes
+        a = self.reaching(left).withColumn("_strip", self.strip(F.col("lo")))
+        b = self.at_home(right).withColumn("_strip", self.strip(F.col("lo")))
+        a = spread(a).select(*[F.col(c).alias(f"_l{c}") for c in by], *[F.col(c).alias(f"a_{c}") for c in left.columns if c not in self.keys])
+        b = b.select(*by, *[F.col(c).alias(f"b_{c}") for c in right.columns if c not in self.keys])
         e2 = self.eps * self.eps
+        box = (F.col("a_lo"), F.col("a_hi"), F.col("b_lo"), F.col("b_hi"))
+        on = self.nearest2(*box, self.fast) <= e2 * (1 + SLACK)
+        for c in by:
+            on = on & (F.col(f"_l{c}") == F.col(c))
+        if extra is not None:
+            on = on & extra
         return (
-            a.join(b, self.keys + self.homes)
-            .where(nearest2(*box) <= e2 * (1 + SLACK))
-            .withColumn("sure", farthest2(*box) <= e2 * (1 - SLACK))
-            .drop(*self.homes)
+            a.join(b, on)
+            .where(self.nearest2(*box) <= e2 * (1 + SLACK))
+            .withColumn("sure", self.farthest2(*box) <= e2 * (1 - SLACK))
+            .drop("_strip", *self.homes, *[f"_l{c}" for c in by])
+        )
+
+    # Distances are written out per dimension: plain arithmetic compiles, lambdas over arrays do not.
+
+    def nearest2(self, a_lo: Column, a_hi: Column, b_lo: Column, b_hi: Column, dims: list[int] | None = None) -> Column:
+        """Squared distance of two boxes, over all or some dimensions."""
+        return _squares(
+            F.greatest(_less(b_lo, a_hi, i), _less(a_lo, b_hi, i), F.lit(0.0)) for i in (self.active if dims is None else dims)
         )
 
+    def farthest2(self, a_lo: Column, a_hi: Column, b_lo: Column, b_hi: Column) -> Column:
+        """Squared distance of the farthest corners of two boxes."""
+        return _squares(F.greatest(F.abs(_less(a_hi, b_lo, i)), F.abs(_less(b_hi, a_lo, i))) for i in self.active)
+
     def within(self, a: Column, b: Column) -> Column:
-        return squared_distance(a, b) <= self.eps * self.eps
+        return _squares(_less(a, b, i) for i in self.active) <= self.eps * self.eps
+
+
+def _less(a: Column, b: Column, i: int) -> Column:
+    return a[i].cast("double") - b[i].cast("double")
+
+
+def _squares(parts: Iterable[Column]) -> Column:
+    return reduce(lambda total, x: total + x * x, parts, F.lit(0.0))
 
 
 def _points(df: DataFrame, group_cols: list[str], id_col: str, vec: str) -> DataFrame:
@@ -130,43 +184,43 @@ def _neighbour_rows(grid: _Grid, subjects: DataFrame, points: DataFrame, cells:
         .groupBy(F.col("subject").alias("pid"))
         .agg(F.sum("w").alias("n"))
     )
-    return whole.unionByName(part).groupBy("pid").agg(F.sum("n").alias("n"))
+    with settings(points.sparkSession, **COMPILED):
+        return cut_lineage(whole.unionByName(part).groupBy("pid").agg(F.sum("n").alias("n")))
 
 
-def _cell_edges(grid: _Grid, points: DataFrame, cells: DataFrame) -> DataFrame:
-    """Edges (u, v) between cells that have points within eps of each other."""
+def _cell_roots(grid: _Grid, points: DataFrame, cells: DataFrame) -> DataFrame:
+    """(node, root) of every cell that is connected to another one through points within eps."""
     slim = cells.select(*grid.keys, "cell", "cid", "lo", "hi")
-    pairs = cut_lineage(grid.near(slim, slim).where("a_cid < b_cid"))
+    with settings(points.sparkSession, **COMPILED):
+        pairs = cut_lineage(grid.near(slim, slim, F.col("a_cid") < F.col("b_cid")))
     sure = pairs.where("sure").select(F.col("a_cid").alias("u"), F.col("b_cid").alias("v"))
     open_ = pairs.where(~F.col("sure"))
     if open_.isEmpty():
-        return sure
-    if not sure.isEmpty():
-        # A pair whose cells are already joined through others needs no look at its points.
-        roots = cut_lineage(connected_components(sure))
-        for side in ("a", "b"):
-            name = roots.select(F.col("node").alias(f"{side}_cid"), F.col("root").alias(f"{side}_root"))
-            open_ = open_.join(name, f"{side}_cid", "left")
-        open_ = open_.where(
-            F.coalesce(F.col("a_root"), F.col("a_cid")) != F.coalesce(F.col("b_root"), F.col("b_cid"))
-        ).drop("a_root", "b_root")
+        return connected_components(sure)
+    # A pair whose cells are already joined through others needs no look at its points.
+    roots = cut_lineage(connected_components(sure)).select("node", "root")
+    for side in ("a", "b"):
+        name = roots.select(F.col("node").alias(f"{side}_cid"), F.col("root").alias(f"{side}_root"))
+        open_ = open_.join(name, f"{side}_cid", "left").withColumn(f"{side}_root", F.coalesce(f"{side}_root", f"{side}_cid"))
+    open_ = open_.where(F.col("a_root") != F.col("b_root"))
     p = points.select(*grid.keys, "cell", "vec")
     e2 = grid.eps * grid.eps * (1 + SLACK)
 
     def members(side: str, other: str) -> DataFrame:
         """Points of one side that lie within eps of the other side's box."""
         own = p.withColumnRenamed("cell", f"{side}_cell").withColumnRenamed("vec", f"{side}_vec")
-        near = nearest2(F.col(f"{side}_vec"), F.col(f"{side}_vec"), F.col(f"{other}_lo"), F.col(f"{other}_hi"))
-        return open_.join(own, grid.keys + [f"{side}_cell"]).where(near <= e2).select("a_cid", "b_cid", f"{side}_vec")
+        near = grid.nearest2(F.col(f"{side}_vec"), F.col(f"{side}_vec"), F.col(f"{other}_lo"), F.col(f"{other}_hi"))
+        return open_.join(own, grid.keys + [f"{side}_cell"]).where(near <= e2).select("a_cid", "b_cid", "a_root", "b_root", f"{side}_vec")
 
     met = (
         members("a", "b")
-        .join(members("b", "a"), ["a_cid", "b_cid"])
+        .join(members("b", "a").drop("a_root", "b_root"), ["a_cid", "b_cid"])
         .where(grid.within(F.col("a_vec"), F.col("b_vec")))
-        .select(F.col("a_cid").alias("u"), F.col("b_cid").alias("v"))
-        .distinct()
+        .select(F.col("a_root").alias("u"), F.col("b_root").alias("v"))
     )
-    return sure.unionByName(met)
+    merged = connected_components(met).select(F.col("node").alias("root"), F.col("root").alias("_top"))
+    seen = roots.unionByName(merged.select(F.col("root").alias("node"), "root")).distinct()
+    return seen.join(merged, "root", "left").select("node", F.coalesce("_top", "root").alias("root"))
 
 
 def _numbered(rows: DataFrame, keys: list[str], order_cols: list[str]) -> DataFrame:
@@ -207,7 +261,7 @@ def cluster_by_group(
     placed = df.withColumn("_cell", grid.cell_key(F.col(vec)))
     if min_samples <= 2:
         # Any neighbour makes a core row, so whole cells belong together and singletons are noise.
-        roots = connected_components(_cell_edges(grid, points, cells)).select(F.col("node").alias("cid"), "root")
+        roots = _cell_roots(grid, points, cells).select(F.col("node").alias("cid"), "root")
         linked = cells.join(roots, "cid", "left").where(F.col("root").isNotNull() | (F.col("n_rows") >= min_samples))
         linked = linked.select(*keys, F.col("cell").alias("_cell"), F.coalesce("root", "cid").alias("root"))
         rows = placed.join(cut_lineage(linked), keys + ["_cell"], "left")
@@ -225,7 +279,7 @@ def cluster_by_group(
     points = cut_lineage(points.drop("_full", "n"))
     core = points.where("core")
     core_cells = cut_lineage(grid.cells(core))
-    roots = connected_components(_cell_edges(grid, core, core_cells)).select(F.col("node").alias("cid"), "root")
+    roots = _cell_roots(grid, core, core_cells).select(F.col("node").alias("cid"), "root")
     linked = core_cells.join(roots, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     linked = cut_lineage(linked)
     core = core.join(linked.select(*keys, "cell", "root"), keys + ["cell"])
@@ -236,7 +290,8 @@ def cluster_by_group(
     edge_points = points.where(~F.col("core"))
     dots = edge_points.select(*keys, "pid", F.col("vec").alias("lo"), F.col("vec").alias("hi"))
     boxes = linked.join(numbers, keys + ["root"]).select(*keys, "cell", "cluster_id", "lo", "hi")
-    pairs = grid.near(dots, boxes)
+    with settings(df.sparkSession, **COMPILED):
+        pairs = cut_lineage(grid.near(dots, boxes))
     sure = pairs.where("sure").select(F.col("a_pid").alias("pid"), F.col("b_cluster_id").alias("cluster_id"))
     open_ = pairs.where(~F.col("sure")).select(
         *keys, F.col("b_cell").alias("cell"), F.col("a_pid").alias("subject"), F.col("a_lo").alias("sv"),

@@ -18,20 +18,20 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFr
     a, b = F.col(u), F.col(v)
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u != v").distinct()
     e = cut_lineage(e)
-    mark = _fingerprint(e)
-    while True:
+    while not _is_stars(e):
         e = cut_lineage(_small_star(_large_star(e)))
-        now = _fingerprint(e)
-        if now == mark:
-            break
-        mark = now
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
         e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     )
 
 
-def _fingerprint(e: DataFrame) -> tuple:
-    return tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+def _is_stars(e: DataFrame) -> bool:
+    """Whether every node either points to exactly one root or is a root."""
+    roles = e.select(F.col("u").alias("n"), F.lit(1).alias("out"), F.lit(0).alias("into")).unionByName(
+        e.select(F.col("v").alias("n"), F.lit(0).alias("out"), F.lit(1).alias("into"))
+    )
+    per = roles.groupBy("n").agg(F.sum("out").alias("o"), F.sum("into").alias("i"))
+    return per.where((F.col("o") > 1) | ((F.col("o") > 0) & (F.col("i") > 0))).isEmpty()
 
 
 def _large_star(e: DataFrame) -> DataFrame:
