@@ -439,7 +439,7 @@ ORACLES: dict[str, str] = {
     "attack_label": sql("SELECT flow_id, label FROM labelled", *BASE[:4]),
     "binary_target": sql("SELECT label, CAST(CASE WHEN label <> 'Benign' THEN 1 ELSE 0 END AS BIGINT) AS y, count(*) AS n FROM labelled GROUP BY ALL", *BASE[:4]),
     "label_encode": sql("SELECT flow_id, label, dense_rank() OVER (ORDER BY label) - 1 AS label_num FROM labelled", *BASE[:4]),
-    "local_times": sql(
+    "local_time": sql(
         "SELECT flow_id, strftime(local_start, '%Y-%m-%d %H:%M:%S.%f') AS local_start, strftime(local_end, '%Y-%m-%d %H:%M:%S.%f') AS local_end FROM labelled", *BASE[:4]),
     "pad_clip": sql(f"SELECT flow_id, {text(pad('pktsize', '1'), None)} AS sizes, {text(pad('pktdirs', '0'), None)} AS dirs FROM flows", PACKETS, KEYED, FLOWS),
     "size_channel": _FEATURE("f_size"),

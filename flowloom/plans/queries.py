@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowloom.functions import arrays as A
-from flowloom.functions.net import local_time
+from flowloom.functions import net
 from flowloom.operators import behaviour as B
 from flowloom.operators import cluster, embed, features, flows, graph, labels, metrics, packets, quality, sampling
 from flowloom.operators import similarity, stats
@@ -22,7 +22,7 @@ from flowloom.plans.fixtures import stage, table
 from flowloom.plans.written import (
     capture_dir, clusters_json_dir, flow_dir, packet_csv_dir, sequence_dir, stats_dir,
 )
-from flowloom.schemas import day_params
+from flowloom.schemas import attack_windows, day_params
 from flowloom.sources.flow_stats import read_flow_stats
 from flowloom.sources.packet_csv import read_packet_csv
 from flowloom.sources.pcap import read_pcap
@@ -130,7 +130,7 @@ def day_partitions(spark, sf):
 
 @query
 def attack_label(spark, sf):
-    return stage(spark, sf, "labelled").select("flow_id", "label")
+    return labels.label_flows(stage(spark, sf, "flows"), attack_windows(spark, fx.WINDOW_ROWS)).select("flow_id", "label")
 
 
 @query
@@ -145,9 +145,9 @@ def label_encode(spark, sf):
 
 
 @query
-def local_times(spark, sf):
+def local_time(spark, sf):
     f = stage(spark, sf, "flows")
-    fmt = lambda c: F.date_format(local_time(F.col(c)), "yyyy-MM-dd HH:mm:ss.SSSSSS")
+    fmt = lambda c: F.date_format(net.local_time(F.col(c)), "yyyy-MM-dd HH:mm:ss.SSSSSS")
     return f.select("flow_id", fmt("pktts_start").alias("local_start"), fmt("pktts_end").alias("local_end"))
 
 
@@ -164,7 +164,7 @@ def pad_clip(spark, sf):
 
 def _feature(name: str):
     def run(spark, sf):
-        return stage(spark, sf, "features").select("flow_id", text(F.col(name)).alias("v"))
+        return features.build_features(stage(spark, sf, "labelled")).select("flow_id", text(F.col(name)).alias("v"))
 
     return run
 

@@ -17,6 +17,8 @@ def local_session(cores: int | str = 8, app: str = "flowloom", **conf: str) -> S
     settings = {
         "spark.sql.shuffle.partitions": str(cores) if str(cores).isdigit() else "8",
         "spark.sql.adaptive.enabled": "true",
+        # Array work is heavy per byte: keep small shuffles spread over the cores.
+        "spark.sql.adaptive.coalescePartitions.minPartitionSize": "128k",
         "spark.sql.session.timeZone": "UTC",
         "spark.driver.memory": "16g",
         "spark.ui.enabled": "false",
