@@ -15,8 +15,6 @@ row stays bounded; its flow-level columns are repeated in every part.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -299,7 +297,3 @@ def first_part(flows: DataFrame) -> DataFrame:
 def multi_packet(flows: DataFrame, more_than: int = 1) -> DataFrame:
     """Flows with more than ``more_than`` packets, tested on the stored count so that a scan can push it."""
     return flows.where(F.col("n_pkts") > more_than)
-
-
-def union_flows(tables: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, tables)

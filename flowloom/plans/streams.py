@@ -2,32 +2,25 @@
 
 from __future__ import annotations
 
-from contextlib import contextmanager
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowloom.operators.ranking import ranked
-from flowloom.plans.fixtures import WINDOW_ROWS, packets, stage
-from flowloom.plans.queries import QUERIES, big, query, text, whole
+from flowloom.plans.fixtures import WINDOW_ROWS, packets
+from flowloom.plans.queries import big, query, text, whole
 from flowloom.plans.written import _once, flow_dir
 from flowloom.schemas import attack_windows
-from flowloom.session import scratch_path
+from flowloom.session import scratch_path, settings
 from flowloom.streaming.flows import STORE, stream_flows, stream_labels, stream_sessions
 
 SLICES = 3
 END_FILE = "end-of-input"
 
 
-@contextmanager
-def state_store(spark: SparkSession, provider: str = STORE):
-    name = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(name)
-    spark.conf.set(name, provider)
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
+def state_store(spark: SparkSession):
+    """Settings for the keyed replay: RocksDB state, and no more state partitions than cores (a query keeps its first count)."""
+    n = min(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return settings(spark, spark__sql__streaming__stateStore__providerClass=STORE, spark__sql__shuffle__partitions=str(n))
 
 
 def replayed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,7 +74,8 @@ def stream_flow_assembly(spark, sf):
 
 @query
 def stream_idle_sessions(spark, sf):
-    s = run_to_end(stream_sessions(packet_stream(spark, sf)), sf, "sessions")
+    with state_store(spark):
+        s = run_to_end(stream_sessions(packet_stream(spark, sf)), sf, "sessions")
     return s.where(F.col("src_file") != END_FILE).select(
         "srcip", "dstip", *big("srcport", "dstport", "proto", "n_pkts", "bytes"),
         whole(F.col("pktts_start")).alias("start_us"), whole(F.col("pktts_end")).alias("end_us"),
@@ -94,6 +88,3 @@ def stream_attack_label(spark, sf):
     flows = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
     labelled = run_to_end(stream_labels(flows, attack_windows(spark, WINDOW_ROWS)), sf, "labels")
     return labelled.select("flow_id", "label")
-
-
-__all__ = ["QUERIES", "packet_stream", "replayed", "run_to_end", "stage", "state_store"]

@@ -44,7 +44,7 @@ def materialise(df: DataFrame, path: str, reprocess: bool = False) -> DataFrame:
 
 
 def write_clusters_json(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """One JSON object per flow, in one directory per server port, so that a busy server spans many files."""
+    """One JSON object per flow and line, so that a busy server spans many lines and files."""
     line = F.to_json(F.struct(*[c for c in df.columns]))
     df.select(line.alias("value")).write.mode(mode).text(path)
 
