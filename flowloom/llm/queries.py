@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from flowloom.llm.minhash_join import near_duplicates
+from flowloom.llm.quality_net import fit_on_labels, held_out, score_quality
 from flowloom.llm.sentencepiece_bpe import encode_texts
 
 QUERIES = {}
@@ -26,6 +27,14 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+@_query
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    net = fit_on_labels(docs, _table(spark, sf_dir, "labels"))
+    scored = score_quality(docs, net, ["doc_id"])
+    return scored.select("doc_id", held_out(scored.doc_id).alias("held_out"), "score", "predicted")
+
+
 @_query
 def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
