@@ -1,3 +1,28 @@
 """DuckDB SQL for the queries that SQL can express."""
 
 ORACLES: dict[str, str] = {}
+
+ORACLES["op7_decontaminate"] = r"""
+WITH docs AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+items AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+windows AS (
+  SELECT DISTINCT item_id, least(len(w), 10) AS size, array_to_string(w[i : i + least(len(w), 10) - 1], ' ') AS win
+  FROM (SELECT item_id, w, unnest(generate_series(1, greatest(len(w) - 9, 1))) AS i FROM items WHERE len(w) > 0)),
+spots AS (
+  SELECT doc_id, pos, size, array_to_string(w[pos : pos + size - 1], ' ') AS win
+  FROM (SELECT doc_id, w, unnest(generate_series(1, len(w))) AS pos FROM docs WHERE len(w) > 0), (SELECT DISTINCT size FROM windows)
+  WHERE pos + size - 1 <= len(w)),
+hits AS (SELECT DISTINCT s.doc_id, s.pos, s.size, w.item_id FROM spots s JOIN windows w ON s.win = w.win AND s.size = w.size),
+covered AS (
+  SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(generate_series(pos, pos + size - 1)) AS p FROM hits) GROUP BY 1),
+listed AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS items
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS i FROM hits) GROUP BY 1)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+  CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs d LEFT JOIN covered USING (doc_id) LEFT JOIN listed USING (doc_id)
+"""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from flowloom.llm.decontaminate import find_contamination
 from flowloom.llm.minhash_join import near_duplicates
 from flowloom.llm.quality_net import fit_on_labels, held_out, score_quality
 from flowloom.llm.sentencepiece_bpe import encode_texts
@@ -43,3 +44,8 @@ def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_texts(_table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"), ["doc_id"])
+
+
+@_query
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
