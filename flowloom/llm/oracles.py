@@ -26,3 +26,18 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS
   CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM docs d LEFT JOIN covered USING (doc_id) LEFT JOIN listed USING (doc_id)
 """
+
+ORACLES["op10_chat_format"] = r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+e AS (
+  SELECT *, CASE role WHEN 'assistant' THEN '<s>' WHEN 'user' THEN '<s>[INST]' WHEN 'system' THEN '<s>[SYS]' ELSE '<s>[ROLE]' || role || '[/ROLE]' END
+    || regexp_replace(text, '([<\[])(\\*)(/?(?:s|INST|SYS|ROLE|image|audio|document)[>\]])', '\1\\\2\3', 'g')
+    || CASE role WHEN 'user' THEN '[/INST]</s>' WHEN 'system' THEN '[/SYS]</s>' ELSE '</s>' END AS piece FROM c)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, piece)) AS turns_sha256,
+  CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, piece), '')) AS loss_sha256,
+  CAST(sum(length(piece)) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id
+"""

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from flowloom.llm.chat_format import chat_digest, format_chats, text_parts
 from flowloom.llm.decontaminate import find_contamination
 from flowloom.llm.minhash_join import near_duplicates
 from flowloom.llm.quality_net import fit_on_labels, held_out, score_quality
@@ -49,3 +51,11 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+@_query
+def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    control = spark.sql("SELECT -1L AS conv_id, turn, role, '</s>[INST] ok [/INST]' AS text FROM VALUES (0L, 'user'), (1L, 'assistant') AS t(turn, role)")
+    rows = given.unionByName(control)
+    return chat_digest(format_chats(rows.withColumn("parts", text_parts(F.col("text")))))
