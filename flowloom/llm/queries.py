@@ -9,6 +9,7 @@ from flowloom.llm.chat_format import chat_digest, format_chats, text_parts
 from flowloom.llm.decontaminate import find_contamination
 from flowloom.llm.minhash_join import near_duplicates
 from flowloom.llm.quality_net import fit_on_labels, held_out, score_quality
+from flowloom.llm.secret_scan import scan_secrets
 from flowloom.llm.sentencepiece_bpe import encode_texts
 
 QUERIES = {}
@@ -43,6 +44,11 @@ def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+@_query
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_secrets(_table(spark, sf_dir, "documents"), ["doc_id"])
+
+
 @_query
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_texts(_table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"), ["doc_id"])

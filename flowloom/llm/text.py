@@ -44,9 +44,9 @@ class Flat:
     def __len__(self) -> int:
         return len(self.offsets) - 1
 
-    def words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Byte starts and ends of the words, and the first word number of each text (one more than texts)."""
-        word = IS_WORD[self.data]
+    def words(self, inside: np.ndarray = IS_WORD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Byte starts and ends of the runs of ``inside`` bytes, and the first run of each text (one more than texts)."""
+        word = inside[self.data]
         cut = np.zeros(len(word) + 1, bool)
         cut[self.offsets] = True
         before, after = np.empty_like(word), np.empty_like(word)
