@@ -9,6 +9,7 @@ from flowloom.llm.chat_format import chat_digest, format_chats, text_parts
 from flowloom.llm.decontaminate import find_contamination
 from flowloom.llm.minhash_join import near_duplicates
 from flowloom.llm.quality_net import fit_on_labels, held_out, score_quality
+from flowloom.llm.quality_rules import apply_rules
 from flowloom.llm.secret_scan import scan_secrets
 from flowloom.llm.sentencepiece_bpe import encode_texts
 
@@ -59,6 +60,11 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+@_query
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return apply_rules(_table(spark, sf_dir, "documents"), ["doc_id"])
+
+
 @_query
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     given = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
