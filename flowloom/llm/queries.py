@@ -12,8 +12,11 @@ from flowloom.llm.quality_net import fit_on_labels, held_out, score_quality
 from flowloom.llm.quality_rules import apply_rules
 from flowloom.llm.secret_scan import scan_secrets
 from flowloom.llm.sentencepiece_bpe import encode_texts
+from flowloom.llm.url_filter import judge_urls
 
 QUERIES = {}
+# The rules of the query.
+URL_RULES = "VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow') AS r(host, path, verdict)"
 
 
 def _query(fn):
@@ -65,6 +68,11 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return apply_rules(_table(spark, sf_dir, "documents"), ["doc_id"])
 
 
+@_query
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(_table(spark, sf_dir, "pages"), spark.sql(f"SELECT * FROM {URL_RULES}"))
+
+
 @_query
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     given = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
