@@ -2,6 +2,16 @@
 
 ORACLES: dict[str, str] = {}
 
+ORACLES["op5_sharding"] = r"""
+WITH d AS (
+  SELECT doc_id, CAST(coalesce(strlen(text), 0) AS BIGINT) AS n_bytes,
+    lpad(bin(CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT)), 60, '0') AS bits FROM documents),
+p AS (SELECT *, substr(bits, 1, depth) AS shard FROM d, (SELECT unnest(generate_series(0, 60)) AS depth)),
+fits AS (SELECT depth, shard FROM p GROUP BY 1, 2 HAVING sum(n_bytes) <= 1048576 OR count(*) = 1 OR depth = 60)
+SELECT doc_id, arg_min(shard, depth) AS shard, CAST(min(depth) AS INTEGER) AS depth, n_bytes
+FROM p JOIN fits USING (depth, shard) GROUP BY doc_id, n_bytes
+"""
+
 ORACLES["op7_decontaminate"] = r"""
 WITH docs AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),

@@ -12,9 +12,13 @@ from flowloom.llm.quality_net import fit_on_labels, held_out, score_quality
 from flowloom.llm.quality_rules import apply_rules
 from flowloom.llm.secret_scan import scan_secrets
 from flowloom.llm.sentencepiece_bpe import encode_texts
+from flowloom.llm.sharding import assign_shards
+from flowloom.llm.token_counts import count_tokens
 from flowloom.llm.url_filter import judge_urls
 
 QUERIES = {}
+#: Bytes of a shard: small, so that the small test tables too need several.
+SHARD_BYTES = 1 << 20
 # The rules of the query.
 URL_RULES = "VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow') AS r(host, path, verdict)"
 
@@ -48,11 +52,23 @@ def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+@_query
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return count_tokens(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 @_query
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(_table(spark, sf_dir, "documents"), ["doc_id"])
 
 
+@_query
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return assign_shards(_table(spark, sf_dir, "documents").select("doc_id", "text"), SHARD_BYTES).drop("text")
+
+
 @_query
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_texts(_table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"), ["doc_id"])
