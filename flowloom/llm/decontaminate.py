@@ -75,7 +75,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10) -
     a null ``item_id`` hit words but are not listed.
     """
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    docs = docs.withColumn("_row", F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.coalesce("text", F.lit(""))))
+    docs = docs.withColumn("_row", F.md5(F.concat_ws("\0", F.col("doc_id").cast("string"), F.col("text")).cast("binary")))
     hits = benchmark_hits(docs.select(F.col("_row").alias("doc_id"), "text"), benchmark, width).distinct()
     items = benchmark_windows(benchmark, width).where("item_id IS NOT NULL").select("size", "window", "item_id").distinct()
     items = F.broadcast(items) if bounded(items) else items  # a window may be very common among the hits
@@ -101,3 +101,12 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10) -
         F.coalesce("n_items", F.lit(0).cast("bigint")).alias("n_items"), F.sha2(F.coalesce("items", F.lit("")), 256).alias("items_sha256"),
         (F.coalesce("n_hit", F.lit(0).cast("bigint")) > 0).alias("contaminated"),
     )
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> DataFrame:
+    """The rows of ``docs`` without a benchmark window, with all their columns; null and wordless texts stay."""
+    key = F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"))
+    rows = docs.withColumn("_text_md5", key)
+    hits = benchmark_hits(rows.select(F.col("_text_md5").alias("doc_id"), "text"), benchmark, width)
+    hits = hits.select(F.col("doc_id").alias("_text_md5")).distinct()
+    return rows.join(hits, "_text_md5", "left_anti").select(*docs.columns)
