@@ -65,7 +65,7 @@ def _whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterato
 
 
 class Forest:
-    """Union-find over the members of one group: ``join`` says whether a link joins two trees."""
+    """Union-find over the members of one group; the first member of a tree is its root."""
 
     def __init__(self, n: int):
         self.up = list(range(n))
@@ -75,7 +75,11 @@ class Forest:
             self.up[i] = i = self.up[self.up[i]]
         return i
 
-    def join(self, i: int, j: int) -> bool:
+    def join(self, i: int, j: int) -> None:
         a, b = self.root(i), self.root(j)
         self.up[max(a, b)] = min(a, b)
-        return a != b
+
+    def links(self, ids: np.ndarray) -> list[tuple]:
+        """A star for each tree: its first member's id with every other's."""
+        roots = [self.root(i) for i in range(len(self.up))]
+        return [(int(ids[r]), int(ids[i])) for i, r in enumerate(roots) if r != i]

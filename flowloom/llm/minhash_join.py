@@ -1,10 +1,10 @@
 """Near-duplicate documents: a multi-index Hamming join of b-bit MinHash signatures, confirmed on the full sets.
 
-A document's set holds its distinct 5-word shingles; equal sets are one class. Each class has a signature of
-``CHUNKS * WIDTH`` MinHash values cut to 16 bits. Two signatures that differ in at most ``MAX_ERRORS`` values differ
-in at most one value of some chunk (pigeonhole), so the keys "chunk without its i-th value" bring all such pairs into
-a common bucket. For a similarity of 0.85 a pair has 9.75 differing values on average, with a standard deviation of
-2.9; more than ``MAX_ERRORS`` = 25 happens about once in a million such pairs.
+A document's set holds its distinct 5-word shingles; equal sets are one class. Each class has a signature of ``m``
+chunks of ``WIDTH`` MinHash values cut to 16 bits. Two signatures that differ in at most ``2 m - 1`` values differ in
+at most one value of some chunk (pigeonhole), so the keys "chunk without its i-th value" bring all such pairs into a
+common bucket. ``m`` is the least number for which a pair at the similarity threshold differs in more values with a
+probability of at most ``MISS`` (13 chunks for 0.85).
 
 No pair is emitted inside a bucket: blocks of a bucket compare signatures in numpy and give a spanning forest. Its
 components (clusters of signatures within the distance) are then compared on full shingle sets, again in blocks, and
@@ -14,6 +14,8 @@ sets take part as one member, and a large bucket or cluster is cut into pairs of
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -25,17 +27,29 @@ from flowloom.operators.components import connected_components
 from flowloom.session import cut_lineage
 
 SHINGLE_WORDS = 5
-CHUNKS, WIDTH = 13, 5
-SLOTS = CHUNKS * WIDTH
-#: Every chunk but one has two errors at most one more than allowed: CHUNKS * 2 - 1.
-MAX_ERRORS = CHUNKS * 2 - 1
+WIDTH = 5
+MISS = 2e-6
 #: Members of a bucket block, and shingles of a cluster block.
 BUCKET_BLOCK = 256
 SHINGLE_BLOCK = 1 << 17
-_FACTOR = np.random.default_rng(85).integers(0, 1 << 63, SLOTS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_FACTOR = np.random.default_rng(85).integers(0, 1 << 63, 60 * WIDTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _WORD = np.random.default_rng(86).integers(0, 1 << 63, (2, WIDTH), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
+def chunks_for(percent: int) -> int:
+    """Chunks for which a pair of that similarity is beyond the signature distance with probability ``MISS`` at most."""
+    differ = 1 - percent / 100
+    for m in range(2, len(_FACTOR) // WIDTH + 1):
+        n = m * WIDTH
+        if sum(math.comb(n, k) * differ**k * (1 - differ) ** (n - k) for k in range(2 * m, n + 1)) <= MISS:
+            return m
+    raise ValueError("similarities of 75 percent and more are supported")
+
+
+def max_errors(chunks: int) -> int:
+    return 2 * chunks - 1
+
+
 def shingle_sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct shingle hashes of all texts, and the first of each text (one more than texts)."""
     flat = Flat(texts)
@@ -56,68 +70,75 @@ def set_keys(sets: np.ndarray, lead: np.ndarray) -> pa.Array:
     return pa.array([raw[i : i + 24] for i in range(0, len(raw), 24)], pa.binary())
 
 
-def signatures(sets: np.ndarray, lead: np.ndarray) -> np.ndarray:
+def signatures(sets: np.ndarray, lead: np.ndarray, slots: int) -> np.ndarray:
     """MinHash values of each set, cut to 16 bits; zeros for an empty set."""
     full = np.flatnonzero(np.diff(lead))
-    out = np.zeros((len(lead) - 1, SLOTS), np.uint16)
+    out = np.zeros((len(lead) - 1, slots), np.uint16)
     if len(full):
-        for k in range(SLOTS):
+        for k in range(slots):
             low = np.minimum.reduceat(sets * _FACTOR[k], lead[full])
             out[full, k] = mix(low).astype(np.uint16)
     return out
 
 
-def _sign(texts: pa.Array) -> dict[str, pa.Array]:
-    sets, lead = shingle_sets(texts)
-    raw, wide = signatures(sets, lead).tobytes(), 2 * SLOTS
-    return {
-        "n_shingles": pa.array(np.diff(lead)),
-        "set_key": set_keys(sets, lead),
-        "sig": pa.array([raw[i : i + wide] for i in range(0, len(raw), wide)], pa.binary()),
-    }
+def _signer(slots: int):
+    def sign(texts: pa.Array) -> dict[str, pa.Array]:
+        sets, lead = shingle_sets(texts)
+        raw, wide = signatures(sets, lead, slots).tobytes(), 2 * slots
+        return {
+            "n_shingles": pa.array(np.diff(lead)),
+            "set_key": set_keys(sets, lead),
+            "sig": pa.array([raw[i : i + wide] for i in range(0, len(raw), wide)], pa.binary()),
+        }
+
+    return sign
 
 
 def chunk_keys(sig: np.ndarray) -> np.ndarray:
-    """(rows, CHUNKS * WIDTH) keys: each chunk with each one of its values left out."""
-    chunk = sig.reshape(-1, CHUNKS, WIDTH).astype(np.uint64)
+    """As many keys as values for each row: each chunk with each one of its values left out."""
+    rows, slots = sig.shape
+    chunk = sig.reshape(rows, slots // WIDTH, WIDTH).astype(np.uint64)
     term = mix((chunk + np.uint64(1)) * _WORD[0]) * _WORD[1]
     left = term.sum(axis=2, keepdims=True) - term  # by wrapping sums, one value taken out
-    which = np.arange(CHUNKS * WIDTH, dtype=np.uint64).reshape(1, CHUNKS, WIDTH)
-    return mix(left + which * np.uint64(0x9E3779B97F4A7C15)).reshape(-1, CHUNKS * WIDTH)
+    which = np.arange(slots, dtype=np.uint64).reshape(1, -1, WIDTH)
+    return mix(left + which * np.uint64(0x9E3779B97F4A7C15)).reshape(rows, slots)
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, SLOTS)
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(len(column), -1)
 
 
 def _bucket_keys(classes: DataFrame) -> DataFrame:
     def run(batches):
         for b in batches:
-            keys = chunk_keys(_matrix(b.column(1))) if len(b) else np.zeros((0, SLOTS), np.uint64)
-            rep = np.repeat(b.column(0).to_numpy(), SLOTS)
+            if not len(b):
+                continue
+            keys = chunk_keys(_matrix(b.column(1)))
+            rep = np.repeat(b.column(0).to_numpy(), keys.shape[1])
             yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), pa.array(rep)], ["key", "rep"])
 
     return classes.select("rep", "sig").mapInArrow(run, "key bigint, rep bigint")
 
 
 def _near_signatures(group: pa.Table) -> list[tuple]:
+    """Stars of the trees of near signatures: the smallest id in front, so that blocks agree on their hubs."""
+    group = group.sort_by("rep")
     rep, side, cross = group["rep"].to_numpy(), group["side"].to_numpy(), group["lo"][0] != group["hi"][0]
     sig = _matrix(group["sig"].combine_chunks())
-    forest, out = Forest(len(rep)), []
+    forest, limit = Forest(len(rep)), max_errors(sig.shape[1] // WIDTH)
     for i in range(len(rep) - 1):
         if cross and side[i]:
             continue
-        near = (sig[i + 1 :] != sig[i]).sum(1) <= MAX_ERRORS if not cross else ((sig != sig[i]).sum(1) <= MAX_ERRORS) & (side == 1)
+        near = (sig[i + 1 :] != sig[i]).sum(1) <= limit if not cross else ((sig != sig[i]).sum(1) <= limit) & (side == 1)
         for j in np.flatnonzero(near).tolist():
-            j += 0 if cross else i + 1
-            if forest.join(i, j):
-                out.append((int(rep[i]), int(rep[j])))
-    return out
+            forest.join(i, j if cross else j + i + 1)
+    return forest.links(rep)
 
 
 def _linker(percent: int):
     def linked(group: pa.Table) -> list[tuple]:
-        """Forest of the links between a block's documents, on their full sets."""
+        """Stars of the trees that the links between a block's documents make, on their full sets."""
+        group = group.sort_by("rep")
         sets, lead = shingle_sets(group["text"].combine_chunks())
         keys = set_keys(sets, lead).to_pylist()
         rep, side, cross = group["rep"].to_numpy(), group["side"].to_numpy(), group["lo"][0] != group["hi"][0]
@@ -125,7 +146,7 @@ def _linker(percent: int):
         _, number = np.unique(sets, return_inverse=True)
         mark = np.zeros(len(sets), bool)
         real = np.array([k == w for k, w in zip(keys, group["set_key"].to_pylist())])  # another text under that id
-        forest, out = Forest(len(rep)), []
+        forest = Forest(len(rep))
         for i in range(len(rep)):
             if not real[i] or (cross and side[i]):
                 continue
@@ -138,35 +159,33 @@ def _linker(percent: int):
             if cross:
                 ok &= side == 1
             for j in (np.flatnonzero(ok) + start).tolist():
-                if forest.join(i, j):
-                    out.append((int(rep[i]), int(rep[j])))
-        return out
+                forest.join(i, j)
+        return forest.links(rep)
 
     return linked
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
-    """``doc_id``, ``n_shingles``, ``component_id`` and ``kept`` of every row of ``docs`` (``doc_id`` bigint, ``text``).
+def near_duplicates(docs: DataFrame, percent: int = 85, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``doc_id``, ``n_shingles``, ``component_id``, ``kept`` (and ``keep``) of every row of ``docs`` (``doc_id`` bigint, ``text``).
 
-    Linked are documents with 100 * intersection >= ``percent`` * union of their shingle sets (``percent`` at least
-    85: the signature distance is set for that). ``component_id`` is the smallest id reachable by links; ``kept`` where
+    Linked are documents with 100 * intersection >= ``percent`` * union of their shingle sets. ``component_id`` is the smallest id reachable by links; ``kept`` where
     it is the row's own. A null or wordless text has an empty set and its own component. A row without id links with
     nothing: ``component_id`` null, ``kept`` true. Repeated rows give repeated rows. Other columns are not read.
     """
-    if percent < 85:
-        raise ValueError("the signature distance is set for 85 percent and more")
-    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = cut_lineage(map_text(docs, ["doc_id"], _sign, "doc_id bigint, n_shingles bigint, set_key binary, sig binary"))
+    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), *keep)
+    fields = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in ("doc_id", *keep)]
+    schema = ", ".join([*fields, "n_shingles bigint", "set_key binary", "sig binary"])
+    signed = cut_lineage(map_text(docs, ["doc_id", *keep], _signer(WIDTH * chunks_for(percent)), schema))
     classes = signed.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("set_key").agg(
         F.min("doc_id").alias("rep"), F.min("sig").alias("sig"), F.first("n_shingles").alias("n_shingles")
     )
     # an id that stands on several texts is a member once, with one of them; its other texts keep their own class
     classes = cut_lineage(classes)
-    roots = _components(docs, classes, percent)
+    roots = _components(docs.select("doc_id", "text"), classes, percent)
     rep = classes.join(roots, classes.rep == roots.node, "left").select("set_key", F.coalesce("root", "rep").alias("component"))
-    got = signed.select("doc_id", "n_shingles", "set_key").join(rep, "set_key", "left")
+    got = signed.select("doc_id", *keep, "n_shingles", "set_key").join(rep, "set_key", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return got.select("doc_id", "n_shingles", component.alias("component_id")).withColumn(
+    return got.select("doc_id", *keep, "n_shingles", component.alias("component_id")).withColumn(
         "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
     )
 
