@@ -117,4 +117,5 @@ def map_text(df: DataFrame, keep: list[str], fn: Callable[[pa.Array], dict[str,
                 kept = [batch.column(i).slice(start, stop - start) for i in range(len(keep))]
                 yield pa.RecordBatch.from_arrays(kept + list(out.values()), keep + list(out))
 
-    return df.select(*[F.col(c) for c in keep], F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+    kept = [F.col("`" + c.replace("`", "``") + "`").alias(f"_keep{i}") for i, c in enumerate(keep)]
+    return df.select(*kept, F.col("text").cast("string").alias("_text")).mapInArrow(run, schema)
