@@ -19,9 +19,10 @@ def bind(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
-def pad_clip(a: Column, n: int = WIDTH, fill: float = 0) -> Column:
+def pad_clip(a: Column, n: int | Column = WIDTH, fill: float = 0) -> Column:
     """Exactly ``n`` entries: the first ones of ``a``, then ``fill``."""
-    return F.slice(F.concat(F.slice(a, 1, n), F.array_repeat(F.lit(fill), n)), 1, n)
+    n = F.lit(n) if isinstance(n, int) else n
+    return F.slice(F.concat(F.slice(a, F.lit(1), n), F.array_repeat(F.lit(fill), n)), F.lit(1), n)
 
 
 def size_channel(a: Column) -> Column:

@@ -6,7 +6,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from flowloom.functions.arrays import bind, pad_clip
-from flowloom.schemas import WIDTH
 
 
 def drawn_positions(id_: Column, length: Column, tag: str, rate: float = 0.3, seed: int = 42) -> Column:
@@ -42,9 +41,9 @@ def reordered(size: Column, positions: Column) -> Column:
 
 def missing(size: Column, positions: Column) -> Column:
     kept = bind(positions, lambda p: F.filter(size, lambda v, i: ~F.array_contains(p, i)))
-    return pad_clip(kept, WIDTH, 0.0)
+    return pad_clip(kept, F.size(size), 0.0)
 
 
 def duplicated(size: Column, length: Column, positions: Column) -> Column:
     again = bind(size, lambda s: F.transform(positions, lambda p: s[p]))
-    return pad_clip(F.concat(F.slice(size, F.lit(1), length), again), WIDTH, 0.0)
+    return pad_clip(F.concat(F.slice(size, F.lit(1), length), again), F.size(size), 0.0)

@@ -125,6 +125,8 @@ def classify(clusters: DataFrame, params: DataFrame | dict | None = None, hot_ro
     """
     by = ["day"] if isinstance(params, DataFrame) else []
     win = by + ["client_ip", "win"]
+    # only these columns are carried through the checkpoints
+    clusters = clusters.select(*by, "client_ip", *SERVER, "flow_id", "cluster_id", "y", "f_time", "src_file", "emit_at")
     benign = benign_servers(server_profile(clusters, by), params)
     gates = cut_lineage(client_gates(clusters, benign, params, by).select(*by, "client_ip", "gate"))
     gated = clusters.join(gates, by + ["client_ip"])
@@ -152,11 +154,15 @@ def client_sequences(clusters: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame
     return client_order(rows, keys=SERVER + ["client_ip"], hot_rows=hot_rows)
 
 
-def client_timeline(clusters: DataFrame, limit: int = 100, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """First ``limit`` flows of every client with a malicious flow: gap to the previous flow, gaps inside the flow."""
+def client_timeline(clusters: DataFrame, limit: int | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Flows of every client with a malicious flow: gap to the previous flow, gaps inside the flow.
+
+    All of them, or the first ``limit`` of each client where the caller asks for that.
+    """
     bad = clusters.groupBy("client_ip").agg(F.max("y").alias("_y")).where(F.col("_y") == 1).select("client_ip")
     rows = cut_lineage(clusters.join(bad, "client_ip", "left_semi"))
-    timed = interflow_gap(client_order(rows, hot_rows=hot_rows).where(F.col("pos") < limit))
+    ordered = client_order(rows, hot_rows=hot_rows)
+    timed = interflow_gap(ordered if limit is None else ordered.where(F.col("pos") < limit))
     return timed.withColumn("step_diffs", differences(F.col("f_time")))
 
 

@@ -519,7 +519,7 @@ ORACLES: dict[str, str] = {
         ordered("", "kept", "ordered", "server_ip, server_port, client_ip")),
     "client_timeline": clustered(
         f"SELECT client_ip, flow_id, server_ip, CAST(server_port AS BIGINT) AS server_port, pos, CAST(cluster_id AS BIGINT) AS cluster_id, CAST(y AS BIGINT) AS y, {whole('dt')} AS dt_u,"
-        f" {text('list_transform(range(1, 33), lambda i: CAST(f_time[i] AS DOUBLE) - coalesce(CAST(f_time[i - 1] AS DOUBLE), 0e0))')} AS step_diffs FROM ordered WHERE pos < 100",
+        f" {text('list_transform(range(1, 33), lambda i: CAST(f_time[i] AS DOUBLE) - coalesce(CAST(f_time[i - 1] AS DOUBLE), 0e0))')} AS step_diffs FROM ordered",
         "kept AS (SELECT * FROM clusters WHERE client_ip IN (SELECT client_ip FROM clusters WHERE y = 1))", ordered("", "kept")),
     "vector_sort": sql("SELECT flow_id, row_number() OVER (ORDER BY f_time, emit_at) - 1 AS pos FROM features", *BASE),
     "intraflow_diff": sql(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,7 +55,7 @@ def _file_stream(spark: SparkSession, path: str) -> DataFrame:
 def run_to_end(df: DataFrame, sf_dir: str, name: str) -> DataFrame:
     """Process all available input in micro-batches and return the sink's table."""
     spark = df.sparkSession
-    base = scratch_path(spark, f"{sf_dir.strip('/').replace('/', '_')}/sink_{name}")
+    base = scratch_path(spark, f"{sf_dir.strip('/').replace('/', '_')}/sink_{name}/{uuid.uuid4().hex}")  # a run starts from nothing
     out = (
         df.writeStream.format("parquet").outputMode("append").option("path", f"{base}/out")
         .option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()

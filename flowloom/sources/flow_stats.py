@@ -2,37 +2,67 @@
 
 from __future__ import annotations
 
+import csv
+from collections.abc import Iterator
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowloom.schemas import STATS_FIELDS
+from flowloom.session import spread
+from flowloom.sources.files import list_files, open_file
+
+#: Longest header line that is looked for.
+HEADER_BYTES = 1 << 16
 
 
 def read_flow_stats(spark: SparkSession, paths: str | list[str], dialect: str = "A") -> DataFrame:
     """The 80 fields, typed, under their dialect A names, from one path or the union of several.
 
-    Columns are picked by header name, so extra columns and other orders are fine. Header lines repeated
-    inside a file and lines with too many fields are dropped; short lines are filled with nulls.
+    Every file is read by its own header, so the files of a folder may differ in order and extra columns. Header
+    lines repeated inside a file and lines with too many fields for their file are dropped; short lines are filled
+    with nulls. An empty file has no rows.
     """
     column = {"A": 0, "B": 1}[dialect]
-    tables = [_read(spark, p, column) for p in ([paths] if isinstance(paths, str) else paths)]
-    return reduce(DataFrame.unionByName, tables)
+    files = [f for p in ([paths] if isinstance(paths, str) else paths) for f in _headers(spark, p)]
+    by_header: dict[str, list[str]] = {}
+    for path, header in files:
+        if header:
+            by_header.setdefault(header, []).append(path)
+    if not by_header:
+        return spark.createDataFrame([], ", ".join(f"`{f[0]}` {f[2]}" for f in STATS_FIELDS))
+    return reduce(DataFrame.unionByName, [_read(spark, p, next(csv.reader([h])), column) for h, p in sorted(by_header.items())])
+
+
+def _headers(spark: SparkSession, path: str) -> list[tuple[str, str]]:
+    """(path, first line) of every file; only the first bytes of each are read."""
+
+    def first_lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            lines = []
+            for p in pdf["path"]:
+                with open_file(p) as f:
+                    lines.append(f.read(HEADER_BYTES).split(b"\n", 1)[0].decode("utf-8-sig").rstrip("\r"))
+            yield pd.DataFrame({"path": pdf["path"], "header": lines})
+
+    files = list_files(spark, path).where(~F.col("path").rlike("/[._][^/]*$")).select("path")
+    return [tuple(r) for r in spread(files, "path").mapInPandas(first_lines, "path string, header string").collect()]
 
 
-def _read(spark: SparkSession, path: str, column: int) -> DataFrame:
-    header = spark.read.option("header", "true").csv(path).columns
+def _read(spark: SparkSession, paths: list[str], header: list[str], column: int) -> DataFrame:
+    """Files of one header."""
     missing = [f[column] for f in STATS_FIELDS if f[column] not in header]
     if missing:
-        raise ValueError(f"columns not in file: {missing}")
-    schema = ", ".join(f"`{h}` string" for h in header) + ", _bad string"
+        raise ValueError(f"columns not in file {paths[0]}: {missing}")
+    names = [f"_c{i}" for i in range(len(header))]
     raw = (
-        spark.read.schema(schema).option("header", "true").option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", "_bad").csv(path)
+        spark.read.schema(", ".join(f"{n} string" for n in names) + ", _bad string").option("header", "true").option("mode", "PERMISSIVE")
+        .option("columnNameOfCorruptRecord", "_bad").csv(paths)
     )
-    line = F.concat_ws(",", *[F.col(f"`{h}`") for h in header])
+    line = F.concat_ws(",", *names)
     fits = F.col("_bad").isNull() | (F.size(F.split("_bad", ",")) < len(header))
     return raw.where(fits & ~line.contains("Dst")).select(
-        *[F.col(f"`{f[column]}`").try_cast(f[2]).alias(f[0]) for f in STATS_FIELDS]
+        *[F.col(names[header.index(f[column])]).try_cast(f[2]).alias(f[0]) for f in STATS_FIELDS]
     )

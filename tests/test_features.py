@@ -56,6 +56,9 @@ def test_views(spark):
     size = [float(i) for i in range(1, 33)]
     masked = value(spark, V.masked(F.col("s").cast("array<float>"), F.col("p")), s=size, p=[0, 5])
     assert [i for i, x in enumerate(masked) if x < 0] == [0, 5]
+    wide = [float(i) for i in range(1, 41)]
+    assert len(value(spark, V.missing(F.col("s").cast("array<float>"), F.col("p")), s=wide, p=[0, 5])) == 40
+    assert value(spark, V.duplicated(F.col("s").cast("array<float>"), F.lit(38), F.col("p")), s=wide, p=[0, 5])[-3:] == [38.0, 1.0, 6.0]
     swapped = value(spark, V.reordered(F.col("s").cast("array<float>"), F.col("p")), s=size, p=[0, 3, 4])
     assert swapped[:6] == [2.0, 1.0, 5.0, 3.0, 4.0, 6.0]
     twice = value(spark, V.reordered(F.col("s").cast("array<float>"), F.col("p")), s=size, p=[0, 1])

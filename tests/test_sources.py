@@ -91,6 +91,36 @@ def test_sequences(spark, tmp_path):
     assert [(r.stem, r.line_no, r["items"], r.label) for r in rows] == [("x", 1, [1, 2, 3, 4], 1), ("x", 2, [9, 8, 7, 6, 5], 0)]
 
 
+def test_equal_stems_in_two_folders(spark, tmp_path):
+    for folder, label in (("x", "0"), ("y", "1")):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "k.data").write_text("1 2 3 4\n")
+        (tmp_path / folder / "k.label").write_text(f"   \n{label}\n")
+    rows = read_sequences(spark, str(tmp_path)).collect()
+    assert sorted((r.folder[-2:], r.label) for r in rows) == [("x/", 0), ("y/", 1)]
+
+
+def test_statistics_files_each_have_their_own_header(spark, tmp_path):
+    names = [f[0] for f in STATS_FIELDS]
+    values = {n: str(i) for i, n in enumerate(names)} | {"Timestamp": "t", "Label": "own", "Extra": "e"}
+    headers = {"plain": names, "reversed": names[::-1], "wider": ["Extra", "Extra", "Extra", *names], "empty": None}
+    for name, header in headers.items():
+        lines = [",".join(header), ",".join(values[n] for n in header), ",".join(header)] if header else []
+        (tmp_path / f"{name}.csv").write_text("".join(x + "\r\n" for x in lines))
+    rows = read_flow_stats(spark, str(tmp_path)).collect()
+    assert len(rows) == 3 and len(set(rows)) == 1 and rows[0]["Dst Port"] == 0 and rows[0]["Label"] == "own" and rows[0]["Protocol"] == 1
+
+
+def test_captures_are_decoded_by_many_tasks(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    for i in range(40):
+        (tmp_path / f"{i}.pcap").write_bytes(classic())
+    df = read_pcap(spark, str(tmp_path))
+    used = df.select(F.spark_partition_id().alias("p")).distinct().count()
+    assert used >= spark.sparkContext.defaultParallelism - 1 and df.count() == 120
+
+
 def test_store(spark, tmp_path):
     df = spark.createDataFrame([("d1", 1), ("d2", 2)], "day string, n int")
     write_flows(df, str(tmp_path / "flows"))
