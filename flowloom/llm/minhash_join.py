@@ -30,7 +30,7 @@ SHINGLE_WORDS = 5
 WIDTH = 5
 MISS = 2e-6
 #: Members of a bucket block, and shingles of a cluster block.
-BUCKET_BLOCK = 256
+BUCKET_BLOCK = 2048
 SHINGLE_BLOCK = 1 << 17
 _FACTOR = np.random.default_rng(85).integers(0, 1 << 63, 60 * WIDTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _WORD = np.random.default_rng(86).integers(0, 1 << 63, (2, WIDTH), dtype=np.uint64) * np.uint64(2) + np.uint64(1)

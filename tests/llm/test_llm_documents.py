@@ -130,7 +130,7 @@ def test_signature_distance_is_guaranteed():
         chunks_for(50)
 
 
-@pytest.mark.parametrize("blocks", [(256, 1 << 17), (8, 400)])
+@pytest.mark.parametrize("blocks", [(2048, 1 << 17), (8, 400)])
 def test_near_duplicates_match_all_pairs(spark, monkeypatch, blocks):
     monkeypatch.setattr("flowloom.llm.minhash_join.BUCKET_BLOCK", blocks[0])
     monkeypatch.setattr("flowloom.llm.minhash_join.SHINGLE_BLOCK", blocks[1])
