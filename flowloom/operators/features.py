@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from flowloom.functions import arrays as A
 from flowloom.functions import views as V
-from flowloom.operators.flows import first_part
 from flowloom.schemas import WIDTH
 
 
@@ -48,7 +47,7 @@ def size_and_direction(flows: DataFrame, n: int = WIDTH, backward: float = 0.5)
 
 def build_features(flows: DataFrame, n: int = WIDTH, time_dtype: str = "float32") -> DataFrame:
     """One row per flow: roles, the size, direction and time channels, effective length, target."""
-    one = first_part(flows)
+    one = flows
     full = time_channel(size_and_direction(assign_client_server(one), n), n, time_dtype)
     full = full.withColumn("f_signed", A.signed_size(F.col("f_size"), F.col("f_dir")))
     return full.select(

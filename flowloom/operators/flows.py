@@ -9,8 +9,9 @@ at ``max_pkts`` packets, in capture order inside one file. Two plans share the w
   of ``block`` packets, every window runs inside one block, and a small per-block summary carries the
   state across blocks. No task ever holds more than one block of one conversation.
 
-A flow that may not be cut (UDP has no packet cap) is stored as several rows, ``part`` 0, 1, ..., so that a
-row stays bounded; its flow-level columns are repeated in every part.
+The flow table has one row per flow. Its arrays hold the first ``max_pkts`` packets, which are all but for UDP, where
+no cap cuts a flow; counts and extent are those of the whole flow. ``assemble_parts`` and ``group_parts`` give the
+packets beyond too, as rows ``part`` 1, 2, ... that repeat the flow-level columns.
 """
 
 from __future__ import annotations
@@ -67,7 +68,12 @@ def _flow_id(first_idx: Column) -> Column:
     return F.concat(F.col("src_file"), F.lit("#"), first_idx.cast("string"))
 
 
-def assemble_flows(
+def assemble_flows(packets: DataFrame, **options) -> DataFrame:
+    """Flows of every capture file, one row each; ``options`` as for ``assemble_parts``."""
+    return first_part(assemble_parts(packets, **options))
+
+
+def assemble_parts(
     packets: DataFrame,
     tcp_timeout: float = TCP_IDLE,
     udp_timeout: float = UDP_IDLE,
@@ -75,7 +81,7 @@ def assemble_flows(
     block: int = BLOCK,
     ip_order: str = "numeric",
 ) -> DataFrame:
-    """Flows of every capture file, with idle, teardown and length cuts.
+    """Packet parts of the flows of every capture file, with idle, teardown and length cuts.
 
     Counts packets per conversation first (an aggregate over the key columns alone) to learn which
     conversations are long. With none, the plan has a single shuffle of the packets.
@@ -254,44 +260,46 @@ def _long_conversations(
     return out.withColumns({"flow_id": _flow_id(F.col("_first")), "part": part}).select(*FLOW_COLUMNS)
 
 
-def group_flows(packets: DataFrame, ip_order: str = "text", block: int = BLOCK) -> DataFrame:
-    """One flow per conversation and file, no cuts. Rows are parts of at most ``block`` captured packets."""
+def group_flows(packets: DataFrame, **options) -> DataFrame:
+    """One flow per conversation and file, no cuts; ``options`` as for ``group_parts``."""
+    return first_part(group_parts(packets, **options))
+
+
+def group_parts(packets: DataFrame, ip_order: str = "text", max_pkts: int = MAX_PACKETS, block: int = BLOCK) -> DataFrame:
+    """Packet parts, of ``max_pkts`` packets each, of the conversations of every file.
+
+    Conversations longer than that are counted first; their places come from a count per block of capture order, so
+    that no window holds more than a block.
+    """
     rows = canonical_key(packets.where(F.col("proto").isin(6, 17)), ip_order)
-    rows = rows.withColumn("part", F.floor(F.col("pkt_idx") / block))
-    parts = _arrays(
-        rows,
-        KEY + ["part"],
-        F.min("pkt_idx").alias("_first"),
-        F.min("ts").alias("pktts_start"),
-        F.max("ts").alias("pktts_end"),
-        F.count(F.lit(1)).alias("n_pkts"),
-    )
-    several = packets.agg(F.max("pkt_idx") >= block).first()[0]
-    if several:
-        whole = rows.groupBy(*KEY).agg(
-            F.min("part").alias("_p0"),
-            F.min("pkt_idx").alias("_first"),
-            F.min("ts").alias("pktts_start"),
-            F.max("ts").alias("pktts_end"),
-            F.count(F.lit(1)).alias("n_pkts"),
-        )
-        parts = parts.drop("_first", "pktts_start", "pktts_end", "n_pkts").join(whole, KEY)
-        parts = parts.withColumn("part", F.col("part") - F.col("_p0"))
+    extent = [F.min("pkt_idx").alias("_first"), F.min("ts").alias("pktts_start"), F.max("ts").alias("pktts_end"), F.count(F.lit(1)).alias("n_pkts")]
+    long_keys = cut_lineage(rows.groupBy(*KEY).count().where(F.col("count") > max_pkts).select(*KEY))
+    if long_keys.isEmpty():
+        parts = _arrays(rows, KEY, *extent).withColumn("part", F.lit(0).cast("bigint"))
+    else:
+        long_keys = broadcast_if_small(long_keys)
+        short = _arrays(rows.join(long_keys, KEY, "left_anti"), KEY, *extent).withColumn("part", F.lit(0).cast("bigint"))
+        long = rows.join(long_keys, KEY, "left_semi").withColumn("_block", F.floor(F.col("pkt_idx") / block))
+        counts = long.groupBy(*KEY, "_block").count()
+        earlier = W.partitionBy(*KEY).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
+        counts = counts.select(*KEY, "_block", F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("_before"))
+        inside = F.row_number().over(W.partitionBy(*KEY, "_block").orderBy("pkt_idx")) - 1
+        placed = long.withColumn("_inside", inside).join(counts, KEY + ["_block"])
+        placed = placed.withColumn("part", F.floor((F.col("_inside") + F.col("_before")) / max_pkts))
+        parts = short.unionByName(_arrays(placed, KEY + ["part"]).join(long.groupBy(*KEY).agg(*extent), KEY))
     return parts.withColumns(
         {"flow_id": _flow_id(F.col("_first")), "emit_at": F.col("_first") + LEFTOVER}
     ).select(*FLOW_COLUMNS)
 
 
 def flow_extent(flows: DataFrame) -> DataFrame:
-    """Earliest and latest packet time of every flow, over all its parts."""
-    return flows.groupBy("flow_id").agg(
-        F.min(F.array_min("pktts")).alias("pktts_start"), F.max(F.array_max("pktts")).alias("pktts_end")
-    )
+    """Earliest and latest packet time of every flow, from flows or their parts."""
+    return flows.groupBy("flow_id").agg(F.min("pktts_start").alias("pktts_start"), F.max("pktts_end").alias("pktts_end"))
 
 
-def first_part(flows: DataFrame) -> DataFrame:
-    """One row per flow. Enough wherever only the first packets or the flow-level columns matter."""
-    return flows.where(F.col("part") == 0)
+def first_part(parts: DataFrame) -> DataFrame:
+    """One row per flow: its first packets and the flow-level columns."""
+    return parts.where(F.col("part") == 0)
 
 
 def multi_packet(flows: DataFrame, more_than: int = 1) -> DataFrame:

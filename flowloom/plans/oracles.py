@@ -430,6 +430,11 @@ ORACLES: dict[str, str] = {
     "packet_limit": sql("SELECT pkt_idx, CAST(size AS BIGINT) AS size FROM packets WHERE pkt_idx < 500", PACKETS),
     "flow_assembly": sql(_flow_rows("flows"), PACKETS, KEYED, FLOWS),
     "flow_group": sql(_flow_rows("grouped"), PACKETS, KEYED_TEXT, GROUPED),
+    "flow_group_long": sql(
+        _flow_rows("(SELECT * REPLACE (pktsize[1:4] AS pktsize, pktts[1:4] AS pktts, pktdirs[1:4] AS pktdirs) FROM grouped)"), PACKETS, KEYED_TEXT, GROUPED),
+    "flow_parts_long": sql(
+        f"SELECT flow_id, CAST(part AS BIGINT) AS part, n_pkts, {text('pktsize[4 * part + 1 : 4 * part + 4]', None)} AS sizes"
+        " FROM (SELECT * EXCLUDE (part), unnest(generate_series(0, (n_pkts - 1) // 4)) AS part FROM grouped)", PACKETS, KEYED_TEXT, GROUPED),
     "flow_roundtrip": sql(_flow_rows("flows"), PACKETS, KEYED, FLOWS),
     "flow_extent": sql(f"SELECT flow_id, {whole('pktts_start')} AS start_us, {whole('pktts_end')} AS end_us FROM flows", PACKETS, KEYED, FLOWS),
     "multi_packet": sql("SELECT flow_id, n_pkts FROM flows WHERE n_pkts > 1", PACKETS, KEYED, FLOWS),
@@ -593,6 +598,9 @@ packets AS (SELECT * REPLACE (row_number() OVER (ORDER BY ts, pkt_idx) - 1 AS pk
 ORACLES["stream_flow_assembly"] = sql(
     f"SELECT flow_id, srcip, dstip, CAST(srcport AS BIGINT) AS srcport, CAST(dstport AS BIGINT) AS dstport, CAST(proto AS BIGINT) AS proto, CAST(0 AS BIGINT) AS part, n_pkts,"
     f" {text('pktsize', None)} AS sizes, {text('pktts')} AS times, {text('pktdirs', None)} AS dirs FROM flows", _TIMED, KEYED, FLOWS)
+ORACLES["stream_long_flows"] = sql(
+    f"SELECT flow_id, n_pkts, {text('pktsize[1:2]', None)} AS sizes, {whole('pktts_start')} AS start_us, {whole('pktts_end')} AS end_us FROM flows WHERE proto = 17",
+    _TIMED, KEYED, FLOWS)
 ORACLES["stream_idle_sessions"] = sql(
     f"SELECT srcip, dstip, CAST(srcport AS BIGINT) AS srcport, CAST(dstport AS BIGINT) AS dstport, CAST(proto AS BIGINT) AS proto, count(*) AS n_pkts,"
     f" CAST(sum(size) AS BIGINT) AS bytes, {whole('min(ts)')} AS start_us, {whole('max(ts)')} AS end_us FROM s2 GROUP BY src_file, srcip, dstip, srcport, dstport, proto, no",

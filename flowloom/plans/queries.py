@@ -98,6 +98,19 @@ def flow_group(spark, sf):
     return _flow_rows(flows.group_flows(packet_view(spark, sf)))
 
 
+@query
+def flow_group_long(spark, sf):
+    """Conversations above a cap of 4 packets, over blocks of 50: one row per flow, with its first packets."""
+    return _flow_rows(flows.group_flows(packet_view(spark, sf), max_pkts=4, block=50))
+
+
+@query
+def flow_parts_long(spark, sf):
+    """The same conversations as packet parts."""
+    p = flows.group_parts(packet_view(spark, sf), max_pkts=4, block=50)
+    return p.select("flow_id", *big("part", "n_pkts"), text(F.col("pktsize"), None).alias("sizes"))
+
+
 @query
 def flow_extent(spark, sf):
     e = flows.flow_extent(stage(spark, sf, "flows"))

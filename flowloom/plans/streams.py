@@ -74,6 +74,18 @@ def stream_flow_assembly(spark, sf):
     )
 
 
+@query
+def stream_long_flows(spark, sf):
+    """UDP flows, which no cap cuts, under a cap of 2 packets: still one row each, with the whole count and extent."""
+    udp = packet_stream(spark, sf).where((F.col("proto") == 17) | (F.col("src_file") == END_FILE))
+    with state_store(spark):
+        f = run_to_end(stream_flows(udp, max_pkts=2), sf, "long_flows")
+    return f.where(F.col("src_file") != END_FILE).select(
+        "flow_id", *big("n_pkts"), text(F.col("pktsize"), None).alias("sizes"), whole(F.col("pktts_start")).alias("start_us"),
+        whole(F.col("pktts_end")).alias("end_us"),
+    )
+
+
 @query
 def stream_idle_sessions(spark, sf):
     with state_store(spark):

@@ -9,8 +9,8 @@ PACKETS = (
     "src_port int, dst_port int, proto smallint, flags int, size int"
 )
 
-# One row per flow. A flow longer than ``MAX_PACKETS`` that may not be cut (UDP) continues in rows with
-# part 1, 2, ...; n_pkts, pktts_start, pktts_end and emit_at describe the whole flow in every row.
+# One row per flow, part 0, with its first ``MAX_PACKETS`` packets. The parts of a longer flow that may not be cut (UDP)
+# have the same columns; n_pkts, pktts_start, pktts_end and emit_at describe the whole flow in every row.
 FLOWS = (
     "flow_id string, src_file string, srcip string, dstip string, srcport int, dstport int, proto smallint, "
     "part bigint, n_pkts bigint, pktsize array<int>, pktts array<double>, pktdirs array<tinyint>, "

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from flowloom.operators.flows import KEY
+from flowloom.operators.flows import KEY, first_part
 from flowloom.operators.labels import label_flows
 from flowloom.operators.packets import canonical_key, only_tcp_udp
 from flowloom.schemas import ACK, FIN, MAX_PACKETS, RST, TCP, TCP_IDLE, UDP_IDLE
@@ -33,10 +33,11 @@ def with_event_time(packets: DataFrame, watermark: str = "10 minutes") -> DataFr
 
 
 class FlowBuilder(StatefulProcessor):
-    """Open flow of one conversation: a scalar state and a list of its packets, flushed on a cut or a timer.
+    """Open flow of one conversation: a scalar state, its first packets and the packets of an unfinished part.
 
-    ``max_pkts`` bounds the packets held. TCP is cut there; a longer UDP flow goes out in parts, whose
-    flow-level columns cover the flow up to and including that part.
+    A flow comes out once, when it ends, with its first ``max_pkts`` packets and its whole count and extent. TCP is cut
+    at ``max_pkts``; what a longer UDP flow has beyond comes out as parts 1, 2, ... as they fill, whose count and extent
+    are those of the part. So at most two parts' packets are held.
     """
 
     def __init__(self, tcp_timeout: float, udp_timeout: float, max_pkts: int):
@@ -45,69 +46,82 @@ class FlowBuilder(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.flow = handle.getValueState(
-            "flow", "first_idx bigint, last_ts double, fin boolean, part bigint, held bigint, n bigint, lo double, hi double"
-        )
-        self.rows = handle.getListState("packets", "ts double, size int, dir int")
+        self.flow = handle.getValueState("flow", "first_idx bigint, last_ts double, fin boolean, part bigint, n bigint, lo double, hi double")
+        self.first = handle.getListState("first", "ts double, size int, dir int")
+        self.later = handle.getListState("later", "ts double, size int, dir int")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         packets = pd.concat(list(rows)).sort_values("pkt_idx")
         tcp = key[KEY.index("proto")] == TCP
-        state, held = self.flow.get() if self.flow.exists() else None, None
-        state = list(state) if state is not None else None
-        new: list[tuple] = []
+        state = list(self.flow.get()) if self.flow.exists() else None
+        held = {name: self._held(name) if state is not None else [] for name in ("first", "later")}
+        stored = {name: len(v) for name, v in held.items()}
         out: list[dict] = []
 
-        def flush(done: bool) -> None:
-            nonlocal state, held
-            kept = list(self.rows.get()) if held is None and self.rows.exists() else []
-            out.append(self._row(key, state, [tuple(r) for r in kept] + new))
-            held = True
-            self.rows.clear()
-            new.clear()
-            if done:
-                state = None
-            else:
-                state[3], state[4] = state[3] + 1, 0
+        def end() -> None:
+            nonlocal state
+            out.extend(self._rows(key, state, held["first"], held["later"]))
+            state = None
+            for name in held:
+                held[name], stored[name] = [], 0
+                getattr(self, name).clear()
 
         for p in packets.itertuples():
             if state is not None and p.ts - state[1] > self.limits[tcp]:
-                flush(True)
+                end()
             if state is None:
-                state = [p.pkt_idx, p.ts, False, 0, 0, 0, p.ts, p.ts]
-            elif state[4] >= self.max_pkts:
-                flush(False)
-            new.append((p.ts, int(p.size), int(p.dir)))
-            state[1], state[4], state[5] = p.ts, state[4] + 1, state[5] + 1
-            state[6], state[7] = min(state[6], p.ts), max(state[7], p.ts)
+                state = [p.pkt_idx, p.ts, False, 0, 0, p.ts, p.ts]
+            if len(held["later"]) >= self.max_pkts:
+                out.append(self._part(key, state, held["later"]))
+                state[3] += 1
+                held["later"], stored["later"] = [], 0
+                self.later.clear()
+            held["first" if state[4] < self.max_pkts else "later"].append((p.ts, int(p.size), int(p.dir)))
+            state[1], state[4] = p.ts, state[4] + 1
+            state[5], state[6] = min(state[5], p.ts), max(state[6], p.ts)
             if tcp:
                 over = bool(p.flags & RST) or (state[2] and bool(p.flags & ACK) and not p.flags & FIN)
                 state[2] = state[2] or bool(p.flags & FIN)
                 if over or state[4] >= self.max_pkts:
-                    flush(True)
+                    end()
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
         if state is None:
             self.flow.clear()
         else:
             self.flow.update(tuple(state))
-            self.rows.appendList(new)
+            for name, kept in held.items():
+                if kept[stored[name] :]:
+                    getattr(self, name).appendList(kept[stored[name] :])
             self.handle.registerTimer(int((state[1] + self.limits[tcp]) * 1000) + 1)
         if out:
             yield self._frame(out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         if self.flow.exists():
-            yield self._frame([self._row(key, list(self.flow.get()), [tuple(r) for r in self.rows.get()])])
+            yield self._frame(self._rows(key, list(self.flow.get()), self._held("first"), self._held("later")))
             self.flow.clear()
-            self.rows.clear()
+            self.first.clear()
+            self.later.clear()
+
+    def _held(self, name: str) -> list[tuple]:
+        state = getattr(self, name)
+        return [tuple(r) for r in state.get()] if state.exists() else []
+
+    def _rows(self, key, state, first, later) -> list[dict]:
+        """The flow and, if it has one, its last part."""
+        flow = self._row(key, state, 0, first, state[4], state[5], state[6])
+        return [flow, self._part(key, state, later)] if later else [flow]
+
+    def _part(self, key, state, packets) -> dict:
+        times = [p[0] for p in packets]
+        return self._row(key, state, state[3] + 1, packets, len(packets), min(times), max(times))
 
     @staticmethod
-    def _row(key, state, packets) -> dict:
+    def _row(key, state, part, packets, n, lo, hi) -> dict:
         return {
-            "flow_id": f"{key[0]}#{state[0]}", **dict(zip(KEY, key)), "part": state[3], "n_pkts": state[5],
-            "pktsize": [p[1] for p in packets], "pktts": [p[0] for p in packets], "pktdirs": [p[2] for p in packets],
-            "pktts_start": state[6], "pktts_end": state[7],
+            "flow_id": f"{key[0]}#{state[0]}", **dict(zip(KEY, key)), "part": part, "n_pkts": n, "pktsize": [p[1] for p in packets],
+            "pktts": [p[0] for p in packets], "pktdirs": [p[2] for p in packets], "pktts_start": lo, "pktts_end": hi,
         }
 
     @staticmethod
@@ -120,17 +134,18 @@ class FlowBuilder(StatefulProcessor):
 
 def stream_flows(
     packet_stream: DataFrame, watermark: str = "10 minutes", tcp_timeout: float = TCP_IDLE, udp_timeout: float = UDP_IDLE,
-    max_pkts: int = MAX_PACKETS, ip_order: str = "numeric",
+    max_pkts: int = MAX_PACKETS, ip_order: str = "numeric", parts: bool = False,
 ) -> DataFrame:
-    """Finished flows of a packet stream, by keyed state with event-time timers (append mode).
+    """Finished flows of a packet stream, one row each, by keyed state with event-time timers (append mode).
 
-    The session needs the RocksDB state store (``spark.sql.streaming.stateStore.providerClass``).
+    With ``parts`` the packet parts of long UDP flows come out too. The session needs the RocksDB state store (``spark.sql.streaming.stateStore.providerClass``).
     """
     rows = with_event_time(canonical_key(only_tcp_udp(packet_stream), ip_order), watermark)
     rows = rows.select(*KEY, "ts_event", "pkt_idx", "ts", "size", "dir", "flags")
-    return rows.groupBy(*KEY).transformWithStateInPandas(
+    built = rows.groupBy(*KEY).transformWithStateInPandas(
         FlowBuilder(tcp_timeout, udp_timeout, max_pkts), OUT, "append", "eventTime"
     )
+    return built if parts else first_part(built)
 
 
 def stream_sessions(

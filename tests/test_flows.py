@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from flowloom.operators.flows import LEFTOVER, assemble_flows, flow_extent, group_flows
+from flowloom.operators.flows import LEFTOVER, assemble_flows, assemble_parts, flow_extent, group_flows, group_parts, multi_packet
 from flowloom.operators.packets import canonical_key, first_packets
 from flowloom.schemas import PACKETS
 
@@ -55,7 +55,7 @@ def whole_flows(df):
 
 
 def lengths(spark, packets, **kw):
-    df = assemble_flows(spark.createDataFrame(packets, PACKETS), **kw)
+    df = assemble_parts(spark.createDataFrame(packets, PACKETS), **kw)
     return [len(f[2]) for f in sorted(whole_flows(df), key=lambda f: int(f[0].split("#")[1]))]
 
 
@@ -72,7 +72,7 @@ def test_matches_state_machine(spark, seed, cap, block):
             ends = [(f"9.0.0.{k}", 40000 + k), ("10.0.0.1", 80)]
             rnd.shuffle(ends)
             packets.append(packet(i, t, flags, proto, *ends, file))
-    got = whole_flows(assemble_flows(spark.createDataFrame(packets, PACKETS), max_pkts=cap, block=block))
+    got = whole_flows(assemble_parts(spark.createDataFrame(packets, PACKETS), max_pkts=cap, block=block))
     assert got == sequential(packets, cap)
     assert sum(len(f[2]) for f in got) == len(packets)
 
@@ -107,10 +107,14 @@ def test_length_cap_forgets_fin(spark):
 def test_real_cap_tcp_only(spark):
     packets = [packet(i, i * 0.001, 24) for i in range(10_001)]
     assert lengths(spark, packets) == [10_000, 1]
-    df = assemble_flows(spark.createDataFrame([packet(i, i * 0.001, 0, 17) for i in range(10_001)], PACKETS))
+    udp = spark.createDataFrame([packet(i, i * 0.001, 0, 17) for i in range(10_001)], PACKETS)
+    df = assemble_parts(udp)
     rows = sorted(df.collect(), key=lambda r: r.part)
     assert [(r.part, len(r.pktsize), r.n_pkts) for r in rows] == [(0, 10_000, 10_001), (1, 1, 10_001)]
     assert flow_extent(df).first().pktts_end == 10.0
+    one = assemble_flows(udp).collect()
+    assert [(r.part, len(r.pktsize), r.n_pkts, r.pktts_end) for r in one] == [(0, 10_000, 10_001, 10.0)]
+    assert multi_packet(assemble_flows(udp)).count() == 1
 
 
 def test_flows_stay_in_their_file(spark):
@@ -130,6 +134,9 @@ def test_key_order_numeric_and_text(spark):
 
 def test_group_flows_in_parts(spark):
     df = spark.createDataFrame([packet(i, i) for i in range(10)], PACKETS)
-    parts = sorted(group_flows(df, block=4).collect(), key=lambda r: r.part)
-    assert [(r.part, len(r.pktsize), r.n_pkts) for r in parts] == [(0, 4, 10), (1, 4, 10), (2, 2, 10)]
+    for block in (3, 1 << 20):
+        parts = sorted(group_parts(df, max_pkts=4, block=block).collect(), key=lambda r: r.part)
+        assert [(r.part, len(r.pktsize), r.n_pkts) for r in parts] == [(0, 4, 10), (1, 4, 10), (2, 2, 10)]
+        flows = group_flows(df, max_pkts=4, block=block).collect()
+        assert [(r.part, r.pktts, r.n_pkts, r.pktts_end) for r in flows] == [(0, [0.0, 1.0, 2.0, 3.0], 10, 9.0)]
     assert first_packets(df, 3).count() == 3
