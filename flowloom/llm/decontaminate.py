@@ -1,9 +1,9 @@
 """Benchmark decontamination with DataFrame functions only.
 
 Benchmark texts give windows of ``width`` consecutive normalised words (a shorter text gives one window of all its
-words). Every training position gives the hash of the words from there on, which is looked up in a broadcast hash
-table of the window hashes inside one generated loop; a hit is verified against the window's words. Only hits are
-shuffled.
+words). The broadcast hash table holds every window under the hash of its anchor, its longest word. Every training word
+is looked up there inside one generated loop, and where an anchor stands the window around it is verified word by word
+as part of the join condition, so only true hits leave the loop and are shuffled.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 #: Between words: controls, punctuation and spaces of ASCII. Words keep digits, letters and all other characters.
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Windows that may be broadcast: a hash, a width and up to ``width`` words each.
+#: Windows that may be broadcast: a hash, two numbers and up to ``width`` words each.
 BROADCAST_WINDOWS = 200_000
 BROADCAST_BYTES = 64 << 20
 
@@ -22,17 +22,18 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 def normal_words(text: Column) -> Column:
     """Words of the text with A-Z lower-cased; null and wordless texts have none."""
-    gaps = F.regexp_replace(F.translate(F.coalesce(text.cast("string"), F.lit("")), _UPPER, _LOWER), GAP, " ")
-    return F.filter(F.split(gaps, " ", -1), lambda w: w != "")
+    text = F.coalesce(text.cast("string"), F.lit(""))
+    ascii_only = F.octet_length(text) == F.length(text)  # then the quick lower() touches A-Z alone
+    return F.array_remove(F.split(F.when(ascii_only, F.lower(text)).otherwise(F.translate(text, _UPPER, _LOWER)), GAP, -1), "")
 
 
 def benchmark_windows(benchmark: DataFrame, width: int) -> DataFrame:
-    """Distinct windows: ``size`` words, their array ``window`` and hash ``h``."""
+    """Windows of the items: ``size`` words and their array ``window``."""
     w = F.col("words")
     items = benchmark.select("item_id", normal_words(F.col("text")).alias("words")).where(F.size("words") > 0)
     size = F.least(F.size(w), F.lit(width))
     windows = F.transform(F.sequence(F.lit(1), F.size(w) - size + 1), lambda i: F.slice(w, i, size))
-    return items.select("item_id", size.alias("size"), F.explode(windows).alias("window")).withColumn("h", F.xxhash64("window"))
+    return items.select("item_id", size.alias("size"), F.explode(windows).alias("window"))
 
 
 def bounded(windows: DataFrame) -> bool:
@@ -40,30 +41,29 @@ def bounded(windows: DataFrame) -> bool:
     return got["n"] <= BROADCAST_WINDOWS and (got["bytes"] or 0) * 4 <= BROADCAST_BYTES
 
 
+def _anchored(windows: DataFrame) -> DataFrame:
+    """Windows with ``anchor``, the hash of the longest word (of several the last in order), and its 1-based place."""
+    longest = F.array_max(F.transform("window", lambda w, i: F.struct(F.length(w).alias("n"), w.alias("w"), i.alias("i"))))
+    return windows.select("size", "window", F.xxhash64(longest["w"]).alias("anchor"), (longest["i"] + 1).alias("place"))
+
+
 def benchmark_hits(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> DataFrame:
     """One row per (``doc_id``, 1-based word position ``at``, window ``size``, ``window``) that stands in the document."""
-    windows = benchmark_windows(benchmark, width).select("size", "window", "h").distinct()
-    small = bounded(windows)
-    windows = F.broadcast(windows) if small else windows
-    # items of fewer words than the width add their own sizes: at most ``width`` numbers
-    sizes = sorted(r[0] for r in windows.select("size").distinct().collect())
+    windows = benchmark_windows(benchmark, width).select("size", "window").distinct()
     words = docs.select("doc_id", normal_words(F.col("text")).alias("words"))
-    w = F.col("words")
-
-    def starts(size: int) -> Column:
-        at = F.transform(w, lambda x, i: F.struct((i + 1).alias("at"), F.lit(size).alias("size"), F.xxhash64(F.slice(w, i + 1, F.lit(size))).alias("h")))
-        return F.slice(at, F.lit(1), F.greatest(F.size(w) - size + 1, F.lit(0)))
-
-    if not sizes:
-        sizes = [width]
-    spots = F.concat(*[starts(s) for s in sizes]) if len(sizes) > 1 else starts(sizes[0])
-    each = words.select("doc_id", "words", F.explode(spots).alias("s")).select("doc_id", "words", "s.at", "s.size", "s.h")
-    if small:
-        found = each.join(windows, ["h", "size"])
-        return found.where(F.slice("words", F.col("at"), F.col("size")) == F.col("window")).select("doc_id", "at", "size", "window")
-    # too many windows to broadcast: only the window's own words travel, not the text
-    each = each.withColumn("window", F.slice("words", F.col("at"), F.col("size"))).drop("words")
-    return each.join(windows, ["h", "size", "window"]).select("doc_id", "at", "size", "window")
+    if bounded(windows):
+        each = words.select("doc_id", "words", F.posexplode("words").alias("p", "word")).select("doc_id", "words", "p", F.xxhash64("word").alias("h"))
+        w = F.broadcast(_anchored(windows))
+        at = F.col("p") + 2 - F.col("place")  # where a window with its anchor here begins
+        same = (at > 0) & (F.slice("words", F.greatest(at, F.lit(1)), F.col("size")) == F.col("window"))
+        return each.join(w, (F.col("h") == F.col("anchor")) & same).select("doc_id", at.alias("at"), "size", "window")
+    # too many windows to broadcast: the words of every window of the sizes in use travel, not the text
+    sizes = [r[0] for r in windows.select("size").distinct().collect()]  # items of few words add their own: at most ``width``
+    spans = words.select("doc_id", "words", F.explode(F.array(*map(F.lit, sizes))).alias("size"))
+    last = F.size("words") - F.col("size") + 1
+    spots = spans.where(last > 0).select("doc_id", "words", "size", F.explode(F.sequence(F.lit(1), last)).alias("at"))
+    spots = spots.select("doc_id", "at", "size", F.slice("words", F.col("at"), F.col("size")).alias("window"))
+    return spots.join(windows, ["size", "window"]).select("doc_id", "at", "size", "window")
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> DataFrame:
