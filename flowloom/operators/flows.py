@@ -16,6 +16,8 @@ packets beyond too, as rows ``part`` 1, 2, ... that repeat the flow-level column
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -190,28 +192,53 @@ def _neighbours(rows: DataFrame, key: list[str]) -> DataFrame:
 def _overruled_closes(rows: DataFrame, key: list[str], max_pkts: int) -> DataFrame | None:
     """Teardowns that do not happen because the length cap cut the flow between its last FIN and that ACK.
 
-    The cap forgets the FIN, so the flow runs on, and where its next cut falls depends on where it began.
-    Only closes of segments with at least one such case are looked at, and the correction is repeated
-    until nothing moves, each round fixing one more close of a run.
+    The cap forgets the FIN, so the flow runs on, and where its next cut falls depends on where it began, modulo the
+    cap. Only closes of segments with at least one such case are looked at. Each block of closes is folded into a table
+    "begin modulo cap -> begin after the block", the tables of a segment are chained, and each block is gone through
+    once more from its known begin: three jobs, however many closes a segment has.
     """
     closes = rows.where("_close").select(
-        *key, "_seg_rn", "pkt_idx", "_rn", F.col("_mark.rn").alias("fin_rn"), F.col("_start0.rn").alias("begin")
+        *key, "_seg_rn", "blk", "pkt_idx", "_rn", F.col("_mark.rn").alias("fin_rn"), F.col("_start0.rn").alias("begin")
     )
     cut = F.pmod(F.col("_rn") - F.col("begin"), F.lit(max_pkts)) < F.col("_rn") - F.col("fin_rn")
     segments = cut_lineage(closes.where(cut).select(*key, "_seg_rn").distinct())
     if segments.isEmpty():
         return None
     state = cut_lineage(closes.join(segments, key + ["_seg_rn"], "left_semi"))
-    w = W.partitionBy(*key, "_seg_rn").orderBy("_rn")
-    while True:
-        after = F.lag(F.when(cut, F.col("begin")).otherwise(F.col("_rn") + 1)).over(w)
-        moved = cut_lineage(
-            state.withColumn("_b", F.coalesce(after, F.col("begin"))).withColumn("_moved", F.col("_b") != F.col("begin"))
-            .withColumn("begin", F.col("_b")).drop("_b")
-        )
-        if moved.where("_moved").isEmpty():
-            return moved.where(cut).select(*key, "pkt_idx", F.lit(True).alias("_void"))
-        state = moved.drop("_moved")
+    segment = key + ["_seg_rn"]
+    kinds = ", ".join(f"{c} {state.schema[c].dataType.simpleString()}" for c in segment + ["blk"])
+
+    def fold(names: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        table = np.full(max_pkts, -1, np.int64)  # -1: the begin passes through
+        for rn, fin in pdf.sort_values("_rn", ascending=False)[["_rn", "fin_rn"]].itertuples(index=False):
+            if rn - fin < max_pkts:
+                follows = table[(rn + 1) % max_pkts]
+                closing = np.ones(max_pkts, bool)
+                closing[np.arange(fin + 1, rn + 1) % max_pkts] = False
+                table[closing] = rn + 1 if follows < 0 else follows
+        return pd.DataFrame([[*names, pdf.loc[pdf["_rn"].idxmin(), "begin"], table]], columns=[*segment, "blk", "begin", "table"])
+
+    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("blk")
+        begins, begin = [], int(pdf["begin"].iloc[0])
+        for table in pdf["table"]:
+            begins.append(begin)
+            begin = int(table[begin % max_pkts]) if table[begin % max_pkts] >= 0 else begin
+        return pdf[[*segment, "blk"]].assign(begin=begins)
+
+    def replay(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_rn")
+        begin, void = int(pdf["block_begin"].iloc[0]), []
+        for rn, fin in pdf[["_rn", "fin_rn"]].itertuples(index=False):
+            void.append((rn - begin) % max_pkts < rn - fin)
+            begin = begin if void[-1] else rn + 1
+        return pdf.loc[void, [*key, "pkt_idx"]].assign(_void=True)
+
+    tables = state.groupBy(*segment, "blk").applyInPandas(fold, f"{kinds}, begin bigint, table array<bigint>")
+    begins = tables.groupBy(*segment).applyInPandas(chain, f"{kinds}, begin bigint").withColumnRenamed("begin", "block_begin")
+    known = state.join(begins, segment + ["blk"])
+    out = ", ".join(f"{c} {state.schema[c].dataType.simpleString()}" for c in key + ["pkt_idx"])
+    return known.groupBy(*segment, "blk").applyInPandas(replay, f"{out}, _void boolean")
 
 
 def _long_conversations(

@@ -104,6 +104,21 @@ def test_length_cap_forgets_fin(spark):
     assert lengths(spark, packets, max_pkts=4, block=2) == [4, 2]
 
 
+@pytest.mark.parametrize("cycle", [[1, 2, 2, 16], [1, 2, 16, 2, 2]])
+def test_many_overruled_closes_take_few_jobs(spark, monkeypatch, cycle):
+    """Teardowns that the cap overrules one after the other: the number of checkpoints does not grow with them."""
+    from flowloom.operators import flows
+
+    calls = []
+    cut = flows.cut_lineage
+    monkeypatch.setattr(flows, "cut_lineage", lambda df: calls.append(1) or cut(df))
+    packets = [packet(i, i, cycle[i % len(cycle)]) for i in range(len(cycle) * 400)]
+    for block in (100, 1 << 20):
+        calls.clear()
+        got = whole_flows(assemble_parts(spark.createDataFrame(packets, PACKETS), max_pkts=3, block=block))
+        assert got == sequential(packets, 3) and len(calls) <= 8
+
+
 def test_real_cap_tcp_only(spark):
     packets = [packet(i, i * 0.001, 24) for i in range(10_001)]
     assert lengths(spark, packets) == [10_000, 1]
