@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import struct
 
 import pandas as pd
@@ -12,6 +11,7 @@ from pyspark.sql import functions as F
 from flowloom.plans.fixtures import packets, stage, table
 from flowloom.schemas import STATS_FIELDS
 from flowloom.session import scratch_path
+from flowloom.sources.files import write_file
 from flowloom.sources.store import exists, write_clusters_json, write_flows
 
 PER_FILE = 2000
@@ -48,16 +48,14 @@ def capture_dir(spark: SparkSession, sf_dir: str) -> str:
     """The packets view as capture files of ``PER_FILE`` packets; one frame before each is not IP."""
 
     def write(path: str) -> None:
-        os.makedirs(path, exist_ok=True)
-
         def one(pdf: pd.DataFrame) -> pd.DataFrame:
             no = int(pdf["file_no"].iloc[0])
-            with open(f"{path}/part-{no}.pcap", "wb") as f:
-                f.write(struct.pack("<IHHiIII", 0xA1B2C3D4, 2, 4, 0, 0, 65535, 1))
-                f.write(struct.pack("<IIII", 0, 0, 42, 42) + bytes(12) + b"\x08\x06" + bytes(28))
-                for r in pdf.sort_values("pkt_idx").itertuples():
-                    frame = _frame(r.src_ip, r.dst_ip, r.src_port, r.dst_port, r.proto, r.flags, r.size)
-                    f.write(struct.pack("<IIII", r.ts_us // 10**6, r.ts_us % 10**6, len(frame), len(frame)) + frame)
+            out = [struct.pack("<IHHiIII", 0xA1B2C3D4, 2, 4, 0, 0, 65535, 1)]
+            out.append(struct.pack("<IIII", 0, 0, 42, 42) + bytes(12) + b"\x08\x06" + bytes(28))
+            for r in pdf.sort_values("pkt_idx").itertuples():
+                frame = _frame(r.src_ip, r.dst_ip, r.src_port, r.dst_port, r.proto, r.flags, r.size)
+                out.append(struct.pack("<IIII", r.ts_us // 10**6, r.ts_us % 10**6, len(frame), len(frame)) + frame)
+            write_file(f"{path}/part-{no}.pcap", b"".join(out))
             return pd.DataFrame({"file_no": [no], "n": [len(pdf)]})
 
         p = packets(spark, sf_dir).withColumn("file_no", F.floor(F.col("pkt_idx") / PER_FILE))
@@ -117,15 +115,11 @@ def sequence_dir(spark: SparkSession, sf_dir: str) -> str:
     """The sequences as .data/.label pairs of ``PER_FILE`` lines; the first number of a line is its id."""
 
     def write(path: str) -> None:
-        os.makedirs(path, exist_ok=True)
-
         def one(pdf: pd.DataFrame) -> pd.DataFrame:
             no = int(pdf["file_no"].iloc[0])
             pdf = pdf.sort_values("seq_id")
-            with open(f"{path}/set{no}.data", "w", encoding="utf8") as f:
-                f.writelines(f"{line}\n" for line in pdf["line"])
-            with open(f"{path}/set{no}.label", "w", encoding="utf8") as f:
-                f.write(" " + "".join(str(x) for x in pdf["label"]) + "\n")
+            write_file(f"{path}/set{no}.data", "".join(f"{line}\n" for line in pdf["line"]).encode())
+            write_file(f"{path}/set{no}.label", (" " + "".join(str(x) for x in pdf["label"]) + "\n").encode())
             return pd.DataFrame({"file_no": [no], "n": [len(pdf)]})
 
         s = stage(spark, sf_dir, "sequences")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyarrow import NativeFile
 from pyarrow.fs import FileSystem, LocalFileSystem
 from pyspark.sql import DataFrame, SparkSession
@@ -16,11 +18,24 @@ def list_files(spark: SparkSession, path: str, glob: str | None = None) -> DataF
     return reader.load(path).select("path", "length")
 
 
-def open_file(path: str) -> NativeFile:
-    """A seekable file for a Hadoop-style path (``file:/x``, ``hdfs://...``, ``s3a://...``) or a plain local path."""
+def _place(path: str) -> tuple[FileSystem, str]:
+    """File system and inner path of a Hadoop-style path (``file:/x``, ``hdfs://...``, ``s3a://...``) or a plain local path."""
     if path.startswith("file:"):
         path = "/" + path[len("file:"):].lstrip("/")
     if path.startswith("/"):
-        return LocalFileSystem().open_input_file(path)
-    fs, inner = FileSystem.from_uri(path.replace("s3a://", "s3://", 1))
+        return LocalFileSystem(), path
+    return FileSystem.from_uri(path.replace("s3a://", "s3://", 1))
+
+
+def open_file(path: str) -> NativeFile:
+    """A seekable file to read."""
+    fs, inner = _place(path)
     return fs.open_input_file(inner)
+
+
+def write_file(path: str, data: bytes) -> None:
+    """Writes a whole file, with its folder, from inside a task; a second attempt writes the same file again."""
+    fs, inner = _place(path)
+    fs.create_dir(os.path.dirname(inner), recursive=True)
+    with fs.open_output_stream(inner) as f:
+        f.write(data)
