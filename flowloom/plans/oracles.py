@@ -595,6 +595,33 @@ ORACLES["triplet_similarity"] = sql(
 # ---- streams: the packets renumbered in time order ----
 _TIMED = PACKETS.replace("packets AS (\n  SELECT '", "packets_c AS (\n  SELECT '") + """,
 packets AS (SELECT * REPLACE (row_number() OVER (ORDER BY ts, pkt_idx) - 1 AS pkt_idx) FROM packets_c)"""
+def _principal(source: str, col: str, k: int, rounds: int = 1500) -> list[str]:
+    """Leading eigenvalues e0, e1, ... of the covariance, by power iteration and deflation."""
+    parts = [
+        f"pc_n0 AS (SELECT row_number() OVER () AS r, {col} AS v FROM {source})",
+        "pc_d0 AS (SELECT unnest(generate_series(1, (SELECT max(len(v)) FROM pc_n0))) AS i)",
+        "pc_mean0 AS (SELECT i, avg(CAST(v[i] AS DOUBLE)) AS mu FROM pc_n0, pc_d0 GROUP BY i)",
+        "pc_dev0 AS (SELECT r, i, CAST(v[i] AS DOUBLE) - mu AS x FROM pc_n0 JOIN pc_mean0 ON true)",
+        "pc_cov0 AS (SELECT a.i, b.i AS j, sum(a.x * b.x) / ((SELECT count(*) FROM pc_n0) - 1) AS c FROM pc_dev0 a JOIN pc_dev0 b USING (r) GROUP BY 1, 2)",
+        "pc_m0 AS (SELECT list(row ORDER BY i) AS m FROM (SELECT i, list(c ORDER BY j) AS row FROM pc_cov0 GROUP BY i))",
+    ]
+    for a in range(k):
+        product = "list_transform(m, lambda r: list_dot_product(r, v))"
+        parts.append(
+            f"pc_p{a} AS (SELECT 0 AS n, m, list_transform(m, lambda r, i: 1e0 + sin(i)) AS v FROM pc_m{a} UNION ALL"
+            f" SELECT n + 1, m, list_transform(w, lambda x: x / sqrt(list_dot_product(w, w))) FROM (SELECT n, m, {product} AS w FROM pc_p{a} WHERE n < {rounds}))"
+        )
+        parts.append(f"pc_e{a} AS MATERIALIZED (SELECT m, v, list_dot_product(v, {product}) AS l FROM pc_p{a} WHERE n = {rounds})")
+        parts.append(f"pc_m{a + 1} AS (SELECT list_transform(m, lambda r, i: list_transform(r, lambda x, j: x - l * v[i] * v[j])) AS m FROM pc_e{a})")
+    return parts
+
+
+def _axes(k: int) -> str:
+    return " UNION ALL ".join(f"SELECT CAST({a} AS BIGINT) AS axis, {whole('l', '1e5')} AS variance FROM pc_e{a}" for a in range(k))
+
+
+ORACLES["pca_variance"] = sql(_axes(2), *_principal("embeddings", "embedding", 2), recursive=True)
+ORACLES["linear_variance"] = sql(_axes(4), *BASE, *_principal("features", "f_signed", 4), recursive=True)
 ORACLES["stream_flow_assembly"] = sql(
     f"SELECT flow_id, srcip, dstip, CAST(srcport AS BIGINT) AS srcport, CAST(dstport AS BIGINT) AS dstport, CAST(proto AS BIGINT) AS proto, CAST(0 AS BIGINT) AS part, n_pkts,"
     f" {text('pktsize', None)} AS sizes, {text('pktts')} AS times, {text('pktdirs', None)} AS dirs FROM flows", _TIMED, KEYED, FLOWS)

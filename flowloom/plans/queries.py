@@ -573,6 +573,24 @@ def linear_embedding(spark, sf):
     return out.select("flow_id", F.round(F.col("latent")[0], 6).alias("first_axis"), F.round(error, 6).alias("error"))
 
 
+def _axis_variances(latents: DataFrame, col: str, k: int) -> DataFrame:
+    one = latents.agg(*[F.var_samp(F.col(col)[i]).alias(f"v{i}") for i in range(k)])
+    return one.select(F.inline(F.array(*[F.struct(F.lit(i).cast("bigint").alias("axis"), whole(F.col(f"v{i}"), 1e5).alias("variance")) for i in range(k)])))
+
+
+@query
+def pca_variance(spark, sf):
+    """What the two leading principal axes capture."""
+    return _axis_variances(embed.pca_project(table(spark, sf, "embeddings"), "embedding", 2), "pca", 2)
+
+
+@query
+def linear_variance(spark, sf):
+    """What the fitted axes of the flow embedding capture."""
+    f = stage(spark, sf, "features")
+    return _axis_variances(embed.fit_linear_embedding(f, "f_signed", 4).encode(f, "f_signed"), "latent", 4)
+
+
 # ---- graph --------------------------------------------------------------------------------------------
 
 def _windowed(spark, sf):
