@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from flowloom.operators.cluster import cluster_by_group
 from flowloom.operators.features import build_features
 from flowloom.operators.flows import assemble_flows
 from flowloom.operators.labels import binary_target, label_flows
-from flowloom.schemas import attack_windows
+from flowloom.schemas import ATTACK_WINDOW_ROWS, LOCAL_HOURS, attack_windows
 from flowloom.session import scratch_path
 from flowloom.sources.store import materialise, with_day
 
@@ -61,6 +63,28 @@ def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def window_starts() -> list[tuple[int, str, list[str], list[str], int]]:
+    """(number, day, attackers, victims, start as epoch seconds) of the real attack windows."""
+    out = []
+    for n, (day, _, att, vic, start, _, _) in enumerate(ATTACK_WINDOW_ROWS):
+        at = datetime.strptime(f"{day.split('-', 1)[1]} {start} +0000", "%d-%m-%Y %H:%M %z")
+        out.append((n, day, att, vic, int(at.timestamp()) - LOCAL_HOURS * 3600))
+    return out
+
+
+def day_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One flow per event, on the days of all attack windows: around a window, between its attackers and victims."""
+    w = F.broadcast(spark.createDataFrame(window_starts(), "n bigint, day string, att array<string>, vic array<string>, at bigint"))
+    e = table(spark, sf_dir, "events").select("event_id", (F.col("event_id") % len(ATTACK_WINDOW_ROWS)).alias("n")).join(w, "n")
+    one = "element_at({0}, CAST(event_id div 22 % size({0}) AS INT) + 1)"
+    start = F.expr("CAST(at - 600 + event_id * 37 % 7200 AS DOUBLE)")
+    return e.select(
+        F.concat(F.lit("e"), "event_id").alias("flow_id"), "day", F.expr(f"if(event_id % 2 = 0, {one.format('att')}, {one.format('vic')})").alias("srcip"),
+        F.expr(f"if(event_id % 2 = 0, {one.format('vic')}, {one.format('att')})").alias("dstip"), start.alias("pktts_start"),
+        (start + F.col("event_id") % 300).alias("pktts_end"),
+    )
+
+
 def stage(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A stored stage of the flow job, written once per session and data set."""
     path = scratch_path(spark, f"{sf_dir.strip('/').replace('/', '_')}/{name}")

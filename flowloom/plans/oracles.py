@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from flowloom.plans.fixtures import DAY, GRAPH_SIZE, SRC_FILE, WINDOW_ROWS
+from flowloom.plans.fixtures import DAY, GRAPH_SIZE, SRC_FILE, WINDOW_ROWS, window_starts
 from flowloom.plans.queries import MULTI_DAYS
 from flowloom.plans.written import PER_FILE
-from flowloom.schemas import DAY_PARAM_ROWS, DEFAULT_PARAMS
+from flowloom.schemas import ATTACK_WINDOW_ROWS, DAY_PARAM_ROWS, DEFAULT_PARAMS
 
 LEFTOVER = 1 << 60
 
@@ -620,6 +620,26 @@ def _axes(k: int) -> str:
     return " UNION ALL ".join(f"SELECT CAST({a} AS BIGINT) AS axis, {whole('l', '1e5')} AS variance FROM pc_e{a}" for a in range(k))
 
 
+def _quoted(items: list[str]) -> str:
+    return "[" + ", ".join(f"'{i}'" for i in items) + "]"
+
+
+_SPAN = ", ".join(
+    f"({n}, '{day}', {_quoted(att)}, {_quoted(vic)}, {at}, {int(row[1])},"
+    f" {at + 60 * ((int(row[5].split(':')[0]) * 60 + int(row[5].split(':')[1])) - (int(row[4].split(':')[0]) * 60 + int(row[4].split(':')[1])))}, '{row[6]}')"
+    for (n, day, att, vic, at), row in zip(window_starts(), ATTACK_WINDOW_ROWS)
+)
+ORACLES["attack_label_days"] = f"""
+WITH w(n, day, att, vic, begins, ord, till, label) AS (VALUES {_SPAN}),
+f AS (
+  SELECT 'e' || event_id AS flow_id, day, att[event_id // 22 % len(att) + 1] AS a, vic[event_id // 22 % len(vic) + 1] AS v, event_id % 2 = 0 AS out,
+    begins - 600 + event_id * 37 % 7200 AS t0, begins - 600 + event_id * 37 % 7200 + event_id % 300 AS t1
+  FROM events JOIN w ON w.n = event_id % {len(ATTACK_WINDOW_ROWS)}),
+d AS (SELECT flow_id, day, if(out, a, v) AS s, if(out, v, a) AS t, t0, t1 FROM f)
+SELECT flow_id, day, coalesce((SELECT max_by(w.label, w.ord) FROM w WHERE w.day = d.day AND t0 >= w.begins AND t1 <= w.till
+  AND ((list_contains(att, s) AND list_contains(vic, t)) OR (list_contains(vic, s) AND list_contains(att, t)))), 'Benign') AS label
+FROM d
+"""
 ORACLES["pca_variance"] = sql(_axes(2), *_principal("embeddings", "embedding", 2), recursive=True)
 ORACLES["linear_variance"] = sql(_axes(4), *BASE, *_principal("features", "f_signed", 4), recursive=True)
 ORACLES["stream_flow_assembly"] = sql(

@@ -146,6 +146,12 @@ def attack_label(spark, sf):
     return labels.label_flows(stage(spark, sf, "flows"), attack_windows(spark, fx.WINDOW_ROWS)).select("flow_id", "label")
 
 
+@query
+def attack_label_days(spark, sf):
+    """The real attack windows, over all their days in one job."""
+    return labels.label_flows(fx.day_flows(spark, sf), attack_windows(spark), strict=True).select("flow_id", "day", "label")
+
+
 @query
 def binary_target(spark, sf):
     return labels.binary_target(stage(spark, sf, "labelled")).groupBy("label", *big("y")).agg(F.count(F.lit(1)).alias("n"))
