@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowloom.llm.text import Flat, map_text
+from flowloom.llm.text import Flat, below_share, map_text
 
 BLOCK, LAGS, DIM, FILTERS = 16, 32, 4, 16
 #: Zero blocks after each text: no lag reaches into the text before.
@@ -152,15 +152,17 @@ def fit_on_labels(docs: DataFrame, labels: DataFrame, max_rows: int = 4000, max_
     """The network fitted on a bounded sample of labelled rows that are not held out.
 
     The sample is the ``max_rows`` ids of least hash; texts are taken in that order while they fit ``max_bytes``.
-    Null labels, ids and texts are left out; of an id with several labels the greatest counts.
+    Null labels, ids and texts are left out; of an id with several labels the greatest counts, of one with several
+    texts the least. Rows are thinned out by the hash before they are put in order.
     """
     known = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").where(~held_out(F.col("doc_id")))
     order = F.xxhash64(F.lit(3), "doc_id")
-    chosen = known.groupBy("doc_id").agg(F.max("quality").alias("quality")).orderBy(order, "doc_id").limit(max_rows)
+    few = known.where(below_share(order, max_rows, known.count()))
+    chosen = few.groupBy("doc_id").agg(F.max("quality").alias("quality")).orderBy(order, "doc_id").limit(max_rows)
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
     total, texts, marks = 0, [], []
-    # the ids are bounded by max_rows; a repeated id counts once for each row, within the byte bound
-    for r in rows.join(F.broadcast(chosen), "doc_id").orderBy(order, "doc_id", "text").limit(max_rows).toLocalIterator():
+    rows = rows.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text"))  # ids bounded by max_rows
+    for r in rows.orderBy(order, "doc_id").toLocalIterator():
         total += len(r["text"].encode())
         if total > max_bytes:
             break

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowloom.llm.text import Flat, map_text, mix, per_text, span_hashes, window_hashes
+from flowloom.llm.text import Flat, below_share, map_text, mix, per_text, span_hashes, window_hashes
 
 SYMBOLS = b"#*$%&|<>"
 WINDOW = 3
@@ -139,9 +139,13 @@ def order_rules(texts: list[str], rules: tuple[Rule, ...] = RULES, repeats: int
 
 
 def sample_texts(docs: DataFrame, rows: int = 200) -> list[str]:
-    """The non-null texts of least hash: a bounded sample that does not depend on the order of rows."""
-    text = docs.select(F.col("text").cast("string").alias("text")).where("text IS NOT NULL AND length(text) < 100000")
-    return [r[0] for r in text.orderBy(F.xxhash64("text"), "text").limit(rows).collect()]
+    """At most ``rows`` distinct texts of least hash, none above 100,000 characters: only for costs and selectivities.
+
+    Rows are thinned out by their hash first, and equal texts meet map-side, so no task sends more than its few.
+    """
+    text = docs.select(F.col("text").cast("string").alias("text")).withColumn("h", F.xxhash64("text"))
+    few = text.where(below_share(F.col("h"), rows, docs.count()) & F.col("text").isNotNull() & (F.length("text") < 100_000))
+    return [r["text"] for r in few.groupBy("h").agg(F.min("text").alias("text")).orderBy("h").limit(rows).collect()]
 
 
 def judge(texts: pa.Array, rules: list[Rule]) -> dict[str, np.ndarray]:

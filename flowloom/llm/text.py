@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Bytes of text handled at once inside a task; one longer text is handled alone.
@@ -105,6 +105,12 @@ def blocks(column: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, in
         start = stop
 
 
+def below_share(key: Column, rows: int, total: int) -> Column:
+    """Whether a 64-bit hash is among the least, for about twice ``rows`` of ``total`` keys: thins out before a top-k."""
+    share = min(1.0, 2 * rows / max(total, 1))
+    return key <= F.lit(min(int(share * 2.0**64) - (1 << 63), (1 << 63) - 1))
+
+
 def map_text(df: DataFrame, keep: list[str], fn: Callable[[pa.Array], dict[str, pa.Array]], schema: str) -> DataFrame:
     """Applies ``fn`` to blocks of the column ``text``; ``keep`` columns go along, named as in ``schema`` first."""
 
