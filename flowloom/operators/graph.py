@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from flowloom.functions.arrays import l2_normalise
 from flowloom.operators.ranking import HOT_ROWS, ranked
+from flowloom.session import spread
 
 ORDER = ["src_file", "emit_at"]
 
@@ -39,29 +42,30 @@ def flow_graph(windowed: DataFrame, feat: str) -> tuple[DataFrame, DataFrame]:
     return nodes, edges.select("graph_id", "flow_id", "src_node", "dst_node", "feat")
 
 
-def _node_means(ends: DataFrame, width: int) -> DataFrame:
-    mean = F.array(*[F.avg(F.col("x")[i].cast("double")) for i in range(width)])
-    return ends.groupBy("graph_id", "node_id").agg(mean.alias("h"))
-
-
 def edge_context(edges: DataFrame, width: int, hops: int = 2) -> DataFrame:
     """Edge vectors [source state, destination state, edge], L2-normalised.
 
     A node's first state is the mean of its edges' vectors; every further hop is the mean, over its edges, of
-    the state at the other end.
+    the state at the other end. A graph has a bounded number of edges, so it is dealt to one task whole, once, and all
+    hops are sums over arrays there.
     """
-    src, dst = F.col("src_node"), F.col("dst_node")
-    ends = edges.select("graph_id", "feat", F.explode(F.array(src, dst)).alias("node_id"))
-    state = _node_means(ends.select("graph_id", "node_id", F.col("feat").alias("x")), width)
-    for _ in range(hops - 1):
-        ways = edges.select(
-            "graph_id",
-            F.inline(F.array(F.struct(src.alias("node_id"), dst.alias("far")), F.struct(dst.alias("node_id"), src.alias("far")))),
-        )
-        far = state.select("graph_id", F.col("node_id").alias("far"), F.col("h").alias("x"))
-        state = _node_means(ways.join(far, ["graph_id", "far"]), width)
-    out = edges
-    for node, name in (("src_node", "_s"), ("dst_node", "_d")):
-        out = out.join(state.select("graph_id", F.col("node_id").alias(node), F.col("h").alias(name)), ["graph_id", node])
-    joined = F.concat(F.col("_s"), F.col("_d"), F.col("feat").cast("array<double>"))
-    return out.withColumn("context", l2_normalise(joined)).drop("_s", "_d")
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        feat = np.vstack(pdf["feat"].to_numpy()).astype(np.float64)[:, :width]
+        _, ends = np.unique(np.concatenate([pdf["src_node"], pdf["dst_node"]]), return_inverse=True)
+        src, dst = ends[: len(pdf)], ends[len(pdf) :]
+        degree = np.bincount(ends)[:, None]
+
+        def means(at_src: np.ndarray, at_dst: np.ndarray) -> np.ndarray:
+            both = np.concatenate([at_src, at_dst])
+            return np.stack([np.bincount(ends, both[:, i], len(degree)) for i in range(width)], 1) / degree
+
+        state = means(feat, feat)
+        for _ in range(hops - 1):
+            state = means(state[dst], state[src])
+        joined = np.concatenate([state[src], state[dst], feat], axis=1)
+        size = np.maximum(np.sqrt((joined**2).sum(1, keepdims=True)), 1e-8)
+        return pdf.assign(context=list(joined / size))
+
+    schema = T.StructType([*edges.schema.fields, T.StructField("context", T.ArrayType(T.DoubleType()))])
+    return spread(edges, "graph_id").groupBy("graph_id").applyInPandas(one, schema)
