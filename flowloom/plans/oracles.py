@@ -581,6 +581,14 @@ ORACLES: dict[str, str] = {
     "stats_csv": sql("SELECT * FROM stats_rows", _STATS_INPUT),
     "stats_csv_b": sql("SELECT * FROM stats_rows", _STATS_INPUT),
     "stats_union": sql("SELECT label, count(*) * 2 AS n, CAST(sum(duration) * 2 AS BIGINT) AS duration, CAST(sum(mean_c) * 2 AS BIGINT) AS mean_c FROM stats_rows GROUP BY label", _STATS_INPUT),
+    "stats_mixed": sql(
+        "SELECT label, count(*) * 2 AS n, CAST(sum(duration) * 2 AS BIGINT) AS duration, CAST(sum(mean_c) * 2 AS BIGINT) AS mean_c FROM stats_rows WHERE label <> 'flag A,1,2' GROUP BY label",
+        _STATS_INPUT),
+    "stats_dataset": (
+        "SELECT CAST(label_num AS BIGINT) AS label_num, count(*) AS n, CAST(sum(l_suppkey % 65536) AS BIGINT) AS ports,"
+        f" {whole('sum(CASE WHEN l_partkey % 9 = 0 THEN -1 ELSE l_quantity END)', '1')} AS bytes,"
+        f" {whole('sum(CASE WHEN l_partkey % 4 = 0 THEN -1 ELSE l_tax END)', '100')} AS idle_c, CAST(77 AS BIGINT) AS width"
+        " FROM (SELECT *, dense_rank() OVER (ORDER BY l_returnflag) - 1 AS label_num FROM lineitem) GROUP BY label_num"),
     "labelled_sequences": sql(
         f"SELECT seq_id, {text('sizes', None)} AS items, seq_id % 2 AS label FROM sequences WHERE len(sizes) + 1 > 3",
         "sequences AS (SELECT l_orderkey AS seq_id, list(CAST(l_quantity AS INT) ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate) AS sizes FROM lineitem GROUP BY l_orderkey)"),

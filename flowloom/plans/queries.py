@@ -20,7 +20,7 @@ from flowloom.plans import fixtures as fx
 from flowloom.plans.fixtures import packets as packet_view
 from flowloom.plans.fixtures import stage, table
 from flowloom.plans.written import (
-    capture_dir, clusters_json_dir, flow_dir, packet_csv_dir, sequence_dir, stats_dir,
+    capture_dir, clusters_json_dir, flow_dir, mixed_stats_dir, packet_csv_dir, sequence_dir, stats_dir,
 )
 from flowloom.schemas import attack_windows, day_params
 from flowloom.sources.flow_stats import read_flow_stats
@@ -687,6 +687,24 @@ def stats_union(spark, sf):
     return _stats_rows(both).groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.sum("duration").alias("duration"), F.sum("mean_c").alias("mean_c"))
 
 
+@query
+def stats_mixed(spark, sf):
+    """Folders whose files differ in header, in both dialects."""
+    both = stats.union_stats([read_flow_stats(spark, mixed_stats_dir(spark, sf, d), d) for d in ("A", "B")])
+    return _stats_rows(both).groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.sum("duration").alias("duration"), F.sum("mean_c").alias("mean_c"))
+
+
+@query
+def stats_dataset(spark, sf):
+    """The numeric table of a statistics folder: label numbers, cleaned values, features switched off."""
+    coded, _ = labels.encode_labels(read_flow_stats(spark, mixed_stats_dir(spark, sf, "A"), "A"), "Label")
+    clean = stats.disable(stats.clean_stats(coded), ["Protocol", "Fwd Pkt Len Mean"])
+    return clean.groupBy(*big("label_num")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("Dst Port").alias("ports"), whole(F.sum("Flow Byts/s"), 1).alias("bytes"),
+        whole(F.sum("Idle Min"), 100).alias("idle_c"), F.lit(len(clean.columns)).cast("bigint").alias("width"),
+    )
+
+
 @query
 def labelled_sequences(spark, sf):
     s = read_sequences(spark, sequence_dir(spark, sf))

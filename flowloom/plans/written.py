@@ -111,6 +111,20 @@ def stats_dir(spark: SparkSession, sf_dir: str, dialect: str) -> str:
     return _once(spark, sf_dir, f"stats_{dialect}", write)
 
 
+def mixed_stats_dir(spark: SparkSession, sf_dir: str, dialect: str) -> str:
+    """A folder whose files have three headers: the usual one, the reverse, and one with extra columns in front."""
+
+    def write(path: str) -> None:
+        names = [f[0 if dialect == "A" else 1] for f in STATS_FIELDS]
+        rows = stats_frame(spark, sf_dir).toDF(*names)
+        part = F.pmod(F.xxhash64(*names[:8]), F.lit(3))
+        extra = [F.lit("x").alias(n) for n in ("Flow ID", "Src IP", "Src Port", "Dst IP")]
+        for i, columns in enumerate((names, names[::-1], [*extra, *names])):
+            rows.where(part == i).select(*columns).write.mode("append").option("header", "true").option("quote", "").csv(path)
+
+    return _once(spark, sf_dir, f"stats_mixed_{dialect}", write)
+
+
 def sequence_dir(spark: SparkSession, sf_dir: str) -> str:
     """The sequences as .data/.label pairs of ``PER_FILE`` lines; the first number of a line is its id."""
 
