@@ -473,6 +473,9 @@ ORACLES: dict[str, str] = {
         "SELECT flow_id, CASE WHEN row_number() OVER (ORDER BY md5('42|' || flow_id), flow_id) <= floor(7e-1 * (SELECT count(*) FROM flows)) THEN 'train' ELSE 'test' END AS part FROM flows",
         PACKETS, KEYED, FLOWS),
     "triplets_server": sql(f"SELECT server_ip, CAST(server_port AS BIGINT) AS server_port, {_TRIPLET_COLS} FROM triplets", *BASE, _MULTI, ring("server_ip, server_port", "multi")),
+    "triplets_window": sql(
+        f"SELECT CAST(graph_id AS BIGINT) AS graph_id, server_ip, CAST(server_port AS BIGINT) AS server_port, {_TRIPLET_COLS} FROM triplets", *BASE, GRAPH,
+        ring("graph_id, server_ip, server_port", "gw")),
     "triplets_service": sql(f"SELECT CAST(server_port AS BIGINT) AS server_port, {_TRIPLET_COLS} FROM triplets", *BASE, _MULTI, ring("server_port", "multi")),
     "triplets_big_groups": sql(f"SELECT server_ip, client_ip, {_TRIPLET_COLS} FROM triplets", *BASE, ring("server_ip, client_ip", "features", at_least=3)),
     "triplet_features": sql(

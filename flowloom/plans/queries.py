@@ -622,6 +622,14 @@ def edge_context(spark, sf):
     return graph.edge_context(edges, 32).select("flow_id", text(F.col("context")).alias("v"))
 
 
+@query
+def triplets_window(spark, sf):
+    """Triplets inside a server's flows of one graph window."""
+    return sampling.sample_triplets(_windowed(spark, sf), ["graph_id", "server_ip", "server_port"], "flow_id").select(
+        *big("graph_id"), "server_ip", *big("server_port"), "anchor_id", "s1_id", "s2_id"
+    )
+
+
 # ---- statistics tables and files ----------------------------------------------------------------------
 
 def _numbers(spark, sf) -> DataFrame:
