@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 100_000
+BROADCAST_BYTES = 64 << 20
 
 
 def local_session(cores: int | str = 8, app: str = "flowloom", **conf: str) -> SparkSession:
@@ -86,9 +87,11 @@ def spread(df: DataFrame, *cols: str) -> DataFrame:
     return df.repartition(n, *cols)
 
 
-def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only after counting: at most ``rows`` rows, otherwise leave it to a shuffle join."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """Hint a broadcast only after counting: at most ``rows`` rows and ``size`` bytes (as JSON), else leave it to a shuffle join."""
+    each = df.select(F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]))).alias("b"))
+    seen = each.limit(rows + 1).agg(F.count(F.lit(1)).alias("n"), F.sum("b").alias("b")).first()
+    return F.broadcast(df) if seen["n"] <= rows and (seen["b"] or 0) <= size else df
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
