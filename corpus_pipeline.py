@@ -56,11 +56,15 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, its secrets replaced; ``n_chars`` follows the text where there is one."""
+    """Every document, its secrets replaced; ``n_chars`` follows the text where one was found."""
     hidden, names, back = _hidden(docs)
     scanned = scan_secrets(hidden, names, with_text=True)
-    put = {"text": F.col("redacted"), "n_chars": F.length("redacted").cast("bigint")}
-    return scanned.select(*[put[c].alias(c) if c in put else b for c, b in zip(docs.columns, back)])
+    columns = dict(zip(docs.columns, back))
+    found = F.col("spans") != ""
+    put = {"text": F.col("redacted")}
+    if "n_chars" in columns:
+        put["n_chars"] = F.when(found, F.length("redacted").cast("bigint")).otherwise(columns["n_chars"])
+    return scanned.select(*[put[c].alias(c) if c in put else columns[c] for c in docs.columns])
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
