@@ -13,6 +13,7 @@ import binascii
 import hashlib
 import json
 import re
+from bisect import bisect_right
 
 import numpy as np
 import pyarrow as pa
@@ -26,10 +27,15 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex", "der", "openssh", "jwt")
 
-# A run of base64 characters, over line breaks as in armoured keys.
-_BASE64 = re.compile(r"(?<![A-Za-z0-9+/])(?=[A-Za-z0-9+/]*[0-9A-Z+/])[A-Za-z0-9+/]{24,}(?:\r?\n[A-Za-z0-9+/]+)*={0,2}")
-_URL64 = re.compile(r"(?<![A-Za-z0-9_-])(?=[A-Za-z0-9_-]*[0-9A-Z_-])[A-Za-z0-9_-]{32,}={0,2}")
-_HEX_ANY = re.compile(r"(?<![0-9A-Fa-f])(?:[0-9A-Fa-f]{2}){16,}(?![0-9A-Fa-f])")
+# A key's first characters, from anywhere in a run: DER opens with 0x30 and a length, OpenSSH with its magic.
+_LINES = r"(?:\r?\n)?"
+_START64 = re.compile(f"M{_LINES}[A-I]|b{_LINES}3{_LINES}B")
+_PIECE64 = re.compile(r"[A-Za-z0-9+/_-]+")
+_JOIN64 = re.compile(r"\r?\n")
+_STARTHEX = re.compile(r"30[0-8]|6[Ff]70")
+_PIECEHEX = re.compile(r"[0-9A-Fa-f]+")
+_OPENS64 = re.compile(r"(?=M[A-I]|b3Bl)")
+_OPENSHEX = re.compile(r"(?=30[0-8]|6[Ff]70)")
 _TOKEN = re.compile(r"(?<![A-Za-z0-9_-])(ey[A-Za-z0-9_-]{8,}|ew[A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]{2,})\.[A-Za-z0-9_-]*")
 #: Without one of these a text has no assignment.
 _WORDS = ("passw", "secret", "token", "api_key", "apikey")
@@ -38,6 +44,8 @@ RUN = 24
 _RUN_BYTES = np.zeros(256, bool)
 _RUN_BYTES[[*range(48, 58), *range(65, 91), *range(97, 123), *b"+/_-.="]] = True
 _MAGIC = b"openssh-key-v1\0"
+#: Bytes of the least key that counts.
+LEAST_KEY = 16
 
 
 def der_items(raw: bytes, at: int, end: int) -> list[tuple[int, int, int]] | None:
@@ -61,49 +69,85 @@ def der_items(raw: bytes, at: int, end: int) -> list[tuple[int, int, int]] | Non
     return out
 
 
-def is_key_der(raw: bytes) -> bool:
-    """A DER private key: one sequence, version 0 or 1 first, then numbers (RSA), an algorithm (PKCS 8) or octets (EC)."""
-    top = der_items(raw, 0, len(raw)) if raw[:1] == b"\x30" else None
-    if not top or len(top) != 1:
-        return False
-    items = der_items(raw, top[0][1], top[0][2])
-    if not items or len(items) < 2 or items[0][0] != 0x02 or raw[items[0][1] : items[0][2]] not in (b"\0", b"\1"):
-        return False
+def der_end(raw: bytes, at: int = 0) -> int | None:
+    """End of the DER private key that starts at ``raw[at]``; None if none does.
+
+    One sequence, version 0 or 1 first, then numbers (RSA), an algorithm (PKCS 8) or octets (EC). Its outer length
+    says where it ends.
+    """
+    if raw[at : at + 1] != b"\x30" or at + 2 > len(raw):
+        return None
+    body, size = at + 2, raw[at + 1]
+    if size & 0x80:
+        body += size & 0x7F
+        if not 1 <= size & 0x7F <= 4 or body > len(raw):
+            return None
+        size = int.from_bytes(raw[at + 2 : body], "big")
+    end = body + size
+    items = der_items(raw, body, end) if end <= len(raw) and raw[body : body + 1] == b"\x02" else None
+    if not items or len(items) < 2 or raw[items[0][1] : items[0][2]] not in (b"\0", b"\1"):
+        return None
     tags = [t for t, _, _ in items]
     if tags[1] == 0x30:
         inner = der_items(raw, *items[1][1:])
-        return bool(inner) and inner[0][0] == 0x06 and len(tags) > 2 and tags[2] == 0x04
-    return tags[1] == 0x04 or (tags[1] == 0x02 and len(tags) >= 6 and set(tags) == {0x02})
+        known = bool(inner) and inner[0][0] == 0x06 and len(tags) > 2 and tags[2] == 0x04
+    else:
+        known = tags[1] == 0x04 or (tags[1] == 0x02 and len(tags) >= 6 and set(tags) == {0x02})
+    return end if known else None
 
 
-def is_key_openssh(raw: bytes) -> bool:
-    """Magic, then cipher, derivation and options as length-prefixed fields, the key count and a public key."""
-    if not raw.startswith(_MAGIC):
-        return False
-    at = len(_MAGIC)
-    for k in range(5):
+def openssh_end(raw: bytes, at: int = 0) -> int | None:
+    """End of the OpenSSH private key that starts at ``raw[at]``; None if none does.
+
+    Magic, then cipher, derivation and options as length-prefixed fields, the key count and a public key; then, where
+    they are there, the other public keys and the private part. A private part that is cut off has the rest of ``raw``.
+    """
+    if not raw.startswith(_MAGIC, at):
+        return None
+    at += len(_MAGIC)
+    fields = 5
+    k = 0
+    while k < fields:
         if at + 4 > len(raw):
-            return False
+            return at if k > 4 else None
         size = int.from_bytes(raw[at : at + 4], "big")
-        at += 4
         if k == 3:  # the number of keys is no length
             if not 1 <= size <= 16:
-                return False
-            continue
-        if at + size > len(raw):
-            return False
-        at += size
-    return True
+                return None
+            fields, at = 5 + size, at + 4
+        elif at + 4 + size <= len(raw):
+            at += 4 + size
+        elif k > 4:
+            return len(raw) if size < 1 << 16 else at
+        else:
+            return None
+        k += 1
+    return at
+
+
+def is_key_der(raw: bytes) -> bool:
+    """Whether a DER private key fills ``raw``."""
+    return der_end(raw) == len(raw)
+
+
+def is_key_openssh(raw: bytes) -> bool:
+    """Whether ``raw`` starts with an OpenSSH private key."""
+    return openssh_end(raw) is not None
 
 
 def _decode64(text: str) -> bytes:
-    text = text.rstrip("=").replace("\r", "").replace("\n", "").replace("-", "+").replace("_", "/")
+    text = text.rstrip("=").replace("-", "+").replace("_", "/")
     try:
         return base64.b64decode(text + "=" * (-len(text) % 4), validate=True)
     except (binascii.Error, ValueError):
         return b""
 
 
+def _bytes64(text: str) -> bytes:
+    """All whole bytes of a run of base64 characters of any length."""
+    return base64.b64decode(text + "A" * (-len(text) % 4), b"-_")[: len(text) * 3 // 4]
+
+
 def is_token(header: str, payload: str) -> bool:
     for k, part in enumerate((header, payload)):
         try:
@@ -115,8 +159,58 @@ def is_token(header: str, payload: str) -> bool:
     return True
 
 
-def _key_kind(raw: bytes) -> str | None:
-    return "der" if is_key_der(raw) else "openssh" if is_key_openssh(raw) else None
+def _key_at(raw: bytes, at: int) -> tuple[str, int] | None:
+    """Kind and end of the key that starts at ``raw[at]``."""
+    for kind, end in (("der", der_end(raw, at)), ("openssh", openssh_end(raw, at))):
+        if end is not None and end - at >= LEAST_KEY:
+            return kind, end
+    return None
+
+
+def _run(text: str, start: int, piece: re.Pattern, join: re.Pattern | None) -> tuple[str, list[int], list[int], int]:
+    """Pieces from ``start`` over joins: their characters, where each piece starts in those and in ``text``, and the end."""
+    parts, lead, place, at, n = [], [], [], start, 0
+    while m := piece.match(text, at):
+        parts.append(m[0])
+        lead.append(n)
+        place.append(at)
+        n, end = n + len(m[0]), m.end()
+        gap = join.match(text, end) if join else None
+        if not gap:
+            break
+        at = gap.end()
+    return "".join(parts), lead, place, end
+
+
+def _keys(text: str, hexa: bool) -> list[tuple[int, int, int]]:
+    """(start, kind number, end) of the keys in base64 or hex.
+
+    A key may start anywhere in a run and ends where its own lengths say; the scan goes on behind it. A run is decoded
+    once for each place that its characters can have in a byte, so no start copies the rest of it.
+    """
+    start, piece, join, opens = (_STARTHEX, _PIECEHEX, None, _OPENSHEX) if hexa else (_START64, _PIECE64, _JOIN64, _OPENS64)
+    per, size = (2, 1) if hexa else (4, 3)  # so many characters are so many bytes
+    out, at = [], 0
+    while m := start.search(text, at):
+        chars, lead, place, at = _run(text, m.start(), piece, join)
+        if len(chars) * size < LEAST_KEY * per:
+            continue
+        in_text = lambda i: place[k := bisect_right(lead, i) - 1] + i - lead[k]
+        decoded, behind = {}, 0
+        for o in opens.finditer(chars):
+            if (i := o.start()) < behind:
+                continue
+            shift = i % per
+            if shift not in decoded:
+                whole = chars[shift : len(chars) - (len(chars) - shift) % 2] if hexa else chars[shift:]
+                decoded[shift] = bytes.fromhex(whole) if hexa else _bytes64(whole)
+            begin = (i - shift) // per * size
+            if found := _key_at(decoded[shift], begin):
+                behind = i - (begin - found[1]) * per // size  # rounded up: the last character may hold bits that are not used
+                end = in_text(behind - 1) + 1
+                end += 0 if hexa else len(text[end : end + 2]) - len(text[end : end + 2].lstrip("="))
+                out.append((in_text(i), KINDS.index(found[0]), end))
+    return out
 
 
 def base_spans(text: str, has_run: bool = True) -> list[tuple[int, int, int]]:
@@ -131,14 +225,7 @@ def base_spans(text: str, has_run: bool = True) -> list[tuple[int, int, int]]:
 
 def confirmed_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind number, end) of decoded candidates that parse."""
-    out = set()
-    for pattern in (_BASE64, _URL64):
-        for m in pattern.finditer(text):
-            if kind := _key_kind(_decode64(m[0])):
-                out.add((m.start(), KINDS.index(kind), m.end()))
-    for m in _HEX_ANY.finditer(text):
-        if kind := _key_kind(bytes.fromhex(m[0])):
-            out.add((m.start(), KINDS.index(kind), m.end()))
+    out = {*_keys(text, False), *_keys(text, True)}
     for m in _TOKEN.finditer(text):
         if len(m[0]) >= RUN and is_token(m[1], m[2]):
             out.add((m.start(), KINDS.index("jwt"), m.end()))

@@ -213,6 +213,33 @@ def test_decoded_keys(raw, kind):
         assert all((a, b) == (6, 6 + len(text)) for a, _, b in found)
 
 
+ED25519 = _der(0x30, _der(2, b"\0") + _der(0x30, _der(6, b"\x2b\x65\x70")) + _der(4, _der(4, bytes(range(200, 232)))))
+P256 = _der(0x30, _der(2, b"\0") + _der(0x30, _der(6, b"\x2a\x86\x48")) + _der(4, bytes(range(125))))  # 141 bytes: no padding
+
+
+def _found(text: str) -> list[str]:
+    return [text[a:b] for a, _, b in secret_scan.confirmed_spans(text)]
+
+
+@pytest.mark.parametrize("raw", [ED25519, P256, RSA, EC, PKCS8, OPENSSH])
+def test_keys_end_where_their_length_says(raw):
+    key = base64.b64encode(raw).decode()
+    for text in (f"{key}\nThe next", f"{key}\nThe\nnext\nline", f"The\n{key}\nThe next", f"{key}\r\nA"):
+        assert _found(text) == [key]
+    for many in (f"{key}\n{key}", f"{key}\n{key}\nword\n{key}\nThe"):
+        assert _found(many) == [key] * many.count(key)
+    wrapped = "\n".join(key[i : i + 64] for i in range(0, len(key), 64))
+    assert _found(f"{wrapped}\n{wrapped}\nThe next") == [wrapped] * 2
+    assert secret_scan.redact(f"a\n{key}\nThe next", secret_scan.confirmed_spans(f"a\n{key}\nThe next")) == "a\n[secret]\nThe next"
+
+
+def test_no_key_without_its_structure():
+    assert len(ED25519) % 3 == 0 and len(P256) % 3 == 0
+    for raw in (ED25519[:-1], P256[:-1], bytes(48), b"\x30\x84\xff\xff\xff\xff" + bytes(60), b"\x30\x80" + bytes(60)):
+        assert _found(base64.b64encode(raw).decode()) == []
+    assert _found("MAIL " * 20 + "\n" + "MAIL\nof\nlines\n" * 20) == []
+
+
 def test_signed_tokens():
     good = _token({"alg": "HS256", "typ": "JWT"}, '{"sub": 1}')
     assert [secret_scan.KINDS[k] for _, k, _ in secret_scan.confirmed_spans(f"bearer {good}, and")] == ["jwt"]
