@@ -4,6 +4,11 @@ A candidate counts only if it parses: a private key in DER (a sequence whose nes
 starts with a version number), an OpenSSH private key (magic and length-prefixed fields), or a signed token (three
 parts, of which the header and payload are JSON objects and the header names an algorithm). The least token,
 ``{"alg":"none"}`` with an empty payload, has ``RUN`` characters.
+
+A key is put together over line breaks, real or escaped, with blanks, quote marks or comment marks beside them, over
+escaped slashes and over the quotes that join source strings; one in hex also over blanks, colons, commas, hyphens,
+``0x`` and ``\\x``. Lines may have any length. Not joined: base64 over blanks alone, percent or entity codes, dumps with
+offsets or another column. A token must stand in one piece.
 """
 
 from __future__ import annotations
@@ -28,18 +33,22 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex", "der", "openssh", "jwt")
 
 # A key's first characters, from anywhere in a run: DER opens with 0x30 and a length, OpenSSH with its magic.
-_LINES = r"(?:\r?\n)?"
-_START64 = re.compile(f"M{_LINES}[A-I]|b{_LINES}3{_LINES}B")
+_BREAK = r"\\[nrt]?|[\r\n\f\v]"
+_BESIDE = r"""["'][\x20\t]*[+.,](?=[\x20\t]*[\r\n])|[\x20\t"'>|#*]"""
+_JOINED = f"(?:{_BESIDE})*(?:{_BREAK})(?:{_BESIDE}|{_BREAK})*"
+_JOIN64 = re.compile(_JOINED)
 _PIECE64 = re.compile(r"[A-Za-z0-9+/_-]+")
-_JOIN64 = re.compile(r"\r?\n")
-_STARTHEX = re.compile(r"30[0-8]|6[Ff]70")
-_PIECEHEX = re.compile(r"[0-9A-Fa-f]+")
+_START64 = re.compile(f"M(?:{_JOINED})?[A-I]|b(?:{_JOINED})?3(?:{_JOINED})?B")
 _OPENS64 = re.compile(r"(?=M[A-I]|b3Bl)")
+_APART = r"""(?:\\[nrtx]?|0[xX](?=[0-9A-Fa-f])|[\s:,+"'>|#*-])"""
+_JOINHEX = re.compile(f"{_APART}+", re.ASCII)
+_PIECEHEX = re.compile(r"[0-9A-Fa-f]+")
+_STARTHEX = re.compile(f"3{_APART}*0{_APART}*[0-8]|6{_APART}*[Ff]{_APART}*7{_APART}*0", re.ASCII)
 _OPENSHEX = re.compile(r"(?=30[0-8]|6[Ff]70)")
 _TOKEN = re.compile(r"(?<![A-Za-z0-9_-])(ey[A-Za-z0-9_-]{8,}|ew[A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]{2,})\.[A-Za-z0-9_-]*")
 #: Without one of these a text has no assignment.
 _WORDS = ("passw", "secret", "token", "api_key", "apikey")
-#: Hex, decoded candidates and tokens all hold a run of that many of these bytes.
+#: Hex and tokens hold a run of that many of these bytes; keys may be wrapped in shorter lines.
 RUN = 24
 _RUN_BYTES = np.zeros(256, bool)
 _RUN_BYTES[[*range(48, 58), *range(65, 91), *range(97, 123), *b"+/_-.="]] = True
@@ -167,7 +176,7 @@ def _key_at(raw: bytes, at: int) -> tuple[str, int] | None:
     return None
 
 
-def _run(text: str, start: int, piece: re.Pattern, join: re.Pattern | None) -> tuple[str, list[int], list[int], int]:
+def _run(text: str, start: int, piece: re.Pattern, join: re.Pattern) -> tuple[str, list[int], list[int], int]:
     """Pieces from ``start`` over joins: their characters, where each piece starts in those and in ``text``, and the end."""
     parts, lead, place, at, n = [], [], [], start, 0
     while m := piece.match(text, at):
@@ -175,8 +184,7 @@ def _run(text: str, start: int, piece: re.Pattern, join: re.Pattern | None) -> t
         lead.append(n)
         place.append(at)
         n, end = n + len(m[0]), m.end()
-        gap = join.match(text, end) if join else None
-        if not gap:
+        if not (gap := join.match(text, end)):
             break
         at = gap.end()
     return "".join(parts), lead, place, end
@@ -188,7 +196,7 @@ def _keys(text: str, hexa: bool) -> list[tuple[int, int, int]]:
     A key may start anywhere in a run and ends where its own lengths say; the scan goes on behind it. A run is decoded
     once for each place that its characters can have in a byte, so no start copies the rest of it.
     """
-    start, piece, join, opens = (_STARTHEX, _PIECEHEX, None, _OPENSHEX) if hexa else (_START64, _PIECE64, _JOIN64, _OPENS64)
+    start, piece, join, opens = (_STARTHEX, _PIECEHEX, _JOINHEX, _OPENSHEX) if hexa else (_START64, _PIECE64, _JOIN64, _OPENS64)
     per, size = (2, 1) if hexa else (4, 3)  # so many characters are so many bytes
     out, at = [], 0
     while m := start.search(text, at):
@@ -223,17 +231,17 @@ def base_spans(text: str, has_run: bool = True) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def confirmed_spans(text: str) -> list[tuple[int, int, int]]:
-    """(start, kind number, end) of decoded candidates that parse."""
+def confirmed_spans(text: str, has_run: bool = True) -> list[tuple[int, int, int]]:
+    """(start, kind number, end) of decoded candidates that parse; without a run there is no token, but wrapped keys."""
     out = {*_keys(text, False), *_keys(text, True)}
-    for m in _TOKEN.finditer(text):
+    for m in _TOKEN.finditer(text) if has_run else ():
         if len(m[0]) >= RUN and is_token(m[1], m[2]):
             out.add((m.start(), KINDS.index("jwt"), m.end()))
     return sorted(out)
 
 
 def with_runs(flat: Flat) -> np.ndarray:
-    """Which texts hold a run of ``RUN`` candidate bytes: the patterns need not look at the others."""
+    """Which texts hold a run of ``RUN`` candidate bytes: the hex and token patterns need not look at the others."""
     starts, ends, first = flat.words(_RUN_BYTES)
     return per_text(first, ends - starts >= RUN) > 0
 
@@ -267,7 +275,7 @@ def scan_secrets(docs: DataFrame, keep: list[str], with_text: bool = False) -> D
         rows = []
         for text, run in zip(texts.to_pylist(), with_runs(Flat(texts)).tolist()):
             base = base_spans(text or "", run)
-            every = sorted(base + confirmed_spans(text or "")) if run else base
+            every = sorted(base + confirmed_spans(text or "", run))
             count = [sum(k == i for _, k, _ in base) for i in range(3)]
             row = [*count, hashlib.sha256(_listed(base).encode()).hexdigest(), _listed(every)]
             rows.append([*row, None if text is None else redact(text, every)] if with_text else row)

@@ -6,6 +6,7 @@ import base64
 import hashlib
 import json
 import random
+import time
 import zlib
 
 import brute
@@ -233,6 +234,39 @@ def test_keys_end_where_their_length_says(raw):
     assert secret_scan.redact(f"a\n{key}\nThe next", secret_scan.confirmed_spans(f"a\n{key}\nThe next")) == "a\n[secret]\nThe next"
 
 
+def _wraps(chars: str, width: int, between: str) -> str:
+    return between.join(chars[i : i + width] for i in range(0, len(chars), width))
+
+
+@pytest.mark.parametrize("raw,kind", [(ED25519, "der"), (P256, "der"), (RSA, "der"), (OPENSSH, "openssh")])
+@pytest.mark.parametrize("width", [1, 7, 16, 60, 64, 76])
+def test_wrapped_keys(raw, kind, width):
+    joins = ["\n", "\r\n", "\n    ", "\n\t", "\\n", "\\r\\n", "\\\\n", "\n> ", "\n> > ", "\n# ", '\\n"\n  "', '" +\n  "', "\\\n"]
+    for code, more in ((base64.b64encode, []), (base64.urlsafe_b64encode, []), (bytes.hex, [":", " ", ", 0x", "\\x", ":\n    "])):
+        chars = code(raw) if code is bytes.hex else code(raw).decode()
+        for between in joins + more:
+            if code is bytes.hex and between in (", 0x", "\\x") and width % 2:
+                continue  # such marks stand between bytes
+            for given in (chars, chars.upper()) if code is bytes.hex else (chars.rstrip("="),):
+                key = _wraps(given, width, between)
+                for lead, trail in (("x: ", "."), ("KEY-----" + between, between + "-----END"), ("", between + "The next")):
+                    text = lead + key + trail
+                    assert [(secret_scan.KINDS[k], text[a:b]) for a, k, b in secret_scan.confirmed_spans(text)] == [(kind, key)], text
+
+
+def test_wrapped_keys_are_redacted(spark):
+    texts = [_wraps(base64.b64encode(ED25519).decode(), 16, "\n  "), _wraps(P256.hex(), 2, ":"), '{"a": "' + r"-\n" + base64.b64encode(ED25519).decode() + '"}']
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["redacted"] for r in secret_scan.scan_secrets(docs, ["doc_id"], with_text=True).collect()}
+    assert got == {0: "[secret]", 1: "[secret]", 2: '{"a": "' + r"-\n" + '[secret]"}'}
+
+
+def test_odd_separators_take_linear_time():
+    for text in ("M" + "\\" * 200_000, "M" + '" ' * 200_000, "3" + "\\x" * 200_000, "MA\n" * 100_000, "30 " * 100_000, "MC4CAQAw\n" * 30_000):
+        began = time.perf_counter()
+        assert secret_scan.confirmed_spans(text) == [] and time.perf_counter() - began < 5
+
+
 def test_no_key_without_its_structure():
     assert len(ED25519) % 3 == 0 and len(P256) % 3 == 0
     for raw in (ED25519[:-1], P256[:-1], bytes(48), b"\x30\x84\xff\xff\xff\xff" + bytes(60), b"\x30\x80" + bytes(60)):
