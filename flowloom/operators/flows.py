@@ -71,7 +71,7 @@ def _flow_id(first_idx: Column) -> Column:
 
 
 def assemble_flows(packets: DataFrame, **options) -> DataFrame:
-    """Flows of every capture file, one row each; ``options`` as for ``assemble_parts``."""
+    """Flows of every capture file, one row each, with the arrays of the first part; ``options`` as for ``assemble_parts``."""
     return first_part(assemble_parts(packets, **options))
 
 
@@ -288,7 +288,11 @@ def _long_conversations(
 
 
 def group_flows(packets: DataFrame, **options) -> DataFrame:
-    """One flow per conversation and file, no cuts; ``options`` as for ``group_parts``."""
+    """One flow per conversation and file, no cuts; ``options`` as for ``group_parts``.
+
+    The arrays are those of the first part, ``max_pkts`` packets at most; counts and extent are those of the whole
+    flow. ``group_parts`` has the packets beyond.
+    """
     return first_part(group_parts(packets, **options))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from flowloom.plans.fixtures import DAY, GRAPH_SIZE, SRC_FILE, WINDOW_ROWS, window_starts
 from flowloom.plans.queries import MULTI_DAYS
 from flowloom.plans.written import PER_FILE
-from flowloom.schemas import ATTACK_WINDOW_ROWS, DAY_PARAM_ROWS, DEFAULT_PARAMS
+from flowloom.schemas import ATTACK_WINDOW_ROWS, DAY_PARAM_ROWS, DEFAULT_PARAMS, MAX_PACKETS
 
 LEFTOVER = 1 << 60
 
@@ -327,6 +327,11 @@ def _flow_rows(source: str) -> str:
     )
 
 
+def _in_parts(source: str, size: int = MAX_PACKETS) -> str:
+    cut = ", ".join(f"{c}[{size} * part + 1 : {size} * part + {size}] AS {c}" for c in ("pktsize", "pktts", "pktdirs"))
+    return f"(SELECT * REPLACE ({cut}) FROM (SELECT * EXCLUDE (part), unnest(generate_series(0, (n_pkts - 1) // {size})) AS part FROM {source}))"
+
+
 GROUPED = f"""
 grouped AS (
   SELECT src_file || '#' || min(pkt_idx) AS flow_id, {_KEY}, 0 AS part, count(*) AS n_pkts, list(size ORDER BY pkt_idx) AS pktsize,
@@ -430,6 +435,9 @@ ORACLES: dict[str, str] = {
     "packet_limit": sql("SELECT pkt_idx, CAST(size AS BIGINT) AS size FROM packets WHERE pkt_idx < 500", PACKETS),
     "flow_assembly": sql(_flow_rows("flows"), PACKETS, KEYED, FLOWS),
     "flow_group": sql(_flow_rows("grouped"), PACKETS, KEYED_TEXT, GROUPED),
+    "flow_assembly_parts": sql(_flow_rows(_in_parts("flows")), PACKETS, KEYED, FLOWS),
+    "flow_group_parts": sql(_flow_rows(_in_parts("grouped")), PACKETS, KEYED_TEXT, GROUPED),
+    "flow_roundtrip_parts": sql(_flow_rows(_in_parts("flows")), PACKETS, KEYED, FLOWS),
     "flow_group_long": sql(
         _flow_rows("(SELECT * REPLACE (pktsize[1:4] AS pktsize, pktts[1:4] AS pktts, pktdirs[1:4] AS pktdirs) FROM grouped)"), PACKETS, KEYED_TEXT, GROUPED),
     "flow_parts_long": sql(

@@ -20,14 +20,14 @@ from flowloom.plans import fixtures as fx
 from flowloom.plans.fixtures import packets as packet_view
 from flowloom.plans.fixtures import stage, table
 from flowloom.plans.written import (
-    capture_dir, clusters_json_dir, flow_dir, mixed_stats_dir, packet_csv_dir, sequence_dir, stats_dir,
+    capture_dir, clusters_json_dir, flow_dir, mixed_stats_dir, packet_csv_dir, part_dir, sequence_dir, stats_dir,
 )
 from flowloom.schemas import attack_windows, day_params
 from flowloom.sources.flow_stats import read_flow_stats
 from flowloom.sources.packet_csv import read_packet_csv
 from flowloom.sources.pcap import read_pcap
 from flowloom.sources.sequences import read_sequences
-from flowloom.sources.store import read_clusters_json, read_flows, with_day
+from flowloom.sources.store import read_clusters_json, read_flows, read_parts, with_day
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 MULTI_DAYS = [
@@ -98,6 +98,18 @@ def flow_group(spark, sf):
     return _flow_rows(flows.group_flows(packet_view(spark, sf)))
 
 
+@query
+def flow_assembly_parts(spark, sf):
+    """Every packet of every flow, in parts of the usual size."""
+    return _flow_rows(flows.assemble_parts(packet_view(spark, sf)))
+
+
+@query
+def flow_group_parts(spark, sf):
+    """Every packet of every conversation, in parts of the usual size."""
+    return _flow_rows(flows.group_parts(packet_view(spark, sf)))
+
+
 @query
 def flow_group_long(spark, sf):
     """Conversations above a cap of 4 packets, over blocks of 50: one row per flow, with its first packets."""
@@ -133,6 +145,11 @@ def flow_roundtrip(spark, sf):
     return _flow_rows(read_flows(spark, flow_dir(spark, sf), fx.DAY))
 
 
+@query
+def flow_roundtrip_parts(spark, sf):
+    return _flow_rows(read_parts(spark, part_dir(spark, sf), fx.DAY))
+
+
 @query
 def day_partitions(spark, sf):
     d = with_day(packet_view(spark, sf))

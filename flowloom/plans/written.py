@@ -8,11 +8,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from flowloom.operators.flows import assemble_parts
 from flowloom.plans.fixtures import packets, stage, table
 from flowloom.schemas import STATS_FIELDS
 from flowloom.session import scratch_path
 from flowloom.sources.files import write_file
-from flowloom.sources.store import exists, write_clusters_json, write_flows
+from flowloom.sources.store import exists, with_day, write_clusters_json, write_flows, write_parts
 
 PER_FILE = 2000
 
@@ -29,6 +30,12 @@ def flow_dir(spark: SparkSession, sf_dir: str) -> str:
     return _once(spark, sf_dir, "flow_table", lambda p: write_flows(stage(spark, sf_dir, "flows").drop("capture_date"), p))
 
 
+def part_dir(spark: SparkSession, sf_dir: str) -> str:
+    """Flow table path beside which the packet parts are."""
+    parts = lambda: with_day(assemble_parts(packets(spark, sf_dir))).drop("capture_date")
+    return _once(spark, sf_dir, "flow_table_of_parts", lambda p: write_parts(parts(), p))
+
+
 def clusters_json_dir(spark: SparkSession, sf_dir: str) -> str:
     cols = ["flow_id", "src_file", "emit_at", "server_ip", "server_port", "client_ip", "client_port", "cluster_id", "y", "f_time"]
     return _once(spark, sf_dir, "clusters_json", lambda p: write_clusters_json(stage(spark, sf_dir, "clusters").select(*cols), p))

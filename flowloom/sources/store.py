@@ -30,6 +30,16 @@ def read_flows(spark: SparkSession, path: str, day: str | None = None) -> DataFr
     return df if day is None else df.where(F.col("day") == day)
 
 
+def write_parts(parts: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """Packet parts of the flow table in ``path``, beside it: every packet of every flow."""
+    write_flows(parts, f"{path}_parts", mode)
+
+
+def read_parts(spark: SparkSession, path: str, day: str | None = None) -> DataFrame:
+    """Packet parts stored beside the flow table in ``path``, of all days or of one."""
+    return read_flows(spark, f"{path}_parts", day)
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)

@@ -155,3 +155,18 @@ def test_group_flows_in_parts(spark):
         flows = group_flows(df, max_pkts=4, block=block).collect()
         assert [(r.part, r.pktts, r.n_pkts, r.pktts_end) for r in flows] == [(0, [0.0, 1.0, 2.0, 3.0], 10, 9.0)]
     assert first_packets(df, 3).count() == 3
+
+
+def test_registered_parts_hold_every_packet(spark, monkeypatch, tmp_path):
+    """10,001 packets of one UDP conversation: all of them in the registered part queries and in the store."""
+    from flowloom.plans import oracles, queries
+    from flowloom.sources.store import read_parts, with_day, write_parts
+
+    udp = spark.createDataFrame([packet(i, i * 0.001, 0, 17, file="Friday-02-03-2018/x") for i in range(10_001)], PACKETS)
+    monkeypatch.setattr(queries, "packet_view", lambda *_: udp)
+    for name in ("flow_assembly_parts", "flow_group_parts"):
+        rows = queries.QUERIES[name](spark, "").collect()
+        assert sorted((r.part, len(r.sizes.split(","))) for r in rows) == [(0, 10_000), (1, 1)] and name in oracles.ORACLES
+    write_parts(with_day(assemble_parts(udp)).drop("capture_date"), str(tmp_path / "flows"))
+    got = read_parts(spark, str(tmp_path / "flows"), "Friday-02-03-2018").collect()
+    assert sorted((r.part, len(r.pktsize)) for r in got) == [(0, 10_000), (1, 1)]
