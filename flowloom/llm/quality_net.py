@@ -151,23 +151,29 @@ def held_out(doc_id: Column) -> Column:
 def fit_on_labels(docs: DataFrame, labels: DataFrame, max_rows: int = 4000, max_bytes: int = 64 << 20) -> Net:
     """The network fitted on a bounded sample of labelled rows that are not held out.
 
-    The sample is the ``max_rows`` ids of least hash; texts are taken in that order while they fit ``max_bytes``.
+    The sample is the ``max_rows`` ids of least hash; texts are taken in that order, passing over those with which the
+    sum would be above ``max_bytes``. Labelled texts of which none fits are an error.
     Null labels, ids and texts are left out; of an id with several labels the greatest counts, of one with several
     texts the least. Rows are thinned out by the hash before they are put in order.
     """
     known = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").where(~held_out(F.col("doc_id")))
     order = F.xxhash64(F.lit(3), "doc_id")
-    few = known.where(below_share(order, max_rows, known.count()))
+    few = known.where(below_share(order, max_rows, known.agg(F.countDistinct("doc_id")).first()[0]))
     chosen = few.groupBy("doc_id").agg(F.max("quality").alias("quality")).orderBy(order, "doc_id").limit(max_rows)
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
-    total, texts, marks = 0, [], []
+    seen, total, texts, marks = 0, 0, [], []
     rows = rows.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text"))  # ids bounded by max_rows
+    rows = rows.withColumn("text", F.when(F.octet_length("text") <= max_bytes, F.col("text")))
     for r in rows.orderBy(order, "doc_id").toLocalIterator():
-        total += len(r["text"].encode())
-        if total > max_bytes:
-            break
+        seen += 1
+        size = max_bytes + 1 if r["text"] is None else len(r["text"].encode())
+        if total + size > max_bytes:
+            continue
+        total += size
         texts.append(r["text"])
         marks.append(int(r["quality"]))
+    if seen and not texts:
+        raise ValueError(f"none of {seen} labelled texts has at most {max_bytes} bytes")
     return fit(texts, marks)
 
 

@@ -114,6 +114,29 @@ def test_quality_net_odd_rows(spark, odd, empty):
     assert quality_net.score_quality(empty, quality_net.fit_on_labels(empty, none), ["doc_id"]).count() == 0
 
 
+def test_quality_net_passes_over_large_texts(spark, monkeypatch):
+    fitted = []
+    monkeypatch.setattr(quality_net, "fit", lambda texts, marks: fitted.append(sorted(texts)))
+    ids = [i for i in range(200) if zlib.crc32(str(i).encode()) % 5]
+    for large in ids[:6]:  # one of them comes early in hash order
+        docs = spark.createDataFrame([(i, "x" * 2000 if i == large else f"text {i}") for i in ids], "doc_id bigint, text string")
+        labels = spark.createDataFrame([(i, 1, 0) for i in ids], "doc_id bigint, quality int, toxic int")
+        quality_net.fit_on_labels(docs, labels, max_bytes=1900)
+        assert fitted[-1] == sorted(f"text {i}" for i in ids if i != large)
+    with pytest.raises(ValueError):
+        quality_net.fit_on_labels(docs, labels, max_bytes=3)
+
+
+def test_quality_net_counts_ids_once(spark, monkeypatch):
+    fitted = []
+    monkeypatch.setattr(quality_net, "fit", lambda texts, marks: fitted.append(len(texts)))
+    ids = [i for i in range(400) if zlib.crc32(str(i).encode()) % 5]
+    docs = spark.createDataFrame([(i, f"text {i}") for i in ids], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in ids for _ in range(20)], "doc_id bigint, quality int, toxic int")
+    quality_net.fit_on_labels(docs, labels, max_rows=100)
+    assert fitted == [100]
+
+
 # near duplicates
 
 
