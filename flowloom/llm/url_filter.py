@@ -16,8 +16,6 @@ from pyspark.sql import functions as F
 
 from flowloom.session import broadcast_if_small, cut_lineage
 
-#: Longest word of a segmentation; longer stretches become several words.
-LONGEST = 20
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _WORD = r"[a-z\u0080-￿]+"
 _PART = r"[a-z\u0080-￿]+|[0-9]+"
@@ -64,12 +62,16 @@ def segment_words(words: DataFrame, counts: DataFrame) -> DataFrame:
     """(word, parts) for each distinct ``word``: the likeliest split into words of ``counts``.
 
     A stretch of ``l`` letters that is no known word has probability 10 / (total * 10^l), so it stays whole unless
-    known words cover it. Of equally likely splits the one whose last word is longest is taken.
+    known words cover it. Of equally likely splits the one whose last word is longest is taken. Words and stretches may
+    have any length; only substrings of a length that some counted word has are looked up.
     """
     total = counts.agg(F.sum("n")).first()[0] or 1
-    n, known = F.length("word"), counts.where(F.length("word") <= LONGEST).select(F.col("word").alias("sub"), "n")
+    longest = words.agg(F.max(F.length("word"))).first()[0] or 0
+    known = counts.where(F.length("word") <= longest).select(F.col("word").alias("sub"), "n")
+    sizes = [r[0] for r in known.select(F.length("sub")).distinct().collect()]  # at most one for each length of a name
+    n = F.length("word")
     starts = words.select("word", F.explode(F.sequence(F.lit(1), n)).alias("a"))
-    subs = starts.select("word", "a", F.explode(F.sequence(F.lit(1), F.least(F.lit(LONGEST), n - F.col("a") + 1))).alias("l"))
+    subs = starts.select("word", "a", F.explode(F.filter(F.array(*map(F.lit, sorted(sizes))).cast("array<int>"), lambda l: l <= n - F.col("a") + 1)).alias("l"))
     subs = subs.withColumn("sub", F.substr("word", F.col("a"), F.col("l")))
     found = subs.join(broadcast_if_small(known, SMALL_ROWS), "sub").groupBy("word").agg(F.collect_list(F.struct("a", "l", "n")).alias("found"))
 
@@ -81,14 +83,15 @@ def segment_words(words: DataFrame, counts: DataFrame) -> DataFrame:
 
 
 def _viterbi(word: str, found, total: int) -> list[str]:
-    known = {(r["a"] - 1, r["l"]): r["n"] for r in found} if found is not None else {}
-    best = [(0.0, 0)]
+    known = {}
+    for r in found if found is not None else ():
+        known.setdefault(r["a"] - 1 + r["l"], []).append((r["l"], r["n"]))
+    best, far = [(0.0, 0)], (-math.inf, 0)  # far: where an unknown stretch that ends here begins best, by the least place
     for end in range(1, len(word) + 1):
-        options = []
-        for size in range(1, min(LONGEST, end) + 1):
-            n = known.get((end - size, size))
-            p = math.log(n / total) if n else math.log(10 / total) - size * math.log(10)
-            options.append((best[end - size][0] + p, size))
+        far = max(far, (best[-1][0] + (end - 1) * math.log(10), 1 - end))
+        size = end + far[1]
+        options = [(best[end - size][0] + math.log(10 / total) - size * math.log(10), size)]
+        options += [(best[end - l][0] + math.log(n / total), l) for l, n in known.get(end, ())]
         best.append(max(options))
     out, end = [], len(word)
     while end:

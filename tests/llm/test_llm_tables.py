@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from flowloom.llm.chat_format import PART, chat_digest, escape, format_chats, text_parts, unescape
 from flowloom.llm.queries import QUERIES
-from flowloom.llm.url_filter import _viterbi, host_and_path, judge_urls, match_rules
+from flowloom.llm.url_filter import _viterbi, host_and_path, judge_urls, match_rules, segment_words
 
 ALL = ["op1_quality_classifier", "op2_minhash", "op3_token_counts", "op4_secret_scan", "op5_sharding", "op6_sentencepiece",
        "op7_decontaminate", "op8_quality_rules", "op9_url_filter", "op10_chat_format"]
@@ -107,6 +107,20 @@ def test_viterbi_matches_all_splits():
         assert score(_viterbi(word, found, total)) == pytest.approx(max(map(score, splits)))
 
 
+def test_long_words_and_stretches_stay_whole(spark):
+    long, strange = "donaudampfschifffahrtsgesellschaft", "q" * 45
+    counts = spark.createDataFrame([(long, 5), ("buy", 50), ("now", 50)], "word string, n bigint")
+    words = spark.createDataFrame([(long,), (f"buy{long}now",), (strange,), (f"{strange}buy",), ("buynow",), ("x",)], "word string")
+    got = {r["word"]: r["parts"] for r in segment_words(words, counts).collect()}
+    assert got == {
+        long: [long], f"buy{long}now": ["buy", long, "now"], strange: [strange], f"{strange}buy": [strange, "buy"], "buynow": ["buy", "now"], "x": ["x"],
+    }
+    no_known = spark.createDataFrame([("z", 1000)], "word string, n bigint")
+    assert {r["word"]: r["parts"] for r in segment_words(words, no_known).collect()} == {w: [w] for w in got}
+    assert segment_words(words, counts.limit(0)).count() == len(got)
+    assert segment_words(words.limit(0), counts).count() == 0
+
+
 def test_bayes_verdicts(spark):
     html = "<p>cheap pills buy now good news daily news <script>var pillscheap</script></p>"
     pages = [(i, f"http://cheappills{i}.x.net/buy/{i}", html) for i in range(8)] + [(20 + i, f"http://dailynews{i}.x.org/fr/good/{i}", html) for i in range(8)]
