@@ -20,8 +20,8 @@ IS_WORD = np.ones(256, bool)
 IS_WORD[[0x20, *range(0x09, 0x0E)]] = False
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
-_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-BYTE_CODE = np.random.default_rng(20240601).integers(1, 1 << 63, 256, dtype=np.uint64)
+#: 8-byte pieces that are hashed at once.
+PIECES = 1 << 18
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -58,17 +58,26 @@ class Flat:
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each byte span, from one running polynomial sum over the bytes."""
-    n = len(data)
-    power = np.full(n + 1, _ODD)
-    power[0] = 1
-    np.cumprod(power, out=power)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(BYTE_CODE[data] * power[:n], out=total[1:])
-    h = total[ends] - total[starts]
-    power[0], power[1:] = 1, _INVERSE
-    np.cumprod(power, out=power)
-    return mix(h * power[starts] + (ends - starts).astype(np.uint64))
+    """A 64-bit hash of each byte span: its 8-byte pieces, each mixed with its place in the span before they are summed.
+
+    Works on ``PIECES`` pieces at a time, so the memory beyond the result does not grow with the spans.
+    """
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    at_byte = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+    size = ends - starts
+    lead = np.concatenate([[0], np.cumsum((size + 7) >> 3)])
+    out = size.astype(np.uint64) * _ODD
+    for low in range(0, int(lead[-1]), PIECES):
+        high = min(low + PIECES, int(lead[-1]))
+        s0, s1 = np.searchsorted(lead, low, side="right") - 1, np.searchsorted(lead, high, side="left")
+        cut = np.clip(lead[s0 : s1 + 1], low, high)
+        span = np.repeat(np.arange(s0, s1), np.diff(cut))
+        place = np.arange(low, high) - lead[span]
+        at = starts[span] + 8 * place
+        spare = np.maximum(at + 8 - ends[span], 0).astype(np.uint64) * np.uint64(8)
+        piece = at_byte[at] & (np.uint64(0xFFFFFFFFFFFFFFFF) >> spare)
+        out[s0:s1] += per_text(cut - low, mix(piece ^ mix((place + 1).astype(np.uint64) * _ODD)).view(np.int64)).view(np.uint64)
+    return mix(out)
 
 
 def window_hashes(h: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
