@@ -29,7 +29,7 @@ def map_groups(df: DataFrame, keys: list[str], fn: Callable[[pa.RecordBatch], li
     """Applies ``fn`` to each group of equal ``keys`` (bigint), dealt by key and streamed in key order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _whole_groups(batches, keys):
+        for table in whole_groups(batches, keys):
             cut = np.append(_starts(table, keys), len(table))
             rows = [r for a, b in zip(cut[:-1].tolist(), cut[1:].tolist()) if b - a > 1 for r in fn(table.slice(a, b - a))]
             if rows:
@@ -47,19 +47,22 @@ def _starts(table: pa.Table, keys: list[str]) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def _whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int = 0) -> Iterator[pa.Table]:
+    """Tables that end where a group of equal ``keys`` ends, from batches in key order; a next one begins after ``rows`` rows."""
     kept: list[pa.RecordBatch] = []
+    size = 0
     for batch in batches:
         if not len(batch):
             continue
-        if kept and any(kept[-1].column(k)[-1] != batch.column(k)[0] for k in keys):
+        if kept and size >= rows and any(kept[-1].column(k)[-1] != batch.column(k)[0] for k in keys):
             yield pa.Table.from_batches(kept).combine_chunks()
-            kept = []
+            kept, size = [], 0
         last = int(_starts(pa.Table.from_batches([batch]), keys)[-1])
-        if last:
+        if last and size + last >= rows:
             yield pa.Table.from_batches([*kept, batch.slice(0, last)]).combine_chunks()
-            kept = []
-        kept.append(batch.slice(last))
+            kept, size, batch = [], 0, batch.slice(last)
+        kept.append(batch)
+        size += len(batch)
     if kept:
         yield pa.Table.from_batches(kept).combine_chunks()
 

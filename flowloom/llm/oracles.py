@@ -92,3 +92,20 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
   CAST(sum(length(piece)) AS BIGINT) AS formatted_chars
 FROM e GROUP BY conv_id
 """
+
+ORACLES["op11_substring_dedup"] = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+spots AS (
+  SELECT doc_id, pos, sha256(array_to_string(w[pos : pos + 49], ' ')) AS win
+  FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 49)) AS pos FROM d WHERE len(w) > 49)),
+least AS (SELECT win, min(doc_id) AS least FROM spots GROUP BY 1),
+gone AS (
+  SELECT doc_id, list(DISTINCT p) AS gone
+  FROM (SELECT s.doc_id, unnest(generate_series(s.pos, s.pos + 49)) AS p FROM spots s JOIN least l ON s.win = l.win AND s.doc_id > l.least) GROUP BY 1),
+kept AS (
+  SELECT x.doc_id, string_agg(x.word, ' ' ORDER BY x.p) AS kept, count(*) AS n
+  FROM (SELECT doc_id, unnest(w) AS word, unnest(generate_series(1, len(w))) AS p FROM d WHERE len(w) > 0) x
+  LEFT JOIN (SELECT doc_id, unnest(gone) AS p, true AS out FROM gone) g ON g.doc_id = x.doc_id AND g.p = x.p WHERE g.out IS NULL GROUP BY 1)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""

@@ -13,6 +13,7 @@ from flowloom.llm.quality_rules import apply_rules
 from flowloom.llm.secret_scan import scan_secrets
 from flowloom.llm.sentencepiece_bpe import encode_texts
 from flowloom.llm.sharding import assign_shards
+from flowloom.llm.substring_dedup import remove_repeats
 from flowloom.llm.token_counts import count_tokens
 from flowloom.llm.url_filter import judge_urls
 
@@ -95,3 +96,8 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     control = spark.sql("SELECT -1L AS conv_id, turn, role, '</s>[INST] ok [/INST]' AS text FROM VALUES (0L, 'user'), (1L, 'assistant') AS t(turn, role)")
     rows = given.unionByName(control)
     return chat_digest(format_chats(rows.withColumn("parts", text_parts(F.col("text")))))
+
+
+@_query
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(_table(spark, sf_dir, "documents")).drop("kept_text")

@@ -98,3 +98,22 @@ def attribution(lengths: list[int], spans: list[tuple[int, int]], rule: str) ->
         n = sum(a <= s < b for s, _ in tokens) if rule == "first" else sum((min(e, b) - max(s, a)) / (e - s) for s, e in touch)
         out.append((n, sum(s < a < e for s, e in touch) + sum(s >= a and s < b < e for s, e in touch)))
     return out
+
+
+def without_repeats(rows, window=50):
+    """(n_words, n_removed, kept text) of each (doc_id, text), by looking at every window."""
+    words = [re.findall(r"[^\x20\x09-\x0D]+", t or "") for _, t in rows]
+    least = {}
+    for (doc, _), w in zip(rows, words):
+        for i in range(len(w) - window + 1):
+            if doc is not None:
+                key = tuple(w[i : i + window])
+                least[key] = min(doc, least.get(key, doc))
+    out = []
+    for (doc, _), w in zip(rows, words):
+        gone = set()
+        for i in range(len(w) - window + 1):
+            if doc is not None and least[tuple(w[i : i + window])] < doc:
+                gone |= set(range(i, i + window))
+        out.append((len(w), len(gone), " ".join(x for i, x in enumerate(w) if i not in gone)))
+    return out
