@@ -6,11 +6,11 @@ anchor (winnowing). Equal windows hold the same anchor at the same place, so doc
 *Extend.* An anchor can be extended by ``REACH`` words to each side before a window no longer holds it. Occurrences of
 an anchor whose whole surroundings agree are one class: a class is summed up by its smallest document before anything
 is compared, and all other occurrences in it are repeats as far as they reach. Only where the classes of one anchor
-differ does one occurrence of each (of its smallest document) get its surrounding words. Their extensions to the left
-and to the right are hashed step by step; two classes share a window if they agree ``r`` words to the left and
-``REACH - r`` to the right. The longest of these is the maximal repeat around the anchor, kept if it reaches
-``WINDOW`` words. Classes of one anchor are compared together in one task up to ``GROUP``; the extensions of more are
-keys of an aggregation that Spark spreads, so a passage that stands in a third of all documents needs no task of its own.
+differ is one occurrence of each (in its smallest document) extended: its surroundings are hashed step by step to the
+left and to the right, and two classes share a window if they agree ``r`` words to the left and ``REACH - r`` to the
+right. The farthest of these to both sides are the maximal repeat around the anchor, kept if it reaches ``WINDOW``
+words. Classes of one anchor are compared together in one task up to ``GROUP``; the extensions of more are keys of an
+aggregation that Spark spreads, so a passage that stands in a third of all documents needs no task of its own.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from flowloom.llm.grouped import whole_groups
 from flowloom.llm.text import Flat, blocks, mix, span_hashes
-from flowloom.session import cut_lineage, spread
+from flowloom.session import broadcast_if_small, cut_lineage, spread
 
 WINDOW = 50
 SEED = 8
@@ -48,21 +48,21 @@ def _sliding(x: np.ndarray, width: int, pick: np.ufunc) -> np.ndarray:
     return pick(out[: len(out) - rest], out[rest:]) if rest else out
 
 
-def anchors(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Word places of the anchors and their hashes, of words ``h`` in texts that begin at ``first`` (one more than texts)."""
+def anchors(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Word places of the anchors, the hashes of all runs, and the least one of each window (0 where a text ends inside).
+
+    ``h`` are words of texts that begin at ``first`` (one more than texts).
+    """
     if len(h) < WINDOW:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return np.zeros(0, np.int64), h[:0], h[:0]
     runs = np.zeros(len(h) - SEED + 1, np.uint64)
     for k in range(SEED):
         runs = mix(runs * np.uint64(0x9E3779B97F4A7C15) + h[k : len(h) - SEED + 1 + k])
-    width = WINDOW - SEED + 1
-    low = _sliding(runs, width, np.minimum)
+    low = _sliding(runs, REACH + 1, np.minimum)
     end = np.repeat(first[1:], np.diff(first))
     low[np.arange(len(low)) + WINDOW > end[: len(low)]] = 0  # a window across two texts
-    edge = np.zeros(width - 1, np.uint64)
-    chosen = _sliding(np.concatenate([edge, low, edge]), width, np.maximum) == runs
-    at = np.flatnonzero(chosen)
-    return at, runs[at]
+    edge = np.zeros(REACH, np.uint64)
+    return np.flatnonzero(_sliding(np.concatenate([edge, low, edge]), REACH + 1, np.maximum) == runs), runs, low
 
 
 def surroundings(h: np.ndarray, first: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -74,9 +74,8 @@ def surroundings(h: np.ndarray, first: np.ndarray, at: np.ndarray) -> np.ndarray
     return out
 
 
-def extension_keys(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each row of ``surroundings`` and each ``r``: a hash of what ``r`` words to the left and ``REACH - r`` to the
-    right give, and whether the text reaches that far."""
+def extension_keys(words: np.ndarray) -> np.ndarray:
+    """For each row of ``surroundings`` and each ``r``: a hash of the extensions by ``r`` words to the left and ``REACH - r`` to the right."""
     n = len(words)
     left, right = np.zeros((n, REACH + 1), np.uint64), np.zeros((n, REACH + 1), np.uint64)
     for k in range(SEED):
@@ -84,11 +83,13 @@ def extension_keys(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     for r in range(REACH):
         left[:, r + 1] = mix(left[:, r] * np.uint64(0xA24BAED4963EE407) + words[:, REACH - 1 - r])
         right[:, r + 1] = mix(right[:, r] * np.uint64(0xD6E8FEB86659FD93) + words[:, WINDOW + r])
-    r = np.arange(REACH + 1)
-    reach_left = (words[:, :REACH] != 0).sum(1)
-    reach_right = (words[:, WINDOW:] != 0).sum(1)
-    inside = (r <= reach_left[:, None]) & (REACH - r <= reach_right[:, None])
-    return mix(left * np.uint64(0x9E3779B97F4A7C15) + right[:, ::-1] + r.astype(np.uint64)), inside
+    return mix(left * np.uint64(0x9E3779B97F4A7C15) + right[:, ::-1] + np.arange(REACH + 1, dtype=np.uint64))
+
+
+def own_windows(at: np.ndarray, runs: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """Whether the window that begins ``r`` words before the anchor is one of those that chose it; a range of ``r``."""
+    start = at[:, None] - np.arange(REACH + 1)
+    return (start >= 0) & (start < len(low)) & (low[np.clip(start, 0, len(low) - 1)] == runs[at][:, None])
 
 
 def _words(texts: pa.Array) -> tuple[Flat, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -98,93 +99,96 @@ def _words(texts: pa.Array) -> tuple[Flat, np.ndarray, np.ndarray, np.ndarray, n
     return flat, starts, ends, first, h | np.uint64(1)  # 0 stands for no word
 
 
-def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """Blocks of a batch: the rows, the first word of each, word hashes, anchors, runs, least runs."""
     for batch in batches:
         for start, stop in blocks(batch["text"]):
             part = batch.slice(start, stop - start)
             _, _, _, first, h = _words(part["text"])
-            at, seed = anchors(h, first)
-            text = np.searchsorted(first, at, side="right") - 1
-            for a in range(0, len(at), ROWS):
-                some, row = at[a : a + ROWS], text[a : a + ROWS]
-                around = mix(surroundings(h, first, some) ^ _SALT[: WINDOW + REACH]).view(np.int64).sum(1).view(np.uint64)
-                docs = part.select(_DOC).take(pa.array(row))
-                yield pa.RecordBatch.from_arrays(
-                    [*docs.columns, pa.array(seed[a : a + ROWS].view(np.int64)), pa.array(mix(around).view(np.int64)), pa.array((some - first[row]).astype(np.int32))],
-                    [*_DOC, "seed", "around", "at"],
-                )
-
-
-def _surrounding_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The words around the anchors listed in ``spots`` with each text."""
-    for batch in batches:
-        for start, stop in blocks(batch["text"]):
-            part = batch.slice(start, stop - start)
-            _, _, _, first, h = _words(part["text"])
-            spots, count = part["spots"].flatten(), part["spots"].value_lengths().to_numpy()
-            seed, around, at, n = (spots.field(i).to_numpy() for i in range(4))
-            row = np.repeat(np.arange(len(part)), count)
-            for a in range(0, len(at), ROWS):
-                some = slice(a, a + ROWS)
-                words = surroundings(h, first, first[row[some]] + at[some])
-                raw, wide = words.tobytes(), 8 * words.shape[1]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(seed[some]), pa.array(around[some]), pa.array(n[some]), part["doc_id"].take(pa.array(row[some])),
-                     pa.array([raw[i : i + wide] for i in range(0, len(raw), wide)], pa.binary())],
-                    ["seed", "around", "n", "doc_id", "words"],
-                )
-
-
-def _matrix(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(len(column), WINDOW + REACH)
-
-
-def _extend_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Classes of whole anchors, in seed order: how far each repeats a class of a smaller document."""
-    for table in whole_groups(batches, ["seed"], rows=8192):
-        keys, inside = extension_keys(_matrix(table["words"].combine_chunks()))
-        doc = table["doc_id"].to_numpy()
-        seed = np.unique(table["seed"].to_numpy(), return_inverse=True)[1]
-        hit = np.zeros(inside.shape, bool)
-        for r in range(REACH + 1):
-            order = np.lexsort((doc, keys[:, r], seed))
-            order = order[inside[order, r]]
-            if len(order) < 2:
-                continue
-            new = np.ones(len(order), bool)
-            new[1:] = (keys[order[1:], r] != keys[order[:-1], r]) | (seed[order[1:]] != seed[order[:-1]])
-            least = doc[order][np.flatnonzero(new)][np.cumsum(new) - 1]
-            hit[order, r] = doc[order] > least
-        found = np.flatnonzero(hit.any(1))
-        if len(found):
-            left = REACH - hit[found, ::-1].argmax(1)
-            right = WINDOW - hit[found].argmax(1)
+            yield part, first, h, *anchors(h, first)
+
+
+def _seed_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for part, first, _, at, runs, _ in _texts(batches):
+        text = np.searchsorted(first, at, side="right") - 1
+        yield pa.RecordBatch.from_arrays([part["doc_id"].take(pa.array(text)), pa.array(runs[at].view(np.int64))], ["doc_id", "seed"])
+
+
+def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for part, first, h, at, runs, _ in _texts(batches):
+        text = np.searchsorted(first, at, side="right") - 1
+        for a in range(0, len(at), ROWS):
+            some, row = at[a : a + ROWS], text[a : a + ROWS]
+            around = mix(mix(surroundings(h, first, some) ^ _SALT[: WINDOW + REACH]).view(np.int64).sum(1).view(np.uint64))
+            docs = part.select(_DOC).take(pa.array(row))
             yield pa.RecordBatch.from_arrays(
-                [table["seed"].take(pa.array(found)).combine_chunks(), table["around"].take(pa.array(found)).combine_chunks(),
-                 pa.array(left.astype(np.int32)), pa.array(right.astype(np.int32))],
-                ["seed", "around", "left", "right"],
+                [*docs.columns, *[pa.array(v.view(np.int64)) for v in (runs[some], around)], pa.array((some - first[row]).astype(np.int32))],
+                [*_DOC, "seed", "around", "at"],
             )
 
 
-def _key_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row for each extension of each class."""
-    for batch in batches:
-        for a in range(0, len(batch), 1024):
-            part = batch.slice(a, 1024)
-            keys, inside = extension_keys(_matrix(part["words"]))
-            row, r = np.nonzero(inside)
-            rows = part.select(["seed", "around", "doc_id"]).take(pa.array(row))
-            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(r.astype(np.int32)), pa.array(keys[row, r].view(np.int64))], ["seed", "around", "doc_id", "r", "key"])
+def _extension_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The extensions of the anchors listed in ``spots`` with each text, for the windows that chose the anchor."""
+    for part, first, h, _, runs, low in _texts(batches):
+        spots, count = part["spots"].flatten(), part["spots"].value_lengths().to_numpy()
+        seed, around, at, n = (spots.field(i).to_numpy() for i in range(4))
+        row = np.repeat(np.arange(len(part)), count)
+        for a in range(0, len(at), ROWS):
+            some = slice(a, a + ROWS)
+            place = first[row[some]] + at[some]
+            keys, own = extension_keys(surroundings(h, first, place)), own_windows(place, runs, low)
+            lead = np.concatenate([[0], np.cumsum(own.sum(1))]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(seed[some]), pa.array(around[some]), pa.array(n[some]), part["doc_id"].take(pa.array(row[some])),
+                 pa.array(own.argmax(1).astype(np.int32)), pa.ListArray.from_arrays(pa.array(lead), pa.array(keys[own].view(np.int64)))],
+                ["seed", "around", "n", "doc_id", "low", "keys"],
+            )
+
 
+def _grower(group: int):
+    """How far each class repeats a class of a smaller document, for whole anchors in seed order; large ones pass with their keys."""
 
-def _extensions(surrounded: DataFrame, group: int) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches, ["seed", "block"], rows=8192):
+            hot = table["n"].to_numpy() > group
+            if hot.any():
+                some = table.filter(pa.array(hot)).select(["seed", "around", "doc_id", "low", "keys"]).combine_chunks()
+                none = pa.nulls(len(some), pa.int32())
+                yield from some.append_column("left", none).append_column("right", none).to_batches()
+                table = table.filter(pa.array(~hot)).combine_chunks()
+            if not len(table):
+                continue
+            keys = table["keys"].combine_chunks()
+            size, key = keys.value_lengths().to_numpy(), keys.flatten().to_numpy()
+            row = np.repeat(np.arange(len(table)), size)
+            r = np.arange(len(key)) - np.repeat(np.cumsum(size) - size, size) + table["low"].to_numpy()[row]
+            seed, doc = table["seed"].to_numpy()[row], table["doc_id"].to_numpy()[row]
+            order = np.lexsort((doc, key, r, seed))
+            row, r, key, seed, doc = (v[order] for v in (row, r, key, seed, doc))
+            new = np.ones(len(row), bool)
+            new[1:] = (key[1:] != key[:-1]) | (r[1:] != r[:-1]) | (seed[1:] != seed[:-1])
+            hit = doc > doc[np.flatnonzero(new)][np.cumsum(new) - 1] if len(new) else new
+            left, right = np.full(len(table), -1), np.full(len(table), WINDOW)
+            np.maximum.at(left, row[hit], r[hit])
+            np.minimum.at(right, row[hit], r[hit])
+            found = np.flatnonzero(left >= 0)
+            some = table.select(["seed", "around"]).take(pa.array(found)).combine_chunks()
+            for name in ("doc_id", "low", "keys"):
+                some = some.append_column(name, pa.nulls(len(found), table.schema.field(name).type))
+            ends = [pa.array(v[found].astype(np.int32)) for v in (left, WINDOW - right)]
+            yield from some.append_column("left", ends[0]).append_column("right", ends[1]).to_batches()
+
+    return run
+
+
+def _extensions(classes: DataFrame, group: int) -> DataFrame:
     """``seed``, ``around``, ``left``, ``right`` of the classes that repeat a window of another class of a smaller document."""
-    schema = "seed bigint, around bigint, left int, right int"
-    few = surrounded.where(F.col("n") <= group).select("seed", "around", "doc_id", "words")
-    few = spread(few, "seed").sortWithinPartitions("seed").mapInArrow(_extend_groups, schema)
-    keys = cut_lineage(surrounded.where(F.col("n") > group).mapInArrow(_key_rows, "seed bigint, around bigint, doc_id bigint, r int, key bigint"))
-    if keys.isEmpty():
-        return few
+    block = F.pmod(F.xxhash64("doc_id", "around"), F.ceil(F.col("n") / group).cast("bigint"))
+    grown = spread(classes.withColumn("block", block), "seed", "block").sortWithinPartitions("seed", "block")
+    grown = cut_lineage(grown.mapInArrow(_grower(group), "seed bigint, around bigint, doc_id bigint, low int, keys array<bigint>, left int, right int"))
+    few = grown.where("keys IS NULL").select("seed", "around", "left", "right")
+    keys = grown.where("keys IS NOT NULL").select("seed", "around", "doc_id", "low", F.posexplode("keys").alias("r", "key"))
+    keys = keys.withColumn("r", F.col("r") + F.col("low")).drop("low")
     least = keys.groupBy("seed", "r", "key").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
     hits = keys.join(least.drop("most"), ["seed", "r", "key"]).where("doc_id > least")
     many = hits.groupBy("seed", "around").agg(F.max("r").alias("left"), (F.lit(WINDOW) - F.min("r")).cast("int").alias("right"))
@@ -197,10 +201,11 @@ def repeated_spans(docs: DataFrame, group: int = GROUP) -> DataFrame:
     Spans lie around an anchor each, so those of one document overlap and are to be merged. ``docs`` has ``doc_id``
     (bigint), ``text_key`` and ``text``. Rows with a null ``doc_id`` have no spans and give none to others.
     """
-    docs = docs.where("doc_id IS NOT NULL")
-    found = cut_lineage(
-        docs.select(*_DOC, "text").mapInArrow(_anchor_rows, "doc_id bigint, text_key bigint, seed bigint, around bigint, at int")
-    )
+    docs = docs.where("doc_id IS NOT NULL").select(*_DOC, "text")
+    seeds = docs.select("doc_id", "text").mapInArrow(_seed_rows, "doc_id bigint, seed bigint")
+    seeds = seeds.groupBy("seed").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
+    found = docs.mapInArrow(_anchor_rows, "doc_id bigint, text_key bigint, seed bigint, around bigint, at int")
+    found = cut_lineage(found.join(seeds.select("seed"), "seed"))
     classes = cut_lineage(
         found.groupBy("seed", "around").agg(F.min(F.struct(*_DOC, "at")).alias("one"), F.max("doc_id").alias("most"))
         .select("seed", "around", F.col("one.doc_id").alias("least"), "one.text_key", "one.at", "most")
@@ -208,10 +213,12 @@ def repeated_spans(docs: DataFrame, group: int = GROUP) -> DataFrame:
     mixed = classes.groupBy("seed").agg(F.count("*").alias("n"), F.min("least").alias("low"), F.max("least").alias("high"))
     ones = classes.join(mixed.where("low < high").select("seed", "n"), "seed")
     spots = ones.groupBy(F.col("least").alias("doc_id"), "text_key").agg(F.collect_list(F.struct("seed", "around", "at", "n")).alias("spots"))
-    surrounded = docs.join(spots, _DOC).select("doc_id", "text", "spots").mapInArrow(
-        _surrounding_rows, "seed bigint, around bigint, n bigint, doc_id bigint, words binary"
+    spots = cut_lineage(spots)
+    listed = docs.join(broadcast_if_small(spots.select(*_DOC)), _DOC, "left_semi")  # where few texts are listed, only these travel
+    extended = listed.join(spots, _DOC).select("doc_id", "text", "spots").mapInArrow(
+        _extension_rows, "seed bigint, around bigint, n bigint, doc_id bigint, low int, keys array<bigint>"
     )
-    grown = _extensions(cut_lineage(surrounded), group)
+    grown = _extensions(extended, group)
     useful = classes.select("seed", "around", "least", "most").join(grown, ["seed", "around"], "left")
     useful = useful.where("least < most OR left IS NOT NULL").drop("most")
     whole = F.col("doc_id") > F.col("least")
