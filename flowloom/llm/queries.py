@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from flowloom.llm.chat_format import chat_digest, format_chats, text_parts
 from flowloom.llm.decontaminate import find_contamination
+from flowloom.llm.hard_negatives import hard_negatives
 from flowloom.llm.minhash_join import near_duplicates
 from flowloom.llm.quality_net import fit_on_labels, held_out, score_quality
 from flowloom.llm.quality_rules import apply_rules
@@ -16,6 +17,8 @@ from flowloom.llm.sharding import assign_shards
 from flowloom.llm.substring_dedup import remove_repeats
 from flowloom.llm.token_counts import count_tokens
 from flowloom.llm.url_filter import judge_urls
+from flowloom.llm.vectors import finite_vectors
+from flowloom.llm.whitening import whiten_embeddings
 
 QUERIES = {}
 #: Bytes of a shard: small, so that the small test tables too need several.
@@ -101,3 +104,18 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(_table(spark, sf_dir, "documents")).drop("kept_text")
+
+
+@_query
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = finite_vectors(_table(spark, sf_dir, "embeddings"), "embedding").where("label IS NOT NULL")
+    rows = rows.select(
+        "vec_id", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")).alias("label"),
+        F.transform("embedding", lambda x: F.floor(256 * x.cast("double"))).alias("vec"),
+    )
+    return hard_negatives(rows, F.col("vec_id") % 100 == 0)
+
+
+@_query
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten_embeddings(_table(spark, sf_dir, "embeddings")).withColumn("deviation", F.expr("try_cast(deviation AS bigint)"))
