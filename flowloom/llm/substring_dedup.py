@@ -204,8 +204,9 @@ def repeated_spans(docs: DataFrame, group: int = GROUP) -> DataFrame:
     docs = docs.where("doc_id IS NOT NULL").select(*_DOC, "text")
     seeds = docs.select("doc_id", "text").mapInArrow(_seed_rows, "doc_id bigint, seed bigint")
     seeds = seeds.groupBy("seed").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
+    seeds = cut_lineage(seeds.select("seed"))  # as a stored table, so that the join below may split a hot seed
     found = docs.mapInArrow(_anchor_rows, "doc_id bigint, text_key bigint, seed bigint, around bigint, at int")
-    found = cut_lineage(found.join(seeds.select("seed"), "seed"))
+    found = cut_lineage(found.join(seeds, "seed"))
     classes = cut_lineage(
         found.groupBy("seed", "around").agg(F.min(F.struct(*_DOC, "at")).alias("one"), F.max("doc_id").alias("most"))
         .select("seed", "around", F.col("one.doc_id").alias("least"), "one.text_key", "one.at", "most")
@@ -220,7 +221,7 @@ def repeated_spans(docs: DataFrame, group: int = GROUP) -> DataFrame:
     )
     grown = _extensions(extended, group)
     useful = classes.select("seed", "around", "least", "most").join(grown, ["seed", "around"], "left")
-    useful = useful.where("least < most OR left IS NOT NULL").drop("most")
+    useful = cut_lineage(useful.where("least < most OR left IS NOT NULL").drop("most"))
     whole = F.col("doc_id") > F.col("least")
     return (
         found.join(useful, ["seed", "around"])
