@@ -1,309 +1,308 @@
-"""Density clustering inside groups, exact, without listing all pairs of a group.
-
-Equal vectors collapse to one weighted point, and points collapse into cells whose diagonal is below eps, so
-that a cell is connected as it stands. What is compared is cells, by their tight bounding boxes, inside the
-strips and squares that ``_Grid`` describes: boxes farther apart than eps are out, boxes whose farthest corners are
-within eps are in, and only the remaining pairs are settled point by point, each side cut first to the points
-near the other box.
+"""Density clustering and neighbour counts inside groups, exact, with an index of its own for every group.
+
+Equal vectors collapse to one weighted point. A group of at most ``LEAF`` points is compared whole, in one Arrow task.
+A larger one is split: round by round, the open boxes of all large groups are cut along their longest axis at quantiles
+of their own points. A point belongs to one box and is lent to those that it reaches within eps, so that each box knows
+all neighbours of its own points. A box is done when it is small, when it is not longer than eps across (its points are
+all neighbours), or when a cut would lend so many points that nothing is won. What is still large then is compared
+block against block. No task holds more than two blocks, and no setting of the session is touched.
 """
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterable
-from functools import reduce
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowloom.operators.components import connected_components
 from flowloom.operators.ranking import ranked
-from flowloom.session import cut_lineage, settings, spread
-
-SLACK = 1e-12
-# The distance sums make long methods, which the JVM does not compile when a whole stage is fused into one. For
-# these joins expressions are compiled on their own, several times faster.
-COMPILED = {"spark__sql__codegen__wholeStage": "false"}
+from flowloom.session import broadcast_if_small, cut_lineage, spread
+
+#: Points that are compared in one task, strips of a cut, and the growth by lent points at which cutting ends.
+LEAF = 4096
+STRIPS = 8
+GROWTH = 2.0
+#: Rows of a distance matrix that are held at once.
+ROWS = 512
+
+
+def _points(df: DataFrame, group_cols: list[str], vec: str, order_cols: list[str], leaf: int) -> tuple[DataFrame, bool]:
+    """Distinct vectors per group with number ``pno``, rows ``w``, first row ``first``, the group's number ``gno`` and size ``n``; whether any group is large."""
+    points = df.groupBy(*group_cols, F.col(vec).alias("vec")).agg(F.min(F.struct(*order_cols)).alias("first"), F.count(F.lit(1)).alias("w"))
+    points = cut_lineage(points.withColumn("pno", F.monotonically_increasing_id()))
+    groups = cut_lineage(points.groupBy(*group_cols).agg(F.min("pno").alias("gno"), F.count(F.lit(1)).alias("n")))
+    same = [points[c].eqNullSafe(F.col(f"_g{i}")) for i, c in enumerate(group_cols)]
+    named = groups.select(*[F.col(c).alias(f"_g{i}") for i, c in enumerate(group_cols)], "gno", "n")
+    on = same[0]
+    for c in same[1:]:
+        on = on & c
+    points = points.join(broadcast_if_small(named), on).drop(*[f"_g{i}" for i in range(len(group_cols))])
+    large = not groups.where(F.col("n") > leaf).isEmpty()
+    return points.withColumn("vec", F.transform("vec", lambda x: x.cast("double"))), large
+
+
+def _groups(points: DataFrame, leaf: int) -> DataFrame:
+    """Every group as one box."""
+    return points.select(
+        F.col("gno").cast("string").alias("leaf"), "pno", "vec", "w", F.lit(True).alias("own"), F.lit(False).alias("dense"), (F.col("n") <= leaf).alias("whole")
+    )
 
 
-class _Grid:
-    """Cells, separable strips and the coarse grid for one clustering run.
+def leaves(points: DataFrame, eps: float, leaf: int = LEAF) -> DataFrame:
+    """Boxes of points: ``leaf``, ``pno``, ``vec``, ``w``, ``own`` (false where lent), ``dense`` (all within eps), ``whole`` (a whole group).
 
-    An axis with an empty stretch of at least eps splits into segments that no pair within eps crosses, so the
-    segment numbers of all axes are a join key that repeats nothing. Where a segment is still much longer than
-    eps, squares of a coarse grid over a few axes cut further, each box visiting the squares it can reach.
+    ``points`` has ``gno``, ``n`` (points of its group), ``pno``, ``vec`` and ``w``.
     """
-
-    BINS = 64
-    FAST_DIMS = 8
-
-    def __init__(self, points: DataFrame, group_cols: list[str], eps: float, dims: int, grid_dims: int):
-        self.keys, self.eps, self.dims = list(group_cols), float(eps), dims
-        self.side = eps * (1 - 1e-9) / math.sqrt(dims)
-        self.width = 4.0 * eps
-        v = F.col("vec")
-        ends = points.agg(
-            *[f(v[i]).cast("double") for i in range(dims) for f in (F.min, F.max)]
-        ).first()
-        self.low = [ends[2 * i] or 0.0 for i in range(dims)]
-        spans = [(ends[2 * i + 1] or 0.0) - self.low[i] for i in range(dims)]
-        self.bin = [max(self.eps * 1.0001 / 2, s / self.BINS) for s in spans]
-        used = points.agg(*[F.collect_set(self._bin(v, i)) for i in range(dims)]).first()
-        self.segment: dict[int, list[int]] = {}
-        longest = []
-        for i, bins in enumerate(used):
-            numbers, lengths = self._segments(sorted(bins), i)
-            longest.append(max(lengths, default=0.0))
-            if len(lengths) > 1:
-                self.segment[i] = numbers
-        # Dimensions on which anything differs; sums over the others would only add zeros.
-        self.active = [i for i in range(dims) if spans[i] > 0]
-        self.fast = sorted(self.active, key=lambda i: (-spans[i], i))[: self.FAST_DIMS]
-        self.axes = [i for i in sorted(range(dims), key=lambda i: (-longest[i], i))[:grid_dims] if longest[i] > self.width]
-        self.homes = [f"_g{i}" for i in self.axes]
-
-    def _bin(self, v: Column, i: int) -> Column:
-        return F.floor((v[i].cast("double") - self.low[i]) / self.bin[i]).cast("int")
-
-    def _segments(self, bins: list[int], i: int) -> tuple[list[int], list[float]]:
-        """Segment number of every bin of an axis, and the segments' lengths."""
-        numbers, lengths, begin, last = [], [], None, None
-        for b in bins:
-            if last is None or (b - last - 1) * self.bin[i] >= self.eps * 1.00001:
-                begin = b
-                lengths.append(0.0)
-            numbers += [len(lengths) - 1] * (b + 1 - len(numbers))
-            lengths[-1], last = (b + 1 - begin) * self.bin[i], b
-        return numbers, lengths
-
-    def strip(self, vec: Column) -> Column:
-        return F.array(*[F.array(*[F.lit(n) for n in numbers])[self._bin(vec, i)] for i, numbers in self.segment.items()]).cast("array<int>")
-
-    def cell_key(self, vec: Column) -> Column:
-        return F.transform(vec, lambda x: F.floor(x.cast("double") / self.side))
-
-    def cells(self, points: DataFrame) -> DataFrame:
-        """One row per occupied cell: id (smallest point id), tight box, points, rows."""
-        v = F.col("vec")
-        return points.groupBy(*self.keys, "cell").agg(
-            F.min("pid").alias("cid"),
-            F.count(F.lit(1)).alias("n_points"),
-            F.sum("w").alias("n_rows"),
-            F.array(*[F.min(v[i]) for i in range(self.dims)]).alias("lo"),
-            F.array(*[F.max(v[i]) for i in range(self.dims)]).alias("hi"),
+    base = _groups(points, leaf)
+    cols = base.columns
+    done = [base.where("whole")]
+    open_ = base.where(~F.col("whole"))
+    dims = open_.agg(F.max(F.size("vec"))).first()[0]
+    while True:
+        own = open_.where("own")
+        ends = own.groupBy("leaf").agg(
+            F.count(F.lit(1)).alias("n_own"), F.array(*[F.max(F.col("vec")[i]) - F.min(F.col("vec")[i]) for i in range(dims)]).alias("wide")
         )
-
-    def at_home(self, boxes: DataFrame) -> DataFrame:
-        return boxes.withColumns(
-            {h: F.floor(F.col("lo")[i].cast("double") / self.width) for h, i in zip(self.homes, self.axes)}
+        across = F.aggregate("wide", F.lit(0.0), lambda s, x: s + x * x)
+        ends = ends.select(
+            "leaf", "n_own", (across <= eps * eps * (1 - 1e-9)).alias("close"),
+            F.array_max(F.transform("wide", lambda x, i: F.struct(x.alias("x"), i.alias("axis"))))["axis"].alias("axis"),
+        )
+        ends = cut_lineage(ends)
+        rows = open_.join(broadcast_if_small(ends), "leaf").withColumn("at", F.col("vec")[F.col("axis")])
+        cuts = rows.where("own AND NOT close").where(F.col("n_own") > leaf).groupBy("leaf").agg(
+            F.percentile_approx("at", [k / STRIPS for k in range(1, STRIPS)], 1000).alias("cuts"), F.least(F.lit(STRIPS), F.ceil(F.first("n_own") / leaf)).alias("s")
         )
+        # no more strips than the box needs
+        part = lambda k: F.floor(k * F.col("s") / STRIPS)
+        cuts = cuts.select("leaf", F.array_distinct(F.filter("cuts", lambda c, i: part(i + 1) > part(i))).alias("cuts"))
+        rows = rows.join(broadcast_if_small(cut_lineage(cuts)), "leaf", "left")
+        strip = lambda x: F.size(F.filter("cuts", lambda c: c < x))
+        reach = eps * (1 + 1e-9)
+        rows = rows.withColumns({"home": strip(F.col("at")), "from": strip(F.col("at") - reach), "to": strip(F.col("at") + reach)})
+        gain = rows.where("cuts IS NOT NULL").groupBy("leaf").agg(
+            F.sum(F.col("to") - F.col("from") + 1).alias("after"), F.count(F.lit(1)).alias("before"),
+            F.max("home").alias("last"), F.min("home").alias("first"),
+        )
+        gain = gain.where((F.col("after") <= GROWTH * F.col("before")) & (F.col("last") > F.col("first"))).select("leaf", F.lit(True).alias("cut"))
+        rows = cut_lineage(rows.join(broadcast_if_small(cut_lineage(gain)), "leaf", "left"))
+        done.append(rows.where("cut IS NULL").withColumn("dense", F.col("close")).select(*cols))
+        rows = rows.where("cut").withColumn("strip", F.explode(F.sequence("from", "to")))
+        rows = rows.withColumns({"own": F.col("own") & (F.col("strip") == F.col("home")), "leaf": F.concat_ws("/", "leaf", F.col("strip").cast("string"))})
+        # a strip without own points has nothing to find
+        full = rows.groupBy("leaf").agg(F.max("own").alias("_own")).where("_own").select("leaf")
+        open_ = cut_lineage(rows.join(broadcast_if_small(cut_lineage(full)), "leaf", "left_semi").select(*cols))
+        if open_.isEmpty():
+            break
+    out = done[0]
+    for d in done[1:]:
+        out = out.unionByName(d)
+    return cut_lineage(out)
+
+
+def _blocked(boxes: DataFrame, leaf: int, large: bool) -> DataFrame:
+    """Boxes cut into pairs of blocks (``lo``, ``hi``) of some ``leaf`` / 2 points; ``side`` 1 for block ``hi`` where the two differ.
+
+    Of a dense box only pairs of a block of own and a block of lent points: own ones are neighbours as it is.
+    """
+    if not large:
+        return boxes.withColumns({"lo": F.lit(0), "hi": F.lit(0), "side": F.lit(0)})
+    half = max(leaf // 2, 1)
+    sizes = boxes.groupBy("leaf").agg(F.count(F.lit(1)).alias("_n"), F.count_if("own").alias("_n_own"), F.first("dense").alias("_dense"))
+    sizes = sizes.where(F.col("_dense") | (F.col("_n") > leaf)).select(
+        "leaf", F.ceil(F.when(F.col("_dense"), F.col("_n_own")).otherwise(F.col("_n")) / half).cast("int").alias("_a"),
+        F.ceil((F.col("_n") - F.col("_n_own")) / half).cast("int").alias("_b"),
+    )
+    rows = boxes.join(broadcast_if_small(cut_lineage(sizes)), "leaf", "left").withColumns({"_a": F.coalesce("_a", F.lit(1)), "_b": F.coalesce("_b", F.lit(1))})
+    mine = lambda n: F.pmod(F.xxhash64("pno"), F.col(n)).cast("int")
+    even = rows.where(~F.col("dense")).withColumn("_own", mine("_a")).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_a") - 1)))
+    even = even.withColumns({"lo": F.least("_own", "_other"), "hi": F.greatest("_own", "_other"), "side": (F.col("_own") > F.col("_other")).cast("int")})
+    dense = rows.where(F.col("dense") & (F.col("_b") > 0))
+    own = dense.where("own").withColumns({"lo": mine("_a"), "_other": F.explode(F.sequence(F.lit(0), F.col("_b") - 1)), "side": F.lit(0)})
+    own = own.withColumn("hi", F.col("_a") + F.col("_other"))
+    lent = dense.where(~F.col("own")).withColumns({"lo": F.explode(F.sequence(F.lit(0), F.col("_a") - 1)), "hi": F.col("_a") + mine("_b"), "side": F.lit(1)})
+    cols = [*boxes.columns, "lo", "hi", "side"]
+    return even.select(*cols).unionByName(own.select(*cols)).unionByName(lent.select(*cols))
+
+
+class _Box:
+    """Points of one box, or of two of its blocks, and which of them are neighbours."""
+
+    def __init__(self, t: pa.Table, eps: float):
+        self.pno, self.w, self.own = t["pno"].to_numpy(), t["w"].to_numpy(), t["own"].to_numpy(zero_copy_only=False)
+        self.side = t["side"].to_numpy()
+        self.cross = t["lo"][0] != t["hi"][0]
+        size = t["vec"].combine_chunks().value_lengths().to_numpy()
+        flat = t["vec"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        self.x = flat.reshape(len(size), -1)  # vectors of a run have one length
+        self.near = self._neighbours(eps * eps)
+
+    def _neighbours(self, limit: float) -> np.ndarray:
+        """Whether two points are within eps: by matrix products, and by plain sums where rounding could decide."""
+        x = self.x - self.x.mean(0)
+        norm = (x * x).sum(1)
+        doubt = 1e-13 * (x.shape[1] + 8) * (4 * norm.max(initial=0) + limit)
+        out = np.zeros((len(x), len(x)), bool)
+        for a in range(0, len(x), ROWS):
+            gap = norm[a : a + ROWS, None] + norm - 2 * (x[a : a + ROWS] @ x.T) - limit
+            out[a : a + ROWS] = gap <= 0
+            i, j = np.nonzero(np.abs(gap) <= doubt)
+            for b in range(0, len(i), 1 << 16):
+                u, v = i[b : b + (1 << 16)], j[b : b + (1 << 16)]
+                exact = np.cumsum((self.x[a + u] - self.x[v]) ** 2, axis=1)[:, -1] if x.shape[1] else np.zeros(len(u))
+                out[a + u, v] = exact <= limit
+        if self.cross:
+            out &= self.side[:, None] != self.side
+        return out
 
-    def reaching(self, boxes: DataFrame) -> DataFrame:
-        """Repeat each box for every grid square where a box within eps can have its lower corner."""
-        out = boxes
-        for h, i in zip(self.homes, self.axes):
-            low = F.floor((F.col("lo")[i].cast("double") - self.eps - 2 * self.side) / self.width)
-            high = F.floor((F.col("hi")[i].cast("double") + self.eps + self.side) / self.width)
-            out = out.withColumn(h, F.explode(F.sequence(low, high)))
+    def counts(self) -> np.ndarray:
+        """Rows within eps of each point, as far as this box pair sees them; a point is near itself in its own block."""
+        return self.near @ self.w
+
+    def trees(self, core: np.ndarray) -> np.ndarray:
+        """Root (least ``pno``) of every core point's tree of core neighbours; -1 for others."""
+        root = np.full(len(core), -1)
+        for i in np.flatnonzero(core)[np.argsort(self.pno[core])].tolist():
+            if root[i] >= 0:
+                continue
+            root[i], edge = self.pno[i], np.array([i])
+            while len(edge):
+                edge = np.flatnonzero(self.near[edge].any(0) & core & (root < 0))
+                root[edge] = self.pno[i]
+        return root
+
+    def touches(self, root: np.ndarray) -> list[tuple[int, int]]:
+        """(root, point) for each tree that an own point outside all trees touches."""
+        out = []
+        for i in np.flatnonzero(self.own & (root < 0)).tolist():
+            out += [(int(r), int(self.pno[i])) for r in np.unique(root[self.near[i] & (root >= 0)])]
         return out
 
-    def near(self, left: DataFrame, right: DataFrame, extra: Column | None = None) -> DataFrame:
-        """Pairs of boxes (left columns a_*, right columns b_*) at most eps apart, with ``sure`` if wholly within eps.
-
-        The join condition adds up the overshoot on the widest axes in plain arithmetic; only what passes it
-        is measured on all dimensions.
-        """
-        by = self.keys + ["_strip"] + self.homes
-        a = self.reaching(left).withColumn("_strip", self.strip(F.col("lo")))
-        b = self.at_home(right).withColumn("_strip", self.strip(F.col("lo")))
-        a = spread(a).select(*[F.col(c).alias(f"_l{c}") for c in by], *[F.col(c).alias(f"a_{c}") for c in left.columns if c not in self.keys])
-        b = b.select(*by, *[F.col(c).alias(f"b_{c}") for c in right.columns if c not in self.keys])
-        e2 = self.eps * self.eps
-        box = (F.col("a_lo"), F.col("a_hi"), F.col("b_lo"), F.col("b_hi"))
-        on = self.nearest2(*box, self.fast) <= e2 * (1 + SLACK)
-        for c in by:
-            on = on & (F.col(f"_l{c}") == F.col(c))
-        if extra is not None:
-            on = on & extra
-        return (
-            a.join(b, on)
-            .where(self.nearest2(*box) <= e2 * (1 + SLACK))
-            .withColumn("sure", self.farthest2(*box) <= e2 * (1 - SLACK))
-            .drop("_strip", *self.homes, *[f"_l{c}" for c in by])
-        )
 
-    # Distances are written out per dimension: plain arithmetic compiles, lambdas over arrays do not.
+def _each_box(fn: Callable[[pa.Table], list[tuple]], names: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Applies ``fn`` to each (leaf, lo, hi) of batches in that order."""
 
-    def nearest2(self, a_lo: Column, a_hi: Column, b_lo: Column, b_hi: Column, dims: list[int] | None = None) -> Column:
-        """Squared distance of two boxes, over all or some dimensions."""
-        return _squares(
-            F.greatest(_less(b_lo, a_hi, i), _less(a_lo, b_hi, i), F.lit(0.0)) for i in (self.active if dims is None else dims)
-        )
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
 
-    def farthest2(self, a_lo: Column, a_hi: Column, b_lo: Column, b_hi: Column) -> Column:
-        """Squared distance of the farthest corners of two boxes."""
-        return _squares(F.greatest(F.abs(_less(a_hi, b_lo, i)), F.abs(_less(b_hi, a_lo, i))) for i in self.active)
+        def rows() -> Iterator[pa.RecordBatch]:
+            got = fn(pa.Table.from_batches(held)) if held else []
+            if got:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*got)], names)
 
-    def within(self, a: Column, b: Column) -> Column:
-        return _squares(_less(a, b, i) for i in self.active) <= self.eps * self.eps
+        last = None
+        for batch in batches:
+            if not len(batch):
+                continue
+            keys = list(zip(*(batch[c].to_pylist() for c in ("leaf", "lo", "hi"))))
+            cuts = [0] + [i for i in range(1, len(keys)) if keys[i] != keys[i - 1]] + [len(keys)]
+            for a, b in zip(cuts, cuts[1:]):
+                if last is not None and keys[a] != last:
+                    yield from rows()
+                    held = []
+                held.append(batch.slice(a, b - a))
+                last = keys[a]
+        yield from rows()
 
+    return run
 
-def _less(a: Column, b: Column, i: int) -> Column:
-    return a[i].cast("double") - b[i].cast("double")
 
+def _dealt(boxes: DataFrame) -> DataFrame:
+    return spread(boxes, "leaf", "lo", "hi").sortWithinPartitions("leaf", "lo", "hi")
 
-def _squares(parts: Iterable[Column]) -> Column:
-    return reduce(lambda total, x: total + x * x, parts, F.lit(0.0))
 
+def _counted(boxes: DataFrame, eps: float, leaf: int, large: bool = True) -> DataFrame:
+    """``pno`` and ``near``: rows within eps of each own point, its own rows included."""
 
-def _points(df: DataFrame, group_cols: list[str], id_col: str, vec: str) -> DataFrame:
-    """Distinct vectors per group with their smallest row id and number of rows."""
-    return df.groupBy(*group_cols, F.col(vec).alias("vec")).agg(
-        F.min(id_col).alias("pid"), F.count(F.lit(1)).alias("w")
-    )
+    def count(t: pa.Table) -> list[tuple]:
+        box = _Box(t, eps)
+        return [(int(p), int(k)) for p, k, own in zip(box.pno, box.counts(), box.own) if own]
 
+    parts = _dealt(_blocked(boxes, leaf, large)).mapInArrow(_each_box(count, ["pno", "near"]), "pno bigint, near bigint")
+    if not large:
+        return parts
+    own = boxes.where("own AND dense").select("leaf", "pno", "w")
+    total = own.groupBy("leaf").agg(F.sum("w").alias("near"))
+    parts = parts.unionByName(own.join(total, "leaf").select("pno", "near"))
+    return parts.groupBy("pno").agg(F.sum("near").alias("near"))
 
-def _setup(df, group_cols, id_col, vec, eps, grid_dims) -> tuple[_Grid, DataFrame]:
-    points = cut_lineage(_points(df, group_cols, id_col, vec))
-    head = points.select(F.size("vec")).first()
-    grid = _Grid(points, group_cols, eps, head[0] if head else 1, grid_dims)
-    return grid, points.withColumn("cell", grid.cell_key(F.col("vec")))
 
+def eps_neighbours(df: DataFrame, group_cols: list[str], id_col: str, vec: str, eps: float, leaf: int = LEAF) -> DataFrame:
+    """Number of other rows of the same group within eps of each row, as ``n_neighbours``. Rows with a null vector are left out."""
+    points, large = _points(df.where(F.col(vec).isNotNull()), group_cols, vec, [id_col], leaf)
+    counts = _counted(leaves(points, eps, leaf) if large else _groups(points, leaf), eps, leaf, large)
+    named = points.join(counts, "pno").select(*group_cols, F.col("vec").alias("_vec"), (F.col("near") - 1).alias("n_neighbours"))
+    return _back(df, named, group_cols, vec, "inner")
 
-def _neighbour_rows(grid: _Grid, subjects: DataFrame, points: DataFrame, cells: DataFrame) -> DataFrame:
-    """Rows within eps of each subject point, itself included, as (pid, n)."""
-    dot_boxes = subjects.select(*grid.keys, "pid", F.col("vec").alias("lo"), F.col("vec").alias("hi"))
-    pairs = grid.near(dot_boxes, cells.select(*grid.keys, "cell", "n_rows", "lo", "hi"))
-    whole = pairs.where("sure").groupBy(F.col("a_pid").alias("pid")).agg(F.sum("b_n_rows").alias("n"))
-    open_ = pairs.where(~F.col("sure")).select(
-        *grid.keys, F.col("b_cell").alias("cell"), F.col("a_pid").alias("subject"), F.col("a_lo").alias("subject_vec")
-    )
-    part = (
-        open_.join(points.select(*grid.keys, "cell", "vec", "w"), grid.keys + ["cell"])
-        .where(grid.within(F.col("subject_vec"), F.col("vec")))
-        .groupBy(F.col("subject").alias("pid"))
-        .agg(F.sum("w").alias("n"))
-    )
-    with settings(points.sparkSession, **COMPILED):
-        return cut_lineage(whole.unionByName(part).groupBy("pid").agg(F.sum("n").alias("n")))
-
-
-def _cell_roots(grid: _Grid, points: DataFrame, cells: DataFrame) -> DataFrame:
-    """(node, root) of every cell that is connected to another one through points within eps."""
-    slim = cells.select(*grid.keys, "cell", "cid", "lo", "hi")
-    with settings(points.sparkSession, **COMPILED):
-        pairs = cut_lineage(grid.near(slim, slim, F.col("a_cid") < F.col("b_cid")))
-    sure = pairs.where("sure").select(F.col("a_cid").alias("u"), F.col("b_cid").alias("v"))
-    open_ = pairs.where(~F.col("sure"))
-    if open_.isEmpty():
-        return connected_components(sure)
-    # A pair whose cells are already joined through others needs no look at its points.
-    roots = cut_lineage(connected_components(sure)).select("node", "root")
-    for side in ("a", "b"):
-        name = roots.select(F.col("node").alias(f"{side}_cid"), F.col("root").alias(f"{side}_root"))
-        open_ = open_.join(name, f"{side}_cid", "left").withColumn(f"{side}_root", F.coalesce(f"{side}_root", f"{side}_cid"))
-    open_ = open_.where(F.col("a_root") != F.col("b_root"))
-    p = points.select(*grid.keys, "cell", "vec")
-    e2 = grid.eps * grid.eps * (1 + SLACK)
-
-    def members(side: str, other: str) -> DataFrame:
-        """Points of one side that lie within eps of the other side's box."""
-        own = p.withColumnRenamed("cell", f"{side}_cell").withColumnRenamed("vec", f"{side}_vec")
-        near = grid.nearest2(F.col(f"{side}_vec"), F.col(f"{side}_vec"), F.col(f"{other}_lo"), F.col(f"{other}_hi"))
-        return open_.join(own, grid.keys + [f"{side}_cell"]).where(near <= e2).select("a_cid", "b_cid", "a_root", "b_root", f"{side}_vec")
-
-    met = (
-        members("a", "b")
-        .join(members("b", "a").drop("a_root", "b_root"), ["a_cid", "b_cid"])
-        .where(grid.within(F.col("a_vec"), F.col("b_vec")))
-        .select(F.col("a_root").alias("u"), F.col("b_root").alias("v"))
-    )
-    merged = connected_components(met).select(F.col("node").alias("root"), F.col("root").alias("_top"))
-    seen = roots.unionByName(merged.select(F.col("root").alias("node"), "root")).distinct()
-    return seen.join(merged, "root", "left").select("node", F.coalesce("_top", "root").alias("root"))
 
+def _back(df: DataFrame, named: DataFrame, group_cols: list[str], vec: str, how: str) -> DataFrame:
+    """``df`` with what is known of its group and vector."""
+    renamed = named.withColumnsRenamed({c: f"_g{i}" for i, c in enumerate(group_cols)})
+    on = F.transform(df[vec], lambda x: x.cast("double")) == F.col("_vec")
+    for i, c in enumerate(group_cols):
+        on = on & df[c].eqNullSafe(F.col(f"_g{i}"))
+    return df.join(renamed, on, how).drop("_vec", *[f"_g{i}" for i in range(len(group_cols))])
 
-def _numbered(rows: DataFrame, keys: list[str], order_cols: list[str]) -> DataFrame:
-    """Cluster numbers from 0 inside each group, by the smallest row of the cluster: (keys, root, cluster_id)."""
-    first = rows.groupBy(*keys, "root").agg(F.min(F.struct(*order_cols)).alias("_first"))
-    return ranked(cut_lineage(first), keys, ["_first"], name="cluster_id").drop("_first")
 
+def _links(boxes: DataFrame, eps: float, min_samples: int, leaf: int, large: bool) -> DataFrame:
+    """``kind``, ``u``, ``v``, ``whole``: 0 for a tree's root and a core point in it, 1 for a tree's root and a point that it touches.
 
-def eps_neighbours(
-    df: DataFrame, group_cols: list[str], id_col: str, vec: str, eps: float, grid_dims: int = 3
-) -> DataFrame:
-    """Number of other rows of the same group within eps of each row."""
-    grid, points = _setup(df, group_cols, id_col, vec, eps, grid_dims)
-    counts = _neighbour_rows(grid, points, points, grid.cells(points))
-    named = points.join(counts, "pid").select(*group_cols, F.col("vec").alias(vec), (F.col("n") - 1).alias("n_neighbours"))
-    return df.join(named, list(group_cols) + [vec])
+    Whole groups get their counts here; other boxes bring ``core``.
+    """
+
+    def link(t: pa.Table) -> list[tuple]:
+        box = _Box(t, eps)
+        whole = t["whole"][0].as_py()
+        core = box.counts() >= min_samples if whole else t["core"].to_numpy(zero_copy_only=False)
+        root = box.trees(core)
+        rows = [(0, int(r), int(p), int(whole)) for r, p in zip(root, box.pno) if r >= 0]
+        return rows + [(1, r, p, int(whole)) for r, p in box.touches(root)]
+
+    found = _dealt(_blocked(boxes, leaf, large)).mapInArrow(_each_box(link, ["kind", "u", "v", "whole"]), "kind bigint, u bigint, v bigint, whole bigint")
+    if not large:
+        return found
+    own = boxes.where("own AND dense").select("leaf", "pno", "core")
+    star = own.where("core").groupBy("leaf").agg(F.min("pno").alias("u"))
+    dense = own.join(star, "leaf").select(F.when(F.col("core"), 0).otherwise(1).cast("bigint").alias("kind"), "u", F.col("pno").alias("v"), F.lit(0).cast("bigint").alias("whole"))
+    return found.unionByName(dense)
 
 
 def cluster_by_group(
-    df: DataFrame,
-    group_cols: list[str],
-    id_col: str,
-    vec: str,
-    order_cols: list[str],
-    eps: float = 0.1,
-    min_samples: int = 2,
-    grid_dims: int = 3,
+    df: DataFrame, group_cols: list[str], id_col: str, vec: str, order_cols: list[str], eps: float = 0.1, min_samples: int = 2, leaf: int = LEAF
 ) -> DataFrame:
-    """Add cluster_id: numbered from 0 inside the group by first row (``order_cols``), -1 for noise.
+    """Add cluster_id: numbered from 0 inside the group by first row (``order_cols``), -1 for noise and for null vectors.
 
     A row with at least ``min_samples`` rows within eps (itself included) is core. Clusters are the connected
-    core rows; a border row takes the lowest-numbered cluster it touches.
+    core rows; a border row takes the lowest-numbered cluster it touches. Vectors have one length.
     """
     keys = list(group_cols)
-    grid, points = _setup(df, keys, id_col, vec, eps, grid_dims)
-    points = cut_lineage(points)
-    cells = cut_lineage(grid.cells(points))
-    placed = df.withColumn("_cell", grid.cell_key(F.col(vec)))
-    if min_samples <= 2:
-        # Any neighbour makes a core row, so whole cells belong together and singletons are noise.
-        roots = _cell_roots(grid, points, cells).select(F.col("node").alias("cid"), "root")
-        linked = cells.join(roots, "cid", "left").where(F.col("root").isNotNull() | (F.col("n_rows") >= min_samples))
-        linked = linked.select(*keys, F.col("cell").alias("_cell"), F.coalesce("root", "cid").alias("root"))
-        rows = placed.join(cut_lineage(linked), keys + ["_cell"], "left")
-        numbers = _numbered(rows.where(F.col("root").isNotNull()), keys, order_cols)
-        out = rows.join(numbers, keys + ["root"], "left")
-        return out.withColumn("cluster_id", F.coalesce("cluster_id", F.lit(-1).cast("bigint"))).drop("_cell", "root")
-
-    crowded = cells.where(F.col("n_rows") >= min_samples).select(*keys, "cell", F.lit(True).alias("_full"))
-    points = points.join(crowded, keys + ["cell"], "left")
-    sparse = points.where(F.col("_full").isNull())
-    counts = _neighbour_rows(grid, sparse, points, cells)
-    points = points.join(counts, "pid", "left").withColumn(
-        "core", F.col("_full").isNotNull() | (F.coalesce(F.col("n"), F.lit(0)) >= min_samples)
-    )
-    points = cut_lineage(points.drop("_full", "n"))
-    core = points.where("core")
-    core_cells = cut_lineage(grid.cells(core))
-    roots = _cell_roots(grid, core, core_cells).select(F.col("node").alias("cid"), "root")
-    linked = core_cells.join(roots, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
-    linked = cut_lineage(linked)
-    core = core.join(linked.select(*keys, "cell", "root"), keys + ["cell"])
-    rows = df.withColumnRenamed(vec, "vec").join(core.select(*keys, "vec", "root"), keys + ["vec"])
-    numbers = cut_lineage(_numbered(rows, keys, order_cols))
-    settled = core.join(numbers, keys + ["root"]).select(*keys, "vec", "cluster_id")
-    # Border points: any core point within eps, lowest cluster number wins.
-    edge_points = points.where(~F.col("core"))
-    dots = edge_points.select(*keys, "pid", F.col("vec").alias("lo"), F.col("vec").alias("hi"))
-    boxes = linked.join(numbers, keys + ["root"]).select(*keys, "cell", "cluster_id", "lo", "hi")
-    with settings(df.sparkSession, **COMPILED):
-        pairs = cut_lineage(grid.near(dots, boxes))
-    sure = pairs.where("sure").select(F.col("a_pid").alias("pid"), F.col("b_cluster_id").alias("cluster_id"))
-    open_ = pairs.where(~F.col("sure")).select(
-        *keys, F.col("b_cell").alias("cell"), F.col("a_pid").alias("subject"), F.col("a_lo").alias("sv"),
-        F.col("b_cluster_id").alias("cluster_id"),
-    )
-    met = (
-        open_.join(core.select(*keys, "cell", "vec"), keys + ["cell"])
-        .where(grid.within(F.col("sv"), F.col("vec")))
-        .select(F.col("subject").alias("pid"), "cluster_id")
-    )
-    border = sure.unionByName(met).groupBy("pid").agg(F.min("cluster_id").alias("cluster_id"))
-    border = edge_points.join(border, "pid").select(*keys, "vec", "cluster_id")
-    known = cut_lineage(settled.unionByName(border)).withColumnRenamed("vec", vec)
-    out = df.join(known, keys + [vec], "left")
+    points, large = _points(df.where(F.col(vec).isNotNull()), keys, vec, order_cols, leaf)
+    boxes = leaves(points, eps, leaf) if large else _groups(points, leaf)
+    split = boxes.where(~F.col("whole"))
+    boxes = boxes.where("whole").withColumn("core", F.lit(None).cast("boolean"))
+    if large:
+        core = _counted(split, eps, leaf).select("pno", (F.col("near") >= min_samples).alias("core"))
+        boxes = cut_lineage(boxes.unionByName(split.join(core, "pno").select(boxes.columns)))
+    links = cut_lineage(_links(boxes, eps, min_samples, leaf, large))
+    inside = links.where("kind = 0 AND whole = 1").select(F.col("v").alias("pno"), F.col("u").alias("root"))
+    roots = inside
+    if large:
+        across = links.where("kind = 0 AND whole = 0")
+        joined = connected_components(across.select("u", "v").distinct())
+        alone = across.select(F.col("v").alias("pno")).distinct()
+        found = alone.join(joined, F.col("pno") == F.col("node"), "left").select("pno", F.coalesce("root", "pno").alias("root"))
+        roots = cut_lineage(inside.unionByName(found))
+    core = points.join(roots, "pno").select(*keys, "pno", "root", "first")
+    first = core.groupBy(*keys, "root").agg(F.min("first").alias("_first"))
+    numbers = cut_lineage(ranked(cut_lineage(first), keys, ["_first"], name="cluster_id").select("root", "cluster_id"))
+    known = roots.join(numbers, "root").select("pno", "cluster_id")
+    if min_samples > 2:  # at two, any neighbour makes a core point
+        touch = links.where("kind = 1").select(F.col("u"), F.col("v").alias("pno"))
+        top = roots.withColumnsRenamed({"pno": "u"}).join(numbers, "root").select("u", "cluster_id")
+        known = known.unionByName(touch.join(top, "u").groupBy("pno").agg(F.min("cluster_id").alias("cluster_id")))
+    named = points.join(known, "pno").select(*keys, F.col("vec").alias("_vec"), "cluster_id")
+    out = _back(df, named, keys, vec, "left")
     return out.withColumn("cluster_id", F.coalesce("cluster_id", F.lit(-1).cast("bigint")))

@@ -4,8 +4,9 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from flowloom.operators.cluster import cluster_by_group, eps_neighbours
+from flowloom.operators.cluster import cluster_by_group, eps_neighbours, leaves
 from flowloom.operators.components import connected_components
 
 
@@ -32,21 +33,47 @@ def brute(rows, eps, need):
     return out
 
 
-@pytest.mark.parametrize("seed,dims,eps,need", [(0, 2, 0.1, 2), (1, 2, 0.1, 4), (2, 32, 0.1, 2), (3, 1, 0.02, 3)])
-def test_against_brute_force(spark, seed, dims, eps, need):
+# a leaf above every group compares it whole; small ones force cuts, dense boxes and pairs of blocks
+@pytest.mark.parametrize(
+    "seed,dims,eps,need,leaf",
+    [(0, 2, 0.1, 2, 4096), (1, 2, 0.1, 4, 4096), (2, 32, 0.1, 2, 4096), (3, 1, 0.02, 3, 4096),
+     (4, 2, 0.1, 2, 20), (5, 2, 0.1, 4, 30), (6, 32, 0.1, 3, 40), (7, 1, 0.02, 3, 12)],
+)
+def test_against_brute_force(spark, seed, dims, eps, need, leaf):
     rnd, rows = random.Random(seed), []
     for i in range(150):
         v = [rnd.choice([0, 0.3, 0.9]) + rnd.gauss(0, 0.08 if dims < 5 else 0.02) for _ in range(min(dims, 3))]
         v = [round(x, 1) for x in v] if rnd.random() < 0.3 else v
-        rows.append((rnd.choice("aab"), f"f{i}", v + [0.0] * (dims - len(v)), (i * 7919) % 1009))
+        rows.append((rnd.choice(["a", "a", None]), f"f{i}", v + [0.0] * (dims - len(v)), (i * 7919) % 1009))
     df = spark.createDataFrame(rows, "g string, id string, v array<float>, o int")
     expected = brute(rows, eps, need)
-    got = cluster_by_group(df, ["g"], "id", "v", ["o"], eps, need)
+    got = cluster_by_group(df, ["g"], "id", "v", ["o"], eps, need, leaf)
     assert {r.id: r.cluster_id for r in got.collect()} == {k: v[0] for k, v in expected.items()}
-    counts = eps_neighbours(df, ["g"], "id", "v", eps)
+    counts = eps_neighbours(df, ["g"], "id", "v", eps, leaf)
     assert {r.id: r.n_neighbours for r in counts.collect()} == {k: v[1] for k, v in expected.items()}
 
 
+@pytest.mark.parametrize("spread", [1.0, 2.0])
+def test_candidates_per_point_stay_flat(spark, spread):
+    """Four times the points, on the same or four times the area: a point still meets about as many others."""
+    met = []
+    for n in (4000, 16000):
+        side = 20.0 * (n / 4000) ** (0.5 if spread > 1 else 0)
+        rng = np.random.default_rng(3)
+        rows = [(0, n, i, rng.uniform(0, side, 2).tolist(), 1) for i in range(n)]
+        boxes = leaves(spark.createDataFrame(rows, "gno bigint, n bigint, pno bigint, vec array<double>, w bigint"), 0.1, 256)
+        per = boxes.groupBy("leaf").agg(F.count("*").alias("all"), F.count_if("own").alias("own"))
+        got = per.agg(F.sum(F.col("all") * F.col("own")).alias("met"), F.max("all").alias("most")).first()
+        assert boxes.where("own").count() == n and got.most <= 1024
+        met.append(got.met / n)
+    assert met[1] < 1.5 * met[0]
+
+
+def test_null_vectors_are_noise(spark):
+    df = spark.createDataFrame([("a", 1, [0.0]), ("a", 2, [0.0]), ("a", 3, None)], "g string, id int, v array<double>")
+    assert {r.id: r.cluster_id for r in cluster_by_group(df, ["g"], "id", "v", ["id"]).collect()} == {1: 0, 2: 0, 3: -1}
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101)], "u bigint, v bigint")
     roots = {r.node: r.root for r in connected_components(edges).collect()}
