@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowloom.functions import arrays as A
@@ -23,13 +23,13 @@ def assign_client_server(flows: DataFrame) -> DataFrame:
     )
 
 
-def time_channel(flows: DataFrame, n: int = WIDTH, time_dtype: str = "float32") -> DataFrame:
+def time_channel(flows: DataFrame, n: int = WIDTH, time_dtype: str = "float32", origin: Column | None = None) -> DataFrame:
     """Add f_time: quantised gaps plus the flow's start offset in all ``n`` entries.
 
-    The origin is the earliest packet of the whole table, a one-value scalar subquery.
+    The origin is the earliest packet of the whole table, a one-value scalar subquery, unless given.
     """
     kind = {"float32": "float", "float64": "double"}[time_dtype]
-    origin = flows.agg(F.min("pktts_start")).scalar()
+    origin = flows.agg(F.min("pktts_start")).scalar() if origin is None else origin
     placed = flows.withColumn("_offset", A.start_offset(F.col("pktts")[0], origin, kind))
     gaps = A.gap_channel(F.col("pktts"), n, time_dtype=kind)
     return placed.withColumn("f_time", A.shift(gaps, F.col("_offset"))).drop("_offset")
@@ -45,10 +45,10 @@ def size_and_direction(flows: DataFrame, n: int = WIDTH, backward: float = 0.5)
     )
 
 
-def build_features(flows: DataFrame, n: int = WIDTH, time_dtype: str = "float32") -> DataFrame:
+def build_features(flows: DataFrame, n: int = WIDTH, time_dtype: str = "float32", origin: Column | None = None) -> DataFrame:
     """One row per flow: roles, the size, direction and time channels, effective length, target."""
     one = flows
-    full = time_channel(size_and_direction(assign_client_server(one), n), n, time_dtype)
+    full = time_channel(size_and_direction(assign_client_server(one), n), n, time_dtype, origin)
     full = full.withColumn("f_signed", A.signed_size(F.col("f_size"), F.col("f_dir")))
     return full.select(
         "flow_id", "src_file", "emit_at", "srcip", "dstip", "n_pkts", "server_ip", "server_port", "client_ip", "client_port",

@@ -13,9 +13,14 @@ from flowloom.plans.queries import big, query, text, whole
 from flowloom.plans.written import _once, flow_dir
 from flowloom.schemas import attack_windows
 from flowloom.session import scratch_path, settings
-from flowloom.streaming.flows import STORE, stream_flows, stream_labels, stream_sessions
+from flowloom.operators.flows import KEY, LEFTOVER
+from flowloom.streaming.flows import (
+    STORE, finished_flows, late_packets, stream_features as features_of, stream_flows, stream_labels, stream_packets_and_flows, stream_sessions,
+)
 
 SLICES = 3
+#: Of the late replay: every so many-th packet comes with the last slice; files of a slice.
+LATE, FILES = 97, 4
 END_FILE = "end-of-input"
 
 
@@ -52,6 +57,21 @@ def _file_stream(spark: SparkSession, path: str) -> DataFrame:
     return spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
+def late_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The replay with some packets held back to the last slice, where most are behind the watermark."""
+    def write(path: str) -> None:
+        rows = replayed(spark, sf_dir).persist()
+        size = rows.count()
+        part = F.when(F.col("pkt_idx") % LATE == 0, SLICES - 1).otherwise(F.floor(F.col("pkt_idx") * SLICES / size))
+        for i in range(SLICES):
+            rows.where(part == i).repartition(FILES).write.mode("append").parquet(path)
+        end = rows.limit(FILES).withColumns({"ts": F.lit(1.6e9), "src_file": F.lit(END_FILE)})
+        end.repartition(FILES).write.mode("append").parquet(path)
+        rows.unpersist()
+
+    return _file_stream(spark, _once(spark, sf_dir, "late_stream", write))
+
+
 def run_to_end(df: DataFrame, sf_dir: str, name: str) -> DataFrame:
     """Process all available input in micro-batches and return the sink's table."""
     spark = df.sparkSession
@@ -102,3 +122,25 @@ def stream_attack_label(spark, sf):
     flows = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
     labelled = run_to_end(stream_labels(flows, attack_windows(spark, WINDOW_ROWS)), sf, "labels")
     return labelled.select("flow_id", "label")
+
+
+@query
+def stream_late_packets(spark, sf):
+    """Late packets one by one, and how many packets the flows of each conversation hold: together all packets."""
+    with state_store(spark):
+        rows = run_to_end(stream_packets_and_flows(late_stream(spark, sf)), sf, "late").where(F.col("src_file") != END_FILE)
+    late = late_packets(rows).select(F.lit("late").alias("kind"), *KEY, "pkt_idx", F.lit(1).cast("bigint").alias("n_pkts"))
+    held = finished_flows(rows).groupBy(*KEY).agg(F.sum("n_pkts").alias("n_pkts"))
+    both = late.unionByName(held.withColumns({"kind": F.lit("flows"), "pkt_idx": F.lit(-1).cast("bigint")}))
+    return both.select("kind", "srcip", "dstip", *big("srcport", "dstport", "proto", "pkt_idx", "n_pkts"))
+
+
+@query
+def stream_features(spark, sf):
+    """Time channels of a stream's flows and, where a packet closed them, the order in which they came out."""
+    stream = packet_stream(spark, sf)
+    origin = replayed(spark, sf).agg(F.min("ts")).first()[0]
+    with state_store(spark):
+        f = run_to_end(features_of(stream_flows(stream), origin), sf, "features")
+    closed = F.when((F.col("emit_at") % 2 == 1) & (F.col("emit_at") < LEFTOVER), F.col("emit_at"))
+    return f.where(F.col("src_file") != END_FILE).select("flow_id", text(F.col("f_time")).alias("v"), F.coalesce(closed, F.lit(-1).cast("bigint")).alias("closed_at"))
