@@ -1,4 +1,4 @@
-"""Whole groups out of sorted Arrow batches, and cutting large groups into pairs of blocks."""
+"""Whole groups out of sorted Arrow batches, and links inside groups of any size."""
 
 from __future__ import annotations
 
@@ -6,23 +6,57 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowloom.session import spread
+from flowloom.session import broadcast_if_small, cut_lineage, spread
 
 
-def block_pairs(df: DataFrame, item: str, blocks: Column) -> DataFrame:
-    """Cuts each group into ``blocks`` random blocks and sends every row to the pairs (lo, hi) that hold its block.
+def group_links(rows: DataFrame, key: str, item: str, sizes: DataFrame, fn: Callable[[pa.Table], list[tuple]]) -> DataFrame:
+    """Links (``u``, ``v``) that connect, inside every group of equal ``key``, all items that ``fn`` finds linked.
 
-    Any two rows of a group meet in exactly one pair, so no task needs more than two blocks of a group. ``side`` is 1
-    for rows of block ``hi`` where the two blocks differ.
+    ``sizes`` has ``key`` and ``_blocks``, in how many blocks to cut the group, for the groups that need more than one.
+    ``fn`` gets tables with ``lo``, ``hi`` and ``side`` and returns stars from the smallest item of each tree; where ``lo``
+    and ``hi`` differ only links between side 0 and side 1 are asked for.
+
+    A cut group is first compared inside its blocks, each of which also gets the group's smallest item, its hub: n rows and
+    one more for each block. Items that hang together with the hub there are settled. Only the others, if any, are
+    then compared with all blocks of the group. So rows grow with the group as long as the hub's links cover it; items that
+    the hub's tree leaves out meet each block once.
     """
-    own = F.pmod(F.xxhash64(F.lit(7), item), F.col("_blocks"))
-    df = df.withColumn("_blocks", F.greatest(blocks.cast("bigint"), F.lit(1).cast("bigint")))
-    df = df.withColumn("_own", own).withColumn("_other", F.explode(F.expr("sequence(0L, _blocks - 1)")))
-    df = df.withColumns({"lo": F.least("_own", "_other"), "hi": F.greatest("_own", "_other")})
-    return df.withColumn("side", (F.col("_own") > F.col("_other")).cast("int")).drop("_blocks", "_own", "_other")
+    sizes = cut_lineage(sizes.select(key, F.col("_blocks").cast("int").alias("_blocks")))
+    if sizes.isEmpty():
+        one = rows.withColumns({"lo": F.lit(0), "hi": F.lit(0), "side": F.lit(0)})
+        return map_groups(one, [key, "lo", "hi"], fn, "u bigint, v bigint", ["u", "v"])
+    hubs = rows.join(broadcast_if_small(sizes), key, "left_semi").groupBy(key).agg(F.min(item).alias("_hub"))
+    hubs = cut_lineage(sizes.join(hubs, key))
+    dealt = rows.join(broadcast_if_small(hubs), key, "left").withColumn("_blocks", F.coalesce("_blocks", F.lit(1)))
+    own = F.pmod(F.xxhash64(F.lit(7), item), F.col("_blocks")).cast("int")
+    everywhere = F.sequence(F.lit(0), F.col("_blocks") - 1)
+    first = dealt.withColumn("lo", F.explode(F.when(F.col(item) == F.col("_hub"), everywhere).otherwise(F.array(own))))
+    first = first.withColumns({"hi": F.col("lo"), "side": F.lit(0)}).drop("_blocks", "_hub")
+
+    def named(group: pa.Table) -> list[tuple]:
+        at = group[key][0].as_py()
+        return [(at, u, v) for u, v in fn(group)]
+
+    inside = cut_lineage(map_groups(first, [key, "lo", "hi"], named, f"`{key}` bigint, u bigint, v bigint", [key, "u", "v"]))
+    links = inside.select("u", "v")
+    settled = inside.join(broadcast_if_small(hubs), key).where(F.col("u") == F.col("_hub")).select(key, F.col("v").alias(item))
+    cut = dealt.where("_hub IS NOT NULL")
+    open_ = cut_lineage(cut.where(F.col(item) != F.col("_hub")).select(key, item).distinct().join(settled.distinct(), [key, item], "left_anti"))
+    if open_.isEmpty():
+        return links
+    left = open_.groupBy(key).count().join(sizes, key)
+    total = cut.groupBy(key).agg(F.count_distinct(item).alias("_n"))
+    left = cut_lineage(left.join(total, key).select(key, F.ceil(F.col("count") * F.col("_blocks") / F.col("_n")).cast("int").alias("_open_blocks")))
+    cut = cut.join(broadcast_if_small(left), key)
+    mine = F.pmod(F.xxhash64(F.lit(11), item), F.col("_open_blocks")).cast("int")
+    asks = cut.join(open_, [key, item], "left_semi").withColumns({"lo": mine, "hi": F.explode(F.transform(everywhere, lambda b: -1 - b)), "side": F.lit(0)})
+    meets = cut.withColumns({"lo": F.explode(F.sequence(F.lit(0), F.col("_open_blocks") - 1)), "hi": -1 - own, "side": F.lit(1)})
+    cols = [*rows.columns, "lo", "hi", "side"]
+    across = asks.select(*cols).unionByName(meets.select(*cols))
+    return links.unionByName(map_groups(across, [key, "lo", "hi"], fn, "u bigint, v bigint", ["u", "v"]))
 
 
 def map_groups(df: DataFrame, keys: list[str], fn: Callable[[pa.RecordBatch], list[tuple]], schema: str, names: list[str]) -> DataFrame:

@@ -9,7 +9,9 @@ probability of at most ``MISS`` (13 chunks for 0.85).
 No pair is emitted inside a bucket: blocks of a bucket compare signatures in numpy and give a spanning forest. Its
 components (clusters of signatures within the distance) are then compared on full shingle sets, again in blocks, and
 the confirmed links' forest gives the components. Buckets with the same members are compared once, classes of equal
-sets take part as one member, and a large bucket or cluster is cut into pairs of blocks, so no task holds a group.
+sets take part as one member. A large bucket or cluster is cut into blocks that each get its smallest member too: what
+hangs together with that one there is settled, and only the rest is compared with the other blocks, so no task holds a
+group and the rows of a group of near copies grow with its size.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowloom.llm.grouped import Forest, block_pairs, map_groups
+from flowloom.llm.grouped import Forest, group_links
 from flowloom.llm.text import LOWER, Flat, map_text, mix, per_text, span_hashes, window_hashes
 from flowloom.operators.components import connected_components
 from flowloom.session import cut_lineage
@@ -170,7 +172,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85, keep: tuple[str, ...] =
 
     Linked are documents with 100 * intersection >= ``percent`` * union of their shingle sets. ``component_id`` is the smallest id reachable by links; ``kept`` where
     it is the row's own. A null or wordless text has an empty set and its own component. A row without id links with
-    nothing: ``component_id`` null, ``kept`` true. Repeated rows give repeated rows. Other columns are not read.
+    nothing: ``component_id`` null, ``kept`` true. Repeated rows give repeated rows; ties (equal sets) are one class, named by
+    its smallest id, and texts that share an id share a component. A very long text is one row of one task, at some 15 times
+    its bytes. An empty table gives an empty one. Other columns are not read unless in ``keep``.
     """
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), *keep)
     fields = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in ("doc_id", *keep)]
@@ -179,7 +183,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, keep: tuple[str, ...] =
     classes = signed.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("set_key").agg(
         F.min("doc_id").alias("rep"), F.min("sig").alias("sig"), F.first("n_shingles").alias("n_shingles")
     )
-    # an id that stands on several texts is a member once, with one of them; its other texts keep their own class
+    # an id that stands on several texts stands for each of their sets, so its texts share a component
     classes = cut_lineage(classes)
     roots = _components(docs.select("doc_id", "text"), classes, percent)
     rep = classes.join(roots, classes.rep == roots.node, "left").select("set_key", F.coalesce("root", "rep").alias("component"))
@@ -195,14 +199,12 @@ def _components(docs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     buckets = keys.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("rep")).alias("members")).where("n > 1")
     buckets = buckets.groupBy("n", "members").agg(F.min("key").alias("key"))
     near = keys.join(buckets.select("key", "n"), "key").join(classes.select("rep", "sig"), "rep")
-    near = block_pairs(near, "rep", F.ceil(F.col("n") / BUCKET_BLOCK)).drop("n")
-    edges = map_groups(near, ["key", "lo", "hi"], _near_signatures, "u bigint, v bigint", ["u", "v"])
+    large = buckets.where(F.col("n") > BUCKET_BLOCK).select("key", F.ceil(F.col("n") / BUCKET_BLOCK).alias("_blocks"))
+    edges = group_links(near.drop("n"), "key", "rep", large, _near_signatures)
     clusters = connected_components(edges).withColumnRenamed("node", "rep").withColumnRenamed("root", "cluster")
     members = clusters.join(classes.select("rep", "set_key", "n_shingles"), "rep")
     weight = members.groupBy("cluster").agg(F.sum("n_shingles").alias("weight"))
     members = cut_lineage(members.join(weight, "cluster"))
-    texts = docs.withColumnRenamed("doc_id", "rep").join(members, "rep")
-    texts = block_pairs(texts, "rep", F.ceil(F.col("weight") / SHINGLE_BLOCK))
-    texts = texts.select("cluster", "lo", "hi", "side", "rep", "set_key", "text")
-    links = map_groups(texts, ["cluster", "lo", "hi"], _linker(percent), "u bigint, v bigint", ["u", "v"])
-    return connected_components(links)
+    texts = docs.withColumnRenamed("doc_id", "rep").join(members, "rep").select("cluster", "rep", "set_key", "text")
+    large = weight.where(F.col("weight") > SHINGLE_BLOCK).select("cluster", F.ceil(F.col("weight") / SHINGLE_BLOCK).alias("_blocks"))
+    return connected_components(group_links(texts, "cluster", "rep", large, _linker(percent)))
