@@ -61,6 +61,6 @@ def binary_target(df: DataFrame, benign: str = BENIGN) -> DataFrame:
 
 
 def encode_labels(df: DataFrame, col: str) -> tuple[DataFrame, DataFrame]:
-    """Number the sorted distinct labels from 0; returns the table with ``label_num`` and the mapping."""
-    mapping = ranked(df.select(col).distinct(), [], [col], name="label_num")
-    return df.join(mapping, col), mapping
+    """Number the sorted distinct labels from 0; returns the table with ``label_num`` and the mapping. A null label keeps its row, with a null number."""
+    mapping = ranked(df.select(col).where(F.col(col).isNotNull()).distinct(), [], [col], name="label_num")
+    return df.join(mapping, col, "left"), mapping

@@ -292,8 +292,9 @@ seq_pairs AS (SELECT a.seq_id, b.seq_id AS next_id, a.v AS a, b.v AS b FROM padd
 
 VIEW_PAIRS = """
 view_pairs AS (
-  SELECT i.vec_id // 2 AS k, i.embedding AS z_i, j.embedding AS z_j, (i.vec_id // 2) // 16 AS batch_id
-  FROM embeddings i JOIN embeddings j ON j.vec_id = i.vec_id + 1 WHERE i.vec_id % 2 = 0)"""
+  SELECT k, coalesce(i.embedding, j.embedding) AS z_i, coalesce(j.embedding, i.embedding) AS z_j, k // 16 AS batch_id
+  FROM (SELECT vec_id // 2 AS k, embedding FROM embeddings WHERE vec_id % 2 = 0) i
+  FULL JOIN (SELECT vec_id // 2 AS k, embedding FROM embeddings WHERE vec_id % 2 = 1) j USING (k))"""
 
 _NORM = "sqrt(list_sum(list_transform({0}, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE))))"
 
@@ -674,3 +675,15 @@ ORACLES["stream_idle_sessions"] = sql(
     f"s1 AS (SELECT *, ts - lag(ts) OVER (PARTITION BY {_KEY} ORDER BY pkt_idx) AS gap FROM keyed)",
     f"s2 AS (SELECT *, sum(CASE WHEN gap > (CASE WHEN proto = 6 THEN 300 ELSE 120 END) THEN 1 ELSE 0 END) OVER (PARTITION BY {_KEY} ORDER BY pkt_idx) AS no FROM s1)")
 ORACLES["stream_attack_label"] = ORACLES["attack_label"]
+ORACLES["stream_late_packets"] = sql(
+    f"SELECT 'late' AS kind, srcip, dstip, CAST(srcport AS BIGINT) AS srcport, CAST(dstport AS BIGINT) AS dstport, CAST(proto AS BIGINT) AS proto, pkt_idx, CAST(1 AS BIGINT) AS n_pkts FROM told WHERE late"
+    f" UNION ALL SELECT 'flows', srcip, dstip, CAST(srcport AS BIGINT), CAST(dstport AS BIGINT), CAST(proto AS BIGINT), CAST(-1 AS BIGINT), count(*) FROM told WHERE NOT late GROUP BY {_KEY}",
+    _TIMED, KEYED,
+    "sliced AS (SELECT *, CASE WHEN pkt_idx % 97 = 0 THEN 2 ELSE pkt_idx * 3 // (SELECT count(*) FROM packets) END AS slice FROM keyed)",
+    "mark AS (SELECT floor(max(ts) * 1e3) - 6e5 AS ms FROM sliced WHERE slice < 2)",
+    "told AS (SELECT *, slice = 2 AND ts * 1e3 < (SELECT ms FROM mark) AS late FROM sliced)")
+ORACLES["stream_features"] = sql(
+    f"SELECT flow_id, {text('f_time')} AS v, CASE WHEN emit_at % 2 = 1 AND emit_at < {LEFTOVER} THEN emit_at ELSE -1 END AS closed_at FROM features", _TIMED, KEYED, FLOWS, LABELLED, FEATURES)
+ORACLES["dbscan_blocks"] = sql(
+    "SELECT id AS vec_id, CAST(g AS BIGINT) AS label, CAST(cluster_id AS BIGINT) AS cluster_id FROM db_3",
+    _dbscan("embeddings", "label", "embedding", "vec_id", "vec_id", "12e-1 * 12e-1", 3, "3"), recursive=True)

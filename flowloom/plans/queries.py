@@ -340,6 +340,14 @@ def dbscan(spark, sf):
     return out
 
 
+@query
+def dbscan_blocks(spark, sf):
+    """The same with boxes of 40 points at most, so that every group is cut, into boxes or, where that wins nothing, blocks."""
+    e = table(spark, sf, "embeddings")
+    c = cluster.cluster_by_group(e, ["label"], "vec_id", "embedding", ["vec_id"], eps=1.2, min_samples=3, leaf=40)
+    return c.select("vec_id", *big("label", "cluster_id"))
+
+
 @query
 def dbscan_flows(spark, sf):
     f = sampling.server_groups(stage(spark, sf, "features"), ["server_ip", "server_port"], 2, malicious=True)
@@ -512,11 +520,12 @@ def triplet_similarity(spark, sf):
 
 
 def _views_of(spark, sf) -> DataFrame:
-    """Vector 2k beside vector 2k+1, sixteen pairs to a batch."""
+    """Vector 2k beside vector 2k+1, sixteen pairs to a batch; a vector without a partner stands beside itself."""
     e = table(spark, sf, "embeddings").withColumn("k", F.floor(F.col("vec_id") / 2))
     i = e.where("vec_id % 2 = 0").select("k", F.col("embedding").alias("z_i"))
     j = e.where("vec_id % 2 = 1").select("k", F.col("embedding").alias("z_j"))
-    return i.join(j, "k").withColumn("batch_id", F.floor(F.col("k") / 16))
+    both = i.join(j, "k", "full").withColumn("batch_id", F.floor(F.col("k") / 16))
+    return both.withColumns({"z_i": F.coalesce("z_i", "z_j"), "z_j": F.coalesce("z_j", "z_i")})
 
 
 @query
@@ -734,5 +743,5 @@ def stats_dataset(spark, sf):
 def labelled_sequences(spark, sf):
     s = read_sequences(spark, sequence_dir(spark, sf))
     return s.select(
-        F.col("items")[0].cast("bigint").alias("seq_id"), text(F.slice("items", 2, 1 << 20), None).alias("items"), *big("label")
+        F.col("items")[0].cast("bigint").alias("seq_id"), text(F.slice("items", F.lit(2), F.size("items")), None).alias("items"), *big("label")
     )
