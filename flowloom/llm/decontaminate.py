@@ -17,6 +17,8 @@ from flowloom.session import broadcast_if_small, cut_lineage
 
 #: Between words: controls, punctuation and spaces of ASCII. Words keep digits, letters and all other characters.
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]"
+#: The same before A-Z are lower-cased.
+PLAIN_GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 #: Words of an anchor.
 RUN = 3
 #: Windows that are broadcast with their words, and the bytes of those words.
@@ -50,7 +52,7 @@ def bounded(windows: DataFrame) -> bool:
 
 
 def _run_hash(words: Column, at: Column, size: Column) -> Column:
-    """Hash of the run of ``least(RUN, size)`` words from the 0-based ``at``; null words stand for what is beyond."""
+    """Hash of the run of ``least(RUN, size)`` words from the 0-based ``at``; null words are beyond the run and count nothing."""
     return F.xxhash64(*[F.when(size > k, F.get(words, at + k)) for k in range(RUN)])
 
 
@@ -79,15 +81,12 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, width: int = 10, whole
     windows = cut_lineage(_anchored(benchmark_windows(benchmark, width).select("size", "window").distinct()))
     words = docs.select("doc_id", normal_words(F.col("text")).alias("words"))
     runs = [r[0] for r in windows.select("run").distinct().collect()]  # at most RUN
-    each = words.select("doc_id", "words", F.posexplode("words").alias("p", "_word")).drop("_word")
-    keys = [F.struct(_run_hash(F.col("words"), F.col("p"), F.lit(n)).alias("h"), F.lit(n).alias("n")) for n in runs]
-    if len(keys) == 1:
-        each = each.select("doc_id", "words", "p", keys[0]["h"].alias("h"), F.lit(runs[0]).alias("n"))
-    else:
-        each = each.select("doc_id", "words", "p", F.explode(F.array(*keys) if keys else F.expr("array(named_struct('h', 0L, 'n', 0))")).alias("_k"))
-        each = each.select("doc_id", "words", "p", F.col("_k.h").alias("h"), F.col("_k.n").alias("n"))
+    # outer, or the optimiser puts a filter on the words' number in front, which splits every text once more
+    each = words.select("doc_id", "words", F.posexplode_outer("words").alias("p", "_word")).drop("_word")
+    keys = [_run_hash(F.col("words"), F.col("p"), F.lit(n)) for n in runs] or [F.lit(0).cast("bigint")]
+    each = each.select("doc_id", "words", "p", (keys[0] if len(keys) == 1 else F.explode(F.array(*keys))).alias("h"))
     at = F.col("p") - F.col("place") + 1  # where a window with its anchor here begins
-    same = (F.col("h") == F.col("anchor")) & (F.col("n") == F.col("run"))
+    same = F.col("h") == F.col("anchor")  # one 64-bit key, the quickest table there is; the words decide
     if bounded(windows) if whole is None else whole:
         stands = (at > 0) & (F.slice("words", F.greatest(at, F.lit(1)), F.col("size")) == F.col("window"))
         return each.join(F.broadcast(windows), same & stands).select("doc_id", at.alias("at"), "size", "window")
@@ -95,7 +94,7 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, width: int = 10, whole
     seen = F.get(_bitmap(windows, entries), F.pmod(F.shiftright("h", 6), F.lit(entries)).cast("int"))
     passed = each.where(F.expr("shiftleft(1L, CAST(h & 63 AS INT))").bitwiseAND(seen) != 0)
     lead = F.least(F.col("p"), F.lit(width - 1))
-    passed = passed.select("doc_id", "h", "n", "p", lead.alias("lead"), F.slice("words", F.col("p") - lead + 1, lead + width).alias("near"))
+    passed = passed.select("doc_id", "h", "p", lead.alias("lead"), F.slice("words", F.col("p") - lead + 1, lead + width).alias("near"))
     stands = (at > 0) & (F.slice("near", F.greatest(F.col("lead") - F.col("place") + 1, F.lit(1)), F.col("size")) == F.col("window"))
     return passed.join(windows, same & stands).select("doc_id", at.alias("at"), "size", "window")
 
@@ -133,7 +132,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10) -
     spans = covered_spans(hits)
     covered = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, x: n + x["end"] - x["at"])
     spans = spans.select(F.col("doc_id").alias("_hit_row"), covered.alias("n_hit"))
-    counts = docs.select("doc_id", "_row", F.size(normal_words(F.col("text"))).cast("bigint").alias("n_words"))
+    counts = docs.select("doc_id", "_row", F.coalesce(F.regexp_count("text", F.lit(f"[^{PLAIN_GAP[1:]}+")), F.lit(0)).cast("bigint").alias("n_words"))
     out = counts.join(spans, F.col("_row") == F.col("_hit_row"), "left").join(listed, F.col("_row") == F.col("_item_row"), "left")
     return out.select(
         "doc_id", "n_words", F.coalesce("n_hit", F.lit(0).cast("bigint")).alias("n_hit"),
@@ -160,9 +159,9 @@ def remove_contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10,
         found = cut_lineage(hits.select(F.col("doc_id").alias("_text_md5")).distinct())
         return rows.join(broadcast_if_small(found), "_text_md5", "left_anti").select(*back)
     spans = cut_lineage(covered_spans(hits.distinct()).withColumnRenamed("doc_id", "_text_md5"))
-    pieces = F.regexp_extract_all(text, F.lit(f"{GAP}*[^{GAP[1:]}+"), F.lit(0))  # each word with what stands before it
+    pieces = F.regexp_extract_all(text, F.lit(f"{PLAIN_GAP}*[^{PLAIN_GAP[1:]}+"), F.lit(0))  # each word with what stands before it
     kept = F.filter(pieces, lambda x, i: ~F.exists("spans", lambda s: (i + 1 >= s["at"]) & (i + 1 < s["end"])))
-    rest = F.concat(F.array_join(kept, ""), F.regexp_extract(text, f"{GAP}*$", 0))
+    rest = F.concat(F.array_join(kept, ""), F.regexp_extract(text, f"{PLAIN_GAP}*$", 0))
     rows = rows.join(broadcast_if_small(spans), "_text_md5", "left")
     rows = rows.withColumn("_cut", F.when(F.col("spans").isNotNull(), rest).otherwise(text))
     return rows.select(*[F.col("_cut").alias(c) if c == "text" else b for c, b in zip(docs.columns, back)])
