@@ -43,6 +43,22 @@ class Texts:
         self.starts, self.ends, self.first = self.flat.words()
         self.n_words = np.diff(self.first)
 
+    def subset(self, rows: np.ndarray) -> Texts:
+        """These texts alone; their words are not cut again."""
+        if len(rows) == len(self.flat):
+            return self
+        out, old = object.__new__(Texts), self.flat.offsets
+        size = np.diff(old)[rows]
+        lead = np.concatenate([[0], np.cumsum(size)])
+        pieces = [self.flat.data[a:b] for a, b in zip(old[rows].tolist(), old[rows + 1].tolist())]
+        out.flat = self.flat.of(np.concatenate(pieces) if pieces else self.flat.data[:0], lead)
+        out.n_words = self.n_words[rows]
+        out.first = np.concatenate([[0], np.cumsum(out.n_words)])
+        word = np.arange(out.first[-1]) + np.repeat(self.first[rows] - out.first[:-1], out.n_words)
+        shift = np.repeat(lead[:-1] - old[rows], out.n_words)
+        out.starts, out.ends = self.starts[word] + shift, self.ends[word] + shift
+        return out
+
     def in_spans(self, lut: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         total = np.concatenate([[0], np.cumsum(lut[self.flat.data], dtype=np.int64)])
         return total[ends] - total[starts]
@@ -150,15 +166,16 @@ def sample_texts(docs: DataFrame, rows: int = 200) -> list[str]:
 
 def judge(texts: pa.Array, rules: list[Rule]) -> dict[str, np.ndarray]:
     """Counts of each text, ``base_failed`` and ``kept``; each rule sees the texts that are still kept."""
-    counts = Texts(texts).counts()
+    part = Texts(texts)
+    counts = part.counts()
     failed = base_failed(counts)
-    alive = np.flatnonzero(~failed)
+    alive, good = np.arange(len(failed)), ~failed
     for rule in rules:
+        part, alive = part.subset(np.flatnonzero(good)), alive[good]
         if not len(alive):
             break
-        part = Texts(texts.take(pa.array(alive)))
-        bad = rule.rejects(part, {k: v[alive] for k, v in counts.items()})
-        alive = alive[~bad]
+        good = ~rule.rejects(part, {k: v[alive] for k, v in counts.items()})
+    alive = alive[good] if len(alive) else alive
     kept = np.zeros(len(failed), bool)
     kept[alive] = True
     return {**counts, "base_failed": failed, "kept": kept}
@@ -167,8 +184,9 @@ def judge(texts: pa.Array, rules: list[Rule]) -> dict[str, np.ndarray]:
 def apply_rules(docs: DataFrame, keep: list[str], rules: list[Rule] | None = None) -> DataFrame:
     """``keep`` columns, the counts, ``base_failed`` and ``kept`` of every row's whole text.
 
-    A null, empty or wordless text has no words, so it fails the base rule. Equal texts get equal rows; other columns of
-    ``docs`` are not read. ``rules`` defaults to all, ordered on a sample of ``docs``.
+    A null, empty or wordless text has no words, so it fails the base rule. Equal texts and repeated rows get equal rows, so
+    ties need no rule; null ids are kept like others. A very long text is one row of one task, at some 30 times its bytes.
+    An empty table gives an empty one; other columns of ``docs`` are not read unless in ``keep``. ``rules`` defaults to all, ordered on a sample of ``docs``.
     """
     ordered = order_rules(sample_texts(docs)) if rules is None else rules
     fields = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep]

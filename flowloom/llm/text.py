@@ -41,6 +41,12 @@ class Flat:
         self.data = raw[off[0] : off[-1]] if len(off) else raw[:0]
         self.offsets = off - off[0] if len(off) else np.zeros(1, np.int64)
 
+    @classmethod
+    def of(cls, data: np.ndarray, offsets: np.ndarray) -> Flat:
+        out = object.__new__(cls)
+        out.data, out.offsets = data, offsets
+        return out
+
     def __len__(self) -> int:
         return len(self.offsets) - 1
 
