@@ -1,7 +1,7 @@
 """Secret scan: pattern spans, and base64 or hex candidates confirmed by the structure of what they decode to.
 
-A candidate counts only if it parses: a private key in DER (a sequence whose nested lengths fill it exactly and that
-starts with a version number), an OpenSSH private key (magic and length-prefixed fields), or a signed token (three
+A candidate counts only if it parses: a private key in DER (a sequence whose nested lengths fill it exactly, that
+starts with a version number or names a password-based encryption), an OpenSSH private key (magic and length-prefixed fields), or a signed token (three
 parts, of which the header and payload are JSON objects and the header names an algorithm). The least token,
 ``{"alg":"none"}`` with an empty payload, has ``RUN`` characters.
 
@@ -53,15 +53,19 @@ RUN = 24
 _RUN_BYTES = np.zeros(256, bool)
 _RUN_BYTES[[*range(48, 58), *range(65, 91), *range(97, 123), *b"+/_-.="]] = True
 _MAGIC = b"openssh-key-v1\0"
-#: Bytes of the least key that counts.
+#: Object identifiers of password-based encryption begin so (PKCS 5 and PKCS 12).
+_PBE = (bytes.fromhex("2a864886f70d0105"), bytes.fromhex("2a864886f70d010c01"))
+#: Bytes of the least key that counts, and the most values of its outer sequence: an RSA key has 9, others fewer. So a
+#: start that is no key costs a fixed number of steps, whatever length it claims.
 LEAST_KEY = 16
+MOST_ITEMS = 16
 
 
 def der_items(raw: bytes, at: int, end: int) -> list[tuple[int, int, int]] | None:
-    """(tag, start, end) of the values that fill ``raw[at:end]`` exactly; None if a length does not fit."""
+    """(tag, start, end) of the values that fill ``raw[at:end]`` exactly; None if a length does not fit or they are too many."""
     out = []
     while at < end:
-        if at + 2 > end:
+        if at + 2 > end or len(out) == MOST_ITEMS:
             return None
         tag, size = raw[at], raw[at + 1]
         at += 2
@@ -81,8 +85,8 @@ def der_items(raw: bytes, at: int, end: int) -> list[tuple[int, int, int]] | Non
 def der_end(raw: bytes, at: int = 0) -> int | None:
     """End of the DER private key that starts at ``raw[at]``; None if none does.
 
-    One sequence, version 0 or 1 first, then numbers (RSA), an algorithm (PKCS 8) or octets (EC). Its outer length
-    says where it ends.
+    One sequence: version 0 or 1 first, then numbers (RSA), an algorithm (PKCS 8) or octets (EC); or, encrypted (PKCS 8),
+    an algorithm of password-based encryption and octets. Its outer length says where it ends.
     """
     if raw[at : at + 1] != b"\x30" or at + 2 > len(raw):
         return None
@@ -93,10 +97,16 @@ def der_end(raw: bytes, at: int = 0) -> int | None:
             return None
         size = int.from_bytes(raw[at + 2 : body], "big")
     end = body + size
-    items = der_items(raw, body, end) if end <= len(raw) and raw[body : body + 1] == b"\x02" else None
-    if not items or len(items) < 2 or raw[items[0][1] : items[0][2]] not in (b"\0", b"\1"):
+    items = der_items(raw, body, end) if end <= len(raw) and raw[body : body + 1] in (b"\x02", b"\x30") else None
+    if not items or len(items) < 2:
         return None
     tags = [t for t, _, _ in items]
+    if tags[0] == 0x30:
+        inner = der_items(raw, *items[0][1:])
+        named = bool(inner) and inner[0][0] == 0x06 and raw[inner[0][1] : inner[0][2]].startswith(_PBE)
+        return end if named and tags == [0x30, 0x04] else None
+    if raw[items[0][1] : items[0][2]] not in (b"\0", b"\1"):
+        return None
     if tags[1] == 0x30:
         inner = der_items(raw, *items[1][1:])
         known = bool(inner) and inner[0][0] == 0x06 and len(tags) > 2 and tags[2] == 0x04
@@ -265,7 +275,9 @@ def scan_secrets(docs: DataFrame, keep: list[str], with_text: bool = False) -> D
 
     Returns the ``keep`` columns, ``n_assign``, ``n_access``, ``n_hex``, ``base_sha256`` (of the pattern spans),
     ``spans`` (all, by start, then kind) and with ``with_text`` the ``redacted`` text (null where the text is null). A
-    null or empty text has no spans. Repeated rows give repeated rows; other columns of ``docs`` are not read.
+    null or empty text has no spans. Ties: of base spans that start together, kinds stand in the order of ``KINDS``, and per
+    kind the leftmost wins. Null ids are kept like others and repeated rows give repeated rows. A very long text is one row
+    of one task, in time that grows with its length. An empty table gives an empty one; other columns are not read.
     """
     fields = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep]
     fields += ["n_assign bigint", "n_access bigint", "n_hex bigint", "base_sha256 string", "spans string"]
