@@ -105,9 +105,10 @@ def refined_eigen(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     tiny = 8 * n * np.finfo(WIDE).eps
     for _ in range(STEPS):
         r, s = np.eye(n, dtype=WIDE) - x.T @ x, x.T @ a @ x
+        r, s = (r + r.T) / 2, (s + s.T) / 2  # else rounding, over a small gap, spoils the angles
         values = np.diag(s) / (1 - np.diag(r))
         off = s - np.diag(np.diag(s))
-        gap = 2 * (np.sqrt((off * off).sum()) + norm * np.sqrt((r * r).sum()))
+        gap = max(2 * (np.sqrt((off * off).sum()) + norm * np.sqrt((r * r).sum())), tiny * norm)
         apart = np.abs(values[None, :] - values[:, None])
         far = apart > gap
         step = np.where(far, (s + values * r) / np.where(far, values[None, :] - values[:, None], 1), r / 2)
@@ -123,6 +124,8 @@ def refined_eigen(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
                 turned = True
         if not turned and np.abs(step).max() <= tiny:
             break
+    for _ in range(2):  # what rounding over small gaps has left of the angles
+        x = x + x @ (np.eye(n, dtype=WIDE) - x.T @ x) / 2
     values = np.einsum("ij,ik,kj->j", x, a, x) / (x * x).sum(0)
     order = np.argsort(-values, kind="stable")
     x = x[:, order] / np.sqrt((x[:, order] ** 2).sum(0))
