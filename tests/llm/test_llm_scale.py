@@ -1,7 +1,9 @@
 """Large benchmarks, removed spans, groups of near copies, and strings on which plain sums collide."""
 
+import base64
 import random
 import re
+import time
 
 import pyarrow as pa
 import pytest
@@ -12,6 +14,8 @@ from flowloom.llm import grouped, minhash_join
 from flowloom.llm.decontaminate import benchmark_hits, remove_contamination
 from flowloom.llm.minhash_join import near_duplicates, shingle_sets
 from flowloom.llm.quality_rules import apply_rules
+from flowloom.llm.secret_scan import confirmed_spans, der_end
+from flowloom.llm.url_filter import judge_urls, segment_words
 
 ITEM = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -46,8 +50,8 @@ def test_spans_are_removed_in_both_ways(spark, seed):
     expected = {}
     for i, t in enumerate(docs):
         hit = hit_words(t, items)
-        pieces = re.findall(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]*[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t or "")
-        tail = re.search(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]*$", t or "").group()
+        ends = [m.end() for m in ITEM.finditer(ascii_lower(t or ""))]
+        pieces, tail = [t[a:b] for a, b in zip([0, *ends], ends)], (t or "")[max(ends, default=0) :]
         expected[i] = "".join(p for k, p in enumerate(pieces) if k not in hit) + tail if hit else t
     got = {r.spans: r.text for r in remove_contamination(rows, bench, remove="spans").collect()}
     assert got == expected
@@ -105,3 +109,39 @@ def test_words_on_which_sums_collide(spark, n):
     assert lead.tolist() == [0, 1, 2] and sets[0] != sets[1]
     rows = spark.createDataFrame([(1, f"{x}\n{y}"), (2, f"{x}\n{x}")], "doc_id bigint, text string")
     assert {r.doc_id: r.n_dup_lines for r in apply_rules(rows, ["doc_id"]).collect()} == {1: 0, 2: 1}
+
+
+@pytest.mark.parametrize("piece", [b"\x30\x83\x0f\xff\xff\x02\x01\x00" + b"\x30\x00" * 8, b"\x30\x82\x7f\xff\x02\x01\x00", b"openssh-key-v1\0" + b"\0\0\0\0" * 4])
+def test_crafted_runs_take_linear_time(piece):
+    text = base64.b64encode(piece * (7_500_000 // len(piece))).decode()
+    start = time.perf_counter()
+    confirmed_spans(text)
+    assert len(text) > 9_000_000 and time.perf_counter() - start < 20
+
+
+def tlv(tag, body):
+    size = bytes([len(body)]) if len(body) < 128 else b"\x82" + len(body).to_bytes(2, "big")
+    return bytes([tag]) + size + body
+
+
+def test_encrypted_keys_are_confirmed():
+    pbes2 = tlv(0x30, tlv(0x06, bytes.fromhex("2a864886f70d01050d")) + tlv(0x30, b"\x05\x00"))
+    key = tlv(0x30, pbes2 + tlv(0x04, bytes(range(200))))
+    digest = tlv(0x30, tlv(0x30, tlv(0x06, bytes.fromhex("608648016503040201")) + b"\x05\x00") + tlv(0x04, bytes(32)))
+    assert der_end(key) == len(key) and der_end(digest) is None
+    text = "key: " + base64.b64encode(key).decode() + " end"
+    assert [(k, a) for a, k, _ in confirmed_spans(text)] == [(3, 5)]
+
+
+def test_long_names(spark):
+    word = "ab" * 50_000
+    words = spark.createDataFrame([(word,), ("abcx",)], "word string")
+    counts = spark.createDataFrame([("ab", 50), ("abcx", 2), ("b" * 300, 1)], "word string, n bigint")
+    start = time.perf_counter()
+    got = {r.word: r.parts for r in segment_words(words, counts).collect()}
+    assert "".join(got[word]) == word and got["abcx"] == ["abcx"]
+    rules = spark.createDataFrame([("net", "/", "block")], "host string, path string, verdict string")
+    urls = [(1, "http://" + "a." * 50_000 + "net/x", "<p>ab</p>"), (2, "http://x.org/" + word, None), (None, None, None)]
+    judged = judge_urls(spark.createDataFrame(urls, "page_id int, url string, html string"), rules).collect()
+    assert {r.page_id: r.rule for r in judged} == {1: "net/", 2: None, None: None}
+    assert time.perf_counter() - start < 120
