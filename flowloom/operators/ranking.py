@@ -69,23 +69,40 @@ def hash_order(df: DataFrame, id_col: str, seed: int, name: str = "_h") -> DataF
     return df.withColumn(name, F.md5(F.concat(F.lit(f"{seed}|"), F.col(id_col).cast("string"))))
 
 
-def first_by_hash(df: DataFrame, id_col: str, count: Column, seed: int, name: str = "_in", digits: int = 4) -> DataFrame:
+def first_by_hash(df: DataFrame, id_col: str, count: Column, seed: int, name: str = "_in", digits: int = 4, small: int = 100_000) -> DataFrame:
     """Flag exactly ``count`` rows, the first in md5(seed, id) order. ``count`` may use ``_total``, the row count.
 
-    A histogram over hash prefixes (at most 16**digits rows) finds where the cut falls; only rows sharing the
-    cut's prefix are ranked.
+    A radix select finds the last row that is in: a histogram over the next hash digits (at most 16**digits rows) names
+    the bucket of the cut, and so on inside it until it holds at most ``small`` rows, which are put in order. The flag is
+    then a comparison with that row, without a shuffle. Only rows of one and the same id, which all have one place, are
+    numbered if the cut falls among them.
     """
-    rows = hash_order(df, id_col, seed).withColumn("_b", F.substring("_h", 1, digits))
-    hist = rows.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
-    hist = hist.withColumns(
-        {
-            "_upto": F.sum("_n").over(W.orderBy("_b").rowsBetween(W.unboundedPreceding, 0)),
-            "_total": F.sum("_n").over(W.partitionBy()),
-        }
-    ).select("_b", (F.col("_upto") - F.col("_n")).alias("_before"), "_upto", count.alias("_want"))
-    rows = rows.join(hist, "_b")
-    cut = (F.col("_before") < F.col("_want")) & (F.col("_upto") > F.col("_want"))
-    w = W.partitionBy("_b").orderBy("_h", id_col)
-    whole = rows.where(~cut).withColumn(name, F.col("_upto") <= F.col("_want"))
-    split = rows.where(cut).withColumn(name, F.col("_before") + F.row_number().over(w) <= F.col("_want"))
-    return whole.unionByName(split).drop("_b", "_h", "_before", "_upto", "_want")
+    rows = hash_order(df, id_col, seed)
+    keyed = rows.select("_h", F.col(id_col).alias("_id"))
+    prefix, before, want = "", 0, None
+    while True:
+        inside = keyed.where(F.startswith("_h", F.lit(prefix))) if prefix else keyed
+        hist = inside.groupBy(F.substring("_h", len(prefix) + 1, digits).alias("_b")).agg(F.count(F.lit(1)).alias("_n"))
+        hist = hist.withColumn("_upto", F.sum("_n").over(W.orderBy("_b").rowsBetween(W.unboundedPreceding, 0)))
+        hist = hist.withColumn("_total", F.sum("_n").over(W.partitionBy())).withColumn("_want", count.cast("bigint") if want is None else F.lit(want))
+        need = F.col("_want") - before
+        cut = hist.where((F.col("_upto") >= need) & (F.col("_upto") - F.col("_n") < need)).first()
+        if cut is None:  # nothing or everything is in
+            head = hist.first()
+            return rows.withColumn(name, F.lit(head is not None and head["_want"] > 0)).drop("_h")
+        want, before, prefix = cut["_want"], before + cut["_upto"] - cut["_n"], prefix + cut["_b"]
+        if cut["_n"] <= small or len(prefix) >= 32:
+            break
+    last = keyed.where(F.startswith("_h", F.lit(prefix)))
+    if cut["_n"] > small:  # one hash: rows of one id
+        edge = last.first()
+    else:
+        edge = last.orderBy("_h", "_id").limit(want - before).agg(F.max(F.struct("_h", "_id")).alias("e")).first()["e"]
+    kind = df.schema[id_col].dataType
+    place, edge_place = F.struct("_h", F.col(id_col)), F.struct(F.lit(edge["_h"]), F.lit(edge["_id"]).cast(kind))
+    seen = last.agg(F.count_if(F.struct("_h", "_id") < edge_place).alias("less"), F.count_if(F.struct("_h", "_id") == edge_place).alias("same")).first()
+    spare = want - before - seen["less"]
+    if spare >= seen["same"]:
+        return rows.withColumn(name, place <= edge_place).drop("_h")
+    ties = rows.where(place == edge_place).withColumn(name, F.row_number().over(W.orderBy("_h")) <= spare)
+    return rows.where(~(place == edge_place)).withColumn(name, place < edge_place).unionByName(ties).drop("_h")
