@@ -21,8 +21,8 @@ def group_links(rows: DataFrame, key: str, item: str, sizes: DataFrame, fn: Call
 
     A cut group is first compared inside its blocks, each of which also gets the group's smallest item, its hub: n rows and
     one more for each block. Items that hang together with the hub there are settled. Only the others, if any, are
-    then compared with all blocks of the group. So rows grow with the group as long as the hub's links cover it; items that
-    the hub's tree leaves out meet each block once.
+    then compared, with each other and with the settled ones, block against block. So rows grow with the group as long as
+    the hub's links cover it; each item that they leave out is sent once for each block of the group.
     """
     sizes = cut_lineage(sizes.select(key, F.col("_blocks").cast("int").alias("_blocks")))
     if sizes.isEmpty():
@@ -47,15 +47,19 @@ def group_links(rows: DataFrame, key: str, item: str, sizes: DataFrame, fn: Call
     open_ = cut_lineage(cut.where(F.col(item) != F.col("_hub")).select(key, item).distinct().join(settled.distinct(), [key, item], "left_anti"))
     if open_.isEmpty():
         return links
-    left = open_.groupBy(key).count().join(sizes, key)
-    total = cut.groupBy(key).agg(F.count_distinct(item).alias("_n"))
-    left = cut_lineage(left.join(total, key).select(key, F.ceil(F.col("count") * F.col("_blocks") / F.col("_n")).cast("int").alias("_open_blocks")))
-    cut = cut.join(broadcast_if_small(left), key)
-    mine = F.pmod(F.xxhash64(F.lit(11), item), F.col("_open_blocks")).cast("int")
-    asks = cut.join(open_, [key, item], "left_semi").withColumns({"lo": mine, "hi": F.explode(F.transform(everywhere, lambda b: -1 - b)), "side": F.lit(0)})
-    meets = cut.withColumns({"lo": F.explode(F.sequence(F.lit(0), F.col("_open_blocks") - 1)), "hi": -1 - own, "side": F.lit(1)})
+    counts = cut.groupBy(key).agg(F.count_distinct(item).alias("_n")).join(open_.groupBy(key).agg(F.count("*").alias("_u")), key)
+    share = lambda n: F.greatest(F.ceil(F.col("_blocks") * n / F.col("_n")), F.lit(1)).cast("int")
+    parts = counts.join(sizes, key).select(key, share(F.col("_u")).alias("_ub"), share(F.col("_n") - F.col("_u")).alias("_sb"))
+    cut = cut.join(broadcast_if_small(cut_lineage(parts)), key)
+    mine = lambda n: F.pmod(F.xxhash64(F.lit(11), item), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = cut.join(open_, [key, item], "left_semi").withColumn("_own", mine("_ub"))
+    pairs = left.withColumn("_other", each("_ub"))
+    pairs = pairs.withColumns({"lo": F.least("_own", "_other"), "hi": F.greatest("_own", "_other"), "side": (F.col("_own") > F.col("_other")).cast("int")})
+    asks = left.withColumns({"lo": F.col("_own"), "_other": each("_sb"), "side": F.lit(0)}).withColumn("hi", -1 - F.col("_other"))
+    meets = cut.join(open_, [key, item], "left_anti").withColumns({"lo": each("_ub"), "hi": -1 - mine("_sb"), "side": F.lit(1)})
     cols = [*rows.columns, "lo", "hi", "side"]
-    across = asks.select(*cols).unionByName(meets.select(*cols))
+    across = pairs.select(*cols).unionByName(asks.select(*cols)).unionByName(meets.select(*cols))
     return links.unionByName(map_groups(across, [key, "lo", "hi"], fn, "u bigint, v bigint", ["u", "v"]))
 
 
