@@ -73,17 +73,25 @@ def _bitmap(anchored: DataFrame, entries: int) -> Column:
     return slots.agg(F.array_sort(F.collect_list(F.struct("at", F.coalesce("bits", F.lit(0).cast("bigint")).alias("bits"))))["bits"].alias("m")).scalar()
 
 
-def benchmark_hits(docs: DataFrame, benchmark: DataFrame, width: int = 10, whole: bool | None = None, entries: int = BITMAP) -> DataFrame:
+def benchmark_hits(
+    docs: DataFrame, benchmark: DataFrame, width: int = 10, whole: bool | None = None, entries: int = BITMAP, ends: bool = False
+) -> DataFrame:
     """One row per (``doc_id``, 1-based word position ``at``, window ``size``, ``window``) that stands in the document.
 
-    ``whole`` says whether the windows are broadcast with their words; left out, their number and bytes decide.
+    ``whole`` says whether the windows are broadcast with their words; left out, their number and bytes decide. With
+    ``ends`` every document also has the window ``[""]`` behind its last word: the same pass tells how many words it has.
     """
-    windows = cut_lineage(_anchored(benchmark_windows(benchmark, width).select("size", "window").distinct()))
-    words = docs.select("doc_id", normal_words(F.col("text")).alias("words"))
-    runs = [r[0] for r in windows.select("run").distinct().collect()]  # at most RUN
+    windows = benchmark_windows(benchmark, width).select("size", "window").distinct()
+    words = normal_words(F.col("text"))
+    if ends:
+        windows = windows.unionByName(docs.sparkSession.sql("SELECT 1 AS size, array('') AS window"))
+        words = F.concat(words, F.array(F.lit("")))
+    windows = cut_lineage(_anchored(windows))
+    words = docs.select("doc_id", words.alias("words"))
+    runs = [r[0] for r in windows.where("window[0] != ''").select("run").distinct().collect()] or [1]  # at most RUN
     # outer, or the optimiser puts a filter on the words' number in front, which splits every text once more
     each = words.select("doc_id", "words", F.posexplode_outer("words").alias("p", "_word")).drop("_word")
-    keys = [_run_hash(F.col("words"), F.col("p"), F.lit(n)) for n in runs] or [F.lit(0).cast("bigint")]
+    keys = [_run_hash(F.col("words"), F.col("p"), F.lit(n)) for n in runs]
     each = each.select("doc_id", "words", "p", (keys[0] if len(keys) == 1 else F.explode(F.array(*keys))).alias("h"))
     at = F.col("p") - F.col("place") + 1  # where a window with its anchor here begins
     same = F.col("h") == F.col("anchor")  # one 64-bit key, the quickest table there is; the words decide
@@ -122,7 +130,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10) -
     """
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     docs = docs.withColumn("_row", F.md5(F.concat_ws("\0", F.col("doc_id").cast("string"), F.col("text")).cast("binary")))
-    hits = cut_lineage(benchmark_hits(docs.select(F.col("_row").alias("doc_id"), "text"), benchmark, width).distinct())
+    found = cut_lineage(benchmark_hits(docs.select(F.col("_row").alias("doc_id"), "text"), benchmark, width, ends=True).distinct())
+    hits = found.where("window[0] != ''")
     items = benchmark_windows(benchmark, width).where("item_id IS NOT NULL").select("size", "window", "item_id").distinct()
     items = F.broadcast(items) if bounded(items) else items  # a window may be very common among the hits
     named = hits.join(items, ["size", "window"]).select("doc_id", F.col("item_id").cast("string").alias("item")).distinct()
@@ -132,7 +141,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10) -
     spans = covered_spans(hits)
     covered = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, x: n + x["end"] - x["at"])
     spans = spans.select(F.col("doc_id").alias("_hit_row"), covered.alias("n_hit"))
-    counts = docs.select("doc_id", "_row", F.coalesce(F.regexp_count("text", F.lit(f"[^{PLAIN_GAP[1:]}+")), F.lit(0)).cast("bigint").alias("n_words"))
+    counts = found.where("window[0] = ''").select(F.col("doc_id").alias("_counted"), (F.col("at") - 1).cast("bigint").alias("n_words"))
+    counts = docs.select("doc_id", "_row").join(counts, F.col("_row") == F.col("_counted"))
     out = counts.join(spans, F.col("_row") == F.col("_hit_row"), "left").join(listed, F.col("_row") == F.col("_item_row"), "left")
     return out.select(
         "doc_id", "n_words", F.coalesce("n_hit", F.lit(0).cast("bigint")).alias("n_hit"),
