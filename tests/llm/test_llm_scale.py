@@ -14,6 +14,7 @@ from flowloom.llm import grouped, minhash_join
 from flowloom.llm.decontaminate import benchmark_hits, remove_contamination
 from flowloom.llm.minhash_join import near_duplicates, shingle_sets
 from flowloom.llm.quality_rules import apply_rules
+from flowloom.llm.sharding import assign_shards
 from flowloom.llm.secret_scan import confirmed_spans, der_end
 from flowloom.llm.url_filter import judge_urls, segment_words
 
@@ -145,3 +146,17 @@ def test_long_names(spark):
     judged = judge_urls(spark.createDataFrame(urls, "page_id int, url string, html string"), rules).collect()
     assert {r.page_id: r.rule for r in judged} == {1: "net/", 2: None, None: None}
     assert time.perf_counter() - start < 120
+
+
+def test_one_key_is_parted(spark):
+    rows = [(i if i % 3 else 7, "x" * 50, f"s{i % 2}") for i in range(600)] + [(None, "y" * 90, "s2")] * 40 + [(5000, "z" * 3000, "s2")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string").repartition(4)
+    for key in ("doc_id", "source"):
+        got = assign_shards(docs, 1000, key).collect()
+        by = {}
+        for r in got:
+            by.setdefault(r.shard, []).append(r.n_bytes)
+        assert len(got) == len(rows) and all(sum(v) <= 1000 or len(v) == 1 for v in by.values())
+        assert all(len(r.shard) == r.depth for r in got)
+        names = sorted(by)
+        assert not any(b.startswith(a) for a, b in zip(names, names[1:]))
