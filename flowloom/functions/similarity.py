@@ -33,6 +33,10 @@ def wasserstein_sim(a: Column, b: Column) -> Column:
     return 1.0 - total / F.greatest(F.size(a), F.lit(1))
 
 
+#: Values of a list up to which rows are compared as a matrix.
+MATRIX = 64
+
+
 def _padded(lists: pd.Series) -> tuple[np.ndarray, np.ndarray]:
     length = lists.map(len).to_numpy()
     out = np.full((len(lists), max(int(length.max(initial=0)), 1)), np.nan)
@@ -48,8 +52,13 @@ def _front(values: np.ndarray, keep: np.ndarray) -> np.ndarray:
     return np.take_along_axis(np.where(keep, values, np.nan), order, axis=1)
 
 
-def jaro_winkler_batch(left: pd.Series, right: pd.Series) -> np.ndarray:
-    """Jaro-Winkler of value lists, all rows of a batch at once; prefix bonus only above a Jaro score of 0.7."""
+def _winkler(jaro: np.ndarray, prefix: np.ndarray) -> np.ndarray:
+    """Jaro-Winkler: the bonus for up to four equal first values, only above a Jaro score of 0.7."""
+    return np.where(jaro > 0.7, jaro + prefix * 0.1 * (1.0 - jaro), jaro)
+
+
+def _short_rows(left: pd.Series, right: pd.Series) -> np.ndarray:
+    """All rows of about one length at once."""
     a, la = _padded(left)
     b, lb = _padded(right)
     reach = np.maximum(np.maximum(la, lb) // 2 - 1, 0)
@@ -66,9 +75,45 @@ def jaro_winkler_batch(left: pd.Series, right: pd.Series) -> np.ndarray:
     with np.errstate(divide="ignore", invalid="ignore"):
         jaro = np.where(m > 0, (m / la + m / lb + (m - moved) / m) / 3.0, 0.0)
     jaro = np.where((la == 0) & (lb == 0), 1.0, jaro)
-    same = np.minimum(a.shape[1], b.shape[1])
-    prefix = np.cumprod((a[:, :same] == b[:, :same])[:, :4], axis=1).sum(axis=1)
-    return np.where(jaro > 0.7, jaro + prefix * 0.1 * (1.0 - jaro), jaro)
+    same = min(a.shape[1], b.shape[1])
+    return _winkler(jaro, np.cumprod((a[:, :same] == b[:, :same])[:, :4], axis=1).sum(axis=1))
+
+
+def _long_row(a: np.ndarray, b: np.ndarray) -> float:
+    """One pair in time that grows with its length: each value's places in ``b`` are used from the first on."""
+    reach = max(max(len(a), len(b)) // 2 - 1, 0)
+    places: dict[float, list[int]] = {}
+    for j in range(len(b) - 1, -1, -1):
+        places.setdefault(b[j], []).append(j)
+    met, used = [], []
+    for i, v in enumerate(a.tolist()):
+        free = places.get(v)
+        while free and free[-1] < i - reach:  # no later value reaches it
+            free.pop()
+        if free and free[-1] <= i + reach:
+            met.append(v)
+            used.append(free.pop())
+    m = len(met)
+    if not m:
+        return 0.0
+    moved = int((np.array(met) != b[np.sort(used)]).sum()) // 2
+    jaro = (m / len(a) + m / len(b) + (m - moved) / m) / 3.0
+    prefix = np.cumprod(a[:4][: len(b)] == b[:4][: len(a)]).sum() if len(a) and len(b) else 0
+    return float(_winkler(np.float64(jaro), prefix))
+
+
+def jaro_winkler_batch(left: pd.Series, right: pd.Series) -> np.ndarray:
+    """Jaro-Winkler of value lists. Rows are taken in classes of about one length, so padding at most doubles a row; long rows one by one."""
+    left, right = left.reset_index(drop=True), right.reset_index(drop=True)
+    longest = np.maximum(left.map(len).to_numpy(dtype=np.int64), right.map(len).to_numpy(dtype=np.int64))
+    out = np.zeros(len(left))
+    level = np.ceil(np.log2(np.maximum(longest, 1))).astype(int)
+    for k in np.unique(level[longest <= MATRIX]):
+        some = np.flatnonzero((level == k) & (longest <= MATRIX))
+        out[some] = _short_rows(left.iloc[some], right.iloc[some])
+    for k in np.flatnonzero(longest > MATRIX).tolist():
+        out[k] = _long_row(np.asarray(left.iloc[k], float), np.asarray(right.iloc[k], float))
+    return out
 
 
 @F.pandas_udf(DoubleType())

@@ -3,6 +3,7 @@
 import struct
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from flowloom.functions.similarity import jaro_winkler_batch
@@ -138,3 +139,17 @@ def test_jaro_winkler_known_values():
     code = lambda w: [float(ord(c)) for c in w]
     got = jaro_winkler_batch(pd.Series([code(a) for a, _, _ in words]), pd.Series([code(b) for _, b, _ in words]))
     assert np.allclose(got, [w[2] for w in words], atol=1e-4)
+
+
+def test_jaro_winkler_ways_agree():
+    """Long lists go one by one, in a batch with short ones; both ways give the same values."""
+    from flowloom.functions import similarity as S
+
+    rng = np.random.default_rng(2)
+    pairs = [(rng.integers(0, 4, rng.integers(0, 60)).astype(float), rng.integers(0, 4, rng.integers(0, 60)).astype(float)) for _ in range(200)]
+    left, right = pd.Series([a for a, _ in pairs]), pd.Series([b for _, b in pairs])
+    each = [S._long_row(a, b) if len(a) or len(b) else 1.0 for a, b in pairs]
+    assert np.allclose(jaro_winkler_batch(left, right), each)
+    left.loc[len(left)] = right.loc[len(right)] = np.arange(10_000) % 977.0
+    got = jaro_winkler_batch(left, right)
+    assert got[-1] == 1.0 and np.allclose(got[:-1], each)
