@@ -30,6 +30,8 @@ KEY = ["src_file", "srcip", "dstip", "srcport", "dstport", "proto"]
 BLOCK = 1 << 20
 # Flows still open at the end of a file come out after all others, by first packet.
 LEFTOVER = 1 << 60
+# Block tables that one task composes.
+FAN = 8
 
 FLOW_COLUMNS = [
     "flow_id", "src_file", "srcip", "dstip", "srcport", "dstport", "proto", "part", "n_pkts",
@@ -194,8 +196,8 @@ def _overruled_closes(rows: DataFrame, key: list[str], max_pkts: int) -> DataFra
 
     The cap forgets the FIN, so the flow runs on, and where its next cut falls depends on where it began, modulo the
     cap. Only closes of segments with at least one such case are looked at. Each block of closes is folded into a table
-    "begin modulo cap -> begin after the block", the tables of a segment are chained, and each block is gone through
-    once more from its known begin: three jobs, however many closes a segment has.
+    "begin modulo cap -> begin after the block", the tables of a segment are composed by a scan over its blocks, and each
+    block is gone through once more from its known begin.
     """
     closes = rows.where("_close").select(
         *key, "_seg_rn", "blk", "pkt_idx", "_rn", F.col("_mark.rn").alias("fin_rn"), F.col("_start0.rn").alias("begin")
@@ -218,14 +220,6 @@ def _overruled_closes(rows: DataFrame, key: list[str], max_pkts: int) -> DataFra
                 table[closing] = rn + 1 if follows < 0 else follows
         return pd.DataFrame([[*names, pdf.loc[pdf["_rn"].idxmin(), "begin"], table]], columns=[*segment, "blk", "begin", "table"])
 
-    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("blk")
-        begins, begin = [], int(pdf["begin"].iloc[0])
-        for table in pdf["table"]:
-            begins.append(begin)
-            begin = int(table[begin % max_pkts]) if table[begin % max_pkts] >= 0 else begin
-        return pdf[[*segment, "blk"]].assign(begin=begins)
-
     def replay(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_rn")
         begin, void = int(pdf["block_begin"].iloc[0]), []
@@ -235,12 +229,54 @@ def _overruled_closes(rows: DataFrame, key: list[str], max_pkts: int) -> DataFra
         return pdf.loc[void, [*key, "pkt_idx"]].assign(_void=True)
 
     tables = state.groupBy(*segment, "blk").applyInPandas(fold, f"{kinds}, begin bigint, table array<bigint>")
-    begins = tables.groupBy(*segment).applyInPandas(chain, f"{kinds}, begin bigint").withColumnRenamed("begin", "block_begin")
+    begins = _block_begins(cut_lineage(tables), segment, kinds, max_pkts).withColumnRenamed("begin", "block_begin")
     known = state.join(begins, segment + ["blk"])
     out = ", ".join(f"{c} {state.schema[c].dataType.simpleString()}" for c in key + ["pkt_idx"])
     return known.groupBy(*segment, "blk").applyInPandas(replay, f"{out}, _void boolean")
 
 
+def _block_begins(tables: DataFrame, segment: list[str], kinds: str, max_pkts: int) -> DataFrame:
+    """Where the flow that is open at the start of each block began: (segment, blk, begin).
+
+    A scan in rounds: going up, the tables of ``FAN`` neighbouring blocks are composed to one; going down, the begin of a
+    run of blocks gives those of its parts. A task holds at most ``FAN`` tables, and the rounds grow with the logarithm of
+    the number of blocks.
+    """
+
+    def after(table: np.ndarray, begin: int) -> int:
+        to = int(table[begin % max_pkts])
+        return to if to >= 0 else begin
+
+    def compose(names: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("blk")
+        first, *later = pdf["table"]
+        whole = np.array(first)
+        for table in later:
+            table = np.asarray(table)
+            follows = table[np.where(whole >= 0, whole, np.arange(max_pkts)) % max_pkts]
+            whole = np.where(follows >= 0, follows, whole)
+        return pd.DataFrame([[*names, pdf["begin"].iloc[0], whole]], columns=[*segment, "blk", "begin", "table"])
+
+    def spread_begin(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("blk")
+        begins, begin = [], int(pdf["run_begin"].iloc[0])
+        for table in pdf["table"]:
+            begins.append(begin)
+            begin = after(np.asarray(table), begin)
+        return pdf[[*segment, "blk"]].assign(begin=begins)
+
+    levels, run = [tables], (F.floor(F.col("blk") / FAN)).cast("bigint")
+    while not levels[-1].groupBy(*segment).count().where("count > 1").isEmpty():
+        up = levels[-1].withColumn("_run", run).groupBy(*segment, "_run").applyInPandas(compose, f"{kinds}, begin bigint, table array<bigint>")
+        levels.append(cut_lineage(up))
+    begins = levels.pop().select(*segment, "blk", "begin")
+    while levels:
+        known = begins.withColumnsRenamed({"blk": "_run", "begin": "run_begin"})
+        below = levels.pop().withColumn("_run", run).join(known, segment + ["_run"])
+        begins = cut_lineage(below.groupBy(*segment, "_run").applyInPandas(spread_begin, f"{kinds}, begin bigint"))
+    return begins
+
+
 def _long_conversations(
     rows: DataFrame, tcp_timeout: float, udp_timeout: float, max_pkts: int, block: int
 ) -> DataFrame:

@@ -116,7 +116,26 @@ def test_many_overruled_closes_take_few_jobs(spark, monkeypatch, cycle):
     for block in (100, 1 << 20):
         calls.clear()
         got = whole_flows(assemble_parts(spark.createDataFrame(packets, PACKETS), max_pkts=3, block=block))
-        assert got == sequential(packets, 3) and len(calls) <= 8
+        assert got == sequential(packets, 3) and len(calls) <= 14
+
+
+def test_begins_of_many_blocks(spark):
+    """The scan over block tables against one walk along them."""
+    import random
+
+    from flowloom.operators.flows import _block_begins
+
+    rnd, cap, tables = random.Random(3), 5, []
+    for segment, blocks in ((0, 4096), (1, 1), (2, 9)):
+        tables += [(segment, b, 3, [rnd.choice([-1, -1, 10 * b + rnd.randrange(10)]) for _ in range(cap)]) for b in range(blocks)]
+    df = spark.createDataFrame(tables, "_seg_rn bigint, blk bigint, begin bigint, table array<bigint>").repartition(4)
+    got = {(r["_seg_rn"], r.blk): r.begin for r in _block_begins(df, ["_seg_rn"], "_seg_rn bigint, blk bigint", cap).collect()}
+    expected, at = {}, None
+    for segment, b, begin, table in tables:
+        at = begin if b == 0 else at
+        expected[segment, b] = at
+        at = table[at % cap] if table[at % cap] >= 0 else at
+    assert got == expected
 
 
 def test_real_cap_tcp_only(spark):
