@@ -97,3 +97,23 @@ def test_nt_xent_in_chunks(spark):
     for chunk in (1024, 5):
         got = nt_xent(df, "i", "j", "b", "id", 0.1, chunk=chunk).first()
         assert got.n_rows == 24 and np.isclose(got.nt_xent, expected)
+
+
+def test_nt_xent_rows_grow_by_the_power_of_one_and_a_half(spark, monkeypatch):
+    from flowloom.operators import quality
+
+    deal, sent = quality.dealt_pairs, []
+
+    def counted(rows):
+        out = deal(rows)
+        sent.append(out.count())
+        return out
+
+    monkeypatch.setattr(quality, "dealt_pairs", counted)
+    for n in (400, 1600):
+        rng = np.random.default_rng(n)
+        rows = [(0, i, rng.normal(size=4).tolist(), rng.normal(size=4).tolist()) for i in range(n)]
+        df = spark.createDataFrame(rows, "b int, id int, i array<double>, j array<double>")
+        wide, narrow = (nt_xent(df, "i", "j", "b", "id", 0.1, chunk=c).first() for c in (1 << 20, 8))
+        assert np.isclose(wide.nt_xent, narrow.nt_xent) and wide.n_rows == narrow.n_rows == 2 * n
+    assert sent[3] <= 8 * sent[1] * 1.05 and sent[2] == 4 * sent[0]
