@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowloom.schemas import STATS_FIELDS
-from flowloom.session import spread
+from flowloom.session import broadcast_if_small, cut_lineage, spread
 from flowloom.sources.files import list_files, open_file
 
 #: Longest header line that is looked for.
@@ -23,21 +23,34 @@ def read_flow_stats(spark: SparkSession, paths: str | list[str], dialect: str =
 
     Every file is read by its own header, so the files of a folder may differ in order and extra columns. Header
     lines repeated inside a file and lines with too many fields for their file are dropped; short lines are filled
-    with nulls. An empty file has no rows.
+    with nulls. An empty file has no rows. The driver learns the distinct headers, not the files.
     """
     column = {"A": 0, "B": 1}[dialect]
-    files = [f for p in ([paths] if isinstance(paths, str) else paths) for f in _headers(spark, p)]
-    by_header: dict[str, list[str]] = {}
-    for path, header in files:
-        if header:
-            by_header.setdefault(header, []).append(path)
-    if not by_header:
+    tables = [_read_folder(spark, p, column) for p in ([paths] if isinstance(paths, str) else paths)]
+    return reduce(DataFrame.unionByName, tables)
+
+
+def _read_folder(spark: SparkSession, path: str, column: int) -> DataFrame:
+    files = cut_lineage(_headers(spark, path))
+    kinds = [(r.header, r.path) for r in files.groupBy("header").agg(F.min("path").alias("path")).orderBy("header").collect()]
+    places = {h: _places(next(csv.reader([h])), column, p) for h, p in kinds}
+    if not places:
         return spark.createDataFrame([], ", ".join(f"`{f[0]}` {f[2]}" for f in STATS_FIELDS))
-    return reduce(DataFrame.unionByName, [_read(spark, p, next(csv.reader([h])), column) for h, p in sorted(by_header.items())])
+    if len(places) == 1:
+        return _read(spark, path, *next(iter(places.values())))
+    return _read_mixed(spark, path, files, places)
+
+
+def _places(header: list[str], column: int, path: str) -> tuple[list[int], int]:
+    """Position of every field in a header, and the header's width."""
+    missing = [f[column] for f in STATS_FIELDS if f[column] not in header]
+    if missing:
+        raise ValueError(f"columns not in file {path}: {missing}")
+    return [header.index(f[column]) for f in STATS_FIELDS], len(header)
 
 
-def _headers(spark: SparkSession, path: str) -> list[tuple[str, str]]:
-    """(path, first line) of every file; only the first bytes of each are read."""
+def _headers(spark: SparkSession, path: str) -> DataFrame:
+    """(path, first line) of every file that has one; only the first bytes of each are read."""
 
     def first_lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -48,21 +61,33 @@ def _headers(spark: SparkSession, path: str) -> list[tuple[str, str]]:
             yield pd.DataFrame({"path": pdf["path"], "header": lines})
 
     files = list_files(spark, path).where(~F.col("path").rlike("/[._][^/]*$")).select("path")
-    return [tuple(r) for r in spread(files, "path").mapInPandas(first_lines, "path string, header string").collect()]
+    return spread(files, "path").mapInPandas(first_lines, "path string, header string").where("header != ''")
 
 
-def _read(spark: SparkSession, paths: list[str], header: list[str], column: int) -> DataFrame:
-    """Files of one header."""
-    missing = [f[column] for f in STATS_FIELDS if f[column] not in header]
-    if missing:
-        raise ValueError(f"columns not in file {paths[0]}: {missing}")
-    names = [f"_c{i}" for i in range(len(header))]
+def _read(spark: SparkSession, path: str, places: list[int], width: int) -> DataFrame:
+    """Files that share one header."""
+    names = [f"_c{i}" for i in range(width)]
     raw = (
         spark.read.schema(", ".join(f"{n} string" for n in names) + ", _bad string").option("header", "true").option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", "_bad").csv(paths)
+        .option("columnNameOfCorruptRecord", "_bad").option("recursiveFileLookup", "true").csv(path)
     )
     line = F.concat_ws(",", *names)
-    fits = F.col("_bad").isNull() | (F.size(F.split("_bad", ",")) < len(header))
-    return raw.where(fits & ~line.contains("Dst")).select(
-        *[F.col(names[header.index(f[column])]).try_cast(f[2]).alias(f[0]) for f in STATS_FIELDS]
-    )
+    fits = F.col("_bad").isNull() | (F.size(F.split("_bad", ",")) < width)
+    return raw.where(fits & ~line.contains("Dst")).select(*[F.col(names[at]).try_cast(f[2]).alias(f[0]) for at, f in zip(places, STATS_FIELDS)])
+
+
+def _read_mixed(spark: SparkSession, path: str, files: DataFrame, places: dict[str, tuple[list[int], int]]) -> DataFrame:
+    """Files of several headers in one scan: each line's fields are picked by the positions of its file's header."""
+    known = spark.createDataFrame([(h, at, width) for h, (at, width) in places.items()], "header string, _at array<int>, _width int")
+    of_file = files.join(F.broadcast(known), "header").select(F.col("path").alias("_path"), "_at", "_width")
+    lines = spark.read.option("recursiveFileLookup", "true").text(path).select("value", F.col("_metadata.file_path").alias("_path"))
+    lines = lines.join(broadcast_if_small(of_file), "_path").withColumn("value", F.regexp_replace("value", "\r$", ""))
+    most = max(width for _, width in places.values()) + 1
+    fields = F.from_csv("value", ", ".join(f"c{i} string" for i in range(most)), {"mode": "PERMISSIVE"})
+    rows = lines.where("value != ''").withColumn("_f", fields)
+    cells = F.array(*[F.col(f"_f.c{i}") for i in range(most)])
+    rows = rows.select("value", "_at", "_width", cells.alias("_cells"))
+    quoted = F.contains("value", F.lit('"'))
+    fits = F.when(quoted, F.get("_cells", F.col("_width")).isNull()).otherwise(F.size(F.split("value", ",")) <= F.col("_width"))
+    rows = rows.where(fits & ~F.contains("value", F.lit("Dst")))
+    return rows.select(*[F.get("_cells", F.get("_at", F.lit(k))).try_cast(f[2]).alias(f[0]) for k, f in enumerate(STATS_FIELDS)])
