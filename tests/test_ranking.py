@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from flowloom.operators import ranking
 from flowloom.operators.ranking import lagged, ranked
 from flowloom.operators.sampling import exact_sample, group_offsets, sample_triplets, train_test_split
 
@@ -40,6 +41,22 @@ def test_exact_sizes(spark):
     assert a.count() + b.count() == 300
 
 
+def test_a_cut_among_equal_digits(spark, monkeypatch):
+    """Hashes that share their first digits: the select goes on inside the bucket."""
+    whole = ranking.hash_order
+
+    def alike(df, id_col, seed, name="_h"):
+        return whole(df, id_col, seed, name).withColumn(name, F.concat(F.lit("abcd0123"), F.substring(name, 1, 24)))
+
+    monkeypatch.setattr(ranking, "hash_order", alike)
+    df = table(spark)
+    flags = {n: {r.id for r in ranking.first_by_hash(df, "id", F.lit(n), 42, digits=2, small=5).where("_in").collect()} for n in (0, 1, 7, 150, 299, 300, 900)}
+    order = [r.id for r in alike(df, "id", 42).orderBy("_h").collect()]
+    assert flags == {n: set(order[:n]) for n in flags}
+    same = spark.createDataFrame([(1,)] * 40 + [(2,)] * 3, "id int")
+    assert ranking.first_by_hash(same, "id", F.lit(17), 42, small=5).where("_in").count() == 17
+
+
 def test_triplets(spark):
     df = spark.createDataFrame([("one", 1), ("two", 2), ("two", 3)] + [("many", i) for i in range(10, 40)], "g string, id bigint")
     rows = sample_triplets(df, ["g"], "id", hot_rows=5).collect()
