@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowloom.functions.arrays import l2_normalise
+from flowloom.operators.cluster import cluster_by_group
 
 Weights = list[tuple[np.ndarray, np.ndarray]]
 
@@ -86,3 +87,12 @@ def embed_flows(df: DataFrame, method: str = "raw", col: str = "f_signed", weigh
     if method == "linear":
         return fit_linear_embedding(rows, col, k).encode(rows, col, "vec").select("flow_id", "vec")
     raise ValueError(f"unknown method {method}")
+
+
+def score_then_cluster(
+    features: DataFrame, weights: Weights, group_cols: tuple[str, ...] = ("server_ip", "server_port"), col: str = "f_signed",
+    order_cols: tuple[str, ...] = ("src_file", "emit_at"), eps: float = 0.1, min_samples: int = 2,
+) -> DataFrame:
+    """Feature rows with the network's reconstruction ``f_scored`` (float32) and the ``cluster_id`` that it gets inside its group."""
+    scored = mlp_score(features, col, weights, "f_scored").withColumn("f_scored", F.col("f_scored").cast("array<float>"))
+    return cluster_by_group(scored, list(group_cols), "flow_id", "f_scored", list(order_cols), eps, min_samples)

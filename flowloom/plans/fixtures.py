@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from datetime import datetime
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowloom.operators.cluster import cluster_by_group
+from flowloom.operators.embed import Weights, score_then_cluster
 from flowloom.operators.features import build_features
 from flowloom.operators.flows import assemble_flows
 from flowloom.operators.labels import binary_target, label_flows
@@ -63,6 +65,17 @@ def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# Capture files of the packets by thirds: two of one day, one of the next.
+DAY_FILES = [f"{DAY}/pcap/one.pcap", f"{DAY}/pcap/two.pcap", "Friday-16-02-2018/pcap/one.pcap"]
+
+
+def packets_of_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The packets view dealt to three capture files on two days."""
+    p = packets(spark, sf_dir)
+    third = F.floor(F.col("pkt_idx") * len(DAY_FILES) / p.count()).cast("int")
+    return p.withColumn("src_file", F.array(*map(F.lit, DAY_FILES))[third])
+
+
 def window_starts() -> list[tuple[int, str, list[str], list[str], int]]:
     """(number, day, attackers, victims, start as epoch seconds) of the real attack windows."""
     out = []
@@ -112,6 +125,19 @@ def _clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster_by_group(f, ["server_ip", "server_port"], "flow_id", "f_signed", ["src_file", "emit_at"])
 
 
+def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_then_cluster(stage(spark, sf_dir, "features"), mlp_weights())
+
+
+def mlp_weights() -> Weights:
+    """Fixed weights w = (((31 layer + 17 out + 7 in) mod 11) - 5) / 20 for the shape 32-16-8-16-32, no biases."""
+    out = []
+    for layer, (n_out, n_in) in enumerate([(16, 32), (8, 16), (16, 8), (32, 16)]):
+        o, i = np.meshgrid(np.arange(n_out), np.arange(n_in), indexing="ij")
+        out.append(((((layer * 31 + o * 17 + i * 7) % 11) - 5) / 20, np.zeros(n_out)))
+    return out
+
+
 def _sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An order's line items as a packet sequence: quantity is the size, ship date the time."""
     li = table(spark, sf_dir, "lineitem").selectExpr(
@@ -133,5 +159,5 @@ def _sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _STAGES: dict[tuple, DataFrame] = {}
 _BUILD = {
-    "flows": _flows, "labelled": _labelled, "features": _features, "clusters": _clusters, "sequences": _sequences,
+    "flows": _flows, "labelled": _labelled, "features": _features, "clusters": _clusters, "scored": _scored, "sequences": _sequences,
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from flowloom.plans.fixtures import DAY, GRAPH_SIZE, SRC_FILE, WINDOW_ROWS, window_starts
+from flowloom.plans.fixtures import DAY, DAY_FILES, GRAPH_SIZE, SRC_FILE, WINDOW_ROWS, window_starts
 from flowloom.plans.queries import MULTI_DAYS
 from flowloom.plans.written import PER_FILE
 from flowloom.schemas import ATTACK_WINDOW_ROWS, DAY_PARAM_ROWS, DEFAULT_PARAMS, MAX_PACKETS
@@ -687,3 +687,20 @@ ORACLES["stream_features"] = sql(
 ORACLES["dbscan_blocks"] = sql(
     "SELECT id AS vec_id, CAST(g AS BIGINT) AS label, CAST(cluster_id AS BIGINT) AS cluster_id FROM db_3",
     _dbscan("embeddings", "label", "embedding", "vec_id", "vec_id", "12e-1 * 12e-1", 3, "3"), recursive=True)
+
+_SCORED = [
+    _MLP_CTES, "scored_v AS (SELECT flow_id, list(CAST(x AS FLOAT) ORDER BY node) AS f_scored FROM act4 GROUP BY flow_id)",
+    "scored_features AS MATERIALIZED (SELECT f.*, v.f_scored FROM features f JOIN scored_v v USING (flow_id))",
+    CLUSTERS.replace("f_signed", "f_scored").replace("FROM features", "FROM scored_features"),
+]
+ORACLES["scored_clusters"] = sql(
+    "SELECT flow_id, server_ip, CAST(server_port AS BIGINT) AS server_port, CAST(cluster_id AS BIGINT) AS cluster_id FROM clusters", *BASE, *_SCORED, recursive=True)
+ORACLES["scored_verdicts"] = sql(f"SELECT {_VERDICT_COLS} FROM verdicts", *BASE, *_SCORED, PROFILE, gates(DEFAULTS), verdict(DEFAULTS), recursive=True)
+ORACLES["embed_mlp"] = ORACLES["mlp_score"]
+_OF_DAYS = PACKETS.replace("packets AS (\n  SELECT '", "packets_c AS (\n  SELECT '") + f""",
+packets AS (SELECT * REPLACE ([{', '.join(repr(f) for f in DAY_FILES)}][pkt_idx * 3 // (SELECT count(*) FROM packets_c) + 1] AS src_file) FROM packets_c)"""
+ORACLES["flow_assembly_days"] = sql(
+    f"SELECT flow_id, split_part(src_file, '/', 1) AS day, n_pkts, row_number() OVER (ORDER BY src_file, emit_at) - 1 AS place,"
+    f" {whole('pktts_start')} AS start_us, {whole('pktts_end')} AS end_us FROM flows", _OF_DAYS, KEYED, FLOWS)
+ORACLES["day_files"] = sql(
+    "SELECT split_part(src_file, '/', 1) AS day, CASE WHEN src_file LIKE 'Thu%' THEN '2018-02-15' ELSE '2018-02-16' END AS capture_date, src_file, count(*) AS n FROM packets GROUP BY ALL", _OF_DAYS)

@@ -7,7 +7,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,11 +15,12 @@ from flowloom.functions import net
 from flowloom.operators import behaviour as B
 from flowloom.operators import cluster, embed, features, flows, graph, labels, metrics, packets, quality, sampling
 from flowloom.operators import similarity, stats
+from flowloom.operators.ranking import ranked
 from flowloom.plans import fixtures as fx
 from flowloom.plans.fixtures import packets as packet_view
 from flowloom.plans.fixtures import stage, table
 from flowloom.plans.written import (
-    capture_dir, clusters_json_dir, flow_dir, mixed_stats_dir, packet_csv_dir, part_dir, sequence_dir, stats_dir,
+    capture_days_dir, capture_dir, clusters_json_dir, flow_dir, mixed_stats_dir, packet_csv_dir, part_dir, sequence_dir, stats_dir,
 )
 from flowloom.schemas import attack_windows, day_params
 from flowloom.sources.flow_stats import read_flow_stats
@@ -156,6 +156,28 @@ def day_partitions(spark, sf):
     return d.groupBy("day", F.col("capture_date").cast("string").alias("capture_date")).agg(F.count(F.lit(1)).alias("n"))
 
 
+@query
+def flow_assembly_days(spark, sf):
+    """Flows of three files on two days, stored by day, read one day at a time, with their place in the order of all files."""
+    path = capture_days_dir(spark, sf)
+    days = spark.read.parquet(path).select("day").distinct()
+    names = [r.day for r in days.collect()]  # the partition folders
+    flows = read_flows(spark, path, names[0])
+    for day in names[1:]:
+        flows = flows.unionByName(read_flows(spark, path, day))
+    order = ranked(flows.select("src_file", "emit_at"), [], ["src_file", "emit_at"], name="place")
+    return flows.join(order, ["src_file", "emit_at"]).select(
+        "flow_id", "day", *big("n_pkts", "place"), whole(F.col("pktts_start")).alias("start_us"), whole(F.col("pktts_end")).alias("end_us")
+    )
+
+
+@query
+def day_files(spark, sf):
+    """Capture files by day: what dataset discovery finds."""
+    d = with_day(fx.packets_of_days(spark, sf))
+    return d.groupBy("day", F.col("capture_date").cast("string").alias("capture_date"), "src_file").agg(F.count(F.lit(1)).alias("n"))
+
+
 # ---- labels -------------------------------------------------------------------------------------------
 
 @query
@@ -565,21 +587,29 @@ def triplet_margin(spark, sf):
     return each.unionByName(mean)
 
 
-def mlp_weights() -> embed.Weights:
-    """Fixed weights w = (((31 layer + 17 out + 7 in) mod 11) - 5) / 20 for the shape 32-16-8-16-32, no biases."""
-    out = []
-    for layer, (n_out, n_in) in enumerate([(16, 32), (8, 16), (16, 8), (32, 16)]):
-        o, i = np.meshgrid(np.arange(n_out), np.arange(n_in), indexing="ij")
-        out.append(((((layer * 31 + o * 17 + i * 7) % 11) - 5) / 20, np.zeros(n_out)))
-    return out
-
-
 @query
 def mlp_score(spark, sf):
-    s = embed.mlp_score(stage(spark, sf, "features"), "f_signed", mlp_weights())
+    s = embed.mlp_score(stage(spark, sf, "features"), "f_signed", fx.mlp_weights())
     return s.select("flow_id", text(F.col("score")).alias("v"))
 
 
+@query
+def scored_clusters(spark, sf):
+    """Clusters of the network's reconstructions."""
+    return stage(spark, sf, "scored").select("flow_id", "server_ip", *big("server_port", "cluster_id"))
+
+
+@query
+def scored_verdicts(spark, sf):
+    return _verdict_rows(B.classify(stage(spark, sf, "scored")))
+
+
+@query
+def embed_mlp(spark, sf):
+    e = embed.embed_flows(stage(spark, sf, "features"), "mlp", weights=fx.mlp_weights())
+    return e.select("flow_id", text(F.col("vec")).alias("v"))
+
+
 @query
 def embed_flows(spark, sf):
     return embed.embed_flows(stage(spark, sf, "features")).select("flow_id", text(F.col("vec")).alias("v"))

@@ -8,8 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowloom.operators.flows import assemble_parts
-from flowloom.plans.fixtures import packets, stage, table
+from flowloom.operators.flows import assemble_flows, assemble_parts
+from flowloom.plans.fixtures import packets, packets_of_days, stage, table
 from flowloom.schemas import STATS_FIELDS
 from flowloom.session import scratch_path
 from flowloom.sources.files import write_file
@@ -30,6 +30,12 @@ def flow_dir(spark: SparkSession, sf_dir: str) -> str:
     return _once(spark, sf_dir, "flow_table", lambda p: write_flows(stage(spark, sf_dir, "flows").drop("capture_date"), p))
 
 
+def capture_days_dir(spark: SparkSession, sf_dir: str) -> str:
+    """Flow table of the three capture files, one folder per day."""
+    flows = lambda: with_day(assemble_flows(packets_of_days(spark, sf_dir))).drop("capture_date")
+    return _once(spark, sf_dir, "flow_table_of_days", lambda p: write_flows(flows(), p))
+
+
 def part_dir(spark: SparkSession, sf_dir: str) -> str:
     """Flow table path beside which the packet parts are."""
     parts = lambda: with_day(assemble_parts(packets(spark, sf_dir))).drop("capture_date")
