@@ -704,3 +704,4 @@ ORACLES["flow_assembly_days"] = sql(
     f" {whole('pktts_start')} AS start_us, {whole('pktts_end')} AS end_us FROM flows", _OF_DAYS, KEYED, FLOWS)
 ORACLES["day_files"] = sql(
     "SELECT split_part(src_file, '/', 1) AS day, CASE WHEN src_file LIKE 'Thu%' THEN '2018-02-15' ELSE '2018-02-16' END AS capture_date, src_file, count(*) AS n FROM packets GROUP BY ALL", _OF_DAYS)
+ORACLES["server_groups_stored"] = ORACLES["server_groups"]

@@ -20,7 +20,7 @@ from flowloom.plans import fixtures as fx
 from flowloom.plans.fixtures import packets as packet_view
 from flowloom.plans.fixtures import stage, table
 from flowloom.plans.written import (
-    capture_days_dir, capture_dir, clusters_json_dir, flow_dir, mixed_stats_dir, packet_csv_dir, part_dir, sequence_dir, stats_dir,
+    by_server, capture_days_dir, capture_dir, clusters_json_dir, flow_dir, mixed_stats_dir, packet_csv_dir, part_dir, sequence_dir, stats_dir,
 )
 from flowloom.schemas import attack_windows, day_params
 from flowloom.sources.flow_stats import read_flow_stats
@@ -330,6 +330,12 @@ def server_groups(spark, sf):
     return sampling.server_groups(f, ["server_ip", "server_port"], 2, malicious=True).select("flow_id")
 
 
+@query
+def server_groups_stored(spark, sf):
+    """The same from a table bucketed by server: neither the counts nor the join shuffle rows."""
+    return sampling.server_groups(by_server(spark, sf), ["server_ip", "server_port"], 2, malicious=True).select("flow_id")
+
+
 # ---- clusters and behaviour ---------------------------------------------------------------------------
 
 @query

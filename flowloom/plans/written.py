@@ -13,7 +13,7 @@ from flowloom.plans.fixtures import packets, packets_of_days, stage, table
 from flowloom.schemas import STATS_FIELDS
 from flowloom.session import scratch_path
 from flowloom.sources.files import write_file
-from flowloom.sources.store import exists, with_day, write_clusters_json, write_flows, write_parts
+from flowloom.sources.store import exists, with_day, write_by_server, write_clusters_json, write_flows, write_parts
 
 PER_FILE = 2000
 
@@ -36,6 +36,15 @@ def capture_days_dir(spark: SparkSession, sf_dir: str) -> str:
     return _once(spark, sf_dir, "flow_table_of_days", lambda p: write_flows(flows(), p))
 
 
+def by_server(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The clusters stage as a table bucketed by server."""
+    name = "clusters_" + sf_dir.strip("/").replace("/", "_").replace(".", "_").replace("-", "_").replace(":", "")
+    path = scratch_path(spark, f"{sf_dir.strip('/').replace('/', '_')}/by_server")
+    if not spark.catalog.tableExists(name):
+        write_by_server(stage(spark, sf_dir, "clusters"), name, path, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return spark.table(name)
+
+
 def part_dir(spark: SparkSession, sf_dir: str) -> str:
     """Flow table path beside which the packet parts are."""
     parts = lambda: with_day(assemble_parts(packets(spark, sf_dir))).drop("capture_date")

@@ -40,6 +40,15 @@ def read_parts(spark: SparkSession, path: str, day: str | None = None) -> DataFr
     return read_flows(spark, f"{path}_parts", day)
 
 
+def write_by_server(df: DataFrame, table: str, path: str, buckets: int, keys: tuple[str, ...] = ("server_ip", "server_port")) -> DataFrame:
+    """Stores rows in ``buckets`` buckets of their server, sorted by it, as an external table in ``path``; returns the table.
+
+    What groups or joins by server then needs no shuffle: profiles, clusters, triplets.
+    """
+    df.write.mode("overwrite").bucketBy(buckets, *keys).sortBy(*keys).option("path", path).saveAsTable(table)
+    return df.sparkSession.table(table)
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)

@@ -153,3 +153,18 @@ def test_jaro_winkler_ways_agree():
     left.loc[len(left)] = right.loc[len(right)] = np.arange(10_000) % 977.0
     got = jaro_winkler_batch(left, right)
     assert got[-1] == 1.0 and np.allclose(got[:-1], each)
+
+
+def test_tables_stored_by_server_need_no_shuffle(spark, tmp_path):
+    from flowloom.operators.sampling import server_groups
+    from flowloom.sources.store import write_by_server
+
+    rows = [(f"s{i % 7}", i % 3, f"c{i % 5}", f"f{i}", i % 4, int(i % 11 == 0)) for i in range(300)]
+    df = spark.createDataFrame(rows, "server_ip string, server_port int, client_ip string, flow_id string, cluster_id bigint, y int")
+    stored = write_by_server(df, "by_server_test", str(tmp_path / "t"), 4)
+    large = server_groups(stored, ["server_ip", "server_port"], 14, malicious=True)
+    plan = large._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan and "SelectedBucketsCount: 4" in plan.replace(" out of 4", "")
+    assert 0 < large.count() < 300
+    assert sorted(map(tuple, large.collect())) == sorted(map(tuple, server_groups(df, ["server_ip", "server_port"], 14, malicious=True).collect()))
+    spark.sql("DROP TABLE by_server_test")
