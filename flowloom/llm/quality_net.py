@@ -180,7 +180,9 @@ def fit_on_labels(docs: DataFrame, labels: DataFrame, max_rows: int = 4000, max_
 def score_quality(docs: DataFrame, net: Net, keep: list[str], threshold: float = 0.3) -> DataFrame:
     """``keep`` columns, ``score`` (0 to 1) and ``predicted`` (1 from ``threshold``) of every row's whole text.
 
-    Null and empty texts get the score of one empty block; equal texts get equal scores.
+    Null and empty texts get the score of one empty block. Equal texts, and so repeated rows, get equal scores; a score
+    that ties with ``threshold`` is predicted 1. Null ids are kept like others. A very long text is one row of one task,
+    at some 50 times its bytes. An empty table gives an empty one; columns that are not in ``keep`` are not read.
     """
     shared = docs.sparkSession.sparkContext.broadcast(net)  # a few kB: fixed by the layer sizes
 

@@ -341,8 +341,9 @@ def encode_texts(docs: DataFrame, model_path: str, keep: list[str], with_ids: bo
 
     Returns the ``keep`` columns, ``n_tokens``, ``ids_sha256`` and ``decoded_sha256`` (lower-case hex; ids as
     little-endian unsigned 32-bit integers), and with ``with_ids`` also ``ids`` and ``decoded``. A null or empty text
-    has the begin and end ids only and decodes to the empty text. Equal rows give equal rows; other columns of ``docs``
-    do not matter. ``model_path`` must be readable on every executor.
+    has the begin and end ids only and decodes to the empty text. Equal rows give equal rows, null ids are kept
+    like others, and of equal ranks the leftmost pair is merged first. A very long text is one row of one task, at some 70
+    times its bytes. An empty table gives an empty one; other columns of ``docs`` do not matter. ``model_path`` must be readable on every executor.
     """
     fields = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep]
     fields += ["n_tokens bigint", "ids_sha256 string", "decoded_sha256 string"]

@@ -90,7 +90,9 @@ def count_tokens(docs: DataFrame, path: str, pattern: str, rule: str = "first",
     One row per section of every row of ``docs``: the text's lines, or those in the column ``sections`` (``SECTIONS``,
     code points, without overlaps; spans are cut to the text). ``n_tokens`` is a double; under ``first`` it is whole.
     What lies in no section is a last row with section -1 if it has tokens. A null or empty text has one row, section
-    -1, without tokens. Repeated rows give repeated rows; other columns are not read.
+    -1, without tokens. Repeated rows give repeated rows and null ids are kept like others; a token that starts where a
+    section does lies in it. A very long text is one row of one task. An empty table gives an empty one; other columns are
+    not read.
     """
     if rule not in RULES:
         raise ValueError(f"rule must be one of {RULES}")
