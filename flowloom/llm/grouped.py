@@ -12,12 +12,15 @@ from pyspark.sql import functions as F
 from flowloom.session import broadcast_if_small, cut_lineage, spread
 
 
-def group_links(rows: DataFrame, key: str, item: str, sizes: DataFrame, fn: Callable[[pa.Table], list[tuple]]) -> DataFrame:
+def group_links(
+    members: DataFrame, key: str, item: str, sizes: DataFrame, attach: Callable[[DataFrame], DataFrame], fn: Callable[[pa.Table], list[tuple]]
+) -> DataFrame:
     """Links (``u``, ``v``) that connect, inside every group of equal ``key``, all items that ``fn`` finds linked.
 
-    ``sizes`` has ``key`` and ``_blocks``, in how many blocks to cut the group, for the groups that need more than one.
-    ``fn`` gets tables with ``lo``, ``hi`` and ``side`` and returns stars from the smallest item of each tree; where ``lo``
-    and ``hi`` differ only links between side 0 and side 1 are asked for.
+    ``members`` has ``key`` and ``item`` (and what else ``attach`` needs), ``sizes`` has ``key`` and ``_blocks``, in how many
+    blocks to cut the group, for the groups that need more than one. ``attach`` adds what is compared to rows of ``members``
+    that are dealt out with ``lo``, ``hi`` and ``side``. ``fn`` gets the tables of equal (``key``, ``lo``, ``hi``) and returns
+    stars from the smallest item of each tree; where ``lo`` and ``hi`` differ only links between the sides are asked for.
 
     A cut group is first compared inside its blocks, each of which also gets the group's smallest item, its hub: n rows and
     one more for each block. Items that hang together with the hub there are settled. Only the others, if any, are
@@ -26,11 +29,11 @@ def group_links(rows: DataFrame, key: str, item: str, sizes: DataFrame, fn: Call
     """
     sizes = cut_lineage(sizes.select(key, F.col("_blocks").cast("int").alias("_blocks")))
     if sizes.isEmpty():
-        one = rows.withColumns({"lo": F.lit(0), "hi": F.lit(0), "side": F.lit(0)})
-        return map_groups(one, [key, "lo", "hi"], fn, "u bigint, v bigint", ["u", "v"])
-    hubs = rows.join(broadcast_if_small(sizes), key, "left_semi").groupBy(key).agg(F.min(item).alias("_hub"))
-    hubs = cut_lineage(sizes.join(hubs, key))
-    dealt = rows.join(broadcast_if_small(hubs), key, "left").withColumn("_blocks", F.coalesce("_blocks", F.lit(1)))
+        one = members.withColumns({"lo": F.lit(0), "hi": F.lit(0), "side": F.lit(0)})
+        return map_groups(attach(one), [key, "lo", "hi"], fn, "u bigint, v bigint", ["u", "v"])
+    large = cut_lineage(members.join(broadcast_if_small(sizes), key))
+    hubs = cut_lineage(large.groupBy(key, "_blocks").agg(F.min(item).alias("_hub")))
+    dealt = members.join(broadcast_if_small(hubs), key, "left").withColumn("_blocks", F.coalesce("_blocks", F.lit(1)))
     own = F.pmod(F.xxhash64(F.lit(7), item), F.col("_blocks")).cast("int")
     everywhere = F.sequence(F.lit(0), F.col("_blocks") - 1)
     first = dealt.withColumn("lo", F.explode(F.when(F.col(item) == F.col("_hub"), everywhere).otherwise(F.array(own))))
@@ -40,27 +43,27 @@ def group_links(rows: DataFrame, key: str, item: str, sizes: DataFrame, fn: Call
         at = group[key][0].as_py()
         return [(at, u, v) for u, v in fn(group)]
 
-    inside = cut_lineage(map_groups(first, [key, "lo", "hi"], named, f"`{key}` bigint, u bigint, v bigint", [key, "u", "v"]))
+    inside = cut_lineage(map_groups(attach(first), [key, "lo", "hi"], named, f"`{key}` bigint, u bigint, v bigint", [key, "u", "v"]))
     links = inside.select("u", "v")
-    settled = inside.join(broadcast_if_small(hubs), key).where(F.col("u") == F.col("_hub")).select(key, F.col("v").alias(item))
-    cut = dealt.where("_hub IS NOT NULL")
-    open_ = cut_lineage(cut.where(F.col(item) != F.col("_hub")).select(key, item).distinct().join(settled.distinct(), [key, item], "left_anti"))
-    if open_.isEmpty():
+    settled = inside.join(broadcast_if_small(hubs), key).where(F.col("u") == F.col("_hub")).select(key, F.col("v").alias(item)).distinct()
+    large = large.join(broadcast_if_small(hubs.drop("_blocks")), key)
+    open_ = large.where(F.col(item) != F.col("_hub")).drop("_hub").join(settled, [key, item], "left_anti").withColumn("_open", F.lit(True))
+    closed = large.where(F.col(item) == F.col("_hub")).drop("_hub").unionByName(large.drop("_hub").join(settled, [key, item], "left_semi"))
+    both = cut_lineage(open_.unionByName(closed.withColumn("_open", F.lit(False))))
+    share = lambda n: F.greatest(F.ceil(F.first("_blocks") * n / F.count("*")), F.lit(1)).cast("int")
+    parts = both.groupBy(key).agg(share(F.count_if("_open")).alias("_ub"), share(F.count_if(~F.col("_open"))).alias("_sb"), F.bool_or("_open").alias("_some"))
+    parts = cut_lineage(parts.where("_some").drop("_some"))
+    if parts.isEmpty():
         return links
-    counts = cut.groupBy(key).agg(F.count_distinct(item).alias("_n")).join(open_.groupBy(key).agg(F.count("*").alias("_u")), key)
-    share = lambda n: F.greatest(F.ceil(F.col("_blocks") * n / F.col("_n")), F.lit(1)).cast("int")
-    parts = counts.join(sizes, key).select(key, share(F.col("_u")).alias("_ub"), share(F.col("_n") - F.col("_u")).alias("_sb"))
-    cut = cut.join(broadcast_if_small(cut_lineage(parts)), key)
     mine = lambda n: F.pmod(F.xxhash64(F.lit(11), item), F.col(n)).cast("int")
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = cut.join(open_, [key, item], "left_semi").withColumn("_own", mine("_ub"))
-    pairs = left.withColumn("_other", each("_ub"))
-    pairs = pairs.withColumns({"lo": F.least("_own", "_other"), "hi": F.greatest("_own", "_other"), "side": (F.col("_own") > F.col("_other")).cast("int")})
-    asks = left.withColumns({"lo": F.col("_own"), "_other": each("_sb"), "side": F.lit(0)}).withColumn("hi", -1 - F.col("_other"))
-    meets = cut.join(open_, [key, item], "left_anti").withColumns({"lo": each("_ub"), "hi": -1 - mine("_sb"), "side": F.lit(1)})
-    cols = [*rows.columns, "lo", "hi", "side"]
-    across = pairs.select(*cols).unionByName(asks.select(*cols)).unionByName(meets.select(*cols))
-    return links.unionByName(map_groups(across, [key, "lo", "hi"], fn, "u bigint, v bigint", ["u", "v"]))
+    place = lambda lo, hi, side: F.struct(lo.alias("lo"), hi.alias("hi"), side.alias("side"))
+    ub, sb = F.sequence(F.lit(0), F.col("_ub") - 1), F.sequence(F.lit(0), F.col("_sb") - 1)
+    among = F.transform(ub, lambda o: place(F.least(o, mine("_ub")), F.greatest(o, mine("_ub")), (mine("_ub") > o).cast("int")))
+    asks = F.transform(sb, lambda o: place(mine("_ub"), -1 - o, F.lit(0)))
+    meets = F.transform(ub, lambda o: place(o, -1 - mine("_sb"), F.lit(1)))
+    across = both.join(broadcast_if_small(parts), key).withColumn("_at", F.explode(F.when(F.col("_open"), F.concat(among, asks)).otherwise(meets)))
+    across = across.select(*members.columns, "_at.lo", "_at.hi", "_at.side")
+    return links.unionByName(map_groups(attach(across), [key, "lo", "hi"], fn, "u bigint, v bigint", ["u", "v"]))
 
 
 def map_groups(df: DataFrame, keys: list[str], fn: Callable[[pa.RecordBatch], list[tuple]], schema: str, names: list[str]) -> DataFrame:

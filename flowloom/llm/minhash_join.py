@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from flowloom.llm.grouped import Forest, group_links
 from flowloom.llm.text import LOWER, Flat, map_text, mix, per_text, span_hashes, window_hashes
 from flowloom.operators.components import connected_components
-from flowloom.session import cut_lineage
+from flowloom.session import broadcast_if_small, cut_lineage
 
 SHINGLE_WORDS = 5
 WIDTH = 5
@@ -198,13 +198,19 @@ def _components(docs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     keys = _bucket_keys(classes)
     buckets = keys.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("rep")).alias("members")).where("n > 1")
     buckets = buckets.groupBy("n", "members").agg(F.min("key").alias("key"))
-    near = keys.join(buckets.select("key", "n"), "key").join(classes.select("rep", "sig"), "rep")
+    near = keys.join(buckets.select("key"), "key")
     large = buckets.where(F.col("n") > BUCKET_BLOCK).select("key", F.ceil(F.col("n") / BUCKET_BLOCK).alias("_blocks"))
-    edges = group_links(near.drop("n"), "key", "rep", large, _near_signatures)
+    edges = group_links(near, "key", "rep", large, lambda rows: rows.join(classes.select("rep", "sig"), "rep"), _near_signatures)
     clusters = connected_components(edges).withColumnRenamed("node", "rep").withColumnRenamed("root", "cluster")
     members = clusters.join(classes.select("rep", "set_key", "n_shingles"), "rep")
     weight = members.groupBy("cluster").agg(F.sum("n_shingles").alias("weight"))
     members = cut_lineage(members.join(weight, "cluster"))
-    texts = docs.withColumnRenamed("doc_id", "rep").join(members, "rep").select("cluster", "rep", "set_key", "text")
     large = weight.where(F.col("weight") > SHINGLE_BLOCK).select("cluster", F.ceil(F.col("weight") / SHINGLE_BLOCK).alias("_blocks"))
-    return connected_components(group_links(texts, "cluster", "rep", large, _linker(percent)))
+
+    def with_texts(rows: DataFrame) -> DataFrame:
+        listed = broadcast_if_small(rows.select("rep").distinct())  # where few texts are asked for, only these travel
+        texts = docs.withColumnRenamed("doc_id", "rep").join(listed, "rep", "left_semi")
+        return texts.join(rows, "rep").select("cluster", "lo", "hi", "side", "rep", "set_key", "text")
+
+    links = group_links(members.select("cluster", "rep", "set_key"), "cluster", "rep", large, with_texts, _linker(percent))
+    return connected_components(links)
