@@ -1,11 +1,14 @@
 """Density clustering and neighbour counts inside groups, exact, with an index of its own for every group.
 
 Equal vectors collapse to one weighted point. A group of at most ``LEAF`` points is compared whole, in one Arrow task.
-A larger one is split: round by round, the open boxes of all large groups are cut along their longest axis at quantiles
-of their own points. A point belongs to one box and is lent to those that it reaches within eps, so that each box knows
+A larger one is split. First it falls apart at the gaps wider than eps that its points leave on any axis: no two points of
+different parts are neighbours, so nothing is lent. What is still large is cut round by round: the open boxes of all large
+groups are cut along their longest axis at quantiles of their own points. A point belongs to one box and is lent to those that it reaches within eps, so that each box knows
 all neighbours of its own points. A box is done when it is small, when it is not longer than eps across (its points are
 all neighbours), or when a cut would lend so many points that nothing is won. What is still large then is compared
-block against block. No task holds more than two blocks, and no setting of the session is touched.
+block against block where neighbours are counted. To cluster it, each block meets itself and one other; that joins most
+points, and only those left outside the main tree of a box, or short of neighbours, are compared with all of it. No task
+holds more than two blocks, and no setting of the session is touched.
 """
 
 from __future__ import annotations
@@ -15,6 +18,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from flowloom.operators.components import connected_components
@@ -25,8 +29,14 @@ from flowloom.session import broadcast_if_small, cut_lineage, spread
 LEAF = 4096
 STRIPS = 8
 GROWTH = 2.0
+#: Points of a block: two of them meet in one task.
+BLOCK = LEAF // 2
 #: Rows of a distance matrix that are held at once.
 ROWS = 512
+#: Cells to an eps in which gaps are looked for, gaps of an axis that are used in a round, and rounds.
+FINE = 16
+GAPS = 64
+GAP_ROUNDS = 4
 
 
 def _points(df: DataFrame, group_cols: list[str], vec: str, order_cols: list[str], leaf: int) -> tuple[DataFrame, bool]:
@@ -51,17 +61,44 @@ def _groups(points: DataFrame, leaf: int) -> DataFrame:
     )
 
 
+def _apart(points: DataFrame, eps: float, leaf: int) -> DataFrame:
+    """Boxes as of ``_groups``, the large ones cut at gaps of more than eps on any axis, which no two neighbours straddle.
+
+    Cells are a fraction of eps; empty cells of together eps and more between two occupied ones are a gap. Cuts lend no
+    points, so any number of them is right: a round uses the widest of each axis.
+    """
+    base = _groups(points, leaf)
+    done, open_ = base.where("whole"), base.where(~F.col("whole"))
+    cell = lambda x: F.coalesce(F.floor(x * (FINE / eps)), F.lit(0).cast("bigint"))
+    for _ in range(GAP_ROUNDS):
+        cells = open_.select("leaf", F.posexplode(F.transform("vec", cell)).alias("axis", "cell")).distinct()
+        before = F.lag("cell").over(W.partitionBy("leaf", "axis").orderBy("cell"))
+        gaps = cells.withColumn("gap", F.col("cell").cast("double") - before).where(F.col("gap") > FINE)
+        widest = F.row_number().over(W.partitionBy("leaf", "axis").orderBy(F.desc("gap"), "cell"))
+        gaps = gaps.withColumn("_r", widest).where(F.col("_r") <= GAPS).groupBy("leaf", "axis").agg(F.collect_list("cell").alias("cells"))
+        cuts = cut_lineage(gaps.groupBy("leaf").agg(F.sort_array(F.collect_list(F.struct("axis", "cells"))).alias("cuts")))
+        if cuts.isEmpty():
+            break
+        rows = open_.join(broadcast_if_small(cuts), "leaf", "left")
+        side = F.transform("cuts", lambda c: F.size(F.filter(c["cells"], lambda v: cell(F.col("vec")[c["axis"]]) >= v)).cast("string"))
+        rows = cut_lineage(rows.withColumn("leaf", F.concat_ws("/", "leaf", F.array_join(side, "."))).drop("cuts"))
+        sizes = cut_lineage(rows.groupBy("leaf").agg((F.count(F.lit(1)) <= leaf).alias("_small")))
+        rows = cut_lineage(rows.join(broadcast_if_small(sizes), "leaf").withColumn("whole", F.col("_small")).drop("_small").select(*base.columns))
+        done, open_ = done.unionByName(rows.where("whole")), rows.where(~F.col("whole"))
+    return done.unionByName(open_)
+
+
 def leaves(points: DataFrame, eps: float, leaf: int = LEAF) -> DataFrame:
-    """Boxes of points: ``leaf``, ``pno``, ``vec``, ``w``, ``own`` (false where lent), ``dense`` (all within eps), ``whole`` (a whole group).
+    """Boxes of points: ``leaf``, ``pno``, ``vec``, ``w``, ``own`` (false where lent), ``dense`` (all within eps), ``whole`` (a group, or a part of one that no neighbour is outside of).
 
     ``points`` has ``gno``, ``n`` (points of its group), ``pno``, ``vec`` and ``w``.
     """
-    base = _groups(points, leaf)
+    base = _apart(points, eps, leaf)
     cols = base.columns
     done = [base.where("whole")]
     open_ = base.where(~F.col("whole"))
     dims = open_.agg(F.max(F.size("vec"))).first()[0]
-    while True:
+    while dims:
         own = open_.where("own")
         ends = own.groupBy("leaf").agg(
             F.count(F.lit(1)).alias("n_own"), F.array(*[F.max(F.col("vec")[i]) - F.min(F.col("vec")[i]) for i in range(dims)]).alias("wide")
@@ -103,14 +140,13 @@ def leaves(points: DataFrame, eps: float, leaf: int = LEAF) -> DataFrame:
     return cut_lineage(out)
 
 
-def _blocked(boxes: DataFrame, leaf: int, large: bool) -> DataFrame:
-    """Boxes cut into pairs of blocks (``lo``, ``hi``) of some ``leaf`` / 2 points; ``side`` 1 for block ``hi`` where the two differ.
+def _blocked(boxes: DataFrame, leaf: int, large: bool, half: int = BLOCK) -> DataFrame:
+    """Boxes cut into pairs of blocks (``lo``, ``hi``) of some ``half`` points; ``side`` 1 for block ``hi`` where the two differ.
 
     Of a dense box only pairs of a block of own and a block of lent points: own ones are neighbours as it is.
     """
     if not large:
         return boxes.withColumns({"lo": F.lit(0), "hi": F.lit(0), "side": F.lit(0)})
-    half = max(leaf // 2, 1)
     sizes = boxes.groupBy("leaf").agg(F.count(F.lit(1)).alias("_n"), F.count_if("own").alias("_n_own"), F.first("dense").alias("_dense"))
     sizes = sizes.where(F.col("_dense") | (F.col("_n") > leaf)).select(
         "leaf", F.ceil(F.when(F.col("_dense"), F.col("_n_own")).otherwise(F.col("_n")) / half).cast("int").alias("_a"),
@@ -128,6 +164,32 @@ def _blocked(boxes: DataFrame, leaf: int, large: bool) -> DataFrame:
     return even.select(*cols).unionByName(own.select(*cols)).unionByName(lent.select(*cols))
 
 
+def _one(boxes: DataFrame) -> DataFrame:
+    """Boxes as they are, each for one task."""
+    return boxes.withColumns({"lo": F.lit(0), "hi": F.lit(0), "side": F.lit(0)})
+
+
+def _starred(boxes: DataFrame, half: int) -> DataFrame:
+    """Boxes cut into blocks, each of which meets itself and block 0 alone: rows grow with the points. ``all_seen`` where that is the whole box."""
+    sizes = boxes.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / half).cast("int").alias("_a"))
+    rows = boxes.join(broadcast_if_small(cut_lineage(sizes)), "leaf").withColumn("_b", F.pmod(F.xxhash64("pno"), F.col("_a")).cast("int"))
+    to = F.when((F.col("_b") == 0) & (F.col("_a") > 1), F.sequence(F.lit(1), F.greatest(F.col("_a") - 1, F.lit(1)))).otherwise(F.array("_b"))
+    rows = rows.withColumn("lo", F.explode(to))
+    return rows.withColumns({"hi": F.col("lo"), "side": F.lit(0), "all_seen": F.col("_a") <= 2}).drop("_a", "_b")
+
+
+def _focused(boxes: DataFrame, half: int) -> DataFrame:
+    """Pairs of a block of rows with ``focus`` (``side`` 0) and a block of all rows (``side`` 1) of their box; ``lo`` and ``hi`` always differ."""
+    sizes = boxes.groupBy("leaf").agg(
+        F.ceil(F.count_if("focus") / half).cast("int").alias("_f"), F.ceil(F.count(F.lit(1)) / half).cast("int").alias("_a")
+    )
+    rows = boxes.join(broadcast_if_small(cut_lineage(sizes.where("_f > 0"))), "leaf")
+    mine = lambda n: F.pmod(F.xxhash64("pno"), F.col(n)).cast("int")
+    ones = rows.where("focus").withColumns({"lo": mine("_f"), "hi": F.explode(F.sequence(F.col("_f"), F.col("_f") + F.col("_a") - 1)), "side": F.lit(0)})
+    others = rows.withColumns({"hi": F.col("_f") + mine("_a"), "lo": F.explode(F.sequence(F.lit(0), F.col("_f") - 1)), "side": F.lit(1)})
+    return ones.unionByName(others).drop("_f", "_a")
+
+
 class _Box:
     """Points of one box, or of two of its blocks, and which of them are neighbours."""
 
@@ -141,26 +203,37 @@ class _Box:
         self.near = self._neighbours(eps * eps)
 
     def _neighbours(self, limit: float) -> np.ndarray:
-        """Whether two points are within eps: by matrix products, and by plain sums where rounding could decide."""
+        """Whether two points are within eps: by matrix products, and by plain sums where rounding could decide.
+
+        Of two blocks, points of side 0 (``rows``) against those of side 1 (``cols``); else all against all.
+        """
+        everyone = np.arange(len(self.x))
+        self.rows, self.cols = (np.flatnonzero(self.side == 0), np.flatnonzero(self.side == 1)) if self.cross else (everyone, everyone)
         x = self.x - self.x.mean(0)
         norm = (x * x).sum(1)
         doubt = 1e-13 * (x.shape[1] + 8) * (4 * norm.max(initial=0) + limit)
-        out = np.zeros((len(x), len(x)), bool)
-        for a in range(0, len(x), ROWS):
-            gap = norm[a : a + ROWS, None] + norm - 2 * (x[a : a + ROWS] @ x.T) - limit
+        out = np.zeros((len(self.rows), len(self.cols)), bool)
+        other, other_norm = x[self.cols], norm[self.cols]
+        for a in range(0, len(self.rows), ROWS):
+            some = self.rows[a : a + ROWS]
+            gap = norm[some][:, None] + other_norm - 2 * (x[some] @ other.T) - limit
             out[a : a + ROWS] = gap <= 0
             i, j = np.nonzero(np.abs(gap) <= doubt)
             for b in range(0, len(i), 1 << 16):
                 u, v = i[b : b + (1 << 16)], j[b : b + (1 << 16)]
-                exact = np.cumsum((self.x[a + u] - self.x[v]) ** 2, axis=1)[:, -1] if x.shape[1] else np.zeros(len(u))
+                exact = np.cumsum((self.x[some[u]] - self.x[self.cols[v]]) ** 2, axis=1)[:, -1] if x.shape[1] else np.zeros(len(u))
                 out[a + u, v] = exact <= limit
-        if self.cross:
-            out &= self.side[:, None] != self.side
         return out
 
     def counts(self) -> np.ndarray:
         """Rows within eps of each point, as far as this box pair sees them; a point is near itself in its own block."""
-        return self.near @ self.w
+        w, out = self.w.astype(float), np.zeros(len(self.x))
+        for a in range(0, len(self.rows), ROWS):
+            near = self.near[a : a + ROWS].astype(float)
+            out[self.rows[a : a + ROWS]] = near @ w[self.cols]
+            if self.cross:
+                out[self.cols] += w[self.rows[a : a + ROWS]] @ near
+        return out.astype(np.int64)
 
     def trees(self, core: np.ndarray) -> np.ndarray:
         """Root (least ``pno``) of every core point's tree of core neighbours; -1 for others."""
@@ -214,26 +287,55 @@ def _dealt(boxes: DataFrame) -> DataFrame:
     return spread(boxes, "leaf", "lo", "hi").sortWithinPartitions("leaf", "lo", "hi")
 
 
-def _counted(boxes: DataFrame, eps: float, leaf: int, large: bool = True) -> DataFrame:
+def _counted(boxes: DataFrame, eps: float, leaf: int, large: bool = True, half: int = BLOCK) -> DataFrame:
     """``pno`` and ``near``: rows within eps of each own point, its own rows included."""
 
     def count(t: pa.Table) -> list[tuple]:
         box = _Box(t, eps)
         return [(int(p), int(k)) for p, k, own in zip(box.pno, box.counts(), box.own) if own]
 
-    parts = _dealt(_blocked(boxes, leaf, large)).mapInArrow(_each_box(count, ["pno", "near"]), "pno bigint, near bigint")
+    parts = _dealt(_blocked(boxes, leaf, large, half)).mapInArrow(_each_box(count, ["pno", "near"]), "pno bigint, near bigint")
     if not large:
         return parts
+    return parts.unionByName(_dense_totals(boxes)).groupBy("pno").agg(F.sum("near").alias("near"))
+
+
+def _dense_totals(boxes: DataFrame) -> DataFrame:
+    """``pno`` and ``near``: own rows of its box for each own point of a dense one."""
     own = boxes.where("own AND dense").select("leaf", "pno", "w")
-    total = own.groupBy("leaf").agg(F.sum("w").alias("near"))
-    parts = parts.unionByName(own.join(total, "leaf").select("pno", "near"))
-    return parts.groupBy("pno").agg(F.sum("near").alias("near"))
+    return own.join(own.groupBy("leaf").agg(F.sum("w").alias("near")), "leaf").select("pno", "near")
+
 
+def _cores(boxes: DataFrame, eps: float, min_samples: int, half: int) -> DataFrame:
+    """``pno`` and ``core`` of each own point.
 
-def eps_neighbours(df: DataFrame, group_cols: list[str], id_col: str, vec: str, eps: float, leaf: int = LEAF) -> DataFrame:
+    Most show in the few points that they meet in their block and block 0; only the others are counted against the whole box.
+    """
+
+    def some(t: pa.Table) -> list[tuple]:
+        box, seen = _Box(t, eps), int(t["all_seen"][0].as_py())
+        return [(int(p), int(k), seen) for p, k, own in zip(box.pno, box.counts(), box.own) if own]
+
+    def every(t: pa.Table) -> list[tuple]:
+        box = _Box(t, eps)
+        return [(int(p), int(k)) for p, k, side in zip(box.pno, box.counts(), box.side) if side == 0]
+
+    met = _dealt(_starred(boxes, half)).mapInArrow(_each_box(some, ["pno", "near", "seen"]), "pno bigint, near bigint, seen bigint")
+    met = met.unionByName(_dense_totals(boxes).withColumn("seen", F.lit(0).cast("bigint")))
+    met = cut_lineage(met.groupBy("pno").agg((F.max("near") >= min_samples).alias("core"), F.max("seen").alias("seen")))
+    open_ = met.where("NOT core AND seen = 0").select("pno", F.lit(True).alias("focus"))
+    if open_.isEmpty():
+        return met.select("pno", "core")
+    rows = boxes.join(open_, "pno", "left").withColumn("focus", F.coalesce("focus", F.lit(False)) & F.col("own"))
+    full = _dealt(_focused(rows, half)).mapInArrow(_each_box(every, ["pno", "near"]), "pno bigint, near bigint")
+    full = full.groupBy("pno").agg((F.sum("near") >= min_samples).alias("core"))
+    return met.where("core OR seen = 1").select("pno", "core").unionByName(full)
+
+
+def eps_neighbours(df: DataFrame, group_cols: list[str], id_col: str, vec: str, eps: float, leaf: int = LEAF, block: int = BLOCK) -> DataFrame:
     """Number of other rows of the same group within eps of each row, as ``n_neighbours``. Rows with a null vector are left out."""
     points, large = _points(df.where(F.col(vec).isNotNull()), group_cols, vec, [id_col], leaf)
-    counts = _counted(leaves(points, eps, leaf) if large else _groups(points, leaf), eps, leaf, large)
+    counts = _counted(leaves(points, eps, leaf) if large else _groups(points, leaf), eps, leaf, large, block)
     named = points.join(counts, "pno").select(*group_cols, F.col("vec").alias("_vec"), (F.col("near") - 1).alias("n_neighbours"))
     return _back(df, named, group_cols, vec, "inner")
 
@@ -247,10 +349,10 @@ def _back(df: DataFrame, named: DataFrame, group_cols: list[str], vec: str, how:
     return df.join(renamed, on, how).drop("_vec", *[f"_g{i}" for i in range(len(group_cols))])
 
 
-def _links(boxes: DataFrame, eps: float, min_samples: int, leaf: int, large: bool) -> DataFrame:
+def _links(boxes: DataFrame, eps: float, min_samples: int) -> DataFrame:
     """``kind``, ``u``, ``v``, ``whole``: 0 for a tree's root and a core point in it, 1 for a tree's root and a point that it touches.
 
-    Whole groups get their counts here; other boxes bring ``core``.
+    Whole boxes get their counts and touched points here; pieces of other boxes bring ``core``.
     """
 
     def link(t: pa.Table) -> list[tuple]:
@@ -259,19 +361,62 @@ def _links(boxes: DataFrame, eps: float, min_samples: int, leaf: int, large: boo
         core = box.counts() >= min_samples if whole else t["core"].to_numpy(zero_copy_only=False)
         root = box.trees(core)
         rows = [(0, int(r), int(p), int(whole)) for r, p in zip(root, box.pno) if r >= 0]
-        return rows + [(1, r, p, int(whole)) for r, p in box.touches(root)]
+        return rows + ([(1, r, p, 1) for r, p in box.touches(root)] if whole else [])
 
-    found = _dealt(_blocked(boxes, leaf, large)).mapInArrow(_each_box(link, ["kind", "u", "v", "whole"]), "kind bigint, u bigint, v bigint, whole bigint")
-    if not large:
-        return found
-    own = boxes.where("own AND dense").select("leaf", "pno", "core")
-    star = own.where("core").groupBy("leaf").agg(F.min("pno").alias("u"))
-    dense = own.join(star, "leaf").select(F.when(F.col("core"), 0).otherwise(1).cast("bigint").alias("kind"), "u", F.col("pno").alias("v"), F.lit(0).cast("bigint").alias("whole"))
-    return found.unionByName(dense)
+    return _dealt(boxes).mapInArrow(_each_box(link, ["kind", "u", "v", "whole"]), "kind bigint, u bigint, v bigint, whole bigint")
+
+
+def _other_links(boxes: DataFrame, eps: float, half: int) -> DataFrame:
+    """``kind``, ``u``, ``v`` as of ``_links`` for rows with ``focus``: roots (``root``, -1 without one) of core neighbours that are not one tree yet,
+    and roots that a point outside all trees touches."""
+
+    def link(t: pa.Table) -> list[tuple]:
+        box, root = _Box(t, eps), t["root"].to_numpy()
+        theirs, mine = root[box.cols], box.rows
+        order = np.flatnonzero(theirs >= 0)
+        order = order[np.argsort(theirs[order], kind="stable")]
+        if not len(order) or not len(mine):
+            return []
+        roots, starts = np.unique(theirs[order], return_index=True)
+        met = np.logical_or.reduceat(box.near[:, order], starts, axis=1)
+        i, j = np.nonzero(met & (root[mine][:, None] != roots))
+        core = root[mine][i] >= 0
+        joins = np.unique(np.stack([root[mine][i[core]], roots[j[core]]], 1), axis=0)
+        touched = zip(roots[j[~core]].tolist(), box.pno[mine][i[~core]].tolist())
+        return [(0, u, v) for u, v in joins.tolist()] + [(1, u, v) for u, v in touched]
+
+    return _dealt(_focused(boxes, half)).mapInArrow(_each_box(link, ["kind", "u", "v"]), "kind bigint, u bigint, v bigint").distinct()
+
+
+def _rooted(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``pno`` and ``root`` of each of ``nodes`` (``pno``): the least one it is joined with, or itself."""
+    joined = connected_components(edges.select("u", "v").distinct())
+    return nodes.join(joined, F.col("pno") == F.col("node"), "left").select("pno", F.coalesce("root", "pno").alias("root"))
+
+
+def _split_links(split: DataFrame, links: DataFrame, eps: float, half: int) -> tuple[DataFrame, DataFrame]:
+    """Roots of the core points of split boxes, and (``u``, ``v``) for a root and a point outside all trees that it touches.
+
+    ``links`` join most of a box's core points to one tree: only points of other trees can still join something to it.
+    """
+    own = split.where("own AND dense AND core").select("leaf", "pno")
+    star = own.join(own.groupBy("leaf").agg(F.min("pno").alias("u")), "leaf").select("u", F.col("pno").alias("v"))
+    across = links.where("kind = 0 AND whole = 0").select("u", "v").unionByName(star)
+    roots = cut_lineage(_rooted(across, split.where("own AND core").select("pno")))
+    rows = cut_lineage(split.join(roots, "pno", "left").withColumn("root", F.coalesce("root", F.lit(-1).cast("bigint"))))
+    main = rows.where("root >= 0").groupBy("leaf", "root").agg(F.count(F.lit(1)).alias("_n")).groupBy("leaf").agg(F.max_by("root", F.struct("_n", "root")).alias("_main"))
+    rows = rows.join(broadcast_if_small(cut_lineage(main)), "leaf")
+    rows = rows.withColumn("focus", F.when(F.col("root") >= 0, F.col("root") != F.col("_main")).otherwise(F.col("own"))).drop("_main")
+    more = cut_lineage(_other_links(rows, eps, half))
+    merged = cut_lineage(_rooted(more.where("kind = 0"), roots.select(F.col("root").alias("pno")).distinct()))
+    merged = merged.select(F.col("pno").alias("_old"), F.col("root").alias("_new"))
+    roots = roots.join(merged, F.col("root") == F.col("_old")).select("pno", F.col("_new").alias("root"))
+    return roots, more.where("kind = 1").select("u", "v")
 
 
 def cluster_by_group(
-    df: DataFrame, group_cols: list[str], id_col: str, vec: str, order_cols: list[str], eps: float = 0.1, min_samples: int = 2, leaf: int = LEAF
+    df: DataFrame, group_cols: list[str], id_col: str, vec: str, order_cols: list[str], eps: float = 0.1, min_samples: int = 2, leaf: int = LEAF,
+    block: int = BLOCK,
 ) -> DataFrame:
     """Add cluster_id: numbered from 0 inside the group by first row (``order_cols``), -1 for noise and for null vectors.
 
@@ -281,28 +426,25 @@ def cluster_by_group(
     keys = list(group_cols)
     points, large = _points(df.where(F.col(vec).isNotNull()), keys, vec, order_cols, leaf)
     boxes = leaves(points, eps, leaf) if large else _groups(points, leaf)
+    pieces = _one(boxes.where("whole").withColumn("core", F.lit(None).cast("boolean")))
     split = boxes.where(~F.col("whole"))
-    boxes = boxes.where("whole").withColumn("core", F.lit(None).cast("boolean"))
+    large = large and not split.isEmpty()
     if large:
-        core = _counted(split, eps, leaf).select("pno", (F.col("near") >= min_samples).alias("core"))
-        boxes = cut_lineage(boxes.unionByName(split.join(core, "pno").select(boxes.columns)))
-    links = cut_lineage(_links(boxes, eps, min_samples, leaf, large))
-    inside = links.where("kind = 0 AND whole = 1").select(F.col("v").alias("pno"), F.col("u").alias("root"))
-    roots = inside
+        split = cut_lineage(split.join(_cores(split, eps, min_samples, block), "pno"))
+        pieces = pieces.unionByName(_starred(split, block).select(pieces.columns))
+    links = cut_lineage(_links(pieces, eps, min_samples))
+    roots = links.where("kind = 0 AND whole = 1").select(F.col("v").alias("pno"), F.col("u").alias("root"))
+    touch = links.where("kind = 1").select("u", "v")
     if large:
-        across = links.where("kind = 0 AND whole = 0")
-        joined = connected_components(across.select("u", "v").distinct())
-        alone = across.select(F.col("v").alias("pno")).distinct()
-        found = alone.join(joined, F.col("pno") == F.col("node"), "left").select("pno", F.coalesce("root", "pno").alias("root"))
-        roots = cut_lineage(inside.unionByName(found))
+        found, met = _split_links(split, links, eps, block)
+        roots, touch = cut_lineage(roots.unionByName(found)), touch.unionByName(met)
     core = points.join(roots, "pno").select(*keys, "pno", "root", "first")
     first = core.groupBy(*keys, "root").agg(F.min("first").alias("_first"))
     numbers = cut_lineage(ranked(cut_lineage(first), keys, ["_first"], name="cluster_id").select("root", "cluster_id"))
     known = roots.join(numbers, "root").select("pno", "cluster_id")
     if min_samples > 2:  # at two, any neighbour makes a core point
-        touch = links.where("kind = 1").select(F.col("u"), F.col("v").alias("pno"))
         top = roots.withColumnsRenamed({"pno": "u"}).join(numbers, "root").select("u", "cluster_id")
-        known = known.unionByName(touch.join(top, "u").groupBy("pno").agg(F.min("cluster_id").alias("cluster_id")))
+        known = known.unionByName(touch.withColumnRenamed("v", "pno").join(top, "u").groupBy("pno").agg(F.min("cluster_id").alias("cluster_id")))
     named = points.join(known, "pno").select(*keys, F.col("vec").alias("_vec"), "cluster_id")
     out = _back(df, named, keys, vec, "left")
     return out.withColumn("cluster_id", F.coalesce("cluster_id", F.lit(-1).cast("bigint")))

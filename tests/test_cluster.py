@@ -53,6 +53,29 @@ def test_against_brute_force(spark, seed, dims, eps, need, leaf):
     assert {r.id: r.n_neighbours for r in counts.collect()} == {k: v[1] for k, v in expected.items()}
 
 
+@pytest.mark.parametrize("dims,need", [(2, 2), (3, 4)])
+def test_small_blocks_against_brute_force(spark, dims, need):
+    """Boxes of many blocks: trees that only other blocks join, and counts that only the whole box gives."""
+    rng = np.random.default_rng(dims)
+    v = np.round(np.concatenate([rng.uniform(0, 0.9, (150, dims)), rng.normal(0.3, 0.03, (90, dims))]), 3)
+    rows = [("a", f"f{i}", x.tolist(), i * 7919 % 1009) for i, x in enumerate(v)]
+    df = spark.createDataFrame(rows, "g string, id string, v array<float>, o int")
+    expected = brute(rows, 0.1, need)
+    got = cluster_by_group(df, ["g"], "id", "v", ["o"], 0.1, need, leaf=50, block=12)
+    assert {r.id: r.cluster_id for r in got.collect()} == {k: v[0] for k, v in expected.items()}
+    counts = eps_neighbours(df, ["g"], "id", "v", 0.1, leaf=50, block=12)
+    assert {r.id: r.n_neighbours for r in counts.collect()} == {k: v[1] for k, v in expected.items()}
+
+
+def test_large_groups_fall_apart_at_gaps(spark):
+    """Patterns more than eps apart on some axis are boxes of their own that lend no points."""
+    rng = np.random.default_rng(1)
+    v = rng.choice([0.0, 0.25, 0.5], (2000, 2)) + rng.uniform(0, 0.13, (2000, 2))
+    rows = [(0, 2000, i, x.tolist(), 1) for i, x in enumerate(v)]
+    boxes = leaves(spark.createDataFrame(rows, "gno bigint, n bigint, pno bigint, vec array<double>, w bigint"), 0.1, 400)
+    assert boxes.count() == 2000 and boxes.select("leaf").distinct().count() == 9 and boxes.where("own AND whole").count() == 2000
+
+
 @pytest.mark.parametrize("spread", [1.0, 2.0])
 def test_candidates_per_point_stay_flat(spark, spread):
     """Four times the points, on the same or four times the area: a point still meets about as many others."""
