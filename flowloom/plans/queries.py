@@ -21,6 +21,7 @@ from flowloom.plans.fixtures import packets as packet_view
 from flowloom.plans.fixtures import stage, table
 from flowloom.plans.written import (
     by_server, capture_days_dir, capture_dir, clusters_json_dir, flow_dir, mixed_stats_dir, packet_csv_dir, part_dir, sequence_dir, stats_dir,
+    view_name,
 )
 from flowloom.schemas import attack_windows, day_params
 from flowloom.sources.flow_stats import read_flow_stats
@@ -722,7 +723,8 @@ def feature_disable(spark, sf):
 def packets_from_pcap(spark, sf):
     p = read_pcap(spark, capture_dir(spark, sf), range_bytes=64 << 10)
     name = F.regexp_extract("src_file", r"part-(\d+)\.", 1).cast("bigint").alias("file_no")
-    return p.select(name, "pkt_idx", whole(F.col("ts")).alias("ts_us"), "src_ip", "dst_ip", *big("src_port", "dst_port", "proto", "flags", "size"))
+    ips = [view_name(F.col(c)).alias(c) for c in ("src_ip", "dst_ip")]
+    return p.select(name, "pkt_idx", whole(F.col("ts")).alias("ts_us"), *ips, *big("src_port", "dst_port", "proto", "flags", "size"))
 
 
 @query

@@ -5,7 +5,7 @@ from __future__ import annotations
 import struct
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowloom.operators.flows import assemble_flows, assemble_parts
@@ -56,8 +56,27 @@ def clusters_json_dir(spark: SparkSession, sf_dir: str) -> str:
     return _once(spark, sf_dir, "clusters_json", lambda p: write_clusters_json(stage(spark, sf_dir, "clusters").select(*cols), p))
 
 
+#: Where the packets view's clients and servers begin. It counts on in the third place, beyond 255 for many users.
+CLIENTS, SERVERS = (18 << 24) + (219 << 16), (172 << 24) + (31 << 16)
+
+
+def _address(name: str) -> int:
+    """The 32-bit address of a name of the packets view; a third place beyond 255 carries into the second."""
+    a, b, c, d = map(int, name.split("."))
+    return (a << 24) + (b << 16) + (c << 8) + d
+
+
+def view_name(ip: Column) -> Column:
+    """The packets view's name of an address as a capture has it: the carry of ``_address`` undone."""
+    part = F.split(ip, r"\.")
+    number = sum((part[i].cast("bigint") * (1 << (24 - 8 * i)) for i in range(4)), F.lit(0))
+    base = F.when(number >= SERVERS, F.lit(SERVERS)).otherwise(F.lit(CLIENTS))
+    named = F.concat_ws(".", F.when(number >= SERVERS, "172.31").otherwise("18.219"), F.floor((number - base) / 256).cast("string"), part[3])
+    return F.when(number >= CLIENTS, named).otherwise(ip)
+
+
 def _frame(src: str, dst: str, sport: int, dport: int, proto: int, flags: int, size: int) -> bytes:
-    ips = bytes(map(int, src.split("."))) + bytes(map(int, dst.split(".")))
+    ips = struct.pack(">II", _address(src), _address(dst))
     if proto == 6:
         top = struct.pack(">HHIIBBHHH", sport, dport, 0, 0, 0x50, flags, 0, 0, 0)
     else:

@@ -168,3 +168,17 @@ def test_tables_stored_by_server_need_no_shuffle(spark, tmp_path):
     assert 0 < large.count() < 300
     assert sorted(map(tuple, large.collect())) == sorted(map(tuple, server_groups(df, ["server_ip", "server_port"], 14, malicious=True).collect()))
     spark.sql("DROP TABLE by_server_test")
+
+
+def test_addresses_of_many_users_fit_a_capture(spark):
+    """The packets view counts on beyond 255 in the third place; a capture holds such an address, and its name comes back."""
+    from pyspark.sql import functions as F
+
+    from flowloom.plans.written import _address, _frame, view_name
+
+    names = ["18.219.0.0", "18.219.359.249", "18.219.9000.7", "172.31.69.2", "172.31.669.49", "172.31.5000.0"]
+    numbers = [_address(n) for n in names]
+    assert len(set(numbers)) == len(names) and len(_frame(names[1], names[4], 40000, 80, 6, 16, 60)) == 60
+    ips = [".".join(str(n >> s & 255) for s in (24, 16, 8, 0)) for n in numbers]
+    rows = spark.createDataFrame([(i, ip) for i, ip in enumerate(ips)], "i int, ip string").withColumn("name", view_name(F.col("ip")))
+    assert [r.name for r in rows.orderBy("i").collect()] == names
