@@ -63,9 +63,12 @@ def _label_characters(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_sequences(spark: SparkSession, data_dir: str, min_items: int = 4) -> DataFrame:
-    """folder, stem, line_no, items, label of every line with at least ``min_items`` numbers, over all files of a folder."""
+    """folder, stem, line_no, items, label of every line with at least ``min_items`` numbers, over all files of a folder.
+
+    Labels are a byte each in their files and a row each once read: by the files' size Spark would broadcast them, so the join is told not to.
+    """
     items = F.split(F.trim("value"), " ")
     lines = _numbered_lines(spark, data_dir).where(F.size(items) >= min_items).select(
         "folder", "stem", "line_no", F.transform(items, lambda x: x.try_cast("int")).alias("items")
     )
-    return lines.join(_label_characters(spark, data_dir), ["folder", "stem", "line_no"])
+    return lines.join(_label_characters(spark, data_dir).hint("merge"), ["folder", "stem", "line_no"])

@@ -101,6 +101,16 @@ def test_equal_stems_in_two_folders(spark, tmp_path):
     assert sorted((r.folder[-2:], r.label) for r in rows) == [("x/", 0), ("y/", 1)]
 
 
+def test_labels_are_not_broadcast(spark, tmp_path):
+    """A label is a byte in its file and a row once read: the file's size says nothing about the rows."""
+    (tmp_path / "x.data").write_text("1 2 3 4\n" * 50)
+    (tmp_path / "x.label").write_text("01" * 25 + "\n")
+    df = read_sequences(spark, str(tmp_path))
+    assert df.count() == 50 and df.where("label = line_no % 2").count() == 50
+    joins = [line for line in df._jdf.queryExecution().sparkPlan().toString().splitlines() if "Join [folder" in line]
+    assert len(joins) == 1 and "SortMergeJoin" in joins[0]
+
+
 def test_statistics_files_each_have_their_own_header(spark, tmp_path):
     names = [f[0] for f in STATS_FIELDS]
     values = {n: str(i) for i, n in enumerate(names)} | {"Timestamp": "t", "Label": "own", "Extra": "e"}
