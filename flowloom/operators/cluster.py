@@ -341,12 +341,13 @@ def eps_neighbours(df: DataFrame, group_cols: list[str], id_col: str, vec: str,
 
 
 def _back(df: DataFrame, named: DataFrame, group_cols: list[str], vec: str, how: str) -> DataFrame:
-    """``df`` with what is known of its group and vector."""
-    renamed = named.withColumnsRenamed({c: f"_g{i}" for i, c in enumerate(group_cols)})
-    on = F.transform(df[vec], lambda x: x.cast("double")) == F.col("_vec")
+    """``df`` with what is known of its group and vector. Rows are sorted by a hash of the vector, as whole arrays sort slowly, and compared in full where hashes meet."""
+    renamed = named.withColumnsRenamed({c: f"_g{i}" for i, c in enumerate(group_cols)}).withColumn("_hash", F.xxhash64("_vec"))
+    wide = F.transform(df[vec], lambda x: x.cast("double"))
+    on = (F.xxhash64(wide) == F.col("_hash")) & (wide <= F.col("_vec")) & (wide >= F.col("_vec"))  # an equality would be sorted by
     for i, c in enumerate(group_cols):
         on = on & df[c].eqNullSafe(F.col(f"_g{i}"))
-    return df.join(renamed, on, how).drop("_vec", *[f"_g{i}" for i in range(len(group_cols))])
+    return df.join(renamed, on, how).drop("_vec", "_hash", *[f"_g{i}" for i in range(len(group_cols))])
 
 
 def _links(boxes: DataFrame, eps: float, min_samples: int) -> DataFrame:

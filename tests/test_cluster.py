@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from flowloom.operators.cluster import cluster_by_group, eps_neighbours, leaves
+from flowloom.operators.cluster import _back, cluster_by_group, eps_neighbours, leaves
 from flowloom.operators.components import connected_components
 
 
@@ -92,6 +92,19 @@ def test_candidates_per_point_stay_flat(spark, spread):
     assert met[1] < 1.5 * met[0]
 
 
+def test_rows_find_their_points_by_a_hash(spark):
+    """Whole vectors are compared but not sorted by; zeros of both signs and NaN are the equal values that they are to a group."""
+    rows = [(None, 1, [0.0, 1.0]), (None, 2, [-0.0, 1.0]), ("a", 3, [0.0, 1.0]), ("a", 4, [5.0, 5.0]), (None, 5, None)]
+    rows += [("n", 6, [float("nan"), 1.0]), ("n", 7, [-float("nan"), 1.0])]
+    df = spark.createDataFrame(rows, "g string, id int, v array<float>")
+    known = df.where("v IS NOT NULL").groupBy("g", F.transform("v", lambda x: x.cast("double")).alias("_vec")).agg(F.count("*").alias("n"))
+    out = _back(df, known, ["g"], "v", "left")
+    assert {r.id: r.n for r in out.collect()} == {1: 2, 2: 2, 3: 1, 4: 1, 5: None, 6: 2, 7: 2}
+    plan = _back(df.hint("merge"), known, ["g"], "v", "left")._jdf.queryExecution().sparkPlan().toString()
+    join = next(line for line in plan.splitlines() if "Join" in line)
+    assert "SortMergeJoin" in join and "transform" not in join.split("LeftOuter")[0].replace("xxhash64(transform", "")
+
+
 def test_null_vectors_are_noise(spark):
     df = spark.createDataFrame([("a", 1, [0.0]), ("a", 2, [0.0]), ("a", 3, None)], "g string, id int, v array<double>")
     assert {r.id: r.cluster_id for r in cluster_by_group(df, ["g"], "id", "v", ["id"]).collect()} == {1: 0, 2: 0, 3: -1}
