@@ -41,8 +41,11 @@ GAP_ROUNDS = 4
 
 def _points(df: DataFrame, group_cols: list[str], vec: str, order_cols: list[str], leaf: int) -> tuple[DataFrame, bool]:
     """Distinct vectors per group with number ``pno``, rows ``w``, first row ``first``, the group's number ``gno`` and size ``n``; whether any group is large."""
-    points = df.groupBy(*group_cols, F.col(vec).alias("vec")).agg(F.min(F.struct(*order_cols)).alias("first"), F.count(F.lit(1)).alias("w"))
-    points = cut_lineage(points.withColumn("pno", F.monotonically_increasing_id()))
+    # rows are sorted by a hash of the vector; whole arrays, which sort slowly, are compared where hashes meet
+    points = df.groupBy(F.xxhash64(vec).alias("_hash"), *group_cols, F.col(vec).alias("vec")).agg(
+        F.min(F.struct(*order_cols)).alias("first"), F.count(F.lit(1)).alias("w")
+    )
+    points = cut_lineage(points.drop("_hash").withColumn("pno", F.monotonically_increasing_id()))
     groups = cut_lineage(points.groupBy(*group_cols).agg(F.min("pno").alias("gno"), F.count(F.lit(1)).alias("n")))
     same = [points[c].eqNullSafe(F.col(f"_g{i}")) for i, c in enumerate(group_cols)]
     named = groups.select(*[F.col(c).alias(f"_g{i}") for i, c in enumerate(group_cols)], "gno", "n")
