@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import struct
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,6 +17,8 @@ from flowloom.sources.files import write_file
 from flowloom.sources.store import exists, with_day, write_by_server, write_clusters_json, write_flows, write_parts
 
 PER_FILE = 2000
+#: Lines of a compressed statistics file.
+LINES = 200_000
 
 
 def _once(spark: SparkSession, sf_dir: str, name: str, write) -> str:
@@ -118,8 +121,12 @@ def packet_csv_dir(spark: SparkSession, sf_dir: str) -> str:
     return _once(spark, sf_dir, "packet_csv", write)
 
 
-def stats_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line items in the shape of a flow-statistics table, as text, in dialect A names."""
+def stats_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items in the shape of a flow-statistics table: ``cells``, the 80 fields as text, and ``part``, a third by the first eight.
+
+    Fields that count on from the line number come from loops: 80 expressions in one projection make a method that the
+    JVM does not compile.
+    """
     li = table(spark, sf_dir, "lineitem")
     cents = F.floor(F.col("l_extendedprice") * 100 + 0.5).cast("bigint")
     given = {
@@ -132,9 +139,20 @@ def stats_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
         "Timestamp": F.date_format("l_shipdate", "dd/MM/yyyy HH:mm:ss"),
         "Label": F.concat(F.lit("flag "), "l_returnflag"),
     }
-    return li.select(
-        *[given.get(a, (F.col("l_linenumber") + i) % 50).cast("string").alias(a) for i, (a, _, _) in enumerate(STATS_FIELDS)]
-    )
+    counted = lambda i: ((F.col("l_linenumber") + i) % 50).cast("string")
+    runs, names = [], [f[0] for f in STATS_FIELDS]
+    for own, at in groupby(range(len(names)), lambda i: names[i] in given):
+        at = list(at)
+        own = [given[names[i]].cast("string") for i in at] if own else None
+        runs.append(F.array(*own) if own else F.transform(F.sequence(F.lit(at[0]), F.lit(at[-1])), counted))
+    first = [given[n].cast("string") if n in given else counted(i) for i, n in enumerate(names[:8])]
+    return li.select(F.concat(*runs).alias("cells"), F.pmod(F.xxhash64(*first), F.lit(3)).alias("part"))
+
+
+def _write_stats(lines: DataFrame, names: list[str], path: str, mode: str = "overwrite") -> None:
+    """One column of finished lines as compressed files, each under the header of ``names``. Such a file is read by one task, so its lines are counted."""
+    out = lines.toDF(",".join(names)).write.mode(mode).option("maxRecordsPerFile", LINES).option("compression", "gzip")
+    out.option("header", "true").option("sep", "\u0001").option("quote", "").csv(path)
 
 
 def stats_dir(spark: SparkSession, sf_dir: str, dialect: str) -> str:
@@ -142,12 +160,9 @@ def stats_dir(spark: SparkSession, sf_dir: str, dialect: str) -> str:
 
     def write(path: str) -> None:
         names = [f[0 if dialect == "A" else 1] for f in STATS_FIELDS]
-        rows = stats_frame(spark, sf_dir).toDF(*names)
-        header = spark.createDataFrame([tuple(names)], rows.schema)
-        long = spark.createDataFrame([tuple(names[:-1] + ["flag A,1,2"])], rows.schema)
-        long = long.select(*[F.lit("7").alias(n) for n in names[:-1]], F.col(names[-1]))
-        out = rows.unionByName(header).unionByName(long)
-        out.write.mode("overwrite").option("header", "true").option("quote", "").csv(path)
+        rows = stats_rows(spark, sf_dir).select(F.array_join("cells", ",", "").alias("line"))
+        odd = spark.createDataFrame([(",".join(names),), (",".join(["7"] * (len(names) - 1) + ["flag A,1,2"]),)], "line string")
+        _write_stats(rows.unionByName(odd), names, path)
 
     return _once(spark, sf_dir, f"stats_{dialect}", write)
 
@@ -157,11 +172,12 @@ def mixed_stats_dir(spark: SparkSession, sf_dir: str, dialect: str) -> str:
 
     def write(path: str) -> None:
         names = [f[0 if dialect == "A" else 1] for f in STATS_FIELDS]
-        rows = stats_frame(spark, sf_dir).toDF(*names)
-        part = F.pmod(F.xxhash64(*names[:8]), F.lit(3))
-        extra = [F.lit("x").alias(n) for n in ("Flow ID", "Src IP", "Src Port", "Dst IP")]
-        for i, columns in enumerate((names, names[::-1], [*extra, *names])):
-            rows.where(part == i).select(*columns).write.mode("append").option("header", "true").option("quote", "").csv(path)
+        extra = ["Flow ID", "Src IP", "Src Port", "Dst IP"]
+        cells = F.col("cells")
+        kinds = ((names, cells), (names[::-1], F.reverse(cells)), (extra + names, F.concat(F.array_repeat(F.lit("x"), len(extra)), cells)))
+        for i, (columns, ordered) in enumerate(kinds):
+            lines = stats_rows(spark, sf_dir).where(F.col("part") == i).select(F.array_join(ordered, ",", ""))
+            _write_stats(lines, columns, path, "append")
 
     return _once(spark, sf_dir, f"stats_mixed_{dialect}", write)
 

@@ -33,6 +33,12 @@ def open_file(path: str) -> NativeFile:
     return fs.open_input_file(inner)
 
 
+def open_text(path: str) -> NativeFile:
+    """A file to read from its beginning, unpacked where its name ends in .gz, .bz2, .lz4 or .zst."""
+    fs, inner = _place(path)
+    return fs.open_input_stream(inner)
+
+
 def write_file(path: str, data: bytes) -> None:
     """Writes a whole file, with its folder, from inside a task; a second attempt writes the same file again."""
     fs, inner = _place(path)

@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 import csv
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from flowloom.functions.arrays import bind
 from flowloom.schemas import STATS_FIELDS
 from flowloom.session import broadcast_if_small, cut_lineage, spread
-from flowloom.sources.files import list_files, open_file
+from flowloom.sources.files import list_files, open_text
 
 #: Longest header line that is looked for.
 HEADER_BYTES = 1 << 16
@@ -23,7 +24,7 @@ def read_flow_stats(spark: SparkSession, paths: str | list[str], dialect: str =
 
     Every file is read by its own header, so the files of a folder may differ in order and extra columns. Header
     lines repeated inside a file and lines with too many fields for their file are dropped; short lines are filled
-    with nulls. An empty file has no rows. The driver learns the distinct headers, not the files.
+    with nulls. An empty file has no rows. Files may be compressed. The driver learns the distinct headers, not the files.
     """
     column = {"A": 0, "B": 1}[dialect]
     tables = [_read_folder(spark, p, column) for p in ([paths] if isinstance(paths, str) else paths)]
@@ -56,7 +57,7 @@ def _headers(spark: SparkSession, path: str) -> DataFrame:
         for pdf in batches:
             lines = []
             for p in pdf["path"]:
-                with open_file(p) as f:
+                with open_text(p) as f:
                     lines.append(f.read(HEADER_BYTES).split(b"\n", 1)[0].decode("utf-8-sig").rstrip("\r"))
             yield pd.DataFrame({"path": pdf["path"], "header": lines})
 
@@ -66,28 +67,42 @@ def _headers(spark: SparkSession, path: str) -> DataFrame:
 
 def _read(spark: SparkSession, path: str, places: list[int], width: int) -> DataFrame:
     """Files that share one header."""
-    names = [f"_c{i}" for i in range(width)]
-    raw = (
-        spark.read.schema(", ".join(f"{n} string" for n in names) + ", _bad string").option("header", "true").option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", "_bad").option("recursiveFileLookup", "true").csv(path)
-    )
-    line = F.concat_ws(",", *names)
-    fits = F.col("_bad").isNull() | (F.size(F.split("_bad", ",")) < width)
-    return raw.where(fits & ~line.contains("Dst")).select(*[F.col(names[at]).try_cast(f[2]).alias(f[0]) for at, f in zip(places, STATS_FIELDS)])
+    fields = F.from_csv("value", ", ".join(f"c{i} string" for i in range(width)) + ", _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
+    fits = lambda f: f["_bad"].isNull() | (F.size(F.split("value", ",")) < width)
+    parsed = bind(fields, lambda f: F.when(fits(f), F.array(*[f[f"c{i}"] for i in range(width)])))
+    lines = _lines(spark, path).where(F.btrim("value", F.lit(" \t")) != "")
+    return _picked(lines, parsed, lambda k: F.get("_cells", F.lit(places[k])), F.lit(width))
 
 
 def _read_mixed(spark: SparkSession, path: str, files: DataFrame, places: dict[str, tuple[list[int], int]]) -> DataFrame:
     """Files of several headers in one scan: each line's fields are picked by the positions of its file's header."""
     known = spark.createDataFrame([(h, at, width) for h, (at, width) in places.items()], "header string, _at array<int>, _width int")
     of_file = files.join(F.broadcast(known), "header").select(F.col("path").alias("_path"), "_at", "_width")
-    lines = spark.read.option("recursiveFileLookup", "true").text(path).select("value", F.col("_metadata.file_path").alias("_path"))
-    lines = lines.join(broadcast_if_small(of_file), "_path").withColumn("value", F.regexp_replace("value", "\r$", ""))
+    lines = _lines(spark, path).join(broadcast_if_small(of_file), "_path").withColumn("value", F.regexp_replace("value", "\r$", ""))
     most = max(width for _, width in places.values()) + 1
     fields = F.from_csv("value", ", ".join(f"c{i} string" for i in range(most)), {"mode": "PERMISSIVE"})
-    rows = lines.where("value != ''").withColumn("_f", fields)
-    cells = F.array(*[F.col(f"_f.c{i}") for i in range(most)])
-    rows = rows.select("value", "_at", "_width", cells.alias("_cells"))
+    cells = bind(fields, lambda f: F.array(*[f[f"c{i}"] for i in range(most)]))
+    parsed = F.when(F.get(cells, F.col("_width")).isNull(), cells)
+    return _picked(lines.where("value != ''"), parsed, lambda k: F.get("_cells", F.get("_at", F.lit(k))), F.col("_width"))
+
+
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.option("recursiveFileLookup", "true").text(path).select("value", F.col("_metadata.file_path").alias("_path"))
+
+
+def _picked(lines: DataFrame, parsed: Column, at: Callable[[int], Column], width: Column) -> DataFrame:
+    """The fields of lines that are no header and fit: ``parsed``, null where they do not fit, if quoted.
+
+    Other lines are cut at their commas, which takes a fraction of a parser's time; no projection names all the cells.
+    """
     quoted = F.contains("value", F.lit('"'))
-    fits = F.when(quoted, F.get("_cells", F.col("_width")).isNull()).otherwise(F.size(F.split("value", ",")) <= F.col("_width"))
-    rows = rows.where(fits & ~F.contains("value", F.lit("Dst")))
-    return rows.select(*[F.get("_cells", F.get("_at", F.lit(k))).try_cast(f[2]).alias(f[0]) for k, f in enumerate(STATS_FIELDS)])
+    rows = lines.where(~F.contains("value", F.lit("Dst")))
+    rows = rows.where(quoted | (F.size(F.split("value", ",")) <= width))
+    rows = rows.withColumn("_quoted", quoted).withColumn("_cells", F.when(quoted, parsed).otherwise(F.split("value", ",")))
+    rows = rows.where(~F.col("_quoted") | F.col("_cells").isNotNull())
+
+    def field(k: int, kind: str) -> Column:
+        cell = at(k)
+        return F.when(cell != "", cell) if kind == "string" else cell.try_cast(kind)
+
+    return rows.select(*[field(k, f[2]).alias(f[0]) for k, f in enumerate(STATS_FIELDS)])

@@ -1,15 +1,19 @@
 """Files written by the tests themselves, read back."""
 
+import gzip
 import struct
+from datetime import datetime
 
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from flowloom.functions.similarity import jaro_winkler_batch
 from flowloom.operators.stats import clean_stats, disable
-from flowloom.plans.written import _frame
+from flowloom.plans.written import _frame, mixed_stats_dir, stats_dir
 from flowloom.schemas import STATS_FIELDS
+from flowloom.sources.files import list_files
 from flowloom.sources.flow_stats import read_flow_stats
 from flowloom.sources.packet_csv import read_packet_csv
 from flowloom.sources.pcap import read_pcap
@@ -122,6 +126,31 @@ def test_statistics_files_each_have_their_own_header(spark, tmp_path):
     assert len(rows) == 3 and len(set(rows)) == 1 and rows[0]["Dst Port"] == 0 and rows[0]["Label"] == "own" and rows[0]["Protocol"] == 1
 
 
+def test_compressed_and_quoted_statistics_files(spark, tmp_path):
+    names = [f[0] for f in STATS_FIELDS]
+    plain = ["5"] * (len(names) - 1)
+    lines = [names, plain + ["a"], names, plain + ['"b,c"'], plain + ["d", "1"], plain + ['"e"', "1"], plain[:3], plain + [""], plain + ['""']]
+    (tmp_path / "s.csv.gz").write_bytes(gzip.compress("".join(",".join(x) + "\n" for x in lines).encode()))
+    rows = read_flow_stats(spark, str(tmp_path)).collect()
+    assert sorted(str(r.Label) for r in rows) == ["None", "None", "None", "a", "b,c"] and {r["Dst Port"] for r in rows} == {5}
+    # a second header: the folder is read file by file
+    (tmp_path / "t.csv.gz").write_bytes(gzip.compress((",".join(names[::-1]) + "\n" + ",".join(['"f,g"', *plain]) + "\n").encode()))
+    rows = read_flow_stats(spark, str(tmp_path)).collect()
+    assert sorted(str(r.Label) for r in rows) == ["None", "None", "None", "a", "b,c", "f,g"]
+
+
+def test_statistics_lines_are_written_small(spark, tmp_path):
+    """A statistics folder takes less room than its lines do as text, and no file is more than a task's work."""
+    li = [(i, i * 7, i * 3, i % 7, float(i % 50), i * 1.25, 0.05, 0.02, "A", datetime(1996, 1, 1)) for i in range(3000)]
+    cols = "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_shipdate timestamp"
+    spark.createDataFrame(li, cols).coalesce(1).write.parquet(str(tmp_path / "lineitem.parquet"))
+    for folder in (stats_dir(spark, str(tmp_path), "A"), mixed_stats_dir(spark, str(tmp_path), "B")):
+        files = [f for f in list_files(spark, folder).collect() if "/part-" in f.path]
+        text = spark.read.option("recursiveFileLookup", "true").text(folder).agg(F.sum(F.length("value") + 1)).first()[0]
+        assert text > 3000 * 160 and sum(f.length for f in files) * 5 < text
+    assert read_flow_stats(spark, stats_dir(spark, str(tmp_path), "A"), "A").count() == 3000
+
+
 def test_captures_are_decoded_by_many_tasks(spark, tmp_path):
     from pyspark.sql import functions as F
 
