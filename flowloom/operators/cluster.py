@@ -32,7 +32,7 @@ GROWTH = 2.0
 #: Points of a block: two of them meet in one task.
 BLOCK = LEAF // 2
 #: Rows of a distance matrix that are held at once.
-ROWS = 512
+ROWS = 128
 #: Cells to an eps in which gaps are looked for, gaps of an axis that are used in a round, and rounds.
 FINE = 16
 GAPS = 64
@@ -215,17 +215,23 @@ class _Box:
         x = self.x - self.x.mean(0)
         norm = (x * x).sum(1)
         doubt = 1e-13 * (x.shape[1] + 8) * (4 * norm.max(initial=0) + limit)
+        one = np.ones((len(x), 1))
+        # one product gives the squared distance less the limit
+        left, right = np.hstack([-2 * x, norm[:, None] - limit, one])[self.rows], np.hstack([x, one, norm[:, None]])[self.cols].T
         out = np.zeros((len(self.rows), len(self.cols)), bool)
-        other, other_norm = x[self.cols], norm[self.cols]
         for a in range(0, len(self.rows), ROWS):
-            some = self.rows[a : a + ROWS]
-            gap = norm[some][:, None] + other_norm - 2 * (x[some] @ other.T) - limit
-            out[a : a + ROWS] = gap <= 0
-            i, j = np.nonzero(np.abs(gap) <= doubt)
+            c = 0 if self.cross else a  # distances of a box are symmetric
+            some, others = self.rows[a : a + ROWS], self.cols[c:]
+            gap = left[a : a + ROWS] @ right[:, c:]
+            near = gap < -doubt
+            i, j = np.nonzero(near ^ (gap <= doubt))
             for b in range(0, len(i), 1 << 16):
                 u, v = i[b : b + (1 << 16)], j[b : b + (1 << 16)]
-                exact = np.cumsum((self.x[some[u]] - self.x[self.cols[v]]) ** 2, axis=1)[:, -1] if x.shape[1] else np.zeros(len(u))
-                out[a + u, v] = exact <= limit
+                exact = np.cumsum((self.x[some[u]] - self.x[others[v]]) ** 2, axis=1)[:, -1] if x.shape[1] else np.zeros(len(u))
+                near[u, v] = exact <= limit
+            out[a : a + ROWS, c:] = near
+            if not self.cross:
+                out[c:, a : a + ROWS] = near.T
         return out
 
     def counts(self) -> np.ndarray:
@@ -309,23 +315,34 @@ def _dense_totals(boxes: DataFrame) -> DataFrame:
     return own.join(own.groupBy("leaf").agg(F.sum("w").alias("near")), "leaf").select("pno", "near")
 
 
-def _cores(boxes: DataFrame, eps: float, min_samples: int, half: int) -> DataFrame:
-    """``pno`` and ``core`` of each own point.
-
-    Most show in the few points that they meet in their block and block 0; only the others are counted against the whole box.
-    """
+def _met(split: DataFrame, eps: float, min_samples: int, half: int) -> DataFrame:
+    """``kind``, ``u``, ``v``, ``whole`` from one comparison of each block with itself and block 0: 0 as of ``_links``, for points that are core by what
+    they meet there; 2 for a point, the rows near it, and whether that was all of its box."""
 
     def some(t: pa.Table) -> list[tuple]:
         box, seen = _Box(t, eps), int(t["all_seen"][0].as_py())
-        return [(int(p), int(k), seen) for p, k, own in zip(box.pno, box.counts(), box.own) if own]
+        near = box.counts()
+        root = box.trees(near >= min_samples)
+        rows = [(2, p, k, seen) for p, k in zip(box.pno[box.own].tolist(), near[box.own].tolist())]
+        return rows + [(0, r, p, 0) for r, p in zip(root[root >= 0].tolist(), box.pno[root >= 0].tolist())]
+
+    names = ["kind", "u", "v", "whole"]
+    return cut_lineage(_dealt(_starred(split, half)).mapInArrow(_each_box(some, names), "kind bigint, u bigint, v bigint, whole bigint"))
+
+
+def _cores(boxes: DataFrame, met: DataFrame, eps: float, min_samples: int, half: int) -> DataFrame:
+    """``pno`` and ``core`` of each own point.
+
+    Most show in the few points that they meet in their block and block 0 (``met``); only the others are counted against the whole box.
+    """
 
     def every(t: pa.Table) -> list[tuple]:
         box = _Box(t, eps)
         return [(int(p), int(k)) for p, k, side in zip(box.pno, box.counts(), box.side) if side == 0]
 
-    met = _dealt(_starred(boxes, half)).mapInArrow(_each_box(some, ["pno", "near", "seen"]), "pno bigint, near bigint, seen bigint")
-    met = met.unionByName(_dense_totals(boxes).withColumn("seen", F.lit(0).cast("bigint")))
-    met = cut_lineage(met.groupBy("pno").agg((F.max("near") >= min_samples).alias("core"), F.max("seen").alias("seen")))
+    counts = met.where("kind = 2").select(F.col("u").alias("pno"), F.col("v").alias("near"), F.col("whole").alias("seen"))
+    counts = counts.unionByName(_dense_totals(boxes).withColumn("seen", F.lit(0).cast("bigint")))
+    met = cut_lineage(counts.groupBy("pno").agg((F.max("near") >= min_samples).alias("core"), F.max("seen").alias("seen")))
     open_ = met.where("NOT core AND seen = 0").select("pno", F.lit(True).alias("focus"))
     if open_.isEmpty():
         return met.select("pno", "core")
@@ -356,7 +373,8 @@ def _back(df: DataFrame, named: DataFrame, group_cols: list[str], vec: str, how:
 def _links(boxes: DataFrame, eps: float, min_samples: int) -> DataFrame:
     """``kind``, ``u``, ``v``, ``whole``: 0 for a tree's root and a core point in it, 1 for a tree's root and a point that it touches.
 
-    Whole boxes get their counts and touched points here; pieces of other boxes bring ``core``.
+    Whole boxes get their counts and touched points here; pieces of other boxes bring ``core``. At two samples any neighbour
+    makes a core point, and nothing is touched.
     """
 
     def link(t: pa.Table) -> list[tuple]:
@@ -365,7 +383,7 @@ def _links(boxes: DataFrame, eps: float, min_samples: int) -> DataFrame:
         core = box.counts() >= min_samples if whole else t["core"].to_numpy(zero_copy_only=False)
         root = box.trees(core)
         rows = [(0, int(r), int(p), int(whole)) for r, p in zip(root, box.pno) if r >= 0]
-        return rows + ([(1, r, p, 1) for r, p in box.touches(root)] if whole else [])
+        return rows + ([(1, r, p, 1) for r, p in box.touches(root)] if whole and min_samples > 2 else [])
 
     return _dealt(boxes).mapInArrow(_each_box(link, ["kind", "u", "v", "whole"]), "kind bigint, u bigint, v bigint, whole bigint")
 
@@ -434,9 +452,12 @@ def cluster_by_group(
     split = boxes.where(~F.col("whole"))
     large = large and not split.isEmpty()
     if large:
-        split = cut_lineage(split.join(_cores(split, eps, min_samples, block), "pno"))
-        pieces = pieces.unionByName(_starred(split, block).select(pieces.columns))
-    links = cut_lineage(_links(pieces, eps, min_samples))
+        met = _met(split, eps, min_samples, block)
+        split = cut_lineage(split.join(_cores(split, met, eps, min_samples, block), "pno"))
+        if min_samples > 2:  # at two, who is core in a block shows there, and so do its trees
+            pieces = pieces.unionByName(_starred(split, block).select(pieces.columns))
+    links = _links(pieces, eps, min_samples)
+    links = cut_lineage(links.unionByName(met.where("kind = 0")) if large and min_samples <= 2 else links)
     roots = links.where("kind = 0 AND whole = 1").select(F.col("v").alias("pno"), F.col("u").alias("root"))
     touch = links.where("kind = 1").select("u", "v")
     if large:

@@ -117,12 +117,13 @@ def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return build_features(stage(spark, sf_dir, "labelled"))
+    return build_features(_labelled(spark, sf_dir))  # the labels are one broadcast join: storing them first costs more
 
 
 def _clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = stage(spark, sf_dir, "features")
-    return cluster_by_group(f, ["server_ip", "server_port"], "flow_id", "f_signed", ["src_file", "emit_at"])
+    c = cluster_by_group(f, ["server_ip", "server_port"], "flow_id", "f_signed", ["src_file", "emit_at"])
+    return c.drop("f_size", "f_dir", "f_signed", "eff_len")  # no later step reads them
 
 
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from flowloom.operators.cluster import _back, cluster_by_group, eps_neighbours, leaves
+from flowloom.operators.cluster import _back, _met, cluster_by_group, eps_neighbours, leaves
 from flowloom.operators.components import connected_components
 
 
@@ -114,3 +114,20 @@ def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101)], "u bigint, v bigint")
     roots = {r.node: r.root for r in connected_components(edges).collect()}
     assert roots == {**{i: 0 for i in range(61)}, 100: 100, 101: 100}
+
+
+def test_one_comparison_gives_counts_and_trees(spark):
+    """Blocks of a cut box are compared once: what a point meets there, and the trees of the points that are core by it."""
+    rng = np.random.default_rng(5)
+    v = np.round(rng.uniform(0, 1, (60, 2)), 2)
+    weights = rng.integers(1, 3, 60).tolist()
+    rows = [("b", i, x, w, True, False, False) for i, (x, w) in enumerate(zip(v.tolist(), weights))]
+    box = spark.createDataFrame(rows, "leaf string, pno bigint, vec array<double>, w bigint, own boolean, dense boolean, whole boolean")
+    near = ((v[:, None] - v[None]) ** 2).sum(2) <= 0.15**2
+    met = _met(box, 0.15, 2, 60).collect()
+    assert {r.u: (r.v, r.whole) for r in met if r.kind == 2} == {i: (int(near[i] @ weights), 1) for i in range(60)}
+    root = {r.v: r.u for r in met if r.kind == 0}
+    core = [i for i in range(60) if near[i] @ weights >= 2]
+    assert sorted(root) == core
+    assert all((root[a] == root[b]) or not near[a, b] for a in core for b in core)
+    assert all(root[root[a]] == root[a] <= a for a in core)
