@@ -37,13 +37,24 @@ def wasserstein_sim(a: Column, b: Column) -> Column:
 MATRIX = 64
 
 
-def _padded(lists: pd.Series) -> tuple[np.ndarray, np.ndarray]:
-    length = lists.map(len).to_numpy()
-    out = np.full((len(lists), max(int(length.max(initial=0)), 1)), np.nan)
-    inside = np.arange(out.shape[1]) < length[:, None]
-    if inside.any():
-        out[inside] = np.concatenate([np.asarray(v, dtype=float) for v in lists if len(v)])
-    return out, length
+class _Lists:
+    """Value lists as one array, with the start and length of each."""
+
+    def __init__(self, lists: pd.Series):
+        self.length = np.fromiter(map(len, lists), np.int64, len(lists))
+        self.start = np.cumsum(self.length) - self.length
+        self.values = np.concatenate(list(lists), dtype=float, casting="unsafe") if self.length.any() else np.zeros(0)
+
+    def padded(self, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        length = self.length[some]
+        out = np.full((len(some), max(int(length.max(initial=0)), 1)), np.nan)
+        at = np.arange(out.shape[1])
+        inside = at < length[:, None]
+        out[inside] = self.values[(self.start[some][:, None] + at)[inside]]
+        return out, length
+
+    def one(self, k: int) -> np.ndarray:
+        return self.values[self.start[k] : self.start[k] + self.length[k]]
 
 
 def _front(values: np.ndarray, keep: np.ndarray) -> np.ndarray:
@@ -57,10 +68,10 @@ def _winkler(jaro: np.ndarray, prefix: np.ndarray) -> np.ndarray:
     return np.where(jaro > 0.7, jaro + prefix * 0.1 * (1.0 - jaro), jaro)
 
 
-def _short_rows(left: pd.Series, right: pd.Series) -> np.ndarray:
-    """All rows of about one length at once."""
-    a, la = _padded(left)
-    b, lb = _padded(right)
+def _short_rows(left: _Lists, right: _Lists, some: np.ndarray) -> np.ndarray:
+    """Rows of about one length at once."""
+    a, la = left.padded(some)
+    b, lb = right.padded(some)
     reach = np.maximum(np.maximum(la, lb) // 2 - 1, 0)
     used_a, used_b = np.zeros(a.shape, bool), np.zeros(b.shape, bool)
     for i in range(a.shape[1]):
@@ -104,15 +115,15 @@ def _long_row(a: np.ndarray, b: np.ndarray) -> float:
 
 def jaro_winkler_batch(left: pd.Series, right: pd.Series) -> np.ndarray:
     """Jaro-Winkler of value lists. Rows are taken in classes of about one length, so padding at most doubles a row; long rows one by one."""
-    left, right = left.reset_index(drop=True), right.reset_index(drop=True)
-    longest = np.maximum(left.map(len).to_numpy(dtype=np.int64), right.map(len).to_numpy(dtype=np.int64))
-    out = np.zeros(len(left))
+    a, b = _Lists(left), _Lists(right)
+    longest = np.maximum(a.length, b.length)
+    out = np.zeros(len(longest))
     level = np.ceil(np.log2(np.maximum(longest, 1))).astype(int)
     for k in np.unique(level[longest <= MATRIX]):
         some = np.flatnonzero((level == k) & (longest <= MATRIX))
-        out[some] = _short_rows(left.iloc[some], right.iloc[some])
+        out[some] = _short_rows(a, b, some)
     for k in np.flatnonzero(longest > MATRIX).tolist():
-        out[k] = _long_row(np.asarray(left.iloc[k], float), np.asarray(right.iloc[k], float))
+        out[k] = _long_row(a.one(k), b.one(k))
     return out
 
 

@@ -194,6 +194,17 @@ def test_jaro_winkler_ways_agree():
     assert got[-1] == 1.0 and np.allclose(got[:-1], each)
 
 
+def test_value_lists_are_laid_out_once():
+    """A batch is one array of values: classes of rows are cut out of it, short ones padded, and single rows are views."""
+    from flowloom.functions.similarity import _Lists
+
+    lists = _Lists(pd.Series([np.array([1, 2, 3]), [], [4.0], np.array([5, None], object)]))
+    padded, length = lists.padded(np.array([2, 0, 1]))
+    assert length.tolist() == [1, 3, 0] and np.isnan(padded).tolist() == [[False, True, True], [False] * 3, [True] * 3]
+    assert np.nan_to_num(padded).tolist() == [[4, 0, 0], [1, 2, 3], [0, 0, 0]]
+    assert lists.one(0).tolist() == [1, 2, 3] and lists.one(0).base is lists.values and np.isnan(lists.one(3)[1])
+
+
 def test_tables_stored_by_server_need_no_shuffle(spark, tmp_path):
     from flowloom.operators.sampling import server_groups
     from flowloom.sources.store import write_by_server
