@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from flowloom.functions.net import clock_on_day, local_time
 from flowloom.operators.ranking import ranked
 from flowloom.schemas import BENIGN, LOCAL_HOURS
-from flowloom.session import broadcast_if_small
+from flowloom.session import broadcast_if_small, cut_lineage
 
 
 def window_lists(windows: DataFrame) -> DataFrame:
@@ -61,6 +61,11 @@ def binary_target(df: DataFrame, benign: str = BENIGN) -> DataFrame:
 
 
 def encode_labels(df: DataFrame, col: str) -> tuple[DataFrame, DataFrame]:
-    """Number the sorted distinct labels from 0; returns the table with ``label_num`` and the mapping. A null label keeps its row, with a null number."""
-    mapping = ranked(df.select(col).where(F.col(col).isNotNull()).distinct(), [], [col], name="label_num")
-    return df.join(mapping, col, "left"), mapping
+    """Number the sorted distinct labels from 0; returns the table with ``label_num`` and the mapping. A null label keeps its row, with a null number.
+
+    The distinct labels are stored, so that numbering and counting them does not read the table again, and broadcast if
+    they are few: a shuffle by label would bring most of the table to a few tasks.
+    """
+    labels = cut_lineage(df.select(col).where(F.col(col).isNotNull()).distinct())
+    mapping = ranked(labels, [], [col], name="label_num")
+    return df.join(broadcast_if_small(mapping), col, "left"), mapping

@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import struct
+from collections.abc import Iterator, Sequence
 from itertools import groupby
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,12 +17,12 @@ from flowloom.operators.flows import assemble_flows, assemble_parts
 from flowloom.plans.fixtures import packets, packets_of_days, stage, table
 from flowloom.schemas import STATS_FIELDS
 from flowloom.session import scratch_path
-from flowloom.sources.files import write_file
+from flowloom.sources.files import GzipWriter, write_file
 from flowloom.sources.store import exists, with_day, write_by_server, write_clusters_json, write_flows, write_parts
 
 PER_FILE = 2000
-#: Lines of a compressed statistics file.
-LINES = 200_000
+#: Lines of a compressed statistics file, and how hard it is packed: at the usual level, 6, writing takes twice the time.
+LINES, LEVEL = 200_000, 3
 
 
 def _once(spark: SparkSession, sf_dir: str, name: str, write) -> str:
@@ -121,11 +125,12 @@ def packet_csv_dir(spark: SparkSession, sf_dir: str) -> str:
     return _once(spark, sf_dir, "packet_csv", write)
 
 
-def stats_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line items in the shape of a flow-statistics table: ``cells``, the 80 fields as text, and ``part``, a third by the first eight.
+def stats_rows(spark: SparkSession, sf_dir: str, kinds: Sequence[tuple[bool, int]]) -> DataFrame:
+    """Line items in the shape of a flow-statistics table: ``kind``, one of ``kinds`` by the first eight fields, and ``line``, the 80 fields.
 
-    Fields that count on from the line number come from loops: 80 expressions in one projection make a method that the
-    JVM does not compile.
+    A kind says whether its fields stand in reverse, and how many columns of ``x`` stand in front. Fields that count on from
+    the line number are runs, and a run's text is looked up by its first number: 80 expressions in one projection make
+    a method that the JVM does not compile, and a loop over the fields is not compiled either.
     """
     li = table(spark, sf_dir, "lineitem")
     cents = F.floor(F.col("l_extendedprice") * 100 + 0.5).cast("bigint")
@@ -140,19 +145,64 @@ def stats_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         "Label": F.concat(F.lit("flag "), "l_returnflag"),
     }
     counted = lambda i: ((F.col("l_linenumber") + i) % 50).cast("string")
-    runs, names = [], [f[0] for f in STATS_FIELDS]
-    for own, at in groupby(range(len(names)), lambda i: names[i] in given):
-        at = list(at)
-        own = [given[names[i]].cast("string") for i in at] if own else None
-        runs.append(F.array(*own) if own else F.transform(F.sequence(F.lit(at[0]), F.lit(at[-1])), counted))
+    names = [f[0] for f in STATS_FIELDS]
     first = [given[n].cast("string") if n in given else counted(i) for i, n in enumerate(names[:8])]
-    return li.select(F.concat(*runs).alias("cells"), F.pmod(F.xxhash64(*first), F.lit(3)).alias("part"))
+    rows = li.select("l_linenumber", *[c.cast("string").alias(n) for n, c in given.items()], F.pmod(F.xxhash64(*first), F.lit(len(kinds))).alias("kind"))
 
+    def run(a: int, b: int, back: bool) -> Column:
+        """Fields ``a`` to ``b`` as text."""
+        at = range(b, a - 1, -1) if back else range(a, b + 1)
+        known = F.array(*[F.lit(",".join(str((n + i - a) % 50) for i in at)) for n in range(50)])
+        start = F.col("l_linenumber") + a
+        other = F.array_join(F.transform(F.sequence(F.lit(at[0]), F.lit(at[-1])), counted), ",", "")  # below 0, or null
+        return F.when(start >= 0, F.get(known, start % 50)).otherwise(other)
 
-def _write_stats(lines: DataFrame, names: list[str], path: str, mode: str = "overwrite") -> None:
-    """One column of finished lines as compressed files, each under the header of ``names``. Such a file is read by one task, so its lines are counted."""
-    out = lines.toDF(",".join(names)).write.mode(mode).option("maxRecordsPerFile", LINES).option("compression", "gzip")
-    out.option("header", "true").option("sep", "\u0001").option("quote", "").csv(path)
+    def line(back: bool, extra: int) -> Column:
+        cells = []
+        for own, at in groupby(range(len(names)), lambda i: names[i] in given):
+            at = list(at)
+            cells += [F.coalesce(F.col(f"`{names[i]}`"), F.lit("")) for i in at] if own else [run(at[0], at[-1], back)]
+        return F.concat_ws(",", *[F.lit("x")] * extra, *(cells[::-1] if back else cells))
+
+    lines = F.coalesce(*[F.when(F.col("kind") == k, line(*kind)) for k, kind in enumerate(kinds)])
+    return rows.select(F.col("kind").cast("int").alias("kind"), lines.alias("line"))
+
+
+def _write_stats(lines: DataFrame, headers: Sequence[str], path: str) -> None:
+    """Finished lines as compressed files, those of each kind under its header, in one pass. Such a file is read by one task, so its lines are counted.
+
+    A folder without rows has files of headers alone.
+    """
+
+    def files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get().partitionId()
+        out, room, count = [None] * len(headers), [0] * len(headers), [0] * len(headers)
+
+        def fresh(k: int) -> None:
+            if out[k]:
+                out[k].close()
+            out[k], room[k], count[k] = GzipWriter(f"{path}/part-{k}-{task:05d}-{count[k]:03d}.csv.gz", LEVEL), LINES, count[k] + 1
+            out[k].write(f"{headers[k]}\n".encode())
+
+        if task == 0:
+            for k in range(len(headers)):
+                fresh(k)
+        for batch in batches:
+            for k in range(len(headers)):
+                some = batch.column("line").filter(pc.equal(batch.column("kind"), k))
+                while len(some):
+                    if not room[k]:
+                        fresh(k)
+                    now, some = some[: room[k]], some[room[k] :]
+                    room[k] -= len(now)
+                    out[k].write(pc.binary_join(pa.ListArray.from_arrays([0, len(now)], now), "\n")[0].as_buffer())
+                    out[k].write(b"\n")
+        for f in out:
+            if f:
+                f.close()
+        yield pa.RecordBatch.from_pydict({"task": pa.array([task], pa.int32()), "files": pa.array([sum(count)], pa.int64())})
+
+    lines.mapInArrow(files, "task int, files bigint").write.mode("overwrite").parquet(f"{path}.files")
 
 
 def stats_dir(spark: SparkSession, sf_dir: str, dialect: str) -> str:
@@ -160,9 +210,8 @@ def stats_dir(spark: SparkSession, sf_dir: str, dialect: str) -> str:
 
     def write(path: str) -> None:
         names = [f[0 if dialect == "A" else 1] for f in STATS_FIELDS]
-        rows = stats_rows(spark, sf_dir).select(F.array_join("cells", ",", "").alias("line"))
-        odd = spark.createDataFrame([(",".join(names),), (",".join(["7"] * (len(names) - 1) + ["flag A,1,2"]),)], "line string")
-        _write_stats(rows.unionByName(odd), names, path)
+        odd = spark.createDataFrame([(0, ",".join(names)), (0, ",".join(["7"] * (len(names) - 1) + ["flag A,1,2"]))], "kind int, line string")
+        _write_stats(stats_rows(spark, sf_dir, [(False, 0)]).unionByName(odd), [",".join(names)], path)
 
     return _once(spark, sf_dir, f"stats_{dialect}", write)
 
@@ -173,11 +222,8 @@ def mixed_stats_dir(spark: SparkSession, sf_dir: str, dialect: str) -> str:
     def write(path: str) -> None:
         names = [f[0 if dialect == "A" else 1] for f in STATS_FIELDS]
         extra = ["Flow ID", "Src IP", "Src Port", "Dst IP"]
-        cells = F.col("cells")
-        kinds = ((names, cells), (names[::-1], F.reverse(cells)), (extra + names, F.concat(F.array_repeat(F.lit("x"), len(extra)), cells)))
-        for i, (columns, ordered) in enumerate(kinds):
-            lines = stats_rows(spark, sf_dir).where(F.col("part") == i).select(F.array_join(ordered, ",", ""))
-            _write_stats(lines, columns, path, "append")
+        rows = stats_rows(spark, sf_dir, [(False, 0), (True, 0), (False, len(extra))])
+        _write_stats(rows, [",".join(columns) for columns in (names, names[::-1], extra + names)], path)
 
     return _once(spark, sf_dir, f"stats_mixed_{dialect}", write)
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import zlib
 
 from pyarrow import NativeFile
 from pyarrow.fs import FileSystem, LocalFileSystem
@@ -45,3 +46,20 @@ def write_file(path: str, data: bytes) -> None:
     fs.create_dir(os.path.dirname(inner), recursive=True)
     with fs.open_output_stream(inner) as f:
         f.write(data)
+
+
+class GzipWriter:
+    """A new .gz file, with its folder, that a task writes piece by piece; a second attempt writes the same file again."""
+
+    def __init__(self, path: str, level: int) -> None:
+        fs, inner = _place(path)
+        fs.create_dir(os.path.dirname(inner), recursive=True)
+        self._out = fs.open_output_stream(inner, compression=None)
+        self._pack = zlib.compressobj(level, wbits=31)
+
+    def write(self, data) -> None:
+        self._out.write(self._pack.compress(data))
+
+    def close(self) -> None:
+        self._out.write(self._pack.flush())
+        self._out.close()

@@ -78,7 +78,7 @@ def _read_mixed(spark: SparkSession, path: str, files: DataFrame, places: dict[s
     """Files of several headers in one scan: each line's fields are picked by the positions of its file's header."""
     known = spark.createDataFrame([(h, at, width) for h, (at, width) in places.items()], "header string, _at array<int>, _width int")
     of_file = files.join(F.broadcast(known), "header").select(F.col("path").alias("_path"), "_at", "_width")
-    lines = _lines(spark, path).join(broadcast_if_small(of_file), "_path").withColumn("value", F.regexp_replace("value", "\r$", ""))
+    lines = _lines(spark, path).join(broadcast_if_small(of_file), "_path")
     most = max(width for _, width in places.values()) + 1
     fields = F.from_csv("value", ", ".join(f"c{i} string" for i in range(most)), {"mode": "PERMISSIVE"})
     cells = bind(fields, lambda f: F.array(*[f[f"c{i}"] for i in range(most)]))
@@ -87,6 +87,7 @@ def _read_mixed(spark: SparkSession, path: str, files: DataFrame, places: dict[s
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
+    """(line, file): a line ends at a line feed, a carriage return or both, and holds neither."""
     return spark.read.option("recursiveFileLookup", "true").text(path).select("value", F.col("_metadata.file_path").alias("_path"))
 
 
@@ -94,12 +95,15 @@ def _picked(lines: DataFrame, parsed: Column, at: Callable[[int], Column], width
     """The fields of lines that are no header and fit: ``parsed``, null where they do not fit, if quoted.
 
     Other lines are cut at their commas, which takes a fraction of a parser's time; no projection names all the cells.
+    A line is cut once: the cells come from a generator, below which the filter on their number is not pushed. The parser,
+    which generated code does not hold, has a projection of its own, so that cells are not copied from step to step.
     """
     quoted = F.contains("value", F.lit('"'))
-    rows = lines.where(~F.contains("value", F.lit("Dst")))
-    rows = rows.where(quoted | (F.size(F.split("value", ",")) <= width))
-    rows = rows.withColumn("_quoted", quoted).withColumn("_cells", F.when(quoted, parsed).otherwise(F.split("value", ",")))
-    rows = rows.where(~F.col("_quoted") | F.col("_cells").isNotNull())
+    rows = lines.where(~F.contains("value", F.lit("Dst"))).withColumn("_quoted", quoted)
+    rows = rows.withColumn("_parsed", F.when(F.col("_quoted"), parsed))
+    cells = F.when(F.col("_quoted"), F.col("_parsed")).otherwise(F.split("value", ","))
+    rows = rows.select("*", F.explode(F.array(cells)).alias("_cells"))
+    rows = rows.where(F.when(F.col("_quoted"), F.col("_cells").isNotNull()).otherwise(F.size("_cells") <= width))
 
     def field(k: int, kind: str) -> Column:
         cell = at(k)

@@ -39,6 +39,27 @@ def test_last_window_wins_and_bounds_are_inclusive(spark):
     assert {r.label: r.label_num for r in mapping.collect()} == {"Benign": 0, "first": 1, "second": 2}
 
 
+def test_labels_are_numbered_from_one_more_reading(spark):
+    """Numbering reads the table once, the join once again, and does not shuffle it: rows of one label are most of a table."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def counting(batches):
+        for pdf in batches:
+            seen.add(len(pdf))
+            yield pdf
+
+    rows = [(i, None if i % 50 == 3 else "rare" if i % 50 == 7 else "often") for i in range(400)]
+    df = spark.createDataFrame(rows, "i int, kind string").mapInPandas(counting, "i int, kind string")
+    coded, mapping = encode_labels(df, "kind")
+    assert sorted((r.i, r.kind, r.label_num) for r in coded.collect()) == [(i, k, {"often": 0, "rare": 1}.get(k)) for i, k in rows]
+    assert seen.value == 2 * len(rows)
+    assert {r.kind: r.label_num for r in mapping.collect()} == {"often": 0, "rare": 1} and seen.value == 2 * len(rows)
+    plan = coded._jdf.queryExecution().sparkPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    none, _ = encode_labels(spark.createDataFrame([(1, None)], "i int, kind string"), "kind")
+    assert [(r.i, r.kind, r.label_num) for r in none.collect()] == [(1, None, None)]
+
+
 def test_port_tie_makes_destination_the_server(spark):
     df = spark.createDataFrame([("a", "b", 5, 5), ("a", "b", 4, 5)], "srcip string, dstip string, srcport int, dstport int")
     assert [r.server_ip for r in assign_client_server(df).collect()] == ["b", "a"]

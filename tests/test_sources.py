@@ -1,6 +1,7 @@
 """Files written by the tests themselves, read back."""
 
 import gzip
+import re
 import struct
 from datetime import datetime
 
@@ -151,6 +152,55 @@ def test_statistics_lines_are_written_small(spark, tmp_path):
     assert read_flow_stats(spark, stats_dir(spark, str(tmp_path), "A"), "A").count() == 3000
 
 
+def test_statistics_lines_are_cut_once(spark, tmp_path):
+    names = [f[0] for f in STATS_FIELDS]
+    (tmp_path / "a.csv").write_text(",".join(names) + "\n" + ",".join(["1"] * len(names)) + "\r" + ",".join(["2"] * len(names)) + "\r\n")
+    for file, count in ((None, 2), ("b.csv", 3)):  # one header; two of them
+        if file:
+            (tmp_path / file).write_text(",".join(names[::-1]) + "\n" + ",".join(["3"] * len(names)) + "\n")
+        df = read_flow_stats(spark, str(tmp_path)).select("Dst Port", "Label")
+        assert sorted(map(tuple, df.collect())) == [(i + 1, str(i + 1)) for i in range(count)]
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("ELSE split(value") == 1 and not re.search(r"size\(split\([^)]*\), false\) <=", plan)
+
+
+def test_statistics_folders_hold_all_fields_of_all_line_items(spark, tmp_path, monkeypatch):
+    """Line numbers below 0, null or large, null cells, and no rows at all; the table is read once, whatever its headers, and files hold at most ``LINES`` lines."""
+    from flowloom.plans import written
+
+    monkeypatch.setattr(written, "LINES", 30)
+    cols = "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_shipdate timestamp"
+    li = [
+        (i, i * 7, i * 3, [None, -130, -60, -1, 0, 7, 99, 10**6][i % 8], float(i % 50), i * 1.25, 0.05, 0.02 if i % 3 else None, "A" if i % 5 else None, datetime(1996, 1, 1) if i % 11 else None)
+        for i in range(400)
+    ]
+    seen = spark.sparkContext.accumulator(0)
+
+    def counting(batches):
+        for pdf in batches:
+            seen.add(len(pdf))
+            yield pdf
+
+    monkeypatch.setattr(written, "table", lambda spark, sf, name: spark.createDataFrame(li, cols).mapInPandas(counting, cols) if "full" in sf else spark.createDataFrame([], cols))
+    rem = lambda a, b: a - b * int(a / b)
+    want = []
+    for _, part, supp, no, quantity, price, discount, tax, flag, day in li:
+        row = {f[0]: None if no is None else rem(no + i, 50) for i, f in enumerate(STATS_FIELDS)}
+        row |= {"Dst Port": supp % 65536, "Flow Duration": round(price * 100), "Tot Fwd Pkts": int(quantity), "Fwd Pkt Len Mean": discount, "Idle Min": tax if part % 4 else None}
+        row |= {"Flow Byts/s": quantity if part % 9 else float("inf"), "Timestamp": day and day.strftime("%d/%m/%Y %H:%M:%S"), "Label": flag and f"flag {flag}"}
+        want.append(tuple(float(row[n]) if kind == "double" and row[n] is not None else row[n] for n, _, kind in STATS_FIELDS))
+    for name, folder, kinds in (("mixed", mixed_stats_dir, 3), ("plain", stats_dir, 1)):
+        before = seen.value
+        path = folder(spark, str(tmp_path / f"full_{name}"), "A")
+        assert seen.value - before == len(li)
+        files = [f.path.removeprefix("file:") for f in list_files(spark, path).collect() if "/part-" in f.path]
+        lines = [gzip.open(f, "rt").read().splitlines() for f in files]
+        assert len({x[0] for x in lines}) == kinds and max(map(len, lines)) == 31
+        assert sum(len(x) - 1 for x in lines) == len(li) + (2 if kinds == 1 else 0)
+        assert sorted(map(str, map(tuple, read_flow_stats(spark, path).collect()))) == sorted(map(str, want))
+        assert read_flow_stats(spark, folder(spark, str(tmp_path / f"no_{name}"), "A")).count() == 0
+
+
 def test_captures_are_decoded_by_many_tasks(spark, tmp_path):
     from pyspark.sql import functions as F
 
